@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vellum.shipping import ship
+
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share: the session's spark.checkpoint.dir.
@@ -27,6 +29,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return back
 
 
+def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
+def map_pandas(df: DataFrame, run, schema: str) -> DataFrame:
+    ship(df.sparkSession)
+    return df.mapInPandas(run, schema)
+
+
+def group_pandas(df: DataFrame, keys: list[str], run, schema: str) -> DataFrame:
+    """``run`` over each group; callers see to it that groups are bounded."""
+    ship(df.sparkSession)
+    return df.groupBy(*keys).applyInPandas(run, schema)
+
+
 def dropped(df: DataFrame) -> None:
     """Delete a table made by ``written`` that nothing reads any more."""
     path, spark = df._vellum_path, df.sparkSession
