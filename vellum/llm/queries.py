@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import bpe, packing, secret_scan, url_filter
+from vellum.llm import bpe, license_scan, packing, secret_scan, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def word_bpe() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents")).drop("matches")
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), word_bpe())
 
@@ -46,7 +50,7 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(table(spark, sf_dir, "documents")).drop("found")
 
 
-QUERIES = {"op3_best_fit_packing": op3_best_fit_packing, "op4_bpe": op4_bpe, "op5_url_filter": op5_url_filter, "op6_secret_scan": op6_secret_scan}
+QUERIES = {"op2_license_scan": op2_license_scan, "op3_best_fit_packing": op3_best_fit_packing, "op4_bpe": op4_bpe, "op5_url_filter": op5_url_filter, "op6_secret_scan": op6_secret_scan}
 
 ORACLE = {
     "op5_url_filter": r"""
