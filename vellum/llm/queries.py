@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import bpe, license_scan, packing, secret_scan, url_filter
+from vellum.llm import bpe, license_scan, packing, pii_scan, secret_scan, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,7 +50,11 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(table(spark, sf_dir, "documents")).drop("found")
 
 
-QUERIES = {"op2_license_scan": op2_license_scan, "op3_best_fit_packing": op3_best_fit_packing, "op4_bpe": op4_bpe, "op5_url_filter": op5_url_filter, "op6_secret_scan": op6_secret_scan}
+def op10_pii_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_scan.scan_pii(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op2_license_scan": op2_license_scan, "op3_best_fit_packing": op3_best_fit_packing, "op4_bpe": op4_bpe, "op5_url_filter": op5_url_filter, "op6_secret_scan": op6_secret_scan, "op10_pii_scan": op10_pii_scan}
 
 ORACLE = {
     "op5_url_filter": r"""
