@@ -1,9 +1,10 @@
 """BPE encoding and decoding by prefix-sharing trie traversal.
 
-Distinct words go into a trie.  A depth-first walk gives every prefix its last token: the
-one token that ends the prefix and may stand after the last token of what is before it.
-A prefix that many words share is thus worked out once, and a word's tokens are read
-back along its last-token links.  Two tokens may stand side by side if merging their
+Distinct words form a trie, laid out as their sorted list: the walk down that list is the
+trie's depth-first walk, and the states of the current path are all it holds.  It gives
+every prefix its last token: the one token that ends the prefix and may stand after the
+last token of what is before it.  A prefix that many words share is thus worked out once,
+and a word's tokens are read back along its last-token links.  Two tokens may stand side by side if merging their
 joined symbols gives just these two; that is kept per pair.
 """
 
@@ -20,14 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.shared import map_arrow
+from vellum.llm.shared import map_arrow, parts
 
 END = "</w>"
-#: Words and pairs that a worker keeps at most; beyond that its memory is emptied and filled anew.
-KEPT_WORDS, KEPT_PAIRS = 300_000, 1_000_000
-ROWS_AT_ONCE = 512
+#: Words, chunks between blanks and token pairs that a worker remembers; twice as many words and chunks at most.
+KEPT_WORDS, KEPT_CHUNKS, KEPT_PAIRS = 400_000, 400_000, 1_000_000
+ROWS_AT_ONCE, BYTES_AT_ONCE = 4096, 12_000_000
 #: Outside blocks whose letters, digits and case have long been settled.
-RARE = re.compile("[^\x00-\u052f\u2010-\u2060\u20a0-\u20bf\u3040-\u3096\u30a0-\u30ff\u4e00-\u9fef]")
+RARE = re.compile("[^\x00-\x1b\x20-\u052f\u2010-\u2060\u20a0-\u20bf\u3040-\u3096\u30a0-\u30ff\u4e00-\u9fef]")
 
 
 def byte_symbols() -> list[str]:
@@ -58,13 +59,20 @@ class WordBpe:
         self.library_split = pre_tokenizers.Split(Regex(split["pattern"]["Regex"]), split["behavior"].lower(), split["invert"])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_pattern = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
-        self.longest = max(len(t.removesuffix(self.end)) for t in self.ids)
         self.text = {i: t for t, i in [*self.ids.items(), *self.special.items()]}
         self.inner = {t: i for t, i in self.ids.items() if not t.endswith(self.end)}
         self.final = {t.removesuffix(self.end): i for t, i in self.ids.items() if t.endswith(self.end)}
-        self.fits: dict[tuple[int, int], bool] = {}
-        self.packed: dict[str, bytes] = {}
-        self.shown: dict[str, str] = {}
+        self.reach = [self._reach(self.inner), self._reach(self.final)]
+        self.fits: dict[int, bool] = {}
+        self.words_known, self.chunks_known = Recent(KEPT_WORDS), Recent(KEPT_CHUNKS)
+
+    @staticmethod
+    def _reach(tokens: dict[str, int]) -> dict[str, int]:
+        """Length of the longest token by its last three symbols, or all it has."""
+        found: dict[str, int] = {}
+        for t in tokens:
+            found[t[-3:]] = max(found.get(t[-3:], 0), len(t))
+        return found
 
     def merged(self, units: list[str]) -> list[str]:
         """Plain merging by rank, leftmost first: for the short joins of two tokens only."""
@@ -92,83 +100,124 @@ class WordBpe:
         return units
 
     def side_by_side(self, left: int, right: int) -> bool:
-        """left -1: whether ``right`` may begin a word."""
-        known = self.fits.get((left, right))
-        if known is None:
-            if len(self.fits) >= KEPT_PAIRS:
-                self.fits.clear()
-            tokens = [self.text[right]] if left < 0 else [self.text[left], self.text[right]]
-            known = self.merged([u for t in tokens for u in self._units(t)]) == tokens
-            self.fits[left, right] = known
-        return known
-
-    def _last(self, prefix: str, tokens: dict[str, int], last: list[tuple[int, int]]) -> tuple[int, int]:
+        """Whether merging the symbols of both tokens gives these two; left -1: whether ``right`` may begin a word."""
+        tokens = [self.text[right]] if left < 0 else [self.text[left], self.text[right]]
+        return self.merged([u for t in tokens for u in self._units(t)]) == tokens
+
+    def _last(self, prefix: str, final: bool, last: list[tuple[int, int]]) -> tuple[int, int]:
         """(last token, its length) of ``prefix``; last[d] is that of its first d symbols."""
-        n = len(prefix)
-        for k in range(min(n, self.longest), 0, -1):
+        n, tokens, fits = len(prefix), self.final if final else self.inner, self.fits
+        for k in range(self.reach[final].get(prefix[-3:], 2 if n > 1 else 1), 0, -1):
+            if k > n:
+                continue
             token = tokens.get(prefix[n - k :])
-            if token is not None and self.side_by_side(last[n - k][0], token):
-                return token, k
+            if token is not None:
+                left = last[n - k][0]
+                pair = ((left + 1) << 20) | token
+                known = fits.get(pair)
+                if known is None:
+                    if len(fits) >= KEPT_PAIRS:
+                        fits.clear()
+                    known = fits[pair] = self.side_by_side(left, token)
+                if known:
+                    return token, k
         raise ValueError(f"no token ends {prefix!r}")
 
-    def learn(self, words: set[str]) -> None:
-        """Encode distinct words over a trie of their symbols."""
-        root: dict = {}
-        for word in words:
-            node = root
-            for b in word.encode("utf-8"):
-                node = node.setdefault(self.symbol[b], {})
-            node[END] = word
-        # last[d]: last token of the first d symbols on the path; the stack holds branches to come.
+    def learn(self, words: set[str]) -> dict[str, bytes]:
+        """Packed ids of distinct words, by one walk over the trie of their symbols."""
+        symbol = self.symbol
+        spelled = sorted((w if w.isascii() and w.isprintable() else "".join([symbol[b] for b in w.encode("utf-8")]), w) for w in words)
+        out: dict[str, bytes] = {}
+        reach, tokens, fits = self.reach[0].get, self.inner.get, self.fits.get
+        # last[d]: last token of the first d symbols of the current path.
         last: list[tuple[int, int]] = [(-1, 0)]
-        stack = [("", root)]
-        while stack:
-            prefix, node = stack.pop()
-            depth = len(prefix)
-            if depth:
-                del last[depth:]
-                last.append(self._last(prefix, self.inner, last))
-            word = node.get(END)
-            if word is not None:
-                token, k = self._last(prefix, self.final, last)
-                found, at = [token], depth - k
-                while at:
-                    token, k = last[at]
-                    found.append(token)
-                    at -= k
-                found.reverse()
-                self.packed[word] = struct.pack(f"<{len(found)}I", *found)
-                self.shown[word] = " ".join(self.text[i] for i in found)
-            stack += [(prefix + c, child) for c, child in node.items() if c != END]
-
-    def _split(self, text: str) -> list[str]:
+        before = ""
+        for s, word in spelled:
+            same = 0
+            for a, b in zip(before, s, strict=False):
+                if a != b:
+                    break
+                same += 1
+            del last[same + 1 :]
+            for d in range(len(last), len(s)):
+                # As _last, with the longest token tried first; what is unknown goes there.
+                for k in range(reach(s[d - 3 if d > 3 else 0 : d], 2 if d > 1 else 1), 0, -1):
+                    token = tokens(s[d - k if d > k else 0 : d])
+                    if token is not None:
+                        known = fits(((last[d - k][0] + 1) << 20) | token) if d >= k else False
+                        if known:
+                            last.append((token, k))
+                            break
+                        if known is None:
+                            last.append(self._last(s[:d], False, last))
+                            break
+                else:
+                    last.append(self._last(s[:d], False, last))
+            before = s
+            token, k = self._last(s, True, last)
+            found, at = [token], len(s) - k
+            while at:
+                token, k = last[at]
+                found.append(token)
+                at -= k
+            found.reverse()
+            out[word] = struct.pack(f"<{len(found)}I", *found)
+        return out
+
+    def _chunks(self, text: str) -> list[str]:
+        """What stands between blanks; a leading blank marks one word as it is, a trailing one a special token."""
+        if "<|" in text:
+            split = self.special_pattern.split(text)
+            if len(split) > 1:
+                return [c for k, part in enumerate(split) for c in ([part + " "] if k % 2 else self._chunks(part))]
         if RARE.search(text):
             # Libraries differ in the Unicode version of scripts still growing: these texts are split by the tokenizers library.
-            return [w for w, _ in self.library_split.pre_tokenize_str(self.library_form.normalize_str(text))]
+            return [" " + w for w, _ in self.library_split.pre_tokenize_str(self.library_form.normalize_str(text))]
         # Lower-casing goes by single characters, so a final sigma isn't special.
-        return self.words.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
-
-    def encode(self, texts: list[str | None]) -> list[tuple[bytes, str]]:
-        """(ids as little-endian unsigned 32-bit integers, decoded text) of each text; null is empty."""
-        pieces: list[list[str]] = []
-        for text in texts:
-            words: list[str] = []
-            text = text or ""
-            if "<|" in text:
-                for k, part in enumerate(self.special_pattern.split(text)):
-                    words += [part] if k % 2 else self._split(part)
-            else:
-                words = self._split(text)
-            pieces.append(words)
-        if len(self.packed) > KEPT_WORDS:
-            self.packed.clear()
-            self.shown.clear()
-        if not self.packed:
-            for text, i in self.special.items():
-                self.packed[text], self.shown[text] = struct.pack("<I", i), text
-        self.learn({w for words in pieces for w in words}.difference(self.packed))
-        packed, shown = self.packed.__getitem__, self.shown.__getitem__
-        return [(b"".join(map(packed, words)), " ".join(map(shown, words))) for words in pieces]
+        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower().split()
+
+    def _learn_chunks(self, chunks: set[str]) -> dict[str, bytes]:
+        split = {c: [c[1:]] if c[0] == " " else [c] if c.isalpha() else self.words.findall(c) for c in chunks if c[-1] != " "}
+        wanted = {w for words in split.values() for w in words}
+        known = self.words_known.take(wanted)
+        known.update(self.words_known.add(self.learn(wanted.difference(known))))
+        out = {c: known[words[0]] if len(words) == 1 else b"".join([known[w] for w in words]) for c, words in split.items()}
+        return out | {c: struct.pack("<I", self.special[c[:-1]]) for c in chunks if c[-1] == " "}
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Ids, as little-endian unsigned 32-bit integers, of each text; null is empty."""
+        chunks = [self._chunks(text or "") for text in texts]
+        wanted = set().union(*chunks)
+        known = self.chunks_known.take(wanted)
+        known.update(self.chunks_known.add(self._learn_chunks(wanted.difference(known))))
+        packed = known.__getitem__
+        return [b"".join(map(packed, own)) for own in chunks]
+
+    def decode(self, ids: bytes) -> str:
+        """The tokens' strings, joined by blanks."""
+        return " ".join(map(self.text.__getitem__, memoryview(ids).cast("I")))
+
+
+class Recent:
+    """What was used of late: two generations, the older one dropped when the newer is full."""
+
+    def __init__(self, most: int):
+        self.most, self.new, self.old = most, {}, {}
+
+    def take(self, keys: set) -> dict:
+        new, old = self.new, self.old
+        found = {k: new[k] for k in keys if k in new}
+        again = {k: old[k] for k in keys if k in old and k not in new}
+        found.update(again)
+        self.add(again)
+        return found
+
+    def add(self, values: dict) -> dict:
+        if len(self.new) + len(values) > self.most:
+            self.old, self.new = self.new, {}
+        if len(values) <= self.most:
+            self.new.update(values)
+        return values
 
 
 @lru_cache(maxsize=2)
@@ -194,12 +243,11 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", decoded: bo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path)
         for whole in batches:
-            for at in range(0, whole.num_rows, ROWS_AT_ONCE):
-                batch = whole.slice(at, ROWS_AT_ONCE)
+            for batch in parts(whole, whole.num_columns - 1, ROWS_AT_ONCE, BYTES_AT_ONCE):
                 found = bpe.encode(batch.column(batch.num_columns - 1).to_pylist())
-                columns = [*batch.columns[:-1], pa.array([len(i) // 4 for i, _ in found], pa.int64()), pa.array([i for i, _ in found], pa.binary())]
+                columns = [*batch.columns[:-1], pa.array([len(i) // 4 for i in found], pa.int64()), pa.array(found, pa.binary())]
                 if decoded:
-                    columns.append(pa.array([d for _, d in found], pa.string()))
+                    columns.append(pa.array(map(bpe.decode, found), pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=[*keep, *added])
 
     return map_arrow(source, run, schema)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.shared import map_arrow
+from vellum.llm.shared import map_arrow, parts
 
 #: Kinds in the order in which they are listed; the network's tags are O and these five.
 KINDS = ("email", "ip", "card", "phone", "ssn")
@@ -431,8 +431,7 @@ def scan_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", redact
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole_batch in batches:
-            for begin in range(0, whole_batch.num_rows, 256):
-                batch = whole_batch.slice(begin, 256)
+            for batch in parts(whole_batch, at, 256, 1_000_000):
                 raw = batch.column(at).to_pylist()
                 found = scan_texts(net, [t or "" for t in raw])
                 if redact is not None:

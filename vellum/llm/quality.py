@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.shared import map_arrow
+from vellum.llm.shared import map_arrow, parts
 
 #: Bound on the labelled documents that are fitted: those with the smallest hashes of their ids.
 TRAIN_DOCUMENTS = 4000
@@ -233,8 +233,7 @@ def score_documents(docs: DataFrame, field: Field, name: str = "score", text: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for begin in range(0, whole.num_rows, 512):
-                batch = whole.slice(begin, 512)
+            for batch in parts(whole, at, 512):
                 scores = score_texts(field, batch.column(at).to_pylist())
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=names)
 

@@ -45,6 +45,21 @@ def group_pandas(df: DataFrame, keys: list[str], run, schema: str) -> DataFrame:
     return df.groupBy(*keys).applyInPandas(run, schema)
 
 
+def parts(batch, column: int, rows: int, size: int = 4_000_000):
+    """Slices of an Arrow batch, of at most ``rows`` rows and, past one row, ``size`` bytes of a text column."""
+    import pyarrow.compute as pc
+
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+    begin = total = 0
+    for i, n in enumerate(lengths):
+        if i > begin and (i - begin >= rows or total + n > size):
+            yield batch.slice(begin, i - begin)
+            begin, total = i, 0
+        total += n
+    if begin < len(lengths):
+        yield batch.slice(begin)
+
+
 def dropped(df: DataFrame) -> None:
     """Delete a table made by ``written`` that nothing reads any more."""
     path, spark = df._vellum_path, df.sparkSession
