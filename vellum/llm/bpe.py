@@ -10,6 +10,7 @@ joined symbols gives just these two; that is kept per pair.
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 import struct
@@ -186,12 +187,18 @@ class WordBpe:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids, as little-endian unsigned 32-bit integers, of each text; null is empty."""
-        chunks = [self._chunks(text or "") for text in texts]
-        wanted = set().union(*chunks)
-        known = self.chunks_known.take(wanted)
-        known.update(self.chunks_known.add(self._learn_chunks(wanted.difference(known))))
-        packed = known.__getitem__
-        return [b"".join(map(packed, own)) for own in chunks]
+        collecting = gc.isenabled()
+        gc.disable()  # nothing here makes cycles, and the memory of words is large to go through
+        try:
+            chunks = [self._chunks(text or "") for text in texts]
+            wanted = set().union(*chunks)
+            known = self.chunks_known.take(wanted)
+            known.update(self.chunks_known.add(self._learn_chunks(wanted.difference(known))))
+            packed = known.__getitem__
+            return [b"".join(map(packed, own)) for own in chunks]
+        finally:
+            if collecting:
+                gc.enable()
 
     def decode(self, ids: bytes) -> str:
         """The tokens' strings, joined by blanks."""
