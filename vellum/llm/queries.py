@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import bpe, license_scan, packing, pii_scan, quality, secret_scan, url_filter
+from vellum.llm import bpe, license_scan, near_dedup, packing, pii_scan, quality, secret_scan, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,11 +54,15 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_pii_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_scan.scan_pii(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_license_scan": op2_license_scan, "op3_best_fit_packing": op3_best_fit_packing, "op4_bpe": op4_bpe, "op5_url_filter": op5_url_filter, "op6_secret_scan": op6_secret_scan, "op7_quality": op7_quality, "op10_pii_scan": op10_pii_scan}
+QUERIES = {"op2_license_scan": op2_license_scan, "op3_best_fit_packing": op3_best_fit_packing, "op4_bpe": op4_bpe, "op5_url_filter": op5_url_filter, "op6_secret_scan": op6_secret_scan, "op7_quality": op7_quality, "op9_minhash": op9_minhash, "op10_pii_scan": op10_pii_scan}
 
 ORACLE = {
     "op5_url_filter": r"""
