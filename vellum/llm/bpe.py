@@ -25,9 +25,10 @@ from pyspark.sql import functions as F
 from vellum.llm.shared import map_arrow, parts
 
 END = "</w>"
-#: Words, chunks between blanks and token pairs that a worker remembers; twice as many words and chunks at most.
-KEPT_WORDS, KEPT_CHUNKS, KEPT_PAIRS = 400_000, 400_000, 1_000_000
-ROWS_AT_ONCE, BYTES_AT_ONCE = 4096, 12_000_000
+#: Words (or chunks between blanks) and token pairs that a worker remembers; twice as many words at most.
+KEPT_WORDS, KEPT_PAIRS = 400_000, 1_000_000
+LONG_WORD = 200
+ROWS_AT_ONCE, BYTES_AT_ONCE = 4096, 4_000_000
 #: Outside blocks whose letters, digits and case have long been settled.
 RARE = re.compile("[^\x00-\x1b\x20-\u052f\u2010-\u2060\u20a0-\u20bf\u3040-\u3096\u30a0-\u30ff\u4e00-\u9fef]")
 
@@ -63,9 +64,13 @@ class WordBpe:
         self.text = {i: t for t, i in [*self.ids.items(), *self.special.items()]}
         self.inner = {t: i for t, i in self.ids.items() if not t.endswith(self.end)}
         self.final = {t.removesuffix(self.end): i for t, i in self.ids.items() if t.endswith(self.end)}
-        self.reach = [self._reach(self.inner), self._reach(self.final)]
+        self.reach = [self._reach(self.inner).get, self._reach(self.final).get]
+        self.vocabulary = [self.inner.get, self.final.get]
         self.fits: dict[int, bool] = {}
-        self.words_known, self.chunks_known = Recent(KEPT_WORDS), Recent(KEPT_CHUNKS)
+        # Two generations of what was used of late: the older one goes when the newer is full.
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.four = {i: struct.pack("<I", i) for i in self.text}
 
     @staticmethod
     def _reach(tokens: dict[str, int]) -> dict[str, int]:
@@ -105,15 +110,21 @@ class WordBpe:
         tokens = [self.text[right]] if left < 0 else [self.text[left], self.text[right]]
         return self.merged([u for t in tokens for u in self._units(t)]) == tokens
 
-    def _last(self, prefix: str, final: bool, last: list[tuple[int, int]]) -> tuple[int, int]:
-        """(last token, its length) of ``prefix``; last[d] is that of its first d symbols."""
-        n, tokens, fits = len(prefix), self.final if final else self.inner, self.fits
-        for k in range(self.reach[final].get(prefix[-3:], 2 if n > 1 else 1), 0, -1):
+    def _state(self, s: str, d: int, last: list[tuple[int, int] | None]) -> tuple[int, int]:
+        """last[d], worked out if it is the first to ask: (last token, its length) of the first d symbols."""
+        found = last[d]
+        if found is None:
+            found = last[d] = self._last(s, d, 0, last)
+        return found
+
+    def _last(self, s: str, n: int, final: int, last: list[tuple[int, int] | None]) -> tuple[int, int]:
+        tokens, fits = self.vocabulary[final], self.fits
+        for k in range(self.reach[final](s[n - 3 if n > 3 else 0 : n], 2 if n > 1 else 1), 0, -1):
             if k > n:
                 continue
-            token = tokens.get(prefix[n - k :])
+            token = tokens(s[n - k : n])
             if token is not None:
-                left = last[n - k][0]
+                left = (last[n - k] or self._state(s, n - k, last))[0]
                 pair = ((left + 1) << 20) | token
                 known = fits.get(pair)
                 if known is None:
@@ -122,16 +133,14 @@ class WordBpe:
                     known = fits[pair] = self.side_by_side(left, token)
                 if known:
                     return token, k
-        raise ValueError(f"no token ends {prefix!r}")
+        raise ValueError(f"no token ends {s[:n]!r}")
 
     def learn(self, words: set[str]) -> dict[str, bytes]:
         """Packed ids of distinct words, by one walk over the trie of their symbols."""
-        symbol = self.symbol
+        symbol, four = self.symbol, self.four
         spelled = sorted((w if w.isascii() and w.isprintable() else "".join([symbol[b] for b in w.encode("utf-8")]), w) for w in words)
         out: dict[str, bytes] = {}
-        reach, tokens, fits = self.reach[0].get, self.inner.get, self.fits.get
-        # last[d]: last token of the first d symbols of the current path.
-        last: list[tuple[int, int]] = [(-1, 0)]
+        last: list[tuple[int, int] | None] = [(-1, 0)]
         before = ""
         for s, word in spelled:
             same = 0
@@ -140,29 +149,19 @@ class WordBpe:
                     break
                 same += 1
             del last[same + 1 :]
-            for d in range(len(last), len(s)):
-                # As _last, with the longest token tried first; what is unknown goes there.
-                for k in range(reach(s[d - 3 if d > 3 else 0 : d], 2 if d > 1 else 1), 0, -1):
-                    token = tokens(s[d - k if d > k else 0 : d])
-                    if token is not None:
-                        known = fits(((last[d - k][0] + 1) << 20) | token) if d >= k else False
-                        if known:
-                            last.append((token, k))
-                            break
-                        if known is None:
-                            last.append(self._last(s[:d], False, last))
-                            break
-                else:
-                    last.append(self._last(s[:d], False, last))
+            last += [None] * (len(s) - len(last))
             before = s
-            token, k = self._last(s, True, last)
-            found, at = [token], len(s) - k
+            if len(s) > LONG_WORD:  # states on demand go as deep as a word is long
+                for d in range(1, len(s)):
+                    self._state(s, d, last)
+            token, k = self._last(s, len(s), 1, last)
+            found, at = [four[token]], len(s) - k
             while at:
                 token, k = last[at]
-                found.append(token)
+                found.append(four[token])
                 at -= k
             found.reverse()
-            out[word] = struct.pack(f"<{len(found)}I", *found)
+            out[word] = b"".join(found)
         return out
 
     def _chunks(self, text: str) -> list[str]:
@@ -178,12 +177,29 @@ class WordBpe:
         return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower().split()
 
     def _learn_chunks(self, chunks: set[str]) -> dict[str, bytes]:
-        split = {c: [c[1:]] if c[0] == " " else [c] if c.isalpha() else self.words.findall(c) for c in chunks if c[-1] != " "}
-        wanted = {w for words in split.values() for w in words}
-        known = self.words_known.take(wanted)
-        known.update(self.words_known.add(self.learn(wanted.difference(known))))
-        out = {c: known[words[0]] if len(words) == 1 else b"".join([known[w] for w in words]) for c, words in split.items()}
-        return out | {c: struct.pack("<I", self.special[c[:-1]]) for c in chunks if c[-1] == " "}
+        split, plain = {}, set()
+        for c in chunks:
+            if c.isalpha():
+                plain.add(c)
+            elif c[-1] in ",." and c[:-1].isalpha():
+                split[c] = [c[:-1], c[-1]]
+            elif c[-1] == " ":
+                split[c] = []
+            else:
+                split[c] = [c[1:]] if c[0] == " " else self.words.findall(c)
+        known = {}
+        for words in split.values():
+            for w in words:
+                ids = self.new.get(w) or self.old.get(w)
+                if ids is None:
+                    plain.add(w)
+                else:
+                    known[w] = ids
+        out = self.learn(plain)
+        known.update(out)
+        for c, words in split.items():
+            out[c] = b"".join([known[w] for w in words]) if words else self.four[self.special[c[:-1]]]
+        return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids, as little-endian unsigned 32-bit integers, of each text; null is empty."""
@@ -192,9 +208,15 @@ class WordBpe:
         try:
             chunks = [self._chunks(text or "") for text in texts]
             wanted = set().union(*chunks)
-            known = self.chunks_known.take(wanted)
-            known.update(self.chunks_known.add(self._learn_chunks(wanted.difference(known))))
-            packed = known.__getitem__
+            missing = wanted.difference(self.new)
+            if len(self.new) + len(missing) > KEPT_WORDS:
+                self.old, self.new, missing = self.new, {}, wanted
+            rest = missing.difference(self.old)
+            old, new = self.old, self.new
+            for c in missing.difference(rest):
+                new[c] = old[c]
+            new.update(self._learn_chunks(rest))
+            packed = new.__getitem__
             return [b"".join(map(packed, own)) for own in chunks]
         finally:
             if collecting:
@@ -205,28 +227,6 @@ class WordBpe:
         return " ".join(map(self.text.__getitem__, memoryview(ids).cast("I")))
 
 
-class Recent:
-    """What was used of late: two generations, the older one dropped when the newer is full."""
-
-    def __init__(self, most: int):
-        self.most, self.new, self.old = most, {}, {}
-
-    def take(self, keys: set) -> dict:
-        new, old = self.new, self.old
-        found = {k: new[k] for k in keys if k in new}
-        again = {k: old[k] for k in keys if k in old and k not in new}
-        found.update(again)
-        self.add(again)
-        return found
-
-    def add(self, values: dict) -> dict:
-        if len(self.new) + len(values) > self.most:
-            self.old, self.new = self.new, {}
-        if len(values) <= self.most:
-            self.new.update(values)
-        return values
-
-
 @lru_cache(maxsize=2)
 def encoder(path: str) -> WordBpe:
     return WordBpe(path)
