@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import bpe, license_scan, near_dedup, packing, pii_scan, quality, secret_scan, url_filter
+from vellum.llm import bpe, license_scan, near_dedup, packing, pii_scan, quality, secret_scan, topk, url_filter, vector_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def word_bpe() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), "vec_id % 100 = 0")
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents")).drop("matches")
 
@@ -54,6 +58,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -62,9 +70,19 @@ def op10_pii_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_scan.scan_pii(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_license_scan": op2_license_scan, "op3_best_fit_packing": op3_best_fit_packing, "op4_bpe": op4_bpe, "op5_url_filter": op5_url_filter, "op6_secret_scan": op6_secret_scan, "op7_quality": op7_quality, "op9_minhash": op9_minhash, "op10_pii_scan": op10_pii_scan}
+QUERIES = {"op1_top_k": op1_top_k, "op2_license_scan": op2_license_scan, "op3_best_fit_packing": op3_best_fit_packing, "op4_bpe": op4_bpe, "op5_url_filter": op5_url_filter, "op6_secret_scan": op6_secret_scan, "op7_quality": op7_quality, "op8_vector_dedup": op8_vector_dedup, "op9_minhash": op9_minhash, "op10_pii_scan": op10_pii_scan}
 
 ORACLE = {
+    "op1_top_k": """
+WITH e AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM e q JOIN e c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10
+""",
     "op5_url_filter": r"""
 WITH u AS (
   SELECT page_id,
