@@ -26,7 +26,7 @@ from vellum.llm.shared import map_arrow, parts
 
 END = "</w>"
 #: Words (or chunks between blanks) and token pairs that a worker remembers; twice as many words at most.
-KEPT_WORDS, KEPT_PAIRS = 400_000, 1_000_000
+KEPT_WORDS, KEPT_PAIRS = 700_000, 1_000_000
 LONG_WORD = 200
 ROWS_AT_ONCE, BYTES_AT_ONCE = 4096, 4_000_000
 #: Outside blocks whose letters, digits and case have long been settled.
