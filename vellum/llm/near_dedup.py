@@ -7,9 +7,10 @@ some chunk, so every chunk is indexed once for each position left out, and equal
 all pairs under the distance.  Links are confirmed on the full sets.
 
 Equal sets form classes that are joined by their smallest document alone.  Within an index
-key documents are first compared with the key's most connected one; what that leaves in
-different components is then compared pair by pair, so no link is lost and a large group of
-near copies costs about as many comparisons as it has documents.
+key documents are first compared with the key's most connected one, so a large group of
+near copies costs about as many comparisons as it has documents.  Where that leaves a key's
+documents in different components, signatures are compared across them in blocks of bounded
+size, by a second and longer signature too; only pairs near by both are put out and confirmed.
 """
 
 from __future__ import annotations
@@ -28,13 +29,16 @@ SIMILARITY = 85  # per cent
 POSITIONS, CHUNKS = 64, 12
 #: At similarity 0.85 a pair differs in Binomial(64, 0.15) positions: more than 23 in 5 of a million.
 DISTANCE = 2 * CHUNKS - 1
+#: The longer signature: positions of 8 bits; at 0.85 a pair differs in more than LONG_DISTANCE in 1 of 100,000.
+LONG, LONG_DISTANCE = 512, 111
+BLOCK = 512
 FILTER_BITS = 1 << 26
 
 _rng = np.random.default_rng(20240229)
 BYTE = _rng.integers(0, 1 << 64, 256, dtype=np.uint64)
 STEP = _rng.integers(0, 1 << 64, WORDS, dtype=np.uint64) | np.uint64(1)
-MASK = _rng.integers(0, 1 << 64, POSITIONS, dtype=np.uint64)
-ODD = _rng.integers(0, 1 << 64, POSITIONS, dtype=np.uint64) | np.uint64(1)
+MASK = _rng.integers(0, 1 << 64, POSITIONS + LONG, dtype=np.uint64)
+ODD = _rng.integers(0, 1 << 64, POSITIONS + LONG, dtype=np.uint64) | np.uint64(1)
 PLACE = _rng.integers(0, 1 << 64, POSITIONS, dtype=np.uint64)
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BLANK = np.zeros(256, bool)
@@ -91,12 +95,21 @@ def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray
     return out
 
 
+def minima(shingles: np.ndarray, mask: np.ndarray, odd: np.ndarray) -> np.ndarray:
+    low = np.full(len(mask), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(shingles), 1024):
+        low = np.minimum(low, ((shingles[at : at + 1024] ^ mask[:, None]) * odd[:, None]).min(axis=1))
+    return mixed(low)
+
+
 def signature(shingles: np.ndarray) -> np.ndarray:
     """POSITIONS minima, 16 bits of each."""
-    low = np.full(POSITIONS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(shingles), 2048):
-        low = np.minimum(low, ((shingles[at : at + 2048] ^ MASK[:, None]) * ODD[:, None]).min(axis=1))
-    return (mixed(low) & np.uint64(0xFFFF)).astype(np.uint16)
+    return (minima(shingles, MASK[:POSITIONS], ODD[:POSITIONS]) & np.uint64(0xFFFF)).astype(np.uint16)
+
+
+def long_signature(shingles: np.ndarray) -> np.ndarray:
+    """LONG further minima, 8 bits of each."""
+    return (minima(shingles, MASK[POSITIONS:], ODD[POSITIONS:]) & np.uint64(0xFF)).astype(np.uint8)
 
 
 def index_keys(signatures: np.ndarray) -> np.ndarray:
@@ -131,9 +144,10 @@ def keyed(classes: DataFrame) -> DataFrame:
             if batch.num_rows:
                 sigs = np.stack([np.frombuffer(b, np.uint16) for b in batch.column(1).to_pylist()])
                 ids = np.repeat(batch.column(0).to_numpy(), POSITIONS)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(index_keys(sigs).ravel())], names=["id", "key"])
+                place = np.tile(np.arange(POSITIONS, dtype=np.int8), len(sigs))
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(index_keys(sigs).ravel()), pa.array(place)], names=["id", "key", "place"])
 
-    return map_arrow(classes.select("id", "sig"), run, "id long, key long")
+    return map_arrow(classes.select("id", "sig"), run, "id long, key long, place byte")
 
 
 def id_filter(ids: DataFrame) -> np.ndarray:
@@ -148,7 +162,7 @@ def id_filter(ids: DataFrame) -> np.ndarray:
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
-    """(id, shingles binary) of the documents in ``ids``; a bit field keeps other texts from moving."""
+    """(id, shingles, long) of the documents in ``ids``; a bit field keeps other texts from moving."""
     field = docs.sparkSession.sparkContext.broadcast(id_filter(ids))
     chosen = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).withColumn("bit", F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)))
 
@@ -159,9 +173,9 @@ def sets_of(docs: DataFrame, ids: DataFrame, doc_id: str, text: str, words: int)
             batch = batch.filter(pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
             for part in parts(batch, 1, 1024):
                 sets = shingle_sets(part.column(1).to_pylist(), words)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([long_signature(s).tobytes() for s in sets], pa.binary())], names=["id", "shingles", "long"])
 
-    found = map_arrow(chosen, run, "id long, shingles binary")
+    found = map_arrow(chosen, run, "id long, shingles binary, long binary")
     return found.join(ids, "id", "left_semi").dropDuplicates(["id"])
 
 
@@ -179,11 +193,76 @@ def near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return map_arrow(both, run, "a long, b long")
 
 
+def crossing(ids, component, sig, long, side, place: int) -> np.ndarray:
+    """Pairs (n, 2) of a block's rows: of different components, near by both signatures, with no earlier common key."""
+    rows, columns = (np.flatnonzero(side == k) for k in (0, 1)) if side.any() else (np.arange(len(ids)),) * 2
+    i, j = np.nonzero(component[rows][:, None] != component[columns][None, :])
+    i, j = rows[i], columns[j]
+    if not side.any():
+        i, j = i[i < j], j[i < j]
+    near = np.concatenate([(sig[i[at : at + 65536]] != sig[j[at : at + 65536]]).sum(axis=1) <= DISTANCE for at in range(0, len(i), 65536)] or [np.zeros(0, bool)])
+    i, j = i[near], j[near]
+    near = np.concatenate([(long[i[at : at + 8192]] != long[j[at : at + 8192]]).sum(axis=1) <= LONG_DISTANCE for at in range(0, len(i), 8192)] or [np.zeros(0, bool)])
+    i, j = i[near], j[near]
+    keys = index_keys(sig)
+    first = ~(keys[i, :place] == keys[j, :place]).any(axis=1) if place else np.ones(len(i), bool)
+    return np.stack([ids[i[first]], ids[j[first]]], axis=1)
+
+
+def across(left: DataFrame, classes: DataFrame, sets: DataFrame, partitions: int) -> DataFrame:
+    """(a, b): pairs that share a key and stand in different components, near by both signatures.
+
+    left: (key, place, id, c).  A key's documents are dealt to slots of about BLOCK; blocks are
+    pairs of slots, sorted together and worked through one after another, so a task holds one
+    block at a time however many documents share a key.
+    """
+    size = left.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("slots"))
+    slot = left.join(size, "key").withColumn("slot", F.pmod(F.xxhash64("id"), F.col("slots")).cast("int"))
+    partner = F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("other")
+    dealt = (
+        slot.select("key", "place", "id", "c", "slot", partner)
+        .select("key", "place", "id", "c", F.least("slot", "other").alias("low"), F.greatest("slot", "other").alias("high"), (F.col("slot") > F.col("other")).cast("int").alias("side"))
+        .join(classes.select("id", "sig"), "id").join(sets.select("id", "long"), "id")
+        .select("key", "low", "high", "place", "id", "c", "side", "sig", "long")
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def work(table: pa.Table) -> pa.RecordBatch | None:
+            ids, c, side = (table.column(k).to_numpy() for k in (4, 5, 6))
+            if len(ids) < 2 or (c == c[0]).all():
+                return None
+            sig = np.frombuffer(b"".join(table.column(7).to_pylist()), np.uint16).reshape(-1, POSITIONS)
+            long = np.frombuffer(b"".join(table.column(8).to_pylist()), np.uint8).reshape(-1, LONG)
+            found = crossing(ids, c, sig, long, side, int(table.column(3)[0].as_py()))
+            return pa.RecordBatch.from_arrays([pa.array(found.min(axis=1)), pa.array(found.max(axis=1))], names=["a", "b"]) if len(found) else None
+
+        kept: pa.Table | None = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            kept = table if kept is None else pa.concat_tables([kept, table])
+            marks = np.stack([kept.column(k).to_numpy() for k in (0, 1, 2)])
+            cuts = np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1
+            begin = 0
+            for end in cuts:
+                out = work(kept.slice(begin, end - begin))
+                begin = end
+                if out is not None:
+                    yield out
+            kept = kept.slice(begin)
+        if kept is not None:
+            out = work(kept)
+            if out is not None:
+                yield out
+
+    ordered = dealt.repartition(partitions, "key", "low", "high").sortWithinPartitions("key", "low", "high")
+    return map_arrow(ordered, run, "a long, b long")
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     """(src, dst) of the pairs whose full sets are similar enough."""
     both = (
-        pairs.join(sets.withColumnsRenamed({"id": "a", "shingles": "x"}), "a")
-        .join(sets.withColumnsRenamed({"id": "b", "shingles": "y"}), "b")
+        pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
+        .join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
         .select("a", "b", "x", "y")
     )
 
@@ -202,18 +281,20 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, words: int = WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
-    Documents link if 100 * |intersection| >= similarity * |union| of their shingle sets, held
+    similarity is 85 at least: the distances are made for it.  Documents link if 100 * |intersection| >= similarity * |union| of their shingle sets, held
     as 64-bit hashes; component_id is the smallest doc_id reachable, kept marks that document.
     Null and empty texts have no shingles and link with nothing.  Rows that share an id and a
     text are one document: all are kept or none.  A null id takes no part: its component_id
     is null and kept is false.  Other columns aren't used.
     """
+    if similarity < SIMILARITY:
+        raise ValueError(f"similarity is {SIMILARITY} at least")
     drawn = written(sketch(docs, doc_id, text, words), "sketch")
     full = drawn.where("n_shingles > 0 and id is not null")
     classes = written(full.groupBy("set_a", "set_b").agg(F.min("id").alias("id"), F.first("sig").alias("sig")), "classes")
     rows = keyed(classes)
     sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = written(rows.join(sizes, "key").select("id", "key", "n"), "keys")
+    shared = written(rows.join(sizes, "key").select("id", "key", "place", "n"), "keys")
     degree = shared.groupBy("id").agg(F.sum("n").alias("degree"))
     hubs = shared.join(degree, "id").groupBy("key").agg(F.max_by("id", F.struct("degree", -F.col("id"))).alias("hub"))
     star = shared.join(hubs, "key").where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
@@ -222,16 +303,11 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, words: int =
     links = written(confirmed(first, sets, similarity), "links")
     label = components(links)
     # Keys whose documents are still in several components: their pairs across components, all of them.
-    told = shared.join(label, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+    told = shared.join(label, "id", "left").select("key", "place", "id", F.coalesce("component", "id").alias("c"))
     mixed_keys = told.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
     left = written(told.join(mixed_keys, "key", "left_semi"), "left")
-    across = (
-        left.withColumnsRenamed({"id": "a", "c": "ca"}).join(left.withColumnsRenamed({"id": "b", "c": "cb"}), "key")
-        .where("ca < cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        .join(first, ["a", "b"], "left_anti")
-    )
-    second = written(near(across, classes), "pairs")
-    more = written(confirmed(second, sets, similarity), "links")
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    more = written(confirmed(across(left, classes, sets, partitions), sets, similarity), "links")
     for table in (left, sets):
         dropped(table)
     label = components(links.union(more))
