@@ -102,7 +102,7 @@ def randomness_bin(tok: Column, kind: Column) -> Column:
     """Grid cell of -log10 of the joint p-value under "drawn at random from its alphabet"."""
     alphabet = F.when(kind == "hex", ALPHABETS["hex"]).when(kind == "base32", ALPHABETS["base32"]).otherwise(ALPHABETS["base64"])
     plain = F.when(kind == "hex", F.lower(tok)).when(kind == "base32", tok).otherwise(F.translate(tok, "-_", "+/"))
-    codes = F.transform(F.split(plain, "(?!^)"), lambda c: F.instr(alphabet, c) - 1)
+    codes = F.transform(F.split(plain, r"(?!^)(?!\z)"), lambda c: F.instr(alphabet, c) - 1)
 
     def tested(z: Column) -> Column:
         n, k, c = F.size(z["codes"]).cast("double"), z["k"], z["codes"]
