@@ -24,7 +24,7 @@ def digits_of(c: Column) -> Column:
 
 def luhn(digits: Column) -> Column:
     """Whether a string of digits passes the Luhn check."""
-    backward = F.split(F.reverse(digits), "(?!^)")
+    backward = F.split(F.reverse(digits), r"(?!^)(?!\z)")
     doubled = F.transform(backward, lambda d, i: F.when(i % 2 == 1, d.cast("int") * 2).otherwise(d.cast("int")))
     return F.aggregate(doubled, F.lit(0), lambda a, d: a + F.when(d > 9, d - 9).otherwise(d)) % 10 == 0
 
@@ -67,17 +67,24 @@ def redact_structured(text: Column, config: PIIConfig = PIIConfig()) -> Column:
     return state
 
 
+def occurrences(text: Column, word: Column, size) -> Column:
+    return ((F.length(text) - F.length(F.replace(text, word, F.lit("")))) / size).cast("int")
+
+
+def bound(state: Column, step) -> Column:
+    """``step`` over a struct that is worked out once."""
+    return F.transform(F.array(state), lambda s: step(s))[0]
+
+
 def replace_words(text: Column, words: list[str], placeholder: str) -> Column:
     """struct<text, n>: literal words, longest first, one after another, so later ones see earlier placeholders."""
+
+    def step(word: str):
+        return lambda s: F.struct(F.replace(s["text"], F.lit(word), F.lit(placeholder)).alias("text"), (s["n"] + occurrences(s["text"], F.lit(word), len(word))).alias("n"))
+
     state = F.struct(text.alias("text"), F.lit(0).alias("n"))
     for word in sorted((w for w in words if w), key=len, reverse=True):
-        state = F.transform(
-            F.array(state),
-            lambda s, word=word: F.struct(
-                F.replace(s["text"], F.lit(word), F.lit(placeholder)).alias("text"),
-                (s["n"] + ((F.length(s["text"]) - F.length(F.replace(s["text"], F.lit(word), F.lit("")))) / len(word)).cast("int")).alias("n"),
-            ),
-        )[0]
+        state = bound(state, step(word))
     return state
 
 
@@ -86,36 +93,46 @@ def replace_listed(text: Column, names: Column, placeholder: Column | str) -> Co
     mark = F.lit(placeholder) if isinstance(placeholder, str) else placeholder
     order = F.array_sort(F.filter(names, lambda w: w != ""), lambda a, b: F.length(b) - F.length(a))
     start = F.struct(text.alias("text"), F.lit(0).alias("n"))
-    return F.aggregate(
-        order, start,
-        lambda s, w: F.struct(F.replace(s["text"], w, mark).alias("text"), (s["n"] + ((F.length(s["text"]) - F.length(F.replace(s["text"], w, F.lit("")))) / F.length(w)).cast("int")).alias("n")),
-    )
+    return F.aggregate(order, start, lambda s, w: F.struct(F.replace(s["text"], w, mark).alias("text"), (s["n"] + occurrences(s["text"], w, F.length(w))).alias("n")))
 
 
 def redact_entities(text: Column, persons: Column, orgs: Column, config: PIIConfig = PIIConfig()) -> Column:
     """struct<text, records>: detected persons, then organisations, by their lists."""
+
+    def step(kind: str, names: Column, mark: str):
+        def replaced_names(s: Column) -> Column:
+            return F.struct(replace_listed(s["text"], names, mark).alias("r"), s["records"].alias("records"))
+
+        def recorded(s: Column) -> Column:
+            record = F.struct(F.lit(kind).alias("kind"), F.lit("llm").alias("method"), F.lit(mark).alias("placeholder"), s["r"]["n"].alias("count"))
+            return F.struct(s["r"]["text"].alias("text"), F.when(s["r"]["n"] > 0, F.concat(s["records"], F.array(record))).otherwise(s["records"]).alias("records"))
+
+        return lambda state: bound(bound(state, replaced_names), recorded)
+
     state = F.struct(text.alias("text"), F.expr(f"cast(array() as array<{RECORD}>)").alias("records"))
     for on, kind, names, mark in ((config.person_name, "person_name", persons, config.person_placeholder), (config.org_name, "org_name", orgs, config.org_placeholder)):
         if on:
-            done = F.transform(F.array(state), lambda s, names=names, mark=mark: F.struct(replace_listed(s["text"], names, mark).alias("r"), s["records"].alias("records")))
-            record = lambda n, kind=kind, mark=mark: F.struct(F.lit(kind).alias("kind"), F.lit("llm").alias("method"), F.lit(mark).alias("placeholder"), n.alias("count"))
-            state = F.transform(done, lambda s, record=record: F.struct(s["r"]["text"].alias("text"), F.when(s["r"]["n"] > 0, F.concat(s["records"], F.array(record(s["r"]["n"])))).otherwise(s["records"]).alias("records")))[0]
+            state = step(kind, names, mark)(state)
     return state
 
 
 def redact_custom(text: Column, words: tuple[tuple[str, str], ...], default: str = PIIConfig.custom_placeholder) -> Column:
     """struct<text, counts map>: custom (word, code) pairs, longest first across codes; counts by placeholder."""
     order = sorted(((w, c or default) for w, c in words if w), key=lambda p: len(p[0]), reverse=True)
-    state = F.struct(text.alias("text"), F.expr("cast(map() as map<string,int>)").alias("counts"))
-    for word, code in order:
 
-        def step(s, word=word, code=code):
-            n = ((F.length(s["text"]) - F.length(F.replace(s["text"], F.lit(word), F.lit("")))) / len(word)).cast("int")
+    def step(word: str, code: str):
+        def run(s: Column) -> Column:
+            n = occurrences(s["text"], F.lit(word), len(word))
             total = F.coalesce(F.try_element_at(s["counts"], F.lit(code)), F.lit(0)) + n
             rest = F.map_filter(s["counts"], lambda k, v: k != code)
-            return F.struct(F.replace(s["text"], F.lit(word), F.lit(code)).alias("text"), F.when(n > 0, F.map_concat(rest, F.create_map(F.lit(code), total))).otherwise(s["counts"]).alias("counts"))
+            counts = F.when(n > 0, F.map_concat(rest, F.create_map(F.lit(code), total))).otherwise(s["counts"])
+            return F.struct(F.replace(s["text"], F.lit(word), F.lit(code)).alias("text"), counts.alias("counts"))
+
+        return run
 
-        state = F.transform(F.array(state), step)[0]
+    state = F.struct(text.alias("text"), F.expr("cast(map() as map<string,int>)").alias("counts"))
+    for word, code in order:
+        state = bound(state, step(word, code))
     return state
 
 

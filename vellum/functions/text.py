@@ -6,6 +6,7 @@ see them; null stays null.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -142,8 +143,6 @@ def error_summary(kind: Column, message: Column) -> Column:
 
 def percent(current: Column, total: Column) -> Column:
     """current / total in per cent with one digit, rounded as binary floats are; 0 where total is 0."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def rounded(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([None if x != x or y != y else round(x / y * 100, 1) if y else 0.0 for x, y in zip(a, b, strict=True)], dtype="float64")

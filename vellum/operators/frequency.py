@@ -52,5 +52,5 @@ def strip_repeated_lines(pages: DataFrame, config: DedupConfig = DedupConfig(),
     joined = pages.join(noise, "group_id", "left").withColumn("__noise", F.coalesce("__noise", F.expr("cast(array() as array<string>)")))
     flags = F.when(F.size("__noise") == 0, F.lit("")).otherwise(in_long_runs(noise_flags(own, F.col("__noise")), config.repeated_line_min_block))
     marked = joined.withColumn("__flags", flags).withColumn("removed", F.length("__flags") - F.length(F.replace("__flags", F.lit("x"), F.lit(""))))
-    kept = F.filter(F.zip_with(own, F.split("__flags", "(?!^)"), lambda x, f: F.when(f != "x", x)), lambda x: x.isNotNull())
+    kept = F.filter(F.zip_with(own, F.split("__flags", r"(?!^)(?!\z)"), lambda x, f: F.when(f != "x", x)), lambda x: x.isNotNull())
     return marked.withColumn(text, F.when(F.col("removed") > 0, F.array_join(kept, "\n")).otherwise(F.col(text))).drop("__noise", "__flags")
