@@ -15,9 +15,12 @@ import json
 import re
 import struct
 import unicodedata
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import count
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,9 +29,9 @@ from vellum.llm.shared import map_arrow, parts
 
 END = "</w>"
 #: Words (or chunks between blanks) and token pairs that a worker remembers; twice as many words at most.
-KEPT_WORDS, KEPT_PAIRS = 700_000, 1_000_000
+KEPT_WORDS, KEPT_PAIRS = 500_000, 600_000
 LONG_WORD = 200
-ROWS_AT_ONCE, BYTES_AT_ONCE = 4096, 4_000_000
+ROWS_AT_ONCE, BYTES_AT_ONCE = 8192, 8_000_000
 #: Outside blocks whose letters, digits and case have long been settled.
 RARE = re.compile("[^\x00-\x1b\x20-\u052f\u2010-\u2060\u20a0-\u20bf\u3040-\u3096\u30a0-\u30ff\u4e00-\u9fef]")
 
@@ -138,11 +141,11 @@ class WordBpe:
     def learn(self, words: set[str]) -> dict[str, bytes]:
         """Packed ids of distinct words, by one walk over the trie of their symbols."""
         symbol, four = self.symbol, self.four
-        spelled = sorted((w if w.isascii() and w.isprintable() else "".join([symbol[b] for b in w.encode("utf-8")]), w) for w in words)
         out: dict[str, bytes] = {}
         last: list[tuple[int, int] | None] = [(-1, 0)]
         before = ""
-        for s, word in spelled:
+        for word in sorted(words):
+            s = word if word.isascii() and word.isprintable() else "".join([symbol[b] for b in word.encode("utf-8")])
             same = 0
             for a, b in zip(before, s, strict=False):
                 if a != b:
@@ -206,18 +209,22 @@ class WordBpe:
         collecting = gc.isenabled()
         gc.disable()  # nothing here makes cycles, and the memory of words is large to go through
         try:
-            chunks = [self._chunks(text or "") for text in texts]
-            wanted = set().union(*chunks)
-            missing = wanted.difference(self.new)
+            # Distinct chunks are numbered as they come; what follows goes by numbers.
+            number: defaultdict[str, int] = defaultdict(count().__next__)
+            codes = [np.fromiter(map(number.__getitem__, self._chunks(text or "")), np.int64) for text in texts]
+            missing = set(number).difference(self.new)
             if len(self.new) + len(missing) > KEPT_WORDS:
-                self.old, self.new, missing = self.new, {}, wanted
+                self.old, self.new, missing = self.new, {}, set(number)
             rest = missing.difference(self.old)
             old, new = self.old, self.new
             for c in missing.difference(rest):
                 new[c] = old[c]
             new.update(self._learn_chunks(rest))
-            packed = new.__getitem__
-            return [b"".join(map(packed, own)) for own in chunks]
+            own = [new[c] for c in number]
+            tokens = np.frombuffer(b"".join(own), "<u4")
+            size = np.array([len(x) // 4 for x in own], np.int64)
+            start = np.cumsum(size) - size
+            return [_laid_out(tokens, start[code], size[code]) for code in codes]
         finally:
             if collecting:
                 gc.enable()
@@ -227,6 +234,13 @@ class WordBpe:
         return " ".join(map(self.text.__getitem__, memoryview(ids).cast("I")))
 
 
+def _laid_out(tokens: np.ndarray, start: np.ndarray, size: np.ndarray) -> bytes:
+    """The stretches start : start + size of ``tokens``, one after another."""
+    end = np.cumsum(size)
+    total = int(end[-1]) if len(end) else 0
+    return tokens[np.repeat(start - end + size, size) + np.arange(total)].tobytes()
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> WordBpe:
     return WordBpe(path)

@@ -124,7 +124,7 @@ def sketch(docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in parts(whole, 1, 1024):
+            for batch in parts(whole, 1, 1024, 1_000_000):
                 sets = shingle_sets(batch.column(1).to_pylist(), words)
                 sums = [(mixed(s).sum(dtype=np.uint64), mixed(s ^ BASE).sum(dtype=np.uint64)) for s in sets]
                 digest = np.array(sums, np.uint64).reshape(-1, 2).view(np.int64)
@@ -171,7 +171,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, doc_id: str, text: str, words: int)
         for batch in batches:
             at = batch.column(2).to_numpy()
             batch = batch.filter(pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
-            for part in parts(batch, 1, 1024):
+            for part in parts(batch, 1, 1024, 1_000_000):
                 sets = shingle_sets(part.column(1).to_pylist(), words)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([long_signature(s).tobytes() for s in sets], pa.binary())], names=["id", "shingles", "long"])
 
