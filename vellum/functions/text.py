@@ -54,14 +54,13 @@ def normalize_whitespace(c: Column) -> Column:
 
 
 def drop_exact_repeats(c: Column) -> Column:
-    """Paragraphs equal, but for outer blanks, to the last one kept are dropped; blank ones stay."""
+    """Paragraphs equal, but for outer blanks, to the last one kept are dropped; blank ones stay.
+
+    The last one kept equals the one before, kept or dropped, so neighbours decide.
+    """
     parts = F.split(c, r"\n\s*\n", -1)
-    same = lambda kept, p: (strip(p) != "") & (strip(F.element_at(kept, -1)) == strip(p))
-    walked = F.aggregate(
-        F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), F.slice(parts, 1, 1),
-        lambda kept, p: F.when(same(kept, p), kept).otherwise(F.concat(kept, F.array(p))),
-    )
-    return F.when(F.size(parts) <= 1, c).otherwise(F.array_join(walked, "\n\n"))
+    kept = F.filter(parts, lambda p, i: (i == 0) | (strip(p) == "") | (strip(p) != strip(F.get(parts, i - 1))))
+    return F.when(F.size(parts) <= 1, c).otherwise(F.array_join(kept, "\n\n"))
 
 
 def sanitize_dirname(c: Column) -> Column:
@@ -88,7 +87,10 @@ def secure_relpath(c: Column) -> Column:
 
 def escape_unknown_tags(c: Column) -> Column:
     """``<x>`` of no known tag becomes ``&lt;x&gt;``."""
-    return F.regexp_replace(c, rf"(?i)<(?!/?\s*(?:{TAGS})\b)([^>]*)>", "&lt;$1&gt;")
+    gaps, tags = F.split(c, "<[^>]*>", -1), F.regexp_extract_all(c, F.lit("<[^>]*>"), F.lit(0))
+    known = lambda t: t.rlike(rf"(?i)^</?\s*(?:{TAGS})\b")
+    shown = lambda t: F.when(t.isNull(), "").when(known(t), t).otherwise(F.concat(F.lit("&lt;"), F.substring(t, F.lit(2), F.length(t) - 2), F.lit("&gt;")))
+    return F.array_join(F.zip_with(gaps, tags, lambda g, t: F.concat(g, shown(t))), "")
 
 
 def quoted(c: Column) -> Column:

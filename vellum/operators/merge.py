@@ -46,6 +46,23 @@ def adjacent_overlap(pages: DataFrame, search_ratio: float = DedupConfig.search_
     return best.select("group_id", "page_seq", "m.tail_start", "m.head_start", (-F.col("m.less")).alias("size"), "m.non_blank").withColumn("accepted", F.col("non_blank") >= 2)
 
 
+def merge_adjacent(pages: DataFrame, search_ratio: float = DedupConfig.search_ratio, text: str = "text") -> DataFrame:
+    """(group_id, page_seq, text, overlap_lines, similarity) of each page merged with the next one, for texts without markers.
+
+    Relational form of ``merge_pair``: up to the block's end in the first page, then what follows it in the second.
+    """
+    pair = Window.partitionBy("group_id").orderBy("page_seq")
+    pairs = pages.select("group_id", "page_seq", F.col(text).alias("a"), F.lead(text).over(pair).alias("b")).where("b is not null")
+    told = pairs.join(adjacent_overlap(pages, search_ratio, text), ["group_id", "page_seq"], "left")
+    na, nb = F.size(lines(F.col("a"))), F.size(lines(F.col("b")))
+    tail = F.greatest(F.lit(1), F.floor(na * F.lit(search_ratio)).cast("int"))
+    taken = F.slice(lines(F.col("a")), F.lit(1), (na - tail + F.col("tail_start") + F.col("size")).cast("int"))
+    rest = F.slice(lines(F.col("b")), (F.col("head_start") + F.col("size") + 1).cast("int"), nb)
+    whole = F.when((na == 0) | (nb == 0), F.concat("a", F.lit("\n"), "b")).when(F.coalesce("accepted", F.lit(False)), F.array_join(F.concat(taken, rest), "\n")).otherwise(F.concat("a", F.lit("\n\n"), "b"))
+    size = F.when(F.coalesce("accepted", F.lit(False)), F.col("size")).otherwise(0)
+    return told.select("group_id", "page_seq", whole.alias("text"), size.cast("long").alias("overlap_lines"), F.when(size > 0, 1.0).otherwise(0.0).alias("similarity"))
+
+
 def separated(text: str) -> tuple[list[tuple[int, str]], list[str]]:
     """Markers with their content position, and the content lines."""
     markers, content = [], []

@@ -96,7 +96,10 @@ def cln_1_repetitions(spark, sf):
     return table(spark, sf, "documents").select("doc_id", merge.remove_repetitions(F.replace("text", F.lit("\n"), F.lit("\n\n"))).alias("cleaned"))
 
 
-@query()
+@query(r"""WITH p AS (SELECT doc_id, string_split_regex(replace(text, chr(10), chr(10) || chr(10)), '\n\s*\n') AS parts FROM documents),
+u AS (SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS i FROM p), t AS (SELECT *, regexp_replace(part, '^\s+|\s+$', '', 'g') AS s FROM u),
+k AS (SELECT *, lag(s) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM t)
+SELECT doc_id, string_agg(part, chr(10) || chr(10) ORDER BY i) AS cleaned FROM k WHERE i = 1 OR s = '' OR s <> before GROUP BY doc_id""")
 def cln_1_exact_repeats(spark, sf):
     return table(spark, sf, "documents").select("doc_id", tx.drop_exact_repeats(F.replace("text", F.lit("\n"), F.lit("\n\n"))).alias("cleaned"))
 
@@ -184,6 +187,19 @@ def mrg_2_adjacent_overlap(spark, sf):
     return merge.adjacent_overlap(pages_of(spark, sf))
 
 
+ADJACENT = ORACLE["mrg_2_adjacent_overlap"].rpartition("SELECT group_id")[0]
+
+
+@query(ADJACENT + """, o AS (SELECT * FROM w WHERE turn = 1 AND non_blank >= 2),
+q AS (SELECT group_id, page_seq, text AS a, lead(text) OVER (PARTITION BY group_id ORDER BY page_seq) AS b FROM p),
+s2 AS (SELECT q.*, string_split(CASE WHEN a LIKE '%' || chr(10) THEN a[:-2] ELSE a END, chr(10)) AS la, string_split(CASE WHEN b LIKE '%' || chr(10) THEN b[:-2] ELSE b END, chr(10)) AS lb FROM q WHERE b IS NOT NULL)
+SELECT group_id, page_seq, CASE WHEN o.size IS NULL THEN a || chr(10) || chr(10) || b ELSE array_to_string(list_concat(la[:(len(la) - greatest(1, floor(len(la) * 0.7)) + o.i + o.size)::BIGINT], lb[(o.j + o.size + 1)::BIGINT:]), chr(10)) END AS text,
+  coalesce(o.size, 0) AS overlap_lines, CASE WHEN o.size IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE AS similarity FROM s2 LEFT JOIN o USING (group_id, page_seq)""")
+def mrg_5_merge_adjacent(spark, sf):
+    """Rules for accepting a block, for joining pages without one, and for what is kept around one."""
+    return merge.merge_adjacent(pages_of(spark, sf))
+
+
 OVERLAPS = [(1, "a\nb\nc\nd", "c\nd\ne"), (2, "a\nb", "x\ny"), (3, "", "x"), (4, "a\nb\nc", "c\nz"), (5, "a\nb\nc\nt", "b\nc\nd\nu"), (6, "p\nq\nr\ns", "n\nq\nr\ns\nv")]
 EXPECTED = [(1, "a\nb\nc\nd\ne", 2, 1.0), (2, "a\nb\n\nx\ny", 0, 0.0), (3, "\nx", 0, 0.0), (4, "a\nb\nc\n\nc\nz", 0, 0.0), (5, "a\nb\nc\nd\nu", 2, 1.0), (6, "p\nq\nr\ns\n\nn\nq\nr\ns\nv", 0, 0.0)]
 
@@ -228,6 +244,11 @@ def seg_0_short_documents(spark, sf):
     return segment.segment(short)
 
 
+@query()
+def seg_2_blank_line_cuts(spark, sf):
+    return segment.segment(table(spark, sf, "documents").select("doc_id", F.replace("text", F.lit(". "), F.lit(".\n\n")).alias("markdown")), max_chars=600)
+
+
 @query()
 def seg_4_segments(spark, sf):
     return segment.segment(headed(spark, sf), max_chars=1200)
@@ -548,11 +569,11 @@ def llm_7_first_heading(spark, sf):
     return table(spark, sf, "documents").select("doc_id", protocol.first_heading(own).alias("heading"))
 
 
-@query()
+@query(f"SELECT item_id AS request_id, 'ok ' || {FINAL} AS reply, length({FINAL}) > 400 AS truncated, FALSE AS failed FROM benchmark")
 def llm_8_completed(spark, sf):
-    """A stand-in for the model answers with the user's message in capitals."""
+    """A stand-in for the model answers with the user's message; as many tasks call it as requests may be in flight."""
     requests = table(spark, sf, "benchmark").select(F.col("item_id").alias("request_id"), protocol.final_prompt(F.col("text")).alias("messages"))
-    return protocol.complete(requests, lambda m: (m[-1]["content"].upper(), "length" if len(m[-1]["content"]) > 400 else "stop"))
+    return protocol.complete(requests, lambda m: ("ok " + m[-1]["content"], "length" if len(m[-1]["content"]) > 400 else "stop"))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '' ELSE trim(text, ' ' || chr(10)) END AS fill FROM documents")
@@ -610,7 +631,7 @@ def some_boundaries(spark, sf):
     return rows.select(F.col("conv_id").alias("doc_id"), F.concat(F.lit("t"), F.col("turn").cast("string")).alias("after_page"), F.concat(F.lit("after "), F.col("turn").cast("string")).alias("new_title"), F.col("turn").alias("seq"))
 
 
-@query()
+@query("""SELECT conv_id AS doc_id, string_agg('<!-- page: t' || turn || ' -->' || CASE WHEN turn % 2 = 1 THEN chr(10) || '<!-- DOC_BOUNDARY: {"after_page": "t' || turn || '", "new_title": "after ' || turn || '"} -->' ELSE '' END || chr(10) || text, chr(10) ORDER BY turn) AS markdown FROM conversations GROUP BY conv_id""")
 def asm_4_inserted_boundaries(spark, sf):
     return assembly.with_boundaries(conversations_marked(spark, sf), some_boundaries(spark, sf))
 
@@ -714,7 +735,9 @@ def str_3_relpath(spark, sf):
     return table(spark, sf, "part").select("p_partkey", tx.secure_relpath(raw).alias("path"))
 
 
-@query()
+@query(rf"""WITH p AS (SELECT page_id, string_split_regex(html, '<[^>]*>') AS gaps, list_append(regexp_extract_all(html, '<[^>]*>'), '') AS tags FROM pages),
+u AS (SELECT page_id, unnest(gaps) AS g, unnest(tags) AS t, generate_subscripts(gaps, 1) AS i FROM p)
+SELECT page_id, string_agg(g || CASE WHEN t = '' OR regexp_matches(t, '(?i)^</?\s*(?:{tx.TAGS})\b') THEN t ELSE '&lt;' || t[2:-2] || '&gt;' END, '' ORDER BY i) AS html FROM u GROUP BY page_id""")
 def str_4_escaped_tags(spark, sf):
     return table(spark, sf, "pages").select("page_id", tx.escape_unknown_tags(F.col("html")).alias("html"))
 
@@ -903,12 +926,52 @@ def src_6_browse(spark, sf):
     return files.browse(made_files(spark, sf), "/r")
 
 
+@query("SELECT p_brand AS session_id, '/x' || p_partkey || '/f' || p_size || '.jpg' AS path, 'f' || p_size || CASE WHEN k = 0 THEN '' ELSE '_' || k END || '.jpg' AS name FROM (SELECT *, row_number() OVER (PARTITION BY p_brand, p_size ORDER BY p_partkey) - 1 AS k FROM part)")
+def src_7_staged_names(spark, sf):
+    return files.stage_names(table(spark, sf, "part").select(F.col("p_brand").alias("session_id"), F.col("p_partkey").alias("position"), F.format_string("/x%d/f%d.jpg", "p_partkey", "p_size").alias("path")))
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one that the session names."""
+    import uuid
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/vellum-checkpoints"
+    return f"{root.rstrip('/')}/vellum/{name}-{uuid.uuid4().hex}"
+
+
+@query(f"WITH {TASKS} SELECT * FROM t")
+def src_9_task_store(spark, sf):
+    root = scratch(spark, "store")
+    files.save_table(tasks_of(spark, sf), root, "tasks")
+    return files.load_table(spark, root, "tasks")
+
+
+@query("SELECT event_type AS name, event_id AS seq, round(value, 2) AS duration_s FROM events")
+def out_4_profile_events(spark, sf):
+    root = scratch(spark, "profile")
+    files.write_events(table(spark, sf, "events").select(F.col("event_type").alias("name"), F.col("event_id").alias("seq"), F.round("value", 2).alias("duration_s")), root)
+    return spark.read.schema("name string, seq long, duration_s double").json(root)
+
+
+@query("SELECT doc_id, text FROM documents")
+def out_2_debug_artifacts(spark, sf):
+    root = scratch(spark, "debug")
+    files.write_debug(table(spark, sf, "documents").select("doc_id", "text"), root, "merged_raw", debug=True)
+    return spark.read.parquet(f"{root}/merged_raw")
+
+
+@query("SELECT event_type, round(sum(round(value, 2)), 4) AS total FROM events GROUP BY event_type")
+def rel_15_prefix_column(spark, sf):
+    events = table(spark, sf, "events")
+    return events.groupBy("event_type").agg(F.round(F.sum(F.round(tasks.find_prefix(events.columns, "val"), 2)), 4).alias("total"))
+
+
 @query("SELECT o_custkey AS session_id, count(*) AS n_files, sum(o_orderkey)::BIGINT AS n_bytes FROM orders GROUP BY ALL")
 def src_8_uploads(spark, sf):
     return tasks.uploads(table(spark, sf, "orders").select(F.col("o_custkey").alias("session_id"), F.col("o_orderkey").alias("size")))
 
 
-@query()
+@query(f"WITH {FILES} SELECT path, 'text of ' || length(path) AS raw_text FROM f")
 def src_10_recognised(spark, sf):
     """A stand-in for an engine gives each path's length; it is out of memory for more than two at a time."""
 
@@ -963,7 +1026,9 @@ def stm_1_latest_progress(spark, sf):
     return progress.latest_progress(table(spark, sf, "events").select(F.col("user_id").alias("task_id"), "event_id", "event_type"), order="event_id").select("task_id", "latest.*")
 
 
-@query()
+@query("""WITH e AS (SELECT user_id::VARCHAR AS task_id, list(['start', 'complete', 'fail', 'retry', 'cancel'][event_id % 5 + 1] ORDER BY event_id) AS es FROM events GROUP BY user_id)
+SELECT task_id, list_reduce(list_prepend('pending', es), lambda s, e: CASE WHEN s = 'pending' AND e = 'start' THEN 'processing' WHEN s = 'processing' AND e = 'complete' THEN 'completed' WHEN s = 'processing' AND e = 'fail' THEN 'failed'
+  WHEN s IN ('pending', 'processing') AND e = 'cancel' THEN 'failed' WHEN s = 'failed' AND e = 'retry' THEN 'pending' ELSE s END) AS status FROM e""")
 def stm_3_task_states(spark, sf):
     kinds = F.array(*map(F.lit, ("start", "complete", "fail", "retry", "cancel")))
     events = table(spark, sf, "events").select(F.col("user_id").cast("string").alias("task_id"), F.col("event_id").alias("seq"), F.element_at(kinds, (F.col("event_id") % 5 + 1).cast("int")).alias("event"))

@@ -87,6 +87,17 @@ def staged_names(paths: list[str]) -> list[tuple[str, str]]:
     return out
 
 
+def stage_names(files: DataFrame) -> DataFrame:
+    """(session_id, path, name) of (session_id, position, path): ``staged_names`` within each session, of MAX_STAGED files at most."""
+
+    def named(frame: pd.DataFrame) -> pd.DataFrame:
+        rows = staged_names(list(frame.sort_values("position", kind="stable")["path"]))
+        return pd.DataFrame([(frame["session_id"].iloc[0], *r) for r in rows], columns=["session_id", "path", "name"])
+
+    ship(files.sparkSession)
+    return files.select(F.col("session_id").cast("string").alias("session_id"), "position", "path").groupBy("session_id").applyInPandas(named, "session_id string, path string, name string")
+
+
 def page_text(pages: DataFrame, artifacts: DataFrame) -> DataFrame:
     """Pages (page_id, ocr_dir, raw_text) with ``text``: the artifact's text, or else raw_text; neither is an error."""
     found = artifacts.select(F.col("dir").alias("ocr_dir"), F.col("value").alias("__file"))
