@@ -45,7 +45,7 @@ def test_exact_repeats(spark):
 
 @pytest.mark.parametrize(
     ("title", "name"),
-    [("  a/b:c ", "a_b_c"), ("", ""), ("...", "."[:0]), ("a..b", "ab"), ("x" * 65, "x" * 64), ("a\x01b", "a_b"), ("__a__", "a"), ("😀报告", "😀报告")],
+    [("  a/b:c ", "a_b_c"), ("", ""), ("...", ""), ("a..b", "ab"), ("x" * 65, "x" * 64), ("a\x01b", "a_b"), ("__a__", "a"), ("😀报告", "😀报告")],
 )
 def test_sanitize_dirname(spark, title, name):
     assert apply(spark, tx.sanitize_dirname, [title]) == [name]
@@ -62,15 +62,15 @@ def test_tags(spark):
 
 def test_percent(spark):
     rows = spark.createDataFrame([(6665, 10000), (1225, 10000), (1, 0), (None, 2)], "a long, b long").select(tx.percent(F.col("a"), F.col("b")))
-    assert [r[0] for r in rows.collect()] == [round(66.65, 1), round(12.25, 1), 0.0, None]
+    assert [r[0] for r in rows.collect()] == [round(6665 / 10000 * 100, 1), 12.2, 0.0, None]
 
 
 def test_overlap_rules():
     assert merge_pair("a\nb\nc\nd", "c\nd\ne")[1] == 2
     assert merge_pair("a\nb\nc", "c\nz")[1] == 0  # one line isn't enough
-    assert merge_pair("a\nb\nc\ntail", "b\nc\nd")[0] == "a\nb\nc\nd"  # what follows the block goes
+    assert merge_pair("a\nb\nc\ntail", "b\nc\nd", 1.0)[0] == "a\nb\nc\nd"  # what follows the block goes
     text, n, _ = merge_pair("<!-- page: 1 -->\na\nb\nc", "<!-- page: 2 -->\nb\nc\nd")
-    assert n == 2 and text.splitlines() == ["<!-- page: 1 -->", "a", "b", "c", "<!-- page: 2 -->", "d"][:4] + ["<!-- page: 2 -->", "d"] or "<!-- page: 2 -->" in text
+    assert n == 2 and text.splitlines() == ["<!-- page: 1 -->", "a", "<!-- page: 2 -->", "b", "c", "d"]
 
 
 def test_merge_in_order(spark):

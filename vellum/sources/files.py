@@ -108,7 +108,7 @@ def page_text(pages: DataFrame, artifacts: DataFrame) -> DataFrame:
 
 def read_artifacts(spark: SparkSession, root: str) -> DataFrame:
     """(dir, value) of every page's recognised text below ``root``."""
-    texts = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "result.mmd").text(root)
+    texts = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "result.mmd").text(root, wholetext=True)
     return texts.select(folder(F.col("_metadata.file_path")).alias("dir"), "value")
 
 
