@@ -25,11 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.shared import map_arrow, parts
+from vellum.llm.shared import hold, map_arrow, parts
 
 END = "</w>"
 #: Words (or chunks between blanks) and token pairs that a worker remembers; twice as many words at most.
 KEPT_WORDS, KEPT_PAIRS = 500_000, 600_000
+#: Blanks to ``str.split`` but not to the tokenizer.
+ODD_BLANKS = "\x1c\x1d\x1e\x1f"
 LONG_WORD = 200
 ROWS_AT_ONCE, BYTES_AT_ONCE = 8192, 8_000_000
 #: Outside blocks whose letters, digits and case have long been settled.
@@ -173,6 +175,8 @@ class WordBpe:
             split = self.special_pattern.split(text)
             if len(split) > 1:
                 return [c for k, part in enumerate(split) for c in ([part + " "] if k % 2 else self._chunks(part))]
+        if text.isascii() and not any(c in text for c in ODD_BLANKS):
+            return text.lower().split()
         if RARE.search(text):
             # Libraries differ in the Unicode version of scripts still growing: these texts are split by the tokenizers library.
             return [" " + w for w, _ in self.library_split.pre_tokenize_str(self.library_form.normalize_str(text))]
@@ -243,6 +247,7 @@ def _laid_out(tokens: np.ndarray, start: np.ndarray, size: np.ndarray) -> bytes:
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> WordBpe:
+    hold("bpe", encoder.cache_clear)
     return WordBpe(path)
 
 
@@ -271,4 +276,4 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", decoded: bo
                     columns.append(pa.array(map(bpe.decode, found), pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=[*keep, *added])
 
-    return map_arrow(source, run, schema)
+    return map_arrow(source, run, schema, holds="bpe")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,9 +30,36 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return back
 
 
-def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
+#: In a Python worker: what it holds beyond one task, and how to let go of it.
+_held: dict[str, Callable[[], None]] = {}
+
+
+def hold(name: str, release: Callable[[], None]) -> None:
+    _held[name] = release
+
+
+def let_go(keep: str = "") -> None:
+    import gc
+
+    import pyarrow as pa
+
+    gone = [n for n in _held if n != keep]
+    for name in gone:
+        _held.pop(name)()
+    if gone:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+
+def map_arrow(df: DataFrame, run, schema: str, holds: str = "") -> DataFrame:
+    """``mapInArrow``; a worker that still holds the memory of another operator lets go of it first."""
+
+    def alone(batches):
+        let_go(holds)
+        yield from run(batches)
+
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(alone, schema)
 
 
 def map_pandas(df: DataFrame, run, schema: str) -> DataFrame:
