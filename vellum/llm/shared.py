@@ -51,12 +51,25 @@ def let_go(keep: str = "") -> None:
         pa.default_memory_pool().release_unused()
 
 
+def give_back() -> None:
+    """Free memory of this worker goes back to the system; workers stay alive between tasks."""
+    import ctypes
+
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        return  # another C library, which has its own ways
+
+
 def map_arrow(df: DataFrame, run, schema: str, holds: str = "") -> DataFrame:
     """``mapInArrow``; a worker that still holds the memory of another operator lets go of it first."""
 
     def alone(batches):
         let_go(holds)
-        yield from run(batches)
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
 
     ship(df.sparkSession)
     return df.mapInArrow(alone, schema)
