@@ -29,11 +29,13 @@ from vellum.llm.shared import hold, map_arrow, parts
 
 END = "</w>"
 #: Words (or chunks between blanks) and token pairs that a worker remembers; twice as many words at most.
-KEPT_WORDS, KEPT_PAIRS = 500_000, 600_000
+KEPT_WORDS, KEPT_PAIRS = 400_000, 600_000
 #: Blanks to ``str.split`` but not to the tokenizer.
 ODD_BLANKS = "\x1c\x1d\x1e\x1f"
+#: Punctuation before a last comma or full stop: together they are one word.
+TOUCHING = re.compile(r"(?:[^\w\s]|_)[,.]\s")
 LONG_WORD = 200
-ROWS_AT_ONCE, BYTES_AT_ONCE = 8192, 8_000_000
+ROWS_AT_ONCE, BYTES_AT_ONCE = 8192, 6_000_000
 #: Outside blocks whose letters, digits and case have long been settled.
 RARE = re.compile("[^\x00-\x1b\x20-\u052f\u2010-\u2060\u20a0-\u20bf\u3040-\u3096\u30a0-\u30ff\u4e00-\u9fef]")
 
@@ -176,12 +178,19 @@ class WordBpe:
             if len(split) > 1:
                 return [c for k, part in enumerate(split) for c in ([part + " "] if k % 2 else self._chunks(part))]
         if text.isascii() and not any(c in text for c in ODD_BLANKS):
-            return text.lower().split()
+            return self._parted(text.lower())
         if RARE.search(text):
             # Libraries differ in the Unicode version of scripts still growing: these texts are split by the tokenizers library.
             return [" " + w for w, _ in self.library_split.pre_tokenize_str(self.library_form.normalize_str(text))]
         # Lower-casing goes by single characters, so a final sigma isn't special.
-        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower().split()
+        return self._parted(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+
+    @staticmethod
+    def _parted(text: str) -> list[str]:
+        """Split at blanks, and before a last comma or full stop that follows a letter or digit: that is a word of its own."""
+        if not TOUCHING.search(text):
+            text = text.replace(", ", " , ").replace(". ", " . ").replace(".\n", " .\n")
+        return text.split()
 
     def _learn_chunks(self, chunks: set[str]) -> dict[str, bytes]:
         split, plain = {}, set()
