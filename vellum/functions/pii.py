@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from vellum.config import PIIConfig
+from vellum.functions.text import bound
 
 #: The patterns; digits and blanks are those of Unicode.
 ID_CARD = r"(?U)(?<!\d)[1-9]\d{5}(?:19|20)\d{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])\d{3}[\dXx](?!\d)"
@@ -71,11 +72,6 @@ def occurrences(text: Column, word: Column, size) -> Column:
     return ((F.length(text) - F.length(F.replace(text, word, F.lit("")))) / size).cast("int")
 
 
-def bound(state: Column, step) -> Column:
-    """``step`` over a struct that is worked out once."""
-    return F.transform(F.array(state), lambda s: step(s))[0]
-
-
 def replace_words(text: Column, words: list[str], placeholder: str) -> Column:
     """struct<text, n>: literal words, longest first, one after another, so later ones see earlier placeholders."""
 

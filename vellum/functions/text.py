@@ -24,6 +24,11 @@ MAX_NAME = 64
 TAGS = "div|img|table|thead|tbody|tr|td|th|br|hr|span|p|b|i|u|strong|em|sub|sup|ul|ol|li|a|code|pre|h[1-6]|blockquote"
 
 
+def bound(value: Column, f) -> Column:
+    """f(value), value worked out once although f names it often, in lambdas too."""
+    return F.transform(F.array(value), lambda v: f(v))[0]
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, rf"(?U)\A{BLANK}+|{BLANK}+\z", "")
 
@@ -58,9 +63,13 @@ def drop_exact_repeats(c: Column) -> Column:
 
     The last one kept equals the one before, kept or dropped, so neighbours decide.
     """
-    parts = F.split(c, r"\n\s*\n", -1)
-    kept = F.filter(parts, lambda p, i: (i == 0) | (strip(p) == "") | (strip(p) != strip(F.get(parts, i - 1))))
-    return F.when(F.size(parts) <= 1, c).otherwise(F.array_join(kept, "\n\n"))
+
+    def walked(parts: Column) -> Column:
+        before = F.concat(F.array(F.lit(None).cast("string")), F.slice(parts, F.lit(1), F.size(parts) - 1))
+        kept = F.zip_with(parts, before, lambda p, b: F.when(b.isNull() | (strip(p) == "") | (strip(p) != strip(b)), p))
+        return F.when(F.size(parts) <= 1, c).otherwise(F.array_join(kept, "\n\n"))  # nulls are passed over
+
+    return bound(F.split(c, r"\n\s*\n", -1), walked)
 
 
 def sanitize_dirname(c: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.config import LLMConfig
-from vellum.functions.text import sanitize_dirname
+from vellum.functions.text import bound, sanitize_dirname
 from vellum.operators.protocol import PAGE, first_heading
 
 
@@ -84,7 +84,7 @@ def split_documents(docs: DataFrame, boundaries: DataFrame, text: str = "markdow
 def images_of(markdown: Column, crops: Column) -> Column:
     """Crop paths that hold a Markdown reference of the text."""
     refs = F.regexp_extract_all(markdown, F.lit(r"!\[[^\]]*\]\(([^)]+)\)"), F.lit(1))
-    return F.filter(crops, lambda path: F.exists(refs, lambda r: F.contains(path, r)))
+    return bound(refs, lambda own: F.filter(crops, lambda path: F.exists(own, lambda r: F.contains(path, r))))
 
 
 def owned(items: DataFrame, pages: DataFrame) -> DataFrame:
@@ -145,8 +145,12 @@ def with_boundaries(docs: DataFrame, boundaries: DataFrame) -> DataFrame:
     return docs.join(own, "doc_id", "left").withColumn("markdown", inserted("markdown", "b")).drop("b")
 
 
-def render(c: Column, stem_pattern: str = r"([^/()\"']+)_OCR/images/(\d+)\.jpg") -> Column:
+#: A reference begins after a bracket or a quote: elsewhere nothing is tried, so time is linear.
+ARTIFACT = r"""(?<=[("'])([^/()"'\n]+)_OCR/images/(\d+)\.jpg"""
+
+
+def render(c: Column) -> Column:
     """Markdown for output: artifact references to ``images/STEM_N.jpg``, page markers away, outer blank lines off."""
-    out = F.regexp_replace(c, stem_pattern, "images/$1_$2.jpg")
+    out = F.regexp_replace(c, ARTIFACT, "images/$1_$2.jpg")
     out = F.regexp_replace(out, r"<!--\s*page:.*?-->\n?", "")
     return F.regexp_replace(out, r"\A\n+|\s+\z", "")

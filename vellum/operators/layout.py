@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.config import ColumnConfig
-from vellum.functions.text import strip
+from vellum.functions.text import bound, strip
 
 #: The grounding tags, and a block of tag, line feed and text up to the next tag.
 TAG = r"<\|ref\|>(.*?)<\|/ref\|><\|det\|>(.*?)<\|/det\|>"
@@ -133,10 +133,17 @@ def pixel_regions(pages: DataFrame, text: str = "raw_text") -> DataFrame:
 def replace_tags(c: Column) -> Column:
     """Image tags to numbered references, other tags away; two LaTeX signs rewritten."""
     tag = "(?s)" + TAG
-    gaps, labels = F.split(c, tag, -1), F.regexp_extract_all(c, F.lit(tag), F.lit(1))
-    mark = lambda i: F.when(F.get(labels, i) == "image", F.concat(F.lit("![](images/"), F.size(F.filter(F.slice(labels, 1, i), lambda x: x == "image")).cast("string"), F.lit(".jpg)\n"))).otherwise("")
-    mixed = F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(mark(i), F.lit(""))))
-    return F.replace(F.replace(F.array_join(mixed, ""), F.lit("\\coloneqq"), F.lit(":=")), F.lit("\\eqqcolon"), F.lit("=:"))
+    images = lambda labels: F.size(F.filter(labels, lambda x: x == "image")).cast("string")
+
+    def mixed(z: Column) -> Column:
+        def mark(g: Column, i: Column) -> Column:
+            shown = F.concat(F.lit("![](images/"), images(F.slice(z["labels"], 1, i)), F.lit(".jpg)\n"))
+            return F.concat(g, F.when(F.get(z["labels"], i) == "image", shown).otherwise(""))
+
+        return F.array_join(F.transform(z["gaps"], mark), "")
+
+    out = bound(F.struct(F.split(c, tag, -1).alias("gaps"), F.regexp_extract_all(c, F.lit(tag), F.lit(1)).alias("labels")), mixed)
+    return F.replace(F.replace(out, F.lit("\\coloneqq"), F.lit(":=")), F.lit("\\eqqcolon"), F.lit("=:"))
 
 
 def image_refs(c: Column) -> Column:
@@ -167,13 +174,20 @@ def image_tokens(w: Column, h: Column, base: int = 1024, crop: int = 768, patch:
 
 def banned_tokens(ids: Column, n: Column, window: Column, whitelist: Column) -> Column:
     """Sorted tokens that would complete an n-gram already seen in the window; none for n of 1."""
-    size = F.size(ids)
-    prefix = F.slice(ids, size - n + 2, n - 1)
-    first = F.greatest(F.lit(0), size - window)
-    last = size - n
-    starts = F.when((n > 1) & (last >= first), F.sequence(first, last)).otherwise(F.expr("cast(array() as array<int>)"))
-    hits = F.filter(starts, lambda i: F.slice(ids, i + 1, n - 1) == prefix)
-    return F.array_sort(F.array_except(F.transform(hits, lambda i: F.get(ids, i + n - 1)), whitelist))
+
+    def banned(z: Column) -> Column:
+        ids, n = z["ids"], z["n"]
+        first, last = F.greatest(F.lit(0), F.size(ids) - z["window"]), F.size(ids) - n
+        starts = F.when((n > 1) & (last >= first), F.sequence(first, last)).otherwise(F.expr("cast(array() as array<int>)"))
+        hits = F.filter(starts, lambda i: F.slice(ids, i + 1, n - 1) == z["prefix"])
+        return F.array_sort(F.array_except(F.transform(hits, lambda i: F.get(ids, i + n - 1)), z["white"]))
+
+    def with_prefix(z: Column) -> Column:
+        prefix = F.slice(z["ids"], F.greatest(F.lit(1), F.size(z["ids"]) - z["n"] + 2), z["n"] - 1)
+        return F.struct(*[z[c].alias(c) for c in ("ids", "n", "window", "white")], prefix.alias("prefix"))
+
+    start = F.struct(ids.alias("ids"), n.alias("n"), window.alias("window"), whitelist.alias("white"))
+    return bound(bound(start, with_prefix), banned)
 
 
 def has_eos(c: Column) -> Column:

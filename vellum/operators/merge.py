@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vellum.config import DedupConfig
@@ -134,6 +135,14 @@ def merge_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.select("pair_id", merged("text_a", "text_b").alias("m")).select("pair_id", "m.*")
 
 
+def alike(a: str, b: str, threshold: float) -> bool:
+    """Whether difflib's ratio is over the threshold; two cheaper bounds of it come first."""
+    most = threshold * (len(a) + len(b)) / 2
+    if min(len(a), len(b)) <= most - 1e-9 or (Counter(a) & Counter(b)).total() <= most - 1e-9:
+        return False
+    return SequenceMatcher(None, a, b).ratio() > threshold
+
+
 def remove_repetitions(column, threshold: float = 0.9):
     """Paragraphs much like the last one kept are dropped (difflib ratio over ``threshold``)."""
     import re
@@ -145,10 +154,12 @@ def remove_repetitions(column, threshold: float = 0.9):
         kept = parts[:1]
         for part in parts[1:]:
             last, now = kept[-1].strip(), part.strip()
-            if not last or not now or SequenceMatcher(None, last, now).ratio() <= threshold:
+            if not last or not now or not alike(last, now, threshold):
                 kept.append(part)
         return "\n\n".join(kept)
 
+    ship(SparkSession.getActiveSession())
+
     @F.pandas_udf("string")
     def cleaned(texts: pd.Series) -> pd.Series:
         return texts.map(one)
