@@ -86,7 +86,7 @@ def cln_3_blank_lines(spark, sf):
     return table(spark, sf, "documents").select("doc_id", tx.normalize_whitespace(F.replace("text", F.lit(". "), F.lit("\n\n\n\n"))).alias("cleaned"))
 
 
-@query(f"WITH {LINES} SELECT page_seq AS doc_id, line_no - 1 AS line_no, norm FROM n")
+@query(f"WITH {LINES} SELECT page_seq AS doc_id, (line_no - 1)::INT AS line_no, norm FROM n")
 def cln_4_normalized_lines(spark, sf):
     return frequency.page_lines(pages_of(spark, sf)).select(F.col("page_seq").alias("doc_id"), "line_no", "norm")
 
@@ -123,7 +123,7 @@ i AS (SELECT *, line_no - row_number() OVER (PARTITION BY group_id, page_seq, no
 c AS (SELECT *, count(*) OVER (PARTITION BY group_id, page_seq, noise, island) AS run FROM i),
 k AS (SELECT group_id, page_seq, count_if(noise AND run >= {block}) AS removed,
   coalesce(string_agg(CASE WHEN NOT (noise AND run >= {block}) THEN line END, chr(10) ORDER BY line_no), '') AS rest FROM c GROUP BY ALL)
-SELECT group_id, page_seq, CASE WHEN coalesce(removed, 0) > 0 THEN rest ELSE text END AS text, coalesce(removed, 0) AS removed FROM p LEFT JOIN k USING (group_id, page_seq)"""
+SELECT group_id, page_seq, CASE WHEN coalesce(removed, 0) > 0 THEN rest ELSE text END AS text, coalesce(removed, 0)::INT AS removed FROM p LEFT JOIN k USING (group_id, page_seq)"""
 
 
 @query("SELECT source AS group_id, count(*) AS n_pages, count(*) >= 4 AS counted FROM documents GROUP BY source")
@@ -168,7 +168,7 @@ MARKED = r"""WITH p AS (SELECT source AS group_id, doc_id AS page_seq, '<!-- pag
 l AS (SELECT group_id, page_seq, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM p)"""
 
 
-@query(MARKED + " SELECT group_id, page_seq, line_no, line, starts_with(line, '<!-- page:') AS is_marker, (sum((NOT starts_with(line, '<!-- page:'))::INT) OVER (PARTITION BY group_id, page_seq ORDER BY line_no) - (NOT starts_with(line, '<!-- page:'))::INT)::BIGINT AS position FROM l")
+@query(MARKED + " SELECT group_id, page_seq, line_no::INT AS line_no, line, starts_with(line, '<!-- page:') AS is_marker, (sum((NOT starts_with(line, '<!-- page:'))::INT) OVER (PARTITION BY group_id, page_seq ORDER BY line_no) - (NOT starts_with(line, '<!-- page:'))::INT)::BIGINT AS position FROM l")
 def mrg_1_markers(spark, sf):
     return merge.page_lines_without_markers(marked(spark, sf))
 
@@ -182,7 +182,7 @@ m AS (SELECT a.group_id, a.page_seq, a.line, a.i, h.j, a.i - h.j AS d FROM a JOI
 r AS (SELECT *, i - row_number() OVER (PARTITION BY group_id, page_seq, d ORDER BY i) AS island FROM m),
 b AS (SELECT group_id, page_seq, min(i) AS i, min(j) AS j, count(*) AS size, count_if(trim(line) <> '') AS non_blank FROM r GROUP BY group_id, page_seq, d, island),
 w AS (SELECT *, row_number() OVER (PARTITION BY group_id, page_seq ORDER BY size DESC, i, j) AS turn FROM b)
-SELECT group_id, page_seq, i::INT AS tail_start, j::INT AS head_start, size, non_blank, non_blank >= 2 AS accepted FROM w WHERE turn = 1""")
+SELECT group_id, page_seq, i::INT AS tail_start, j::INT AS head_start, size, non_blank::BIGINT AS non_blank, non_blank >= 2 AS accepted FROM w WHERE turn = 1""")
 def mrg_2_adjacent_overlap(spark, sf):
     return merge.adjacent_overlap(pages_of(spark, sf))
 
@@ -921,7 +921,7 @@ def src_5_listing(spark, sf):
     return files.source_listing(made_files(spark, sf), "/r")
 
 
-@query(rf"WITH {FILES}, p AS (SELECT string_split(substr(path, 4), '/') AS s, lower(path) SIMILAR TO '.*\.(jpg|jpeg|png|bmp|tiff|tif)' AS image FROM f) SELECT s[1] AS name, max(len(s)) > 1 AS is_dir, least(count_if(len(s) = 2 AND image), 9999) AS n_images, NULL::BIGINT AS size FROM p GROUP BY ALL")
+@query(rf"WITH {FILES}, p AS (SELECT string_split(substr(path, 4), '/') AS s, lower(path) SIMILAR TO '.*\.(jpg|jpeg|png|bmp|tiff|tif)' AS image FROM f) SELECT s[1] AS name, max(len(s)) > 1 AS is_dir, least(count_if(len(s) = 2 AND image), 9999)::BIGINT AS n_images, NULL::BIGINT AS size FROM p GROUP BY ALL")
 def src_6_browse(spark, sf):
     return files.browse(made_files(spark, sf), "/r")
 
