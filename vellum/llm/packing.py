@@ -10,17 +10,19 @@ of its length.
 from __future__ import annotations
 
 import bisect
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.llm.bpe import encode_documents
-from vellum.llm.shared import map_pandas, written
+from vellum.llm.bpe import BYTES_AT_ONCE, ROWS_AT_ONCE, encoder
+from vellum.llm.shared import map_arrow, map_pandas, parts, written
 
 SIZE = 2048
 ROWS_A_RANK_GROUP = 500_000
@@ -122,21 +124,35 @@ def plan(counts: dict[int, int], size: int = SIZE) -> Plan:
     return best
 
 
-def pieces(docs: DataFrame, path: str, size: int = SIZE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 and ids (binary) of each document's pieces.
+def pieces(docs: DataFrame, path: str, size: int = SIZE, doc_id: str = "doc_id", text: str = "text", ids: bool = True) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 and, if asked, ids (binary) of each document's pieces.
 
     A document's ids are closed by id 0; only longer ones are cut, every ``size`` ids.
     """
-    coded = encode_documents(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), path, decoded=False)
-    total = F.col("n_tokens") + 1
-    return (
-        coded.select("doc_id", F.concat("ids", F.lit(b"\0\0\0\0")).alias("all"), total.alias("n"))
-        .select("doc_id", "all", "n", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / size).cast("int"))).alias("piece"))
-        .withColumn("start", F.col("piece").cast("long") * size)
-        .withColumn("length", F.least(F.lit(size).cast("long"), F.col("n") - F.col("start")))
-        .withColumn("ids", F.col("all").substr((F.col("start") * 4 + 1).cast("int"), (F.col("length") * 4).cast("int")))
-        .select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "ids")
-    )
+    schema = f"doc_id {docs.schema[doc_id].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * ids
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * ids
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = encoder(path)
+        for whole in batches:
+            for batch in parts(whole, 1, ROWS_AT_ONCE, BYTES_AT_ONCE):
+                row, piece, length, crc, held = [], [], [], [], []
+                for i, coded in enumerate(bpe.encode(batch.column(1).to_pylist())):
+                    coded += b"\0\0\0\0"
+                    for k in range(0, len(coded), 4 * size):
+                        part = coded[k : k + 4 * size]
+                        row.append(i)
+                        piece.append(k // (4 * size))
+                        length.append(len(part) // 4)
+                        crc.append(zlib.crc32(part))
+                        if ids:
+                            held.append(part)
+                at = pa.array(piece, pa.int32())
+                columns = [batch.column(0).take(pa.array(row, pa.int64())), at, pa.array([size * k for k in piece], pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns + [pa.array(held, pa.binary())] * ids, names=names)
+
+    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    return map_arrow(source, run, schema, holds="bpe")
 
 
 def pack(pieces: DataFrame, size: int = SIZE) -> DataFrame:
@@ -180,4 +196,4 @@ def pack_documents(docs: DataFrame, path: str, size: int = SIZE) -> DataFrame:
 
     Null and empty texts are documents of the single id 0.  Other columns are not used.
     """
-    return pack(written(pieces(docs, path, size).drop("ids"), "pieces"), size)
+    return pack(written(pieces(docs, path, size, ids=False), "pieces"), size)
