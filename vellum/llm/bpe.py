@@ -50,7 +50,7 @@ def byte_symbols() -> list[str]:
 class WordBpe:
     """Encoder for a tokenizers file of kind BPE with word ends and byte symbols."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept_words: int | None = None):
         import regex
         from tokenizers import Regex, Tokenizer, pre_tokenizers
 
@@ -74,6 +74,7 @@ class WordBpe:
         self.reach = [self._reach(self.inner).get, self._reach(self.final).get]
         self.vocabulary = [self.inner.get, self.final.get]
         self.fits: dict[int, bool] = {}
+        self.kept_words = kept_words or KEPT_WORDS
         # Two generations of what was used of late: the older one goes when the newer is full.
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -226,7 +227,7 @@ class WordBpe:
             number: defaultdict[str, int] = defaultdict(count().__next__)
             codes = [np.fromiter(map(number.__getitem__, self._chunks(text or "")), np.int64) for text in texts]
             missing = set(number).difference(self.new)
-            if len(self.new) + len(missing) > KEPT_WORDS:
+            if len(self.new) + len(missing) > self.kept_words:
                 self.old, self.new, missing = self.new, {}, set(number)
             rest = missing.difference(self.old)
             old, new = self.old, self.new
@@ -255,9 +256,9 @@ def _laid_out(tokens: np.ndarray, start: np.ndarray, size: np.ndarray) -> bytes:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> WordBpe:
+def encoder(path: str, kept_words: int | None = None) -> WordBpe:
     hold("bpe", encoder.cache_clear)
-    return WordBpe(path)
+    return WordBpe(path, kept_words)
 
 
 def encode_documents(docs: DataFrame, path: str, text: str = "text", decoded: bool = True) -> DataFrame:

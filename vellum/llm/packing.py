@@ -124,18 +124,20 @@ def plan(counts: dict[int, int], size: int = SIZE) -> Plan:
     return best
 
 
-def pieces(docs: DataFrame, path: str, size: int = SIZE, doc_id: str = "doc_id", text: str = "text", ids: bool = True) -> DataFrame:
+def pieces(docs: DataFrame, path: str, size: int = SIZE, doc_id: str = "doc_id", text: str = "text", ids: bool = True, kept_words: int | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and, if asked, ids (binary) of each document's pieces.
 
+    kept_words: words that a worker remembers (None: bpe.KEPT_WORDS); fewer take less memory and more time.
+
     A document's ids are closed by id 0; only longer ones are cut, every ``size`` ids.
     """
     schema = f"doc_id {docs.schema[doc_id].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * ids
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoder(path)
+        bpe = encoder(path, kept_words)
         for whole in batches:
-            for batch in parts(whole, 1, ROWS_AT_ONCE, BYTES_AT_ONCE):
+            for batch in parts(whole, 1, ROWS_AT_ONCE, BYTES_AT_ONCE if kept_words is None else min(BYTES_AT_ONCE, 16 * kept_words)):
                 row, piece, length, crc, held = [], [], [], [], []
                 for i, coded in enumerate(bpe.encode(batch.column(1).to_pylist())):
                     coded += b"\0\0\0\0"
@@ -191,9 +193,9 @@ def pack(pieces: DataFrame, size: int = SIZE) -> DataFrame:
     return map_pandas(ranked, place, out)
 
 
-def pack_documents(docs: DataFrame, path: str, size: int = SIZE) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, size: int = SIZE, kept_words: int | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece of ``docs``.
 
     Null and empty texts are documents of the single id 0.  Other columns are not used.
     """
-    return pack(written(pieces(docs, path, size, ids=False), "pieces"), size)
+    return pack(written(pieces(docs, path, size, ids=False, kept_words=kept_words), "pieces"), size)
