@@ -13,6 +13,9 @@ from vellum.llm import near_dedup, packing, pii_scan, quality
 from vellum.llm.queries import word_bpe
 from vellum.llm.shared import written
 
+#: Words that the tokenizer remembers in a worker: few, as the stages before have filled the executor's heap.
+KEPT_WORDS = 100_000
+
 #: What stands for a span of personal data.
 PLACEHOLDER = "[{}]"
 
@@ -41,7 +44,7 @@ def redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of each document stands in the training sequences."""
-    return packing.pack_documents(docs, word_bpe())
+    return packing.pack_documents(docs, word_bpe(), kept_words=KEPT_WORDS)
 
 
 STAGES = [
