@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.shared import hold, map_arrow, parts
+from vellum.llm.shared import give_back, hold, map_arrow, parts
 
 END = "</w>"
 #: Words (or chunks between blanks) and token pairs that a worker remembers; twice as many words at most.
@@ -258,7 +258,9 @@ def _laid_out(tokens: np.ndarray, start: np.ndarray, size: np.ndarray) -> bytes:
 @lru_cache(maxsize=2)
 def encoder(path: str, kept_words: int | None = None) -> WordBpe:
     hold("bpe", encoder.cache_clear)
-    return WordBpe(path, kept_words)
+    made = WordBpe(path, kept_words)
+    give_back()  # what reading the file took
+    return made
 
 
 def encode_documents(docs: DataFrame, path: str, text: str = "text", decoded: bool = True) -> DataFrame:
