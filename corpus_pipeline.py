@@ -16,6 +16,9 @@ from vellum.llm.shared import written
 #: Words that the tokenizer remembers in a worker: few, as the stages before have filled the executor's heap.
 KEPT_WORDS = 100_000
 
+#: Per cent of shared word shingles from which two documents are near duplicates here; op9_minhash has its own.
+SIMILARITY = 80
+
 #: What stands for a span of personal data.
 PLACEHOLDER = "[{}]"
 
@@ -29,7 +32,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicate_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: that with the smallest id.  Rows without an id stay."""
-    gone = near_dedup.near_duplicates(docs).where("doc_id is not null and not kept").select("doc_id").distinct()
+    gone = near_dedup.near_duplicates(docs, SIMILARITY).where("doc_id is not null and not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 

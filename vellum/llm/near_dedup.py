@@ -1,8 +1,8 @@
 """MinHash near-duplicates by a multi-index Hamming join.
 
 A document's set of word shingles gives a signature of POSITIONS minima of 16 bits.  Two
-documents are candidates if at most DISTANCE positions differ.  The positions are split into
-CHUNKS; by the pigeonhole principle two such signatures differ in at most one position of
+documents are candidates if at most DISTANCE positions differ (more for a similarity asked for
+below SIMILARITY).  The positions are split into CHUNKS; by the pigeonhole principle two such signatures differ in at most one position of
 some chunk, so every chunk is indexed once for each position left out, and equal keys find
 all pairs under the distance.  Links are confirmed on the full sets.
 
@@ -15,7 +15,9 @@ size, by a second and longer signature too; only pairs near by both are put out
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +27,38 @@ from pyspark.sql import functions as F
 from vellum.llm.shared import components, dropped, map_arrow, parts, written
 
 WORDS = 5
-SIMILARITY = 85  # per cent
-POSITIONS, CHUNKS = 64, 12
-#: At similarity 0.85 a pair differs in Binomial(64, 0.15) positions: more than 23 in 5 of a million.
-DISTANCE = 2 * CHUNKS - 1
-#: The longer signature: positions of 8 bits; at 0.85 a pair differs in more than LONG_DISTANCE in 1 of 100,000.
-LONG, LONG_DISTANCE = 512, 111
+SIMILARITY, LEAST = 85, 80  # per cent
+POSITIONS, LONG = 64, 512
+#: How often a pair at the similarity asked for differs in more positions than are allowed, at most: of the signature, of the longer one.
+MISSED, LONG_MISSED = 1e-5, 2e-5
+
+
+class Reach(NamedTuple):
+    """What is looked for: chunks of the signature, and the differences allowed in it and in the longer one."""
+
+    chunks: int
+    distance: int
+    long_distance: int
+
+
+def allowed(positions: int, differs: float, missed: float) -> int:
+    """The least d that Binomial(positions, differs) exceeds with a probability of at most ``missed``."""
+    over, d = 1.0, -1
+    while over > missed:
+        d += 1
+        over = sum(math.comb(positions, k) * differs**k * (1 - differs) ** (positions - k) for k in range(d + 1, positions + 1))
+    return d
+
+
+def reach(similarity: int) -> Reach:
+    """The distances for a similarity; above SIMILARITY those of SIMILARITY.  Different minima of 8 bits are equal in one of 256 cases."""
+    differs = 1 - min(similarity, SIMILARITY) / 100
+    chunks = allowed(POSITIONS, differs, MISSED) // 2 + 1
+    return Reach(chunks, 2 * chunks - 1, allowed(LONG, differs * 255 / 256, LONG_MISSED))
+
+
+USUAL = reach(SIMILARITY)
+CHUNKS, DISTANCE, LONG_DISTANCE = USUAL
 BLOCK = 512
 FILTER_BITS = 1 << 26
 
@@ -43,7 +71,6 @@ PLACE = _rng.integers(0, 1 << 64, POSITIONS, dtype=np.uint64)
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BLANK = np.zeros(256, bool)
 BLANK[[9, 10, 11, 12, 13, 32]] = True
-CHUNK_OF = np.arange(POSITIONS) * CHUNKS // POSITIONS
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -112,11 +139,12 @@ def long_signature(shingles: np.ndarray) -> np.ndarray:
     return (minima(shingles, MASK[POSITIONS:], ODD[POSITIONS:]) & np.uint64(0xFF)).astype(np.uint8)
 
 
-def index_keys(signatures: np.ndarray) -> np.ndarray:
+def index_keys(signatures: np.ndarray, chunks: int = CHUNKS) -> np.ndarray:
     """(documents, POSITIONS) keys: key p is p's chunk without position p."""
+    chunk_of = np.arange(POSITIONS) * chunks // POSITIONS
     each = mixed(signatures.astype(np.uint64) + PLACE)
-    chunk = np.stack([each[:, CHUNK_OF == c].sum(axis=1, dtype=np.uint64) for c in range(CHUNKS)], axis=1)
-    return mixed(chunk[:, CHUNK_OF] - each + PLACE).view(np.int64)
+    chunk = np.stack([each[:, chunk_of == c].sum(axis=1, dtype=np.uint64) for c in range(chunks)], axis=1)
+    return mixed(chunk[:, chunk_of] - each + PLACE).view(np.int64)
 
 
 def sketch(docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
@@ -136,7 +164,7 @@ def sketch(docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
     return map_arrow(docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")), run, "id long, n_shingles long, set_a long, set_b long, sig binary")
 
 
-def keyed(classes: DataFrame) -> DataFrame:
+def keyed(classes: DataFrame, far: Reach) -> DataFrame:
     """(id, key) rows of (id, sig)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +173,7 @@ def keyed(classes: DataFrame) -> DataFrame:
                 sigs = np.stack([np.frombuffer(b, np.uint16) for b in batch.column(1).to_pylist()])
                 ids = np.repeat(batch.column(0).to_numpy(), POSITIONS)
                 place = np.tile(np.arange(POSITIONS, dtype=np.int8), len(sigs))
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(index_keys(sigs).ravel()), pa.array(place)], names=["id", "key", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(index_keys(sigs, far.chunks).ravel()), pa.array(place)], names=["id", "key", "place"])
 
     return map_arrow(classes.select("id", "sig"), run, "id long, key long, place byte")
 
@@ -179,8 +207,8 @@ def sets_of(docs: DataFrame, ids: DataFrame, doc_id: str, text: str, words: int)
     return found.join(ids, "id", "left_semi").dropDuplicates(["id"])
 
 
-def near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Those (a, b) whose signatures differ in at most DISTANCE positions."""
+def near(pairs: DataFrame, classes: DataFrame, far: Reach) -> DataFrame:
+    """Those (a, b) whose signatures differ in at most far.distance positions."""
     sig = classes.select("id", "sig")
     both = pairs.join(sig.withColumnsRenamed({"id": "a", "sig": "sig_a"}), "a").join(sig.withColumnsRenamed({"id": "b", "sig": "sig_b"}), "b").select("a", "b", "sig_a", "sig_b")
 
@@ -188,28 +216,28 @@ def near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, POSITIONS) for k in (2, 3))
-                yield batch.select(["a", "b"]).filter(pa.array((x != y).sum(axis=1) <= DISTANCE))
+                yield batch.select(["a", "b"]).filter(pa.array((x != y).sum(axis=1) <= far.distance))
 
     return map_arrow(both, run, "a long, b long")
 
 
-def crossing(ids, component, sig, long, side, place: int) -> np.ndarray:
+def crossing(ids, component, sig, long, side, place: int, far: Reach) -> np.ndarray:
     """Pairs (n, 2) of a block's rows: of different components, near by both signatures, with no earlier common key."""
     rows, columns = (np.flatnonzero(side == k) for k in (0, 1)) if side.any() else (np.arange(len(ids)),) * 2
     i, j = np.nonzero(component[rows][:, None] != component[columns][None, :])
     i, j = rows[i], columns[j]
     if not side.any():
         i, j = i[i < j], j[i < j]
-    near = np.concatenate([(sig[i[at : at + 65536]] != sig[j[at : at + 65536]]).sum(axis=1) <= DISTANCE for at in range(0, len(i), 65536)] or [np.zeros(0, bool)])
+    near = np.concatenate([(sig[i[at : at + 65536]] != sig[j[at : at + 65536]]).sum(axis=1) <= far.distance for at in range(0, len(i), 65536)] or [np.zeros(0, bool)])
     i, j = i[near], j[near]
-    near = np.concatenate([(long[i[at : at + 8192]] != long[j[at : at + 8192]]).sum(axis=1) <= LONG_DISTANCE for at in range(0, len(i), 8192)] or [np.zeros(0, bool)])
+    near = np.concatenate([(long[i[at : at + 8192]] != long[j[at : at + 8192]]).sum(axis=1) <= far.long_distance for at in range(0, len(i), 8192)] or [np.zeros(0, bool)])
     i, j = i[near], j[near]
-    keys = index_keys(sig)
+    keys = index_keys(sig, far.chunks)
     first = ~(keys[i, :place] == keys[j, :place]).any(axis=1) if place else np.ones(len(i), bool)
     return np.stack([ids[i[first]], ids[j[first]]], axis=1)
 
 
-def across(left: DataFrame, classes: DataFrame, sets: DataFrame, partitions: int) -> DataFrame:
+def across(left: DataFrame, classes: DataFrame, sets: DataFrame, partitions: int, far: Reach) -> DataFrame:
     """(a, b): pairs that share a key and stand in different components, near by both signatures.
 
     left: (key, place, id, c).  A key's documents are dealt to slots of about BLOCK; blocks are
@@ -233,7 +261,7 @@ def across(left: DataFrame, classes: DataFrame, sets: DataFrame, partitions: int
                 return None
             sig = np.frombuffer(b"".join(table.column(7).to_pylist()), np.uint16).reshape(-1, POSITIONS)
             long = np.frombuffer(b"".join(table.column(8).to_pylist()), np.uint8).reshape(-1, LONG)
-            found = crossing(ids, c, sig, long, side, int(table.column(3)[0].as_py()))
+            found = crossing(ids, c, sig, long, side, int(table.column(3)[0].as_py()), far)
             return pa.RecordBatch.from_arrays([pa.array(found.min(axis=1)), pa.array(found.max(axis=1))], names=["a", "b"]) if len(found) else None
 
         kept: pa.Table | None = None
@@ -281,24 +309,25 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, words: int = WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
-    similarity is 85 at least: the distances are made for it.  Documents link if 100 * |intersection| >= similarity * |union| of their shingle sets, held
+    similarity is LEAST at least; below SIMILARITY the distances grow with it.  Documents link if 100 * |intersection| >= similarity * |union| of their shingle sets, held
     as 64-bit hashes; component_id is the smallest doc_id reachable, kept marks that document.
     Null and empty texts have no shingles and link with nothing.  Rows that share an id and a
     text are one document: all are kept or none.  A null id takes no part: its component_id
     is null and kept is false.  Other columns aren't used.
     """
-    if similarity < SIMILARITY:
-        raise ValueError(f"similarity is {SIMILARITY} at least")
+    if similarity < LEAST:
+        raise ValueError(f"similarity is {LEAST} at least ({SIMILARITY} unless asked for)")
+    far = reach(similarity)
     drawn = written(sketch(docs, doc_id, text, words), "sketch")
     full = drawn.where("n_shingles > 0 and id is not null")
     classes = written(full.groupBy("set_a", "set_b").agg(F.min("id").alias("id"), F.first("sig").alias("sig")), "classes")
-    rows = keyed(classes)
+    rows = keyed(classes, far)
     sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = written(rows.join(sizes, "key").select("id", "key", "place", "n"), "keys")
     degree = shared.groupBy("id").agg(F.sum("n").alias("degree"))
     hubs = shared.join(degree, "id").groupBy("key").agg(F.max_by("id", F.struct("degree", -F.col("id"))).alias("hub"))
     star = shared.join(hubs, "key").where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-    first = written(near(star, classes), "pairs")
+    first = written(near(star, classes, far), "pairs")
     sets = written(sets_of(docs, shared.select("id").distinct(), doc_id, text, words), "sets")
     links = written(confirmed(first, sets, similarity), "links")
     label = components(links)
@@ -307,7 +336,7 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, words: int =
     mixed_keys = told.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
     left = written(told.join(mixed_keys, "key", "left_semi"), "left")
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    more = written(confirmed(across(left, classes, sets, partitions), sets, similarity), "links")
+    more = written(confirmed(across(left, classes, sets, partitions, far), sets, similarity), "links")
     for table in (left, sets):
         dropped(table)
     label = components(links.union(more))
