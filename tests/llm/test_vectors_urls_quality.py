@@ -106,6 +106,47 @@ def test_passes_grow_with_rows():
     assert vector_dedup.passes_for(1000) <= vector_dedup.passes_for(10**6) < vector_dedup.passes_for(10**9) <= vector_dedup.MOST_PASSES
 
 
+def hot_vectors(n, hot, cosine, pairs, seed=0):
+    """Unit vectors of 64 dimensions: the first ``hot`` are at about ``cosine`` from one another, and of these 2 * pairs are pairs at 0.951."""
+    rng = np.random.default_rng(seed)
+    x = vector_dedup.unit(rng.standard_normal((n, 64)))
+    side = x[:hot].copy()
+    side[:, 0] = 0
+    side = vector_dedup.unit(side)
+    other = vector_dedup.unit(side[pairs : 2 * pairs] - (side[pairs : 2 * pairs] * side[:pairs]).sum(axis=1, keepdims=True) * side[:pairs])
+    near = (0.951 - cosine) / (1 - cosine)
+    side[pairs : 2 * pairs] = near * side[:pairs] + np.sqrt(1 - near**2) * other
+    x[:hot] = np.sqrt(1 - cosine) * side
+    x[:hot, 0] = np.sqrt(cosine)
+    return x
+
+
+def test_dense_region_is_whole(spark):
+    """A third of the rows alike but under the threshold: passes for evenly spread rows miss pairs there."""
+    x = hot_vectors(4500, 1500, 0.9, 100).astype(np.float32)
+    u = vector_dedup.unit(x.astype(float))
+    linked = np.triu(u @ u.T >= 0.95, 1)
+    got = {r.vec_id: r for r in vector_dedup.near_vectors(vectors(spark, [(i, v.tolist()) for i, v in enumerate(x)])).collect()}
+    i, j = np.nonzero(linked)
+    assert len(i) >= 100 and not [(a, b) for a, b in zip(i.tolist(), j.tolist(), strict=True) if got[a].component_id != got[b].component_id]
+    assert [got[k].n_links for k in range(len(x))] == (linked | linked.T).sum(axis=1).tolist()
+
+
+def test_run_bits_against_plain():
+    rng = np.random.default_rng(2)
+    own = np.repeat([0, 1], [150, 100])
+    bits = rng.integers(0, 2, (250, vector_dedup.BITS)) * (rng.random((250, vector_dedup.BITS)) < 0.4)
+    keys = np.packbits(bits, axis=1)
+    order = np.lexsort((*keys.T[::-1], own))
+    keys, bits = keys[order], bits[order]
+    got = vector_dedup.run_bits(keys, own, 8)
+    for k in range(8, 242):
+        runs = [sum(own[i] == own[k] and (bits[i, :n] == bits[k, :n]).all() for i in range(250)) for n in range(vector_dedup.BITS + 1)]
+        least = next((n for n, size in enumerate(runs) if size <= 8), vector_dedup.BITS + 1)
+        assert got[k] == least
+    assert (got[:8] > vector_dedup.BITS).all() and (got[-8:] > vector_dedup.BITS).all()
+
+
 def test_no_vectors(spark):
     assert vector_dedup.near_vectors(vectors(spark, ODD).limit(0)).count() == 0
 

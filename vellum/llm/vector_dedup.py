@@ -3,6 +3,9 @@
 Each pass hashes a vector to the signs of its products with random directions, joins them to
 a key and orders all vectors by it.  Neighbours within a window are compared; verified links
 of all passes are united into components.  Equal vectors are one class from the start.
+How far passes reach is measured: two vectors that share the bits which leave a window of rows
+around one of them have met.  Where vectors are so dense that this isn't likely enough over all
+passes, all of them are compared with one another, block by block.
 
 Directly linked vectors are then counted within components: members so near to the
 component's first vector that they must link with one another are counted by their number,
@@ -27,11 +30,13 @@ COSINE, WINDOW, BITS = 0.95, 64, 48
 #: A pair at the threshold is missed by all passes at most so often; pairs nearer by far are not missed.
 MISSED = 0.001
 LEAST_PASSES, MOST_PASSES = 12, 400
+#: Passes made for each that evenly spread rows need: runs are uneven, and every row short of passes is compared with all such rows.
+SPARE = 1.3
 ROWS_A_PARTITION, CHUNK = 20_000, 1024
 
 
 def passes_for(rows: int, cosine: float = COSINE, window: int = WINDOW, missed: float = MISSED) -> int:
-    """Passes until a pair at the threshold has likely stood within one window.
+    """Passes until a pair at the threshold has likely stood within one window, in evenly spread rows.
 
     Two vectors come within a window if they share the leading bits that leave about a
     window of rows; each bit is shared with probability 1 - angle / pi.
@@ -48,10 +53,37 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def lowest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each of n rows the lowest one that links (i, j) reach."""
+    low = np.arange(n)
+    while len(i):
+        least = np.minimum(low[i], low[j])
+        before = low.copy()
+        np.minimum.at(low, i, least)
+        np.minimum.at(low, j, least)
+        low = low[low]
+        if (before == low).all():
+            break
+    return low
+
+
+def run_bits(keys: np.ndarray, own: np.ndarray, window: int) -> np.ndarray:
+    """How many leading bits leave at most ``window`` rows around each row; keys: sorted packed bits; own: the rows' pass.
+
+    BITS + 1 where no number of bits does, and where rows beyond this part may belong to the run.
+    """
+    n = len(keys)
+    shared = np.full(n + window, BITS, np.int64)  # at k: bits that row k - window shares with row k
+    if n > window:
+        bits = np.unpackbits(keys[:-window] ^ keys[window:], axis=1)[:, :BITS]
+        same = np.where(bits.any(axis=1), bits.argmax(axis=1), BITS)
+        shared[window:n] = np.where(own[:-window] == own[window:], same, -1)
+    return np.lib.stride_tricks.sliding_window_view(shared, window + 1).max(axis=1) + 1
+
+
 def first_linked(x: np.ndarray, own: np.ndarray, cosine: float, window: int) -> np.ndarray:
     """For rows in order the lowest row reached by links between rows at most ``window`` apart; own: the rows' pass."""
     n = len(x)
-    low = np.arange(n)
     linked = []
     for begin in range(0, n, 256):
         end, upto = min(n, begin + 256), min(n, begin + 256 + window)
@@ -61,15 +93,7 @@ def first_linked(x: np.ndarray, own: np.ndarray, cosine: float, window: int) ->
         same = own[i] == own[j]
         linked.append(np.stack([i[same], j[same]]))
     i, j = np.concatenate(linked, axis=1) if linked else np.zeros((2, 0), np.intp)
-    while len(i):
-        least = np.minimum(low[i], low[j])
-        before = low.copy()
-        np.minimum.at(low, i, least)
-        np.minimum.at(low, j, least)
-        low = low[low]
-        if (before == low).all():
-            break
-    return low
+    return lowest(n, i, j)
 
 
 def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
@@ -91,8 +115,9 @@ def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
 
 
 def windowed_links(classes: DataFrame, rows: int, cosine: float, window: int) -> DataFrame:
-    """(src, dst) of (id, v): verified links that join all that windows of all passes link."""
-    turns = passes_for(rows, cosine, window)
+    """(src, dst) of (id, v): verified links that join all that windows of all passes link, and all within dense rows."""
+    turns = min(MOST_PASSES, math.ceil(SPARE * passes_for(rows, cosine, window)))
+    share = 1 - math.acos(cosine) / math.pi
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,14 +138,15 @@ def windowed_links(classes: DataFrame, rows: int, cosine: float, window: int) ->
 
         part = TaskContext.get().partitionId()
         turn, ids, blobs, head = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
-        names = ["src", "dst", "edge", "place", "turn", "v"]
+        every, names = [], ["src", "dst", "edge", "place", "turn", "v", "miss"]
 
-        def out(src, dst, edge, place, turns_, vs):
+        def out(src, dst, edge, place, turns_, vs, miss=None):
             n = len(src)
-            return pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64()), pa.array([edge] * n, pa.int64()), pa.array(place, pa.int64()), pa.array(turns_, pa.int64()), pa.array(vs, pa.binary())], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64()), pa.array([edge] * n, pa.int64()), pa.array(place, pa.int64()), pa.array(turns_, pa.int64()), pa.array(vs, pa.binary()), pa.nulls(n, pa.float64()) if miss is None else pa.array(miss)], names=names)
 
         for batch in batches:
             new_turn, new_ids, new_blobs = batch.column(0).to_numpy(), batch.column(2).to_numpy(), batch.column(3).to_pylist()
+            every.append((new_turn, new_ids, np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, BITS // 8)))
             if head < window:
                 k = min(window - head, len(new_ids))
                 yield out(new_ids[:k], [None] * k, part - 1, window + head + np.arange(k), new_turn[:k], new_blobs[:k])
@@ -133,6 +159,13 @@ def windowed_links(classes: DataFrame, rows: int, cosine: float, window: int) ->
                 yield out(ids[at[joined]], ids[at[low[joined]]], None, [None] * len(joined), [None] * len(joined), [None] * len(joined))
             turn, ids, blobs = turn[-window:], ids[-window:], blobs[-window:]
         yield out(ids, [None] * len(ids), part, window - len(ids) + np.arange(len(ids)), turn, blobs)
+        if every:
+            own, ids, keys = (np.concatenate(c) for c in zip(*every, strict=True))
+            bits = run_bits(keys, own, window)
+            # The logarithm of the chance that this pass misses a pair at the threshold.
+            miss = np.log1p(-np.where(bits <= BITS, np.minimum(share**bits, 1 - 1e-9), 0.0))
+            none = [None] * len(ids)
+            yield out(ids, none, None, none, none, none, miss)
 
     def seam(frame: pd.DataFrame) -> pd.DataFrame:
         src, dst = [], []
@@ -147,10 +180,38 @@ def windowed_links(classes: DataFrame, rows: int, cosine: float, window: int) ->
 
     partitions = max(1, math.ceil(rows * turns / ROWS_A_PARTITION))
     ordered = map_arrow(classes.select("id", "v"), keyed, "turn long, key binary, id long, v binary").repartitionByRange(partitions, "turn", "key", "id").sortWithinPartitions("turn", "key", "id")
-    found = written(map_arrow(ordered, compared, "src long, dst long, edge long, place long, turn long, v binary"), "windows")
+    found = written(map_arrow(ordered, compared, "src long, dst long, edge long, place long, turn long, v binary, miss double"), "windows")
     # A seam has two windows of rows at most, whatever the input.
     seams = found.where("edge is not null").groupBy("edge").applyInPandas(seam, "src long, dst long")
-    return found.where("dst is not null").select("src", "dst").union(seams).where("src <> dst")
+    dense = found.where("miss is not null").groupBy(F.col("src").alias("id")).agg(F.sum("miss").alias("miss")).where(F.col("miss") > math.log(MISSED)).select("id")
+    return found.where("dst is not null").select("src", "dst").union(seams).where("src <> dst").union(dense_links(classes.join(dense, "id", "left_semi"), cosine))
+
+
+def dense_links(rows: DataFrame, cosine: float) -> DataFrame:
+    """(src, dst) of (id, v): links that join all that are linked directly; all pairs are compared, in blocks of CHUNK rows.
+
+    A pair is missed by all passes only if neither of its vectors has a good chance of being met,
+    so rows are compared with one another and not with the rest.
+    """
+    rows = written(rows.select("id", "v"), "dense")
+    slots = max(1, math.ceil(rows.count() / CHUNK))
+    slot = rows.withColumn("slot", F.pmod(F.xxhash64("id"), F.lit(slots)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
+    dealt = slot.select(F.least("slot", "other").alias("low"), F.greatest("slot", "other").alias("high"), "id", "v", (F.col("slot") > F.col("other")).alias("side"))
+
+    def linked(frame: pd.DataFrame) -> pd.DataFrame:
+        src, dst = [], []
+        for _, own in frame.groupby(frame["v"].str.len()):
+            ids, side = own["id"].to_numpy(), own["side"].to_numpy(bool)
+            x = unit(np.stack([np.frombuffer(b) for b in own["v"]]))
+            a, b = (np.flatnonzero(side == k) for k in (False, True)) if frame["side"].any() else (np.arange(len(ids)),) * 2
+            i, j = np.nonzero(x[a] @ x[b].T >= cosine)
+            low = lowest(len(ids), a[i], b[j])
+            joined = np.flatnonzero(low != np.arange(len(ids)))
+            src += ids[joined].tolist()
+            dst += ids[low[joined]].tolist()
+        return pd.DataFrame({"src": src, "dst": dst}, dtype="int64")
+
+    return dealt.groupBy("low", "high").applyInPandas(linked, "src long, dst long")
 
 
 def direct_links(members: DataFrame, cosine: float) -> DataFrame:
