@@ -361,6 +361,12 @@ def pii_13_word_list(spark, sf):
     return table(spark, sf, "documents").select("doc_id", joined(F.transform(F.transform(words, lambda w: F.struct(w.alias("word"), F.lit("").alias("code"))), lambda w: F.concat(w["word"], F.lit("="), w["code"]))).alias("words"))
 
 
+@query()
+def pii_13_word_list_whole(spark, sf):
+    words = F.filter(F.split("text", " "), lambda w: w != "")
+    return table(spark, sf, "documents").select("doc_id", joined(F.transform(F.transform(words, lambda w: F.struct(w.alias("word"), F.lit("").alias("code"))), lambda w: F.concat(w["word"], F.lit("="), w["code"]))).alias("words"))
+
+
 # Layout: boxes from events, one page for each user and day
 
 
@@ -503,6 +509,12 @@ def lay_17_banned_tokens(spark, sf):
     return table(spark, sf, "documents").select("doc_id", joined(layout.banned_tokens(ids, F.lit(3), F.lit(40), F.array(F.lit(5)))).alias("banned"))
 
 
+@query()
+def lay_17_banned_tokens_whole(spark, sf):
+    ids = F.transform(F.split("text", " "), F.length)
+    return table(spark, sf, "documents").select("doc_id", joined(layout.banned_tokens(ids, F.lit(3), F.lit(40), F.array(F.lit(5)))).alias("banned"))
+
+
 @query("SELECT doc_id, text LIKE '%</s>' OR NOT text LIKE '%...' AS eos FROM documents")
 def lay_18_has_eos(spark, sf):
     return table(spark, sf, "documents").select("doc_id", layout.has_eos(F.col("text")).alias("eos"))
@@ -729,6 +741,11 @@ def str_2_filename(spark, sf):
     return table(spark, sf, "documents").select("doc_id", tx.secure_filename(F.substring("text", 1, 40)).alias("name"))
 
 
+@query()
+def str_2_filename_whole(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", tx.secure_filename(F.col("text")).alias("name"))
+
+
 @query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN NULL ELSE 'a/b_' || p_size || '.jpg' END AS path FROM part")
 def str_3_relpath(spark, sf):
     raw = F.when(F.col("p_partkey") % 4 == 0, "/etc/x").when(F.col("p_partkey") % 4 == 1, "a/../b").otherwise(F.format_string("a\\b_%d*.jpg", "p_size"))
