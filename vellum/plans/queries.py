@@ -244,6 +244,12 @@ def seg_0_short_documents(spark, sf):
     return segment.segment(short)
 
 
+@query()
+def seg_0_all_documents(spark, sf):
+    """Long documents too, with the defaults of production."""
+    return segment.segment(table(spark, sf, "documents").select("doc_id", F.col("text").alias("markdown")))
+
+
 @query()
 def seg_2_blank_line_cuts(spark, sf):
     return segment.segment(table(spark, sf, "documents").select("doc_id", F.replace("text", F.lit(". "), F.lit(".\n\n")).alias("markdown")), max_chars=600)
