@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from vellum.llm import near_dedup, packing, pii_scan, quality
 from vellum.llm.queries import word_bpe
-from vellum.llm.shared import written
+from vellum.llm.shared import dropped, written
 
 #: Words that the tokenizer remembers in a worker: few, as the stages before have filled the executor's heap.
 KEPT_WORDS = 100_000
@@ -31,9 +31,8 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that with the smallest id.  Rows without an id stay."""
-    gone = near_dedup.near_duplicates(docs, SIMILARITY).where("doc_id is not null and not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near duplicates: that with the smallest id.  Rows without an id or without words stay."""
+    return near_dedup.without_near_duplicates(docs, SIMILARITY)
 
 
 def redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +61,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    """Every stage's table is deleted once the next one is written; that of the last is what the result reads."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
+    for name, stage in STAGES:
+        made = written(stage(spark, docs, sf_dir), name)
+        dropped(*before)
+        docs, before = made, [made]
+    return docs

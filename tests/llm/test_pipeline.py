@@ -40,7 +40,7 @@ def test_dedup_stage(stages):
     from tests.llm.test_text_operators import plain_components
 
     before, after = stages["minhash_near_dedup"]
-    want = {i for i, (_, c) in plain_components([(r.doc_id, r.text) for r in before.collect()]).items() if i == c}
+    want = {i for i, (_, c) in plain_components([(r.doc_id, r.text) for r in before.collect()], corpus_pipeline.SIMILARITY).items() if i == c}
     assert {r.doc_id for r in after.collect()} == want
 
 

@@ -240,7 +240,7 @@ def shingles(text, n=5):
     return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if len(words) >= n else ({tuple(words)} if words else set())
 
 
-def plain_components(rows):
+def plain_components(rows, similarity=85):
     sets = {i: shingles(t) for i, t in rows}
     parent = {i: i for i in sets}
 
@@ -253,7 +253,7 @@ def plain_components(rows):
     for k, a in enumerate(ids):
         for b in ids[:k]:
             x, y = sets[a], sets[b]
-            if x and y and 100 * len(x & y) >= 85 * len(x | y):
+            if x and y and 100 * len(x & y) >= similarity * len(x | y):
                 parent[max(find(a), find(b))] = min(find(a), find(b))
     return {i: (len(sets[i]), find(i)) for i in ids}
 
@@ -268,7 +268,7 @@ def test_near_duplicates_against_plain(spark, real):
             words[rng.randrange(140)] = f"e{rng.randint(0, 99999)}"
         return " ".join(words)
 
-    rows = real[:120] + [(i, t) for i, t in EDGE if i != -5] + [(5000 + i, copy(rng.choice((0, 1, 1, 2, 2, 3, 4, 6)))) for i in range(150)] + [(-20, "one two"), (-21, "ONE\ttwo"), (-22, "a b c d e"), (-23, "a b c d f")]
+    rows = real[:120] + EDGE + [(5000 + i, copy(rng.choice((0, 1, 1, 2, 2, 3, 4, 6)))) for i in range(150)] + [(-20, "one two"), (-21, "ONE\ttwo"), (-22, "a b c d e"), (-23, "a b c d f")]
     want = plain_components({i: t for i, t in rows}.items())
     got = near_dedup.near_duplicates(documents(spark, rows)).collect()
     assert len(got) == len(rows)
@@ -276,6 +276,36 @@ def test_near_duplicates_against_plain(spark, real):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_repeated_ids_are_rows_of_their_own(spark):
+    words = [f"w{k}" for k in range(100)]
+    a, near, other = " ".join(words), " ".join([*words[:-1], "z"]), " ".join(f"u{k}" for k in range(60))
+    rows = [(1, a), (5, near), (5, other), (5, other), (7, None), (7, "")]
+    got = near_dedup.near_duplicates(documents(spark, rows)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == [(1, 96, 1, True), (5, 56, 5, True), (5, 56, 5, True), (5, 96, 1, False), (7, 0, 7, True), (7, 0, 7, True)]
+    docs = documents(spark, [*rows, (None, a), (1, a), (1, near)])
+    kept = near_dedup.without_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    texts = sorted(repr((r.doc_id, r.text)) for r in kept.collect())
+    assert len(texts) == 5 and texts[1:] == sorted(map(repr, [(5, other), (7, None), (7, ""), (None, a)])) and texts[0][:3] == "(1,"
+
+
+def test_outliers_beside_a_large_group_cost_little(spark):
+    """Rows of the second round go with the large component, not with its square."""
+    key = [(k, 0, i, 0) for k in range(3) for i in range(2000)] + [(k, 0, 5000 + i, 5000 + i) for k in range(3) for i in range(3)]
+    left = spark.createDataFrame(key, "key long, place byte, id long, c long")
+    made = near_dedup.blocks(left)
+    assert made.count() < 1.2 * len(key)
+    meet: dict = {}
+    for r in made.collect():
+        meet.setdefault((r.key, r.low, r.high), []).append((r.id, r.side))
+    pairs = set()
+    for (k, low, high), rows in meet.items():
+        for i, s in rows:
+            pairs |= {(k, i, j) for j, t in rows if i != j and (low == high or s != t)}
+    assert all((k, i, 5000 + o) in pairs for k in range(3) for i in range(2000) for o in range(3))
+    assert all((k, 5000 + a, 5000 + b) in pairs for k in range(3) for a in range(3) for b in range(3) if a != b)
+
+
 def test_near_duplicates_edges(spark):
     docs = documents(spark, [(1, "a b c")])
     assert near_dedup.near_duplicates(docs.limit(0)).count() == 0

@@ -2,15 +2,18 @@
 
 A document's set of word shingles gives a signature of POSITIONS minima of 16 bits.  Two
 documents are candidates if at most DISTANCE positions differ (more for a similarity asked for
-below SIMILARITY).  The positions are split into CHUNKS; by the pigeonhole principle two such signatures differ in at most one position of
-some chunk, so every chunk is indexed once for each position left out, and equal keys find
-all pairs under the distance.  Links are confirmed on the full sets.
-
-Equal sets form classes that are joined by their smallest document alone.  Within an index
-key documents are first compared with the key's most connected one, so a large group of
-near copies costs about as many comparisons as it has documents.  Where that leaves a key's
-documents in different components, signatures are compared across them in blocks of bounded
-size, by a second and longer signature too; only pairs near by both are put out and confirmed.
+below SIMILARITY).  The positions are split into CHUNKS; by the pigeonhole principle two such
+signatures differ in at most one position of some chunk, so every chunk is indexed once for
+each position left out, and equal keys find all pairs under the distance.  Links are
+confirmed on the full sets.
+
+Equal sets form classes, whatever ids they stand under, and each class is compared once.
+Within an index key documents are first compared with the key's most connected one, so a
+large group of near copies costs about as many comparisons as it has documents.  Where that
+leaves a key's documents in different components, signatures are compared across them in
+blocks of bounded size, by a second and longer signature too; only pairs near by both are
+put out and confirmed.  The documents of the key's largest component meet only those outside
+it there, so that a few outliers beside a large group cost a few times the group's size.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.shared import components, dropped, map_arrow, parts, written
+from vellum.llm.shared import components, dropped, finished, map_arrow, partitions_for, parts, written
 
 WORDS = 5
 SIMILARITY, LEAST = 85, 80  # per cent
@@ -59,7 +62,7 @@ def reach(similarity: int) -> Reach:
 
 USUAL = reach(SIMILARITY)
 CHUNKS, DISTANCE, LONG_DISTANCE = USUAL
-BLOCK = 512
+BLOCK, ROWS_A_PARTITION = 512, 50_000
 FILTER_BITS = 1 << 26
 
 _rng = np.random.default_rng(20240229)
@@ -147,8 +150,13 @@ def index_keys(signatures: np.ndarray, chunks: int = CHUNKS) -> np.ndarray:
     return mixed(chunk[:, chunk_of] - each + PLACE).view(np.int64)
 
 
+def identified(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(id, text, text_a, text_b): the last two are a 128-bit digest of the text, which tells rows of one id apart."""
+    return docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).select("id", "text", F.xxhash64("text").alias("text_a"), F.xxhash64("text", F.lit(1)).alias("text_b"))
+
+
 def sketch(docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
-    """id, n_shingles, set_a, set_b (a 128-bit digest of the set) and sig of every row."""
+    """id, text_a, text_b, n_shingles, set_a, set_b (a 128-bit digest of the set) and sig of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -157,15 +165,18 @@ def sketch(docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
                 sums = [(mixed(s).sum(dtype=np.uint64), mixed(s ^ BASE).sum(dtype=np.uint64)) for s in sets]
                 digest = np.array(sums, np.uint64).reshape(-1, 2).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array([signature(s).tobytes() for s in sets], pa.binary())],
-                    names=["id", "n_shingles", "set_a", "set_b", "sig"],
-                )
+                    [
+                        *(batch.column(k) for k in (0, 2, 3)), pa.array([len(s) for s in sets], pa.int64()),
+                        pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array([signature(s).tobytes() for s in sets], pa.binary()),
+                    ],
+                    names=["id", "text_a", "text_b", "n_shingles", "set_a", "set_b", "sig"],
+                )
 
-    return map_arrow(docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")), run, "id long, n_shingles long, set_a long, set_b long, sig binary")
+    return map_arrow(identified(docs, doc_id, text), run, "id long, text_a long, text_b long, n_shingles long, set_a long, set_b long, sig binary")
 
 
 def keyed(classes: DataFrame, far: Reach) -> DataFrame:
-    """(id, key) rows of (id, sig)."""
+    """(id, key, place) rows of classes (cid, sig); id is the class's number from here on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,13 +186,16 @@ def keyed(classes: DataFrame, far: Reach) -> DataFrame:
                 place = np.tile(np.arange(POSITIONS, dtype=np.int8), len(sigs))
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(index_keys(sigs, far.chunks).ravel()), pa.array(place)], names=["id", "key", "place"])
 
-    return map_arrow(classes.select("id", "sig"), run, "id long, key long, place byte")
+    return map_arrow(classes.select("cid", "sig"), run, "id long, key long, place byte")
+
 
+def filter_bit():
+    return F.pmod(F.xxhash64("id", "text_a", "text_b"), F.lit(FILTER_BITS))
 
-def id_filter(ids: DataFrame) -> np.ndarray:
-    """Bit field of FILTER_BITS bits (8 MB, whatever the input) with the hashes of ``ids`` set."""
-    bit = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
-    rows = ids.select((bit + 1).alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+
+def row_filter(rows: DataFrame) -> np.ndarray:
+    """Bit field of FILTER_BITS bits (8 MB, whatever the input) with the hashes of ``rows`` (id, text_a, text_b) set."""
+    rows = rows.select((filter_bit() + 1).alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
     field = np.zeros(FILTER_BITS // 8 + 8192, np.uint8)
     for r in rows.toLocalIterator():
         at = (r["bucket"] - 1) * 4096
@@ -189,27 +203,30 @@ def id_filter(ids: DataFrame) -> np.ndarray:
     return field
 
 
-def sets_of(docs: DataFrame, ids: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
-    """(id, shingles, long) of the documents in ``ids``; a bit field keeps other texts from moving."""
-    field = docs.sparkSession.sparkContext.broadcast(id_filter(ids))
-    chosen = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).withColumn("bit", F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)))
+def sets_of(docs: DataFrame, classes: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
+    """(cid, shingles, long) of ``classes`` (cid, id, text_a, text_b); a bit field keeps other texts from moving."""
+    field = docs.sparkSession.sparkContext.broadcast(row_filter(classes))
+    chosen = identified(docs, doc_id, text).withColumn("bit", filter_bit())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = field.value
         for batch in batches:
-            at = batch.column(2).to_numpy()
+            at = batch.column(4).to_numpy()
             batch = batch.filter(pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
             for part in parts(batch, 1, 1024, 1_000_000):
                 sets = shingle_sets(part.column(1).to_pylist(), words)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([long_signature(s).tobytes() for s in sets], pa.binary())], names=["id", "shingles", "long"])
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(k) for k in (0, 2, 3)), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([long_signature(s).tobytes() for s in sets], pa.binary())],
+                    names=["id", "text_a", "text_b", "shingles", "long"],
+                )
 
-    found = map_arrow(chosen, run, "id long, shingles binary, long binary")
-    return found.join(ids, "id", "left_semi").dropDuplicates(["id"])
+    found = map_arrow(chosen, run, "id long, text_a long, text_b long, shingles binary, long binary")
+    return found.join(classes, ["id", "text_a", "text_b"]).select("cid", "shingles", "long").dropDuplicates(["cid"])
 
 
 def near(pairs: DataFrame, classes: DataFrame, far: Reach) -> DataFrame:
     """Those (a, b) whose signatures differ in at most far.distance positions."""
-    sig = classes.select("id", "sig")
+    sig = classes.select(F.col("cid").alias("id"), "sig")
     both = pairs.join(sig.withColumnsRenamed({"id": "a", "sig": "sig_a"}), "a").join(sig.withColumnsRenamed({"id": "b", "sig": "sig_b"}), "b").select("a", "b", "sig_a", "sig_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,12 +238,15 @@ def near(pairs: DataFrame, classes: DataFrame, far: Reach) -> DataFrame:
     return map_arrow(both, run, "a long, b long")
 
 
-def crossing(ids, component, sig, long, side, place: int, far: Reach) -> np.ndarray:
-    """Pairs (n, 2) of a block's rows: of different components, near by both signatures, with no earlier common key."""
-    rows, columns = (np.flatnonzero(side == k) for k in (0, 1)) if side.any() else (np.arange(len(ids)),) * 2
+def crossing(ids, component, sig, long, side, within: bool, place: int, far: Reach) -> np.ndarray:
+    """Pairs (n, 2) of a block's rows: of different components, near by both signatures, with no earlier common key.
+
+    within: pairs of all rows; else those of a row of side 0 and one of side 1.
+    """
+    rows, columns = (np.arange(len(ids)),) * 2 if within else (np.flatnonzero(side == k) for k in (0, 1))
     i, j = np.nonzero(component[rows][:, None] != component[columns][None, :])
     i, j = rows[i], columns[j]
-    if not side.any():
+    if within:
         i, j = i[i < j], j[i < j]
     near = np.concatenate([(sig[i[at : at + 65536]] != sig[j[at : at + 65536]]).sum(axis=1) <= far.distance for at in range(0, len(i), 65536)] or [np.zeros(0, bool)])
     i, j = i[near], j[near]
@@ -237,20 +257,44 @@ def crossing(ids, component, sig, long, side, place: int, far: Reach) -> np.ndar
     return np.stack([ids[i[first]], ids[j[first]]], axis=1)
 
 
-def across(left: DataFrame, classes: DataFrame, sets: DataFrame, partitions: int, far: Reach) -> DataFrame:
-    """(a, b): pairs that share a key and stand in different components, near by both signatures.
+def blocks(left: DataFrame) -> DataFrame:
+    """(key, low, high, place, id, c, side) of ``left`` (key, place, id, c): the blocks in which rows meet.
+
+    A key's documents are its largest component's and the others, each dealt to slots of
+    about BLOCK.  Others meet in pairs of slots (low <= high), and each of their slots meets
+    those of the largest component (low < 0); rows of the largest component don't meet one
+    another.  With m rows there and o others, that is about m * o / BLOCK rows, never m * m.
+    """
+    sizes = left.groupBy("key", "c").agg(F.count("*").alias("n"))
+    slots = lambda n: F.ceil(n / BLOCK).cast("int")
+    key = sizes.groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.max("n").alias("m"), F.sum("n").alias("n"))
+    key = key.select("key", "main", slots(F.col("m")).alias("main_slots"), slots(F.col("n") - F.col("m")).alias("slots"))
+    told = left.join(key, "key").withColumn("inside", F.col("c") == F.col("main"))
+    told = told.withColumn("slot", F.pmod(F.xxhash64("id"), F.when(F.col("inside"), F.col("main_slots")).otherwise(F.col("slots"))).cast("int"))
+    own = ["key", "place", "id", "c"]
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias("other")
+    inside = told.where("inside").select(*own, "slot", upto("slots")).select(*own, (-1 - F.col("slot")).alias("low"), F.col("other").alias("high"), F.lit(0).alias("side"))
+    outside = told.where("not inside")
+    facing = outside.select(*own, "slot", upto("main_slots")).select(*own, (-1 - F.col("other")).alias("low"), F.col("slot").alias("high"), F.lit(1).alias("side"))
+    # Others that are all of one component have no pairs among themselves.
+    kinds = sizes.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 2").select("key")
+    paired = (
+        outside.join(kinds, "key", "left_semi")
+        .select(*own, "slot", upto("slots"))
+        .select(*own, F.least("slot", "other").alias("low"), F.greatest("slot", "other").alias("high"), (F.col("slot") > F.col("other")).cast("int").alias("side"))
+    )
+    return inside.union(facing).union(paired).select("key", "low", "high", "place", "id", "c", "side")
+
+
+def across(left: DataFrame, classes: DataFrame, sets: DataFrame, far: Reach) -> DataFrame:
+    """(a, b): pairs of ``left`` (key, place, id, c) that share a key and stand in different components, near by both signatures.
 
-    left: (key, place, id, c).  A key's documents are dealt to slots of about BLOCK; blocks are
-    pairs of slots, sorted together and worked through one after another, so a task holds one
+    Blocks are sorted together and worked through one after another, so a task holds one
     block at a time however many documents share a key.
     """
-    size = left.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("slots"))
-    slot = left.join(size, "key").withColumn("slot", F.pmod(F.xxhash64("id"), F.col("slots")).cast("int"))
-    partner = F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("other")
-    dealt = (
-        slot.select("key", "place", "id", "c", "slot", partner)
-        .select("key", "place", "id", "c", F.least("slot", "other").alias("low"), F.greatest("slot", "other").alias("high"), (F.col("slot") > F.col("other")).cast("int").alias("side"))
-        .join(classes.select("id", "sig"), "id").join(sets.select("id", "long"), "id")
+    dealt = written(blocks(left), "blocks")
+    both = (
+        dealt.join(classes.select(F.col("cid").alias("id"), "sig"), "id").join(sets.select(F.col("cid").alias("id"), "long"), "id")
         .select("key", "low", "high", "place", "id", "c", "side", "sig", "long")
     )
 
@@ -261,7 +305,8 @@ def across(left: DataFrame, classes: DataFrame, sets: DataFrame, partitions: int
                 return None
             sig = np.frombuffer(b"".join(table.column(7).to_pylist()), np.uint16).reshape(-1, POSITIONS)
             long = np.frombuffer(b"".join(table.column(8).to_pylist()), np.uint8).reshape(-1, LONG)
-            found = crossing(ids, c, sig, long, side, int(table.column(3)[0].as_py()), far)
+            within = table.column(1)[0].as_py() == table.column(2)[0].as_py()
+            found = crossing(ids, c, sig, long, side, within, int(table.column(3)[0].as_py()), far)
             return pa.RecordBatch.from_arrays([pa.array(found.min(axis=1)), pa.array(found.max(axis=1))], names=["a", "b"]) if len(found) else None
 
         kept: pa.Table | None = None
@@ -282,15 +327,18 @@ def across(left: DataFrame, classes: DataFrame, sets: DataFrame, partitions: int
             if out is not None:
                 yield out
 
-    ordered = dealt.repartition(partitions, "key", "low", "high").sortWithinPartitions("key", "low", "high")
-    return map_arrow(ordered, run, "a long, b long")
+    partitions = partitions_for(left.sparkSession, dealt.count(), ROWS_A_PARTITION)
+    ordered = both.repartition(partitions, "key", "low", "high").sortWithinPartitions("key", "low", "high")
+    found = written(map_arrow(ordered, run, "a long, b long"), "pairs")
+    dropped(dealt)
+    return found
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     """(src, dst) of the pairs whose full sets are similar enough."""
     both = (
-        pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
-        .join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+        pairs.join(sets.select(F.col("cid").alias("a"), F.col("shingles").alias("x")), "a")
+        .join(sets.select(F.col("cid").alias("b"), F.col("shingles").alias("y")), "b")
         .select("a", "b", "x", "y")
     )
 
@@ -306,21 +354,19 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     return map_arrow(both, run, "src long, dst long")
 
 
-def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, words: int = WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
+def row_components(docs: DataFrame, similarity: int, words: int, doc_id: str, text: str) -> DataFrame:
+    """A written table with id, text_a, text_b, n_shingles and component (null where the row links with nothing) of every row.
 
-    similarity is LEAST at least; below SIMILARITY the distances grow with it.  Documents link if 100 * |intersection| >= similarity * |union| of their shingle sets, held
-    as 64-bit hashes; component_id is the smallest doc_id reachable, kept marks that document.
-    Null and empty texts have no shingles and link with nothing.  Rows that share an id and a
-    text are one document: all are kept or none.  A null id takes no part: its component_id
-    is null and kept is false.  Other columns aren't used.
+    component is a number of the component's own; a class that links with no other is one too.
     """
     if similarity < LEAST:
         raise ValueError(f"similarity is {LEAST} at least ({SIMILARITY} unless asked for)")
     far = reach(similarity)
     drawn = written(sketch(docs, doc_id, text, words), "sketch")
     full = drawn.where("n_shingles > 0 and id is not null")
-    classes = written(full.groupBy("set_a", "set_b").agg(F.min("id").alias("id"), F.first("sig").alias("sig")), "classes")
+    # A class is named by a number that is given when the table is written; ids may stand on several texts.
+    one = full.groupBy("set_a", "set_b").agg(F.min(F.struct("id", "text_a", "text_b")).alias("row"), F.first("sig").alias("sig"))
+    classes = written(one.select("set_a", "set_b", "row.*", "sig", F.monotonically_increasing_id().alias("cid")), "classes")
     rows = keyed(classes, far)
     sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = written(rows.join(sizes, "key").select("id", "key", "place", "n"), "keys")
@@ -328,22 +374,62 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, words: int =
     hubs = shared.join(degree, "id").groupBy("key").agg(F.max_by("id", F.struct("degree", -F.col("id"))).alias("hub"))
     star = shared.join(hubs, "key").where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
     first = written(near(star, classes, far), "pairs")
-    sets = written(sets_of(docs, shared.select("id").distinct(), doc_id, text, words), "sets")
+    met = classes.join(shared.select(F.col("id").alias("cid")).distinct(), "cid", "left_semi").select("cid", "id", "text_a", "text_b")
+    sets = written(sets_of(docs, met, doc_id, text, words), "sets")
     links = written(confirmed(first, sets, similarity), "links")
     label = components(links)
     # Keys whose documents are still in several components: their pairs across components, all of them.
     told = shared.join(label, "id", "left").select("key", "place", "id", F.coalesce("component", "id").alias("c"))
     mixed_keys = told.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
     left = written(told.join(mixed_keys, "key", "left_semi"), "left")
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    more = written(confirmed(across(left, classes, sets, partitions, far), sets, similarity), "links")
-    for table in (left, sets):
-        dropped(table)
+    dropped(shared, first, label)
+    pairs = across(left, classes, sets, far)
+    more = written(confirmed(pairs, sets, similarity), "links")
+    dropped(left, sets, pairs)
     label = components(links.union(more))
-    named = classes.select("set_a", "set_b", "id").join(label, "id", "left").select("set_a", "set_b", F.coalesce("component", "id").alias("component"))
-    return (
-        drawn.select(F.col("id").alias("doc_id"), "n_shingles", F.when(F.expr("n_shingles > 0 and id is not null"), F.col("set_a")).alias("set_a"), "set_b")
-        .join(named, ["set_a", "set_b"], "left")
-        .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
-        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
-    )
+    named = classes.select("set_a", "set_b", F.col("cid").alias("id")).join(label, "id", "left").select("set_a", "set_b", F.coalesce("component", "id").alias("component"))
+    # Rows that take no part are dealt by their texts: null keys would all meet in one task.
+    real = F.expr("n_shingles > 0 and id is not null")
+    dealt = drawn.select("id", "text_a", "text_b", "n_shingles", F.when(real, F.col("set_a")).otherwise(F.xxhash64("id", "text_a")).alias("set_a"), "set_b")
+    found = dealt.join(named, ["set_a", "set_b"], "left").withColumn("component", F.when(real, F.col("component")))
+    return finished(found.select("id", "text_a", "text_b", "n_shingles", "component"), "components", drawn, classes, links, more, label)
+
+
+def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, words: int = WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
+
+    similarity is LEAST at least; below SIMILARITY the distances grow with it.  Documents link
+    if 100 * |intersection| >= similarity * |union| of their shingle sets, held as 64-bit
+    hashes; component_id is the smallest doc_id reachable, kept marks that document.
+    Null and empty texts have no shingles and link with nothing; texts of any length are
+    compared whole.  Rows that share an id and a text are one document: all are kept or none;
+    rows that share an id alone are documents of their own.  A null id takes no part: its
+    component_id is null and kept is false.  An empty table gives no rows.  Other columns
+    aren't used.
+    """
+    rows = row_components(docs, similarity, words, doc_id, text)
+    least = rows.where("component is not null").groupBy("component").agg(F.min("id").alias("least"))
+    apart = F.coalesce("component", -1 - F.pmod(F.xxhash64("id", "text_a"), F.lit(1 << 20)))  # components are numbers from 0
+    out = rows.withColumn("component", apart).join(least, "component", "left").select(F.col("id").alias("doc_id"), "n_shingles", F.coalesce("least", "id").alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
+def without_near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, words: int = WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of near duplicates: that of the smallest id (then of the smallest digest of its text).
+
+    Rows without an id and rows without words all stay, as they link with nothing.  Rows that
+    share an id and a text are one document, of which one row stays.  Decisions are on rows,
+    not on ids: another text under a removed document's id stays.
+    """
+    rows = row_components(docs, similarity, words, doc_id, text)
+    key = ["id", "text_a", "text_b"]
+    each = rows.where("component is not null").groupBy("component", *key).agg(F.count("*").alias("n"))
+    first = each.groupBy("component").agg(F.min(F.struct(*key)).alias("first"))
+    judged = each.join(first, "component").withColumn("stays", F.struct(*key) == F.col("first")).where("not stays or n > 1")
+    verdicts = finished(judged.select(*[F.col(k).alias(f"__{k}") for k in key], "stays"), "verdicts", rows)
+    made = {"__id": F.col(doc_id).cast("long"), "__text_a": F.xxhash64(F.col(text)), "__text_b": F.xxhash64(F.col(text), F.lit(1))}
+    told, names = docs.withColumns(made), [f"__{k}" for k in key]
+    kept = told.join(verdicts, names, "left_anti")
+    if not verdicts.where("stays").isEmpty():
+        kept = kept.union(told.join(verdicts.where("stays").select(*names), names, "left_semi").dropDuplicates(names))
+    return kept.select(*docs.columns)

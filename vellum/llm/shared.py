@@ -14,9 +14,12 @@ from vellum.shipping import ship
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share: the session's spark.checkpoint.dir.
 
-    Only where that setting is unset (tests, local mode) is a local folder used.
+    A local folder stands in for it in local mode alone, where there is one machine; on a
+    cluster without the setting this raises.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (found or "/tmp/vellum-checkpoints").rstrip("/")
 
 
@@ -101,12 +104,25 @@ def parts(batch, column: int, rows: int, size: int = 4_000_000):
         yield batch.slice(begin)
 
 
-def dropped(df: DataFrame) -> None:
-    """Delete a table made by ``written`` that nothing reads any more."""
-    path, spark = df._vellum_path, df.sparkSession
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables made by ``written`` that nothing reads any more."""
+    for df in tables:
+        path, spark = df._vellum_path, df.sparkSession
+        jvm = spark.sparkContext._jvm
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def finished(result: DataFrame, name: str, *tables: DataFrame) -> DataFrame:
+    """``result`` written as its own table, after which the ``tables`` that it was made from are deleted."""
+    out = written(result, name)
+    dropped(*tables)
+    return out
+
+
+def partitions_for(spark: SparkSession, rows: int, each: int) -> int:
+    """Shuffle partitions of about ``each`` rows, the session's number at least."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // each))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -115,7 +131,8 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating large-star and small-star steps; each star is a grouped minimum
     joined back to its edges, so no neighbour list is ever gathered.  Returns
     (id, component) for every node that has an edge to another node, component
-    being the smallest id reachable.  Nulls and self loops take no part.
+    being the smallest id reachable.  Nulls and self loops take no part.  The result
+    reads a written table, which ``dropped`` deletes.
     """
     edge = written(
         edges.select(F.greatest("src", "dst").cast("long").alias("u"), F.least("src", "dst").cast("long").alias("v"))
@@ -150,7 +167,9 @@ def components(edges: DataFrame) -> DataFrame:
         dropped(edge)
         edge = step
         if state == now:
-            return edge.select(F.col("u").alias("id"), F.col("v").alias("component")).union(
+            found = edge.select(F.col("u").alias("id"), F.col("v").alias("component")).union(
                 edge.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
             )
+            found._vellum_path = edge._vellum_path
+            return found
         state = now
