@@ -103,7 +103,7 @@ def test_large_components_in_blocks(spark, monkeypatch):
 
 
 def test_passes_grow_with_rows():
-    assert vector_dedup.passes_for(1000) <= vector_dedup.passes_for(10**6) < vector_dedup.passes_for(10**9) <= vector_dedup.MOST_PASSES
+    assert vector_dedup.passes_for(1000) <= vector_dedup.passes_for(10**6) < vector_dedup.passes_for(10**9) < vector_dedup.passes_for(10**12)
 
 
 def hot_vectors(n, hot, cosine, pairs, seed=0):
@@ -132,6 +132,37 @@ def test_dense_region_is_whole(spark):
     assert [got[k].n_links for k in range(len(x))] == (linked | linked.T).sum(axis=1).tolist()
 
 
+def doubles(spark, rows):
+    return spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+
+
+def test_squares_may_leave_the_doubles(spark):
+    rows = [(1, [1e-200, 0.0]), (2, [1e-200, 1e-210]), (3, [1e200, 1e190]), (4, [1e200, 0.0]), (5, [0.0, 1.0]), (6, [0.0, -1.0])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vector_dedup.near_vectors(doubles(spark, rows)).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 5: (0, 5), 6: (0, 6)}
+
+
+def test_rows_of_one_vec_id_are_told_apart(spark):
+    rows = [(1, [1.0, 0.0, 0.0]), (5, [1.0, 0.01, 0.0]), (5, [0.0, 0.0, 1.0]), (7, [2.0, 0.0, 0.0]), (7, [2.0, 0.0, 0.0])]
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in vector_dedup.near_vectors(doubles(spark, rows)).collect())
+    assert got == [(1, 3, 1, True), (5, 0, 5, True), (5, 3, 1, False), (7, 3, 1, False), (7, 3, 1, False)]
+
+
+def test_coarse_vectors_decide_or_say_so():
+    """Certain links are links, and no link is neither certain nor open."""
+    rng = np.random.default_rng(3)
+    x = vector_dedup.unit(rng.standard_normal((4, 16))[rng.integers(0, 4, 300)] + rng.standard_normal((300, 16)) * 0.25)
+    q, error = vector_dedup.coarse(x)
+    y, own = vector_dedup.unit(q.astype(float)), np.zeros(300, int)
+    assert (np.sqrt(((x - y) ** 2).sum(axis=1)) <= error).all()
+    low, may = vector_dedup.window_pairs(y, error, own, 0.95, 64)
+    near = np.triu(x @ x.T >= 0.95, 1) & ~np.tri(300, 300, -1, dtype=bool) & (np.arange(300)[None] - np.arange(300)[:, None] <= 64)
+    want, opened = vector_dedup.lowest(300, *np.nonzero(near)), {tuple(p) for p in may.tolist()}
+    assert all(want[i] == want[low[i]] for i in range(300))
+    assert all(low[i] == low[j] or (i, j) in opened for i, j in np.argwhere(near).tolist())
+    assert len(opened) < near.sum()
+
+
 def test_run_bits_against_plain():
     rng = np.random.default_rng(2)
     own = np.repeat([0, 1], [150, 100])

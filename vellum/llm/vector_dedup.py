@@ -3,9 +3,15 @@
 Each pass hashes a vector to the signs of its products with random directions, joins them to
 a key and orders all vectors by it.  Neighbours within a window are compared; verified links
 of all passes are united into components.  Equal vectors are one class from the start.
+
+What a pass moves is a key and the vector in bytes, one for each component, whose distance
+from the vector is known: that tells nearly all pairs, and the few so near the threshold that
+it doesn't are compared in double precision.
+
 How far passes reach is measured: two vectors that share the bits which leave a window of rows
 around one of them have met.  Where vectors are so dense that this isn't likely enough over all
-passes, all of them are compared with one another, block by block.
+passes, those that are still in different components are compared with one another, block by
+block; the largest component's rows meet only those outside it.
 
 Directly linked vectors are then counted within components: members so near to the
 component's first vector that they must link with one another are counted by their number,
@@ -23,16 +29,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.shared import components, map_arrow, written
+from vellum.llm.shared import components, dropped, finished, map_arrow, partitions_for, written
 from vellum.shipping import ship
 
 COSINE, WINDOW, BITS = 0.95, 64, 48
 #: A pair at the threshold is missed by all passes at most so often; pairs nearer by far are not missed.
 MISSED = 0.001
-LEAST_PASSES, MOST_PASSES = 12, 400
+LEAST_PASSES = 12
 #: Passes made for each that evenly spread rows need: runs are uneven, and every row short of passes is compared with all such rows.
 SPARE = 1.3
-ROWS_A_PARTITION, CHUNK = 20_000, 1024
+ROWS_A_PARTITION, CHUNK, LEAST_CHUNK = 100_000, 1024, 64
+#: More than the error of a cosine in double precision.
+SLACK = 1e-9
 
 
 def passes_for(rows: int, cosine: float = COSINE, window: int = WINDOW, missed: float = MISSED) -> int:
@@ -42,7 +50,7 @@ def passes_for(rows: int, cosine: float = COSINE, window: int = WINDOW, missed:
     window of rows; each bit is shared with probability 1 - angle / pi.
     """
     shared = (1 - math.acos(cosine) / math.pi) ** max(0.0, math.log2(max(1, rows) / window))
-    return min(MOST_PASSES, max(LEAST_PASSES, math.ceil(math.log(missed) / math.log1p(-min(shared, 1 - 1e-9)))))
+    return max(LEAST_PASSES, math.ceil(math.log(missed) / math.log1p(-min(shared, 1 - 1e-9))))
 
 
 def directions(dim: int, turn: int) -> np.ndarray:
@@ -50,9 +58,17 @@ def directions(dim: int, turn: int) -> np.ndarray:
 
 
 def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1; they are brought to a largest component of 1 first, so that no square leaves the doubles."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def coarse(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, error) of unit vectors: the bytes' direction is within ``error`` of the vector."""
+    q = np.rint(x * (127 / np.abs(x).max(axis=1, keepdims=True))).astype(np.int8)
+    return q, np.sqrt(((unit(q.astype(np.float64)) - x) ** 2).sum(axis=1)) + SLACK
+
+
 def lowest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """For each of n rows the lowest one that links (i, j) reach."""
     low = np.arange(n)
@@ -81,19 +97,30 @@ def run_bits(keys: np.ndarray, own: np.ndarray, window: int) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(shared, window + 1).max(axis=1) + 1
 
 
-def first_linked(x: np.ndarray, own: np.ndarray, cosine: float, window: int) -> np.ndarray:
-    """For rows in order the lowest row reached by links between rows at most ``window`` apart; own: the rows' pass."""
+def window_pairs(x: np.ndarray, error: np.ndarray, own: np.ndarray, cosine: float, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(low, open) for rows in order, compared with those at most ``window`` on; own: the rows' pass.
+
+    low: for each row the lowest one reached by links that are certain; open (n, 2): pairs that
+    may link but needn't and that certain links don't join.  x: unit vectors, known but for ``error``.
+    """
     n = len(x)
-    linked = []
+    linked, may = [], []
     for begin in range(0, n, 256):
         end, upto = min(n, begin + 256), min(n, begin + 256 + window)
-        i, j = np.nonzero(x[begin:end] @ x[begin:upto].T >= cosine)
+        dot = x[begin:end] @ x[begin:upto].T
+        i, j = np.nonzero(dot >= cosine - error[begin:end, None] - error[None, begin:upto] - SLACK)
         good = (j > i) & (j - i <= window)
-        i, j = i[good] + begin, j[good] + begin
+        i, j = i[good], j[good]
+        sure = dot[i, j] >= cosine + error[begin + i] + error[begin + j] + SLACK
+        i, j = i + begin, j + begin
         same = own[i] == own[j]
-        linked.append(np.stack([i[same], j[same]]))
+        linked.append(np.stack([i[same & sure], j[same & sure]]))
+        may.append(np.stack([i[same & ~sure], j[same & ~sure]]))
     i, j = np.concatenate(linked, axis=1) if linked else np.zeros((2, 0), np.intp)
-    return lowest(n, i, j)
+    low = lowest(n, i, j)
+    i, j = np.concatenate(may, axis=1) if may else np.zeros((2, 0), np.intp)
+    apart = low[i] != low[j]
+    return low, np.stack([i[apart], j[apart]], axis=1)
 
 
 def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
@@ -105,7 +132,7 @@ def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
             for v in batch.column(1):
                 v = v.values
                 x = None if v is None or v.null_count or not len(v) else v.to_numpy(zero_copy_only=False)
-                if x is not None and np.isfinite(x).all() and 0 < float(x @ x) < math.inf:
+                if x is not None and np.isfinite(x).all() and x.any():
                     out.append((x + 0.0).astype("<f8").tobytes())
                 else:
                     out.append(None)
@@ -114,104 +141,162 @@ def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     return map_arrow(vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("embedding")), run, "vec_id long, v binary")
 
 
-def windowed_links(classes: DataFrame, rows: int, cosine: float, window: int) -> DataFrame:
-    """(src, dst) of (id, v): verified links that join all that windows of all passes link, and all within dense rows."""
-    turns = min(MOST_PASSES, math.ceil(SPARE * passes_for(rows, cosine, window)))
+def record(turn: int, bits: np.ndarray, ids: np.ndarray, error: np.ndarray, q: np.ndarray) -> list[bytes]:
+    """What a pass moves, a row each, in the order of the bytes: pass, length, key, id, error, vector in bytes."""
+    n = len(ids)
+    head = np.empty((n, 6), np.uint8)
+    head[:] = np.frombuffer(np.array([turn], ">u2").tobytes() + np.array([q.shape[1]], ">u4").tobytes(), np.uint8)
+    made = np.concatenate([head, bits, ids.astype(">i8")[:, None].view(np.uint8), error.astype("<f4")[:, None].view(np.uint8), q.view(np.uint8)], axis=1)
+    return [row.tobytes() for row in made]
+
+
+KEY, ID, ERROR, VECTOR = 6, 6 + BITS // 8, 14 + BITS // 8, 18 + BITS // 8
+
+
+def read_records(rows: list[bytes]) -> tuple[np.ndarray, ...]:
+    """pass (and length), keys, ids, errors and unit vectors of records of one length."""
+    raw = np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1)
+    own = np.ascontiguousarray(raw[:, :2]).view(">u2")[:, 0].astype(np.int64)
+    ids = np.ascontiguousarray(raw[:, ID:ERROR]).view(">i8")[:, 0].astype(np.int64)
+    error = np.ascontiguousarray(raw[:, ERROR:VECTOR]).view("<f4")[:, 0].astype(np.float64)
+    return own, raw[:, KEY:ID], ids, error, unit(np.ascontiguousarray(raw[:, VECTOR:]).view(np.int8).astype(np.float64))
+
+
+def by_length(rows: list[bytes]) -> list[list[bytes]]:
+    sizes: dict[int, list[bytes]] = {}
+    for r in rows:
+        sizes.setdefault(len(r), []).append(r)
+    return list(sizes.values())
+
+
+def windowed_links(classes: DataFrame, rows: int, cosine: float, window: int) -> tuple[DataFrame, DataFrame]:
+    """Two written tables for (id, v): (src, dst) of verified links that join all that windows of all passes link, and (id) of dense rows."""
+    turns = math.ceil(SPARE * passes_for(rows, cosine, window))
     share = 1 - math.acos(cosine) / math.pi
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, blobs = batch.column(0).to_numpy(), np.array(batch.column(1).to_pylist(), dtype=object)
+            ids, blobs = batch.column(0).to_numpy(), batch.column(1).to_pylist()
             for size in {len(b) for b in blobs}:
                 at = np.flatnonzero([len(b) == size for b in blobs])
-                x = np.stack([np.frombuffer(b) for b in blobs[at]])
+                x = unit(np.stack([np.frombuffer(blobs[i]) for i in at]))
+                q, error = coarse(x)
                 for turn in range(turns):
                     bits = np.packbits(x @ directions(x.shape[1], turn) > 0, axis=1)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(at), turn * 100_000 + x.shape[1])), pa.array([b.tobytes() for b in bits], pa.binary()), pa.array(ids[at]), pa.array(list(blobs[at]), pa.binary())],
-                        names=["turn", "key", "id", "v"],
-                    )
+                    yield pa.RecordBatch.from_arrays([pa.array(record(turn, bits, ids[at], np.nextafter(error.astype(np.float32), np.float32(9)), q), pa.binary())], names=["row"])
+
+    names = ["src", "dst", "sure", "edge", "row", "miss"]
+    schema = "src long, dst long, sure boolean, edge long, row binary, miss double"
+
+    def out(n, **given):
+        types = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.float64())
+        return pa.RecordBatch.from_arrays([pa.array(given[k], t) if k in given else pa.nulls(n, t) for k, t in zip(names, types, strict=True)], names=names)
+
+    def pairs(rows: list[bytes]) -> Iterator[pa.RecordBatch]:
+        for own in by_length(rows):
+            turn, _, ids, error, x = read_records(own)
+            low, may = window_pairs(x, error, turn, cosine, window)
+            joined = np.flatnonzero(low != np.arange(len(ids)))
+            yield out(len(joined), src=ids[joined], dst=ids[low[joined]], sure=[True] * len(joined))
+            yield out(len(may), src=ids[may].min(axis=1), dst=ids[may].max(axis=1), sure=[False] * len(may))
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Links within a sorted partition, and its first and last window for comparison with its neighbours."""
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        turn, ids, blobs, head = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
-        every, names = [], ["src", "dst", "edge", "place", "turn", "v", "miss"]
-
-        def out(src, dst, edge, place, turns_, vs, miss=None):
-            n = len(src)
-            return pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64()), pa.array([edge] * n, pa.int64()), pa.array(place, pa.int64()), pa.array(turns_, pa.int64()), pa.array(vs, pa.binary()), pa.nulls(n, pa.float64()) if miss is None else pa.array(miss)], names=names)
-
+        kept: list[bytes] = []
+        every, head = [], 0
         for batch in batches:
-            new_turn, new_ids, new_blobs = batch.column(0).to_numpy(), batch.column(2).to_numpy(), batch.column(3).to_pylist()
-            every.append((new_turn, new_ids, np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, BITS // 8)))
+            new = batch.column(0).to_pylist()
+            for own in by_length(new):
+                turn, keys, ids, _, _ = read_records(own)
+                every.append((turn * 100_000 + len(own[0]), ids, keys.copy()))
             if head < window:
-                k = min(window - head, len(new_ids))
-                yield out(new_ids[:k], [None] * k, part - 1, window + head + np.arange(k), new_turn[:k], new_blobs[:k])
+                k = min(window - head, len(new))
+                yield out(k, edge=[part - 1] * k, row=new[:k])
                 head += k
-            turn, ids, blobs = np.concatenate([turn, new_turn]), np.concatenate([ids, new_ids]), blobs + new_blobs
-            for size in {len(b) for b in blobs}:
-                at = np.flatnonzero([len(b) == size for b in blobs])
-                low = first_linked(unit(np.stack([np.frombuffer(blobs[i]) for i in at])), turn[at], cosine, window)
-                joined = np.flatnonzero(low != np.arange(len(at)))
-                yield out(ids[at[joined]], ids[at[low[joined]]], None, [None] * len(joined), [None] * len(joined), [None] * len(joined))
-            turn, ids, blobs = turn[-window:], ids[-window:], blobs[-window:]
-        yield out(ids, [None] * len(ids), part, window - len(ids) + np.arange(len(ids)), turn, blobs)
+            kept += new
+            yield from pairs(kept)
+            kept = kept[-window:]
+        yield out(len(kept), edge=[part] * len(kept), row=kept)
         if every:
             own, ids, keys = (np.concatenate(c) for c in zip(*every, strict=True))
             bits = run_bits(keys, own, window)
             # The logarithm of the chance that this pass misses a pair at the threshold.
             miss = np.log1p(-np.where(bits <= BITS, np.minimum(share**bits, 1 - 1e-9), 0.0))
-            none = [None] * len(ids)
-            yield out(ids, none, None, none, none, none, miss)
+            yield out(len(ids), src=ids, miss=miss)
 
     def seam(frame: pd.DataFrame) -> pd.DataFrame:
-        src, dst = [], []
-        frame = frame.sort_values("place")
-        for _, own in frame.groupby(["turn", frame["v"].str.len()]):
-            ids = own["src"].to_numpy()
-            low = first_linked(unit(np.stack([np.frombuffer(b) for b in own["v"]])), own["turn"].to_numpy(), cosine, window)
-            joined = np.flatnonzero(low != np.arange(len(ids)))
-            src += ids[joined].tolist()
-            dst += ids[low[joined]].tolist()
-        return pd.DataFrame({"src": src, "dst": dst}, dtype="int64")
+        made = [b.to_pandas() for b in pairs(sorted(frame["row"]))]
+        return pd.concat(made)[["src", "dst", "sure"]].astype({"src": "int64", "dst": "int64", "sure": "bool"})
 
-    partitions = max(1, math.ceil(rows * turns / ROWS_A_PARTITION))
-    ordered = map_arrow(classes.select("id", "v"), keyed, "turn long, key binary, id long, v binary").repartitionByRange(partitions, "turn", "key", "id").sortWithinPartitions("turn", "key", "id")
-    found = written(map_arrow(ordered, compared, "src long, dst long, edge long, place long, turn long, v binary, miss double"), "windows")
+    partitions = partitions_for(classes.sparkSession, rows * turns, ROWS_A_PARTITION)
+    ordered = map_arrow(classes.select("id", "v"), keyed, "row binary").repartitionByRange(partitions, "row").sortWithinPartitions("row")
+    found = written(map_arrow(ordered, compared, schema), "windows")
     # A seam has two windows of rows at most, whatever the input.
-    seams = found.where("edge is not null").groupBy("edge").applyInPandas(seam, "src long, dst long")
-    dense = found.where("miss is not null").groupBy(F.col("src").alias("id")).agg(F.sum("miss").alias("miss")).where(F.col("miss") > math.log(MISSED)).select("id")
-    return found.where("dst is not null").select("src", "dst").union(seams).where("src <> dst").union(dense_links(classes.join(dense, "id", "left_semi"), cosine))
+    seams = found.where("edge is not null").groupBy("edge").applyInPandas(seam, "src long, dst long, sure boolean")
+    told = written(found.where("dst is not null").select("src", "dst", "sure").union(seams).where("src <> dst"), "pairs")
+    links = written(told.where("sure").select("src", "dst").union(verified(told.where("not sure").select("src", "dst").distinct(), classes, cosine)), "links")
+    dense = written(found.where("miss is not null").groupBy(F.col("src").alias("id")).agg(F.sum("miss").alias("miss")).where(F.col("miss") > math.log(MISSED)).select("id"), "dense")
+    dropped(found, told)
+    return links, dense
+
+
+def verified(pairs: DataFrame, classes: DataFrame, cosine: float) -> DataFrame:
+    """(src, dst) of ``pairs`` whose vectors link in double precision."""
+    both = pairs.join(classes.select(F.col("id").alias("src"), F.col("v").alias("x")), "src").join(classes.select(F.col("id").alias("dst"), F.col("v").alias("y")), "dst")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                x, y = unit(np.frombuffer(x)[None]), unit(np.frombuffer(y)[None])
+                keep.append(bool((x * y).sum() >= cosine))
+            yield batch.select(["src", "dst"]).filter(pa.array(keep, pa.bool_()))
+
+    return map_arrow(both.select("src", "dst", "x", "y"), run, "src long, dst long")
 
 
 def dense_links(rows: DataFrame, cosine: float) -> DataFrame:
-    """(src, dst) of (id, v): links that join all that are linked directly; all pairs are compared, in blocks of CHUNK rows.
+    """(src, dst) of (id, v, c): links that join all that are linked directly and stand in different components c.
 
     A pair is missed by all passes only if neither of its vectors has a good chance of being met,
-    so rows are compared with one another and not with the rest.
+    so dense rows are compared with one another and not with the rest.  Rows are dealt to
+    slots of CHUNK: the largest component's (side 0 of blocks with low < 0) meet those outside
+    it, which also meet one another.  With m rows there and o others that is (m + o) * o
+    comparisons: a group of near copies costs what stands outside it, and only vectors that
+    are alike, below the threshold and linked with little else cost a square.
     """
-    rows = written(rows.select("id", "v"), "dense")
-    slots = max(1, math.ceil(rows.count() / CHUNK))
-    slot = rows.withColumn("slot", F.pmod(F.xxhash64("id"), F.lit(slots)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
-    dealt = slot.select(F.least("slot", "other").alias("low"), F.greatest("slot", "other").alias("high"), "id", "v", (F.col("slot") > F.col("other")).alias("side"))
+    rows = written(rows.select("id", "v", "c"), "dense")
+    sizes = rows.groupBy("c").agg(F.count("*").alias("n"))
+    total, (main, m) = rows.count(), next(((r["c"], r["n"]) for r in sizes.orderBy(F.desc("n"), "c").limit(1).collect()), (-1, 0))
+    inner, outer = (max(1, math.ceil(n / CHUNK)) for n in (m, total - m))
+    slot = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    inside = rows.where((F.col("c") == main) & F.lit(total > m)).select((-1 - slot(inner)).alias("low"), upto(outer).alias("high"), "id", "v", "c", F.lit(False).alias("side"))
+    others = rows.where(F.col("c") != main)
+    facing = others.select("id", "v", "c", upto(inner).alias("slot")).select((-1 - F.col("slot")).alias("low"), slot(outer).alias("high"), "id", "v", "c", F.lit(True).alias("side"))
+    paired = others.select("id", "v", "c", slot(outer).alias("slot"), upto(outer).alias("other"))
+    paired = paired.select(F.least("slot", "other").alias("low"), F.greatest("slot", "other").alias("high"), "id", "v", "c", (F.col("slot") > F.col("other")).alias("side"))
 
     def linked(frame: pd.DataFrame) -> pd.DataFrame:
         src, dst = [], []
+        within = frame["low"].iloc[0] == frame["high"].iloc[0]
         for _, own in frame.groupby(frame["v"].str.len()):
-            ids, side = own["id"].to_numpy(), own["side"].to_numpy(bool)
+            ids, side, c = own["id"].to_numpy(), own["side"].to_numpy(bool), own["c"].to_numpy()
             x = unit(np.stack([np.frombuffer(b) for b in own["v"]]))
-            a, b = (np.flatnonzero(side == k) for k in (False, True)) if frame["side"].any() else (np.arange(len(ids)),) * 2
-            i, j = np.nonzero(x[a] @ x[b].T >= cosine)
+            a, b = (np.arange(len(ids)),) * 2 if within else (np.flatnonzero(side == k) for k in (False, True))
+            i, j = np.nonzero((x[a] @ x[b].T >= cosine) & (c[a][:, None] != c[b]))
             low = lowest(len(ids), a[i], b[j])
             joined = np.flatnonzero(low != np.arange(len(ids)))
             src += ids[joined].tolist()
             dst += ids[low[joined]].tolist()
         return pd.DataFrame({"src": src, "dst": dst}, dtype="int64")
 
-    return dealt.groupBy("low", "high").applyInPandas(linked, "src long, dst long")
+    found = written(inside.union(facing).union(paired).groupBy("low", "high").applyInPandas(linked, "src long, dst long"), "links")
+    dropped(rows)
+    return found
 
 
 def direct_links(members: DataFrame, cosine: float) -> DataFrame:
@@ -223,15 +308,20 @@ def direct_links(members: DataFrame, cosine: float) -> DataFrame:
         for batch in batches:
             core = []
             for v, p in zip(batch.column(1).to_pylist(), batch.column(4).to_pylist(), strict=True):
-                a, b = np.frombuffer(v), np.frombuffer(p)
-                core.append(bool(len(a) == len(b) and math.acos(max(-1.0, min(1.0, float(a @ b / math.sqrt((a @ a) * (b @ b)))))) <= half))
+                if len(v) != len(p):
+                    core.append(False)
+                    continue
+                a, b = unit(np.frombuffer(v)[None]), unit(np.frombuffer(p)[None])
+                core.append(math.acos(max(-1.0, min(1.0, float((a * b).sum())))) <= half)
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(core, pa.bool_())], names=["id", "v", "size", "component", "core"])
 
     told = written(map_arrow(members.join(pivot, "component").select("id", "v", "size", "component", "p"), near, "id long, v binary, size long, component long, core boolean"), "members")
+    # Small components in small chunks, so that their blocks spread; a chunk of n rows is copied n times less often.
+    chunk = F.least(F.lit(float(CHUNK)), F.greatest(F.lit(float(min(CHUNK, LEAST_CHUNK))), F.sqrt(F.count("*")) * 2))
     shape = told.groupBy("component").agg(
         F.sum(F.when(F.col("core"), F.col("size")).otherwise(0)).alias("core_size"),
-        F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"),
-        F.ceil(F.count_if(~F.col("core")) / CHUNK).cast("int").alias("shells"),
+        F.ceil(F.count("*") / chunk).cast("int").alias("chunks"),
+        F.ceil(F.count_if(~F.col("core")) / chunk).cast("int").alias("shells"),
     )
     full = told.join(shape, "component")
     inside = full.where("core").select("id", F.col("core_size").alias("n"))
@@ -260,30 +350,46 @@ def direct_links(members: DataFrame, cosine: float) -> DataFrame:
 
     ship(members.sparkSession)
     blocks = every.union(shell).groupBy("component", "a", "s").applyInPandas(counted, "id long, n long")
-    return inside.union(blocks).groupBy("id").agg(F.sum("n").alias("n"))
+    return finished(inside.union(blocks).groupBy("id").agg(F.sum("n").alias("n")), "counts", told)
 
 
 def near_vectors(vectors: DataFrame, cosine: float = COSINE, window: int = WINDOW, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """One row per row of ``vectors``: vec_id, n_links, component_id, kept.
 
-    Vectors link at a cosine of at least ``cosine`` in double precision.  Those that are null,
-    empty, zero or hold null or non-finite components link with nothing.  Repeated rows are
-    vectors of their own in n_links; component_id is the smallest vec_id reachable, and kept
-    marks it.  A row without an id has component_id null and kept false.  Vectors meet only
-    those of their own length.  Other columns aren't used.
+    Vectors link at a cosine of at least ``cosine`` in double precision, ties included.  Those
+    that are null, empty, zero or hold null or non-finite components link with nothing.
+    Every row is a vector of its own: repeated rows link with one another and are counted in
+    n_links, and rows that share a vec_id but not a vector are told apart.  component_id is
+    the smallest vec_id reachable, and kept marks it.  A row without an id takes no part: its
+    component_id is null and kept false.  Vectors meet only those of their own length.  An
+    empty table gives no rows.  Other columns aren't used.
     """
     data = written(usable(vectors, vec_id, embedding).withColumns({"a": F.xxhash64("v"), "b": F.xxhash64("v", F.lit(1))}), "vectors")
-    classes = written(data.where("v is not null and vec_id is not null").groupBy("a", "b").agg(F.min("vec_id").alias("id"), F.first("v").alias("v"), F.count("*").alias("size")), "classes")
-    label = components(windowed_links(classes, classes.count(), cosine, window))
-    members = classes.join(label, "id").select("id", "v", "size", "component")
+    # A class of equal vectors is named by a number that is given when the table is written.
+    one = data.where("v is not null and vec_id is not null").groupBy("a", "b").agg(F.min("vec_id").alias("least"), F.first("v").alias("v"), F.count("*").alias("size"))
+    classes = written(one.withColumn("id", F.monotonically_increasing_id()), "classes")
+    links, dense = windowed_links(classes, classes.count(), cosine, window)
+    label = components(links)
+    if not dense.isEmpty():
+        told = classes.join(dense, "id", "left_semi").join(label, "id", "left").select("id", "v", F.coalesce("component", "id").alias("c"))
+        more = dense_links(told, cosine)
+        dropped(label)
+        label = components(links.union(more))
+        dropped(more)
+    members = written(classes.join(label, "id").select("id", "v", "size", "component", "least"), "members")
     direct = direct_links(members, cosine)
-    named = classes.select("a", "b", "id", "size").join(label, "id", "left").join(direct, "id", "left").select(
-        F.col("a"), F.col("b"), F.coalesce("component", "id").alias("component"), (F.coalesce("n", "size") - 1).alias("n")
+    least = members.groupBy("component").agg(F.min("least").alias("first"))
+    linked = members.select("id", "component").join(least, "component").join(direct, "id").select("id", "first", "n")
+    named = classes.select("a", "b", "id", "least", "size").join(linked, "id", "left").select(
+        F.col("a"), F.col("b"), F.coalesce("first", "least").alias("first"), (F.coalesce("n", "size") - 1).alias("n")
     )
+    # Rows that take no part are dealt by their ids: null keys would all meet in one task.
     real = F.expr("v is not null and vec_id is not null")
-    return (
-        data.select("vec_id", F.when(real, F.col("a")).alias("a"), "b")
-        .join(named, ["a", "b"], "left")
-        .select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
-        .withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+    told = data.select("vec_id", F.when(real, F.col("a")).otherwise(F.xxhash64("vec_id")).alias("a"), "b", real.alias("real"))
+    out = told.join(named, ["a", "b"], "left").select(
+        "vec_id",
+        F.when(F.col("real"), F.col("n")).otherwise(0).cast("long").alias("n_links"),
+        F.when(F.col("real"), F.col("first")).otherwise(F.col("vec_id")).alias("component_id"),
     )
+    out = out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+    return finished(out, "links", data, classes, links, dense, label, members, direct)
