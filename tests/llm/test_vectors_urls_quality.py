@@ -51,15 +51,65 @@ def test_cover_tree_covers():
         assert np.sqrt(((points[below(n)] - points[t.centre[n]]) ** 2).sum(axis=1)).max() <= t.radius[n] + 1e-9
 
 
-def test_dual_search_prunes_exactly():
+def blobs(x):
+    return [row.astype("<i8").tobytes() for row in x]
+
+
+@pytest.mark.parametrize("large", [1, 2**40])
+def test_dual_search_prunes_exactly(large):
+    """Products beyond 64 bits don't wrap: they are found in whole numbers."""
     rng = np.random.default_rng(2)
-    refs = rng.integers(-50, 50, (900, 3))
-    queries = rng.integers(-50, 50, (40, 3))
-    ids = [np.array([i]) for i in range(900)]
-    got = topk.dual_search(queries, np.arange(10_000, 10_040), np.full(40, -1e18), refs, ids, 5)
+    refs = rng.integers(-50, 50, (900, 3)) * (1 if large == 1 else 2**20)
+    queries = rng.integers(-50, 50, (40, 3)) * (1 if large == 1 else 2**30)
+    got = topk.dual_search(topk.block_of(np.arange(10_000, 10_040), blobs(queries)), np.full(40, -1e30), topk.block_of(np.arange(900), blobs(refs), 6), 5)
     for q in range(40):
-        want = sorted((-int(s), i) for i, s in enumerate(refs @ queries[q]))[:5]
-        assert [(-s, i) for qi, i, s in got if qi == 10_000 + q] == want
+        want = sorted((-int(s), i) for i, s in enumerate(refs.astype(object) @ queries[q].astype(object)))[:5]
+        assert sorted((-s, i) for qi, i, s in got if qi == 10_000 + q) == want
+
+
+def test_large_vectors_rank_or_raise(spark):
+    frame = lambda rows: spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    rows = [(0, [2.0**20, 0.0]), (1, [2.0**20, 1.0]), (2, [2.0**21, 0.0])]
+    assert [tuple(r) for r in topk.top_k(frame(rows), "vec_id = 0").orderBy("rank").collect()] == [(0, 1, 2, 2**61), (0, 2, 1, 2**60)]
+    for bad in (2.0**31, 1e300):
+        with pytest.raises(Exception, match="held in a long"):
+            topk.top_k(frame([*rows, (3, [bad, 0.0]), (4, [bad, 0.0])]), "vec_id = 3").collect()
+
+
+def test_an_id_stands_once(spark):
+    """Rows of one id with different vectors: the largest score counts, others aren't crowded out."""
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0])] + [(1, [float(k), 1.0]) for k in range(2, 30)] + [(i, [0.5, 0.25]) for i in range(2, 14)] * 2
+    got = [tuple(r) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id = 0").orderBy("rank").collect()]
+    assert got == [(0, 1, 1, 29 * 1024**2)] + [(0, k, k, 1024 * 512) for k in range(2, 11)]
+
+
+def test_blocks_are_of_the_size_meant(spark, monkeypatch):
+    """Twice the least number of query blocks at most, and no query lost among many cells."""
+    monkeypatch.setattr(topk, "BLOCK", 64)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 16)
+    made = []
+    real = topk.trees
+    monkeypatch.setattr(topk, "trees", lambda rows, k: made.append(real(rows, k)) or made[-1])
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((2000, 6)).round(1)
+    got = topk.top_k(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), "vec_id % 5 = 0")
+    whole = np.floor(1024 * x).astype(int)
+    scores = whole[::5] @ whole.T
+    want = []
+    for q in range(400):
+        order = sorted((-int(s), i) for i, s in enumerate(scores[q]) if i != 5 * q)[:10]
+        want += [(5 * q, k, i, -s) for k, (s, i) in enumerate(order, 1)]
+    assert sorted(map(tuple, got.collect())) == want
+
+
+@pytest.mark.parametrize("rows", [400, 1700])
+def test_number_of_query_blocks(spark, monkeypatch, rows):
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 16)
+    rng = np.random.default_rng(8)
+    pilot = {6: (np.arange(1000), rng.integers(-2000, 2000, (1000, 6)))}
+    data = spark.createDataFrame([(i, 6, v.tobytes()) for i, v in enumerate(rng.integers(-2000, 2000, (rows, 6)).astype("<i8"))], "vec_id long, dim int, v binary")
+    parts, _ = topk.cut(topk.in_cells(data, pilot, {6: min(topk.PIVOTS, rows // 16)}, 5, True), 16)
+    assert parts.select("dim", "cell", "part").distinct().count() <= 2 * rows / 16 + 1
 
 
 def test_top_k_of_nothing(spark):

@@ -1,10 +1,11 @@
 """Exact top-k by inner product: dual-tree search over cover trees.
 
-Candidates and queries are both held in cover trees, built over blocks of bounded size: a
-node's children cover its points within a fixed share of its radius.  A pair of nodes is
-pruned when the largest inner product that their centres and covering radii allow is below
-the worst kth score in the query node's group.  A bounded pilot sample gives every query a
-lower bound of its kth score to begin with, by which whole pairs of blocks are pruned too.
+Candidates and queries are dealt to cells around pivots and cut into blocks of bounded size;
+a cover tree is built once for every block and stored: a node's children cover its points
+within a fixed share of its radius.  A pair of nodes is pruned when the largest inner product
+that their centres and covering radii allow is below the worst kth score in the query node's
+group.  A bounded pilot sample gives every query a lower bound of its kth score to begin
+with, by which pairs of cells are pruned too, before any block moves.
 """
 
 from __future__ import annotations
@@ -18,14 +19,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.llm.shared import dropped, map_arrow, written
+from vellum.llm.shared import dropped, finished, map_arrow, written
 from vellum.shipping import ship
 
 BLOCK, QUERY_BLOCK, LEAF = 4096, 1024, 24
-PILOT, PIVOTS = 1024, 64
+#: Query blocks that one task holds beside a block of candidates.
+TOGETHER = 8
+PILOT, PIVOTS = 1024, 512
 #: Children cover a node's points within this share of its radius.
 SHRINK = 0.7
-LIMIT = 2.0**40
+#: Products of larger components can't be held in a long.
+LIMIT = 2.0**62
 
 
 @dataclass
@@ -91,24 +95,74 @@ def cover_tree(points: np.ndarray, leaf: int = LEAF) -> CoverTree:
     return CoverTree(points, get(0), get(1), ends - [len(c) for c in children], ends, np.array(flat, dtype=np.intp), get(2), get(3), np.concatenate(order) if order else np.zeros(0, np.intp))
 
 
-def dual_search(queries: np.ndarray, query_ids: np.ndarray, floor: np.ndarray, refs: np.ndarray, ref_ids: list[np.ndarray], k: int) -> list[tuple[int, int, int]]:
-    """(query id, vec id, score) of each query's k best, ties to the smaller id, scores below ``floor`` left out.
+def packed(tree: CoverTree) -> bytes:
+    """The tree without its points, for storage."""
+    import pickle
 
-    ref_ids: for every distinct vector its k + 1 smallest ids.  Scores are exact integers.
+    return pickle.dumps([tree.centre, tree.radius, tree.begin, tree.end, tree.child, tree.first, tree.last, tree.order], protocol=5)
+
+
+def unpacked(blob: bytes, points: np.ndarray) -> CoverTree:
+    import pickle
+
+    return CoverTree(points, *pickle.loads(blob))
+
+
+@dataclass
+class Block:
+    """Distinct vectors of one block, their tree, and the ids that stand on them.
+
+    ids: of every vector its ids in order, ``upto`` their ends; most: vectors that one id has, at most.
     """
-    largest = float(max(np.abs(queries).max(initial=0), np.abs(refs).max(initial=0)))
-    exact = largest * largest * max(1, queries.shape[1]) < 2.0**52
-    fq, fr = queries.astype(np.float64), refs.astype(np.float64)
-    qt, rt = cover_tree(fq), cover_tree(fr)
-    qnorm, rnorm = (np.sqrt((t.points[t.centre] ** 2).sum(axis=1)) for t in (qt, rt))
-    best: list[list[tuple[int, int]]] = [[] for _ in queries]  # (-score, id), sorted
+
+    vectors: np.ndarray
+    tree: CoverTree
+    ids: np.ndarray
+    upto: np.ndarray
+    most: int
+
+    def own(self, k: int) -> np.ndarray:
+        return self.ids[self.upto[k - 1] if k else 0 : self.upto[k]]
+
+
+def block_of(vec_ids: np.ndarray, blobs: list[bytes], least: int | None = None) -> Block:
+    """least: so many of the smallest ids stay on a vector (None: all)."""
+    frame = pd.DataFrame({"id": vec_ids, "v": blobs}).drop_duplicates().sort_values("id", kind="stable")
+    most = int(frame["id"].value_counts().max())
+    groups = list(frame.groupby("v", sort=False)["id"])
+    kept = [g.to_numpy()[:least] for _, g in groups]
+    vectors = matrix([v for v, _ in groups])
+    return Block(vectors, cover_tree(vectors.astype(np.float64)), np.concatenate(kept), np.cumsum([len(g) for g in kept]), most)
+
+
+def dual_search(queries: Block, floor: np.ndarray, refs: Block, k: int) -> list[tuple[int, int, int]]:
+    """(query id, vec id, score) of the k best ids of each query vector, ties to the smaller id.
+
+    floor: a lower bound of each query vector's kth score; scores below it are left out.
+    An id's score is the largest of its vectors'.  Scores are exact integers.
+    """
+    q_int, r_int, qt, rt = queries.vectors, refs.vectors, queries.tree, refs.tree
+    largest = float(max(np.abs(q_int).max(initial=0), np.abs(r_int).max(initial=0)))
+    exact = largest * largest * max(1, q_int.shape[1]) < 2.0**52
+    fq, fr = q_int.astype(np.float64), r_int.astype(np.float64)
+    qnorm, rnorm = (np.sqrt((x[t.centre] ** 2).sum(axis=1)) for x, t in ((fq, qt), (fr, rt)))
+    # A query vector's ids look for others; with several ids it needs one more for each.
+    own_ids = [queries.own(i) for i in range(len(q_int))]
+    wanted = np.array([k + len(own) for own in own_ids])
+    best: list[dict[int, int]] = [{} for _ in q_int]
     kth = floor.astype(np.float64).copy()
 
     def bounds(qn: np.ndarray, rn: np.ndarray) -> np.ndarray:
         """Upper bounds of all pairs; the slack covers rounding."""
         b = fq[qt.centre[qn]] @ fr[rt.centre[rn]].T
+        far_q, far_r = qnorm[qn] + qt.radius[qn], rnorm[rn] + rt.radius[rn]
         b += qt.radius[qn][:, None] * rnorm[rn] + qnorm[qn][:, None] * rt.radius[rn] + qt.radius[qn][:, None] * rt.radius[rn]
-        return b * (1 + 1e-12 * np.sign(b)) + 0.5
+        return b + 1e-12 * far_q[:, None] * far_r + 0.5
+
+    def products(q: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        if exact:
+            return np.rint(fq[q] @ fr[rows].T).astype(np.int64)
+        return q_int[q].astype(object) @ r_int[rows].astype(object).T
 
     def base(q: np.ndarray, leaves: np.ndarray, upper: np.ndarray) -> None:
         """Score the leaves for the queries of one query leaf, most promising first."""
@@ -120,20 +174,27 @@ def dual_search(queries: np.ndarray, query_ids: np.ndarray, floor: np.ndarray, r
                 many += rt.last[leaves[turn[upto]]] - rt.first[leaves[turn[upto]]]
                 upto += 1
             rows = np.concatenate([rt.order[rt.first[n] : rt.last[n]] for n in leaves[turn[at:upto]]])
-            scores = np.rint(fq[q] @ fr[rows].T).astype(np.int64) if exact else queries[q] @ refs[rows].T
+            scores = products(q, rows)
             for i, one in zip(q, scores, strict=True):
                 good = np.flatnonzero(one >= kth[i])
-                if len(good) > 4 * k:  # all that tie with the kth stay
-                    cut = np.partition(one[good], len(good) - k - 1)[len(good) - k - 1]
+                need = int(wanted[i]) * refs.most  # vectors that hold so many different ids
+                if exact and len(good) > 4 * need:  # all that tie with the last one stay
+                    cut = np.partition(one[good], len(good) - need - 1)[len(good) - need - 1]
                     good = good[one[good] >= cut]
-                fresh = [(-int(one[g]), int(v)) for g in good for v in ref_ids[rows[g]] if v != query_ids[i]]
-                if fresh:
-                    best[i] = sorted(best[i] + fresh)[:k]
-                    if len(best[i]) == k:
-                        kth[i] = max(kth[i], -best[i][-1][0])
+                found = best[i]
+                for g in good:
+                    s = int(one[g])
+                    for v in refs.own(int(rows[g])).tolist():
+                        if s > found.get(v, s - 1):
+                            found[v] = s
+                if len(found) > wanted[i]:
+                    first = sorted(found.items(), key=lambda x: (-x[1], x[0]))[: wanted[i]]
+                    best[i] = dict(first)
+                if len(best[i]) >= wanted[i]:
+                    kth[i] = max(kth[i], float(min(best[i].values())))
             at = upto
 
-    stack = [(0, np.zeros(1, np.intp))] if len(queries) and len(refs) else []
+    stack = [(0, np.zeros(1, np.intp))] if len(q_int) and len(r_int) else []
     members = {}
 
     def queries_of(n: int) -> np.ndarray:
@@ -158,127 +219,183 @@ def dual_search(queries: np.ndarray, query_ids: np.ndarray, floor: np.ndarray, r
             stack += [(int(c), rn) for c in own]
         else:
             base(queries_of(qn), rn, upper)
-    return [(int(query_ids[i]), v, -s) for i, rows in enumerate(best) for s, v in rows]
+    found = []
+    for own, held in zip(own_ids, best, strict=True):
+        order = sorted(held.items(), key=lambda x: (-x[1], x[0]))
+        for query in own.tolist():
+            found += [(query, v, s) for v, s in [x for x in order if x[0] != query][:k]]
+    if any(not -(2**63) <= s < 2**63 for _, _, s in found):
+        raise OverflowError("a score can't be held in a long: use a smaller scale")
+    return found
 
 
-def scaled(vectors: DataFrame, vec_id: str, embedding: str, scale: float) -> DataFrame:
-    """(vec_id, dim, v binary of 64-bit integers) of the vectors that take part."""
+def scaled(vectors: DataFrame, asks, vec_id: str, embedding: str, scale: float) -> DataFrame:
+    """(vec_id, asks, dim, v binary of 64-bit integers) of the vectors that take part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, dims, out = [], [], []
-            for i, v in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            keep, dims, out = [], [], []
+            for k, v in enumerate(batch.column(2)):
                 v = v.values
-                if i is None or v is None or v.null_count or not len(v):
+                if v is None or v.null_count or not len(v):
                     continue
-                x = np.floor(scale * v.to_numpy(zero_copy_only=False).astype(np.float64))
-                if np.isfinite(x).all() and np.abs(x).max() < LIMIT:
-                    ids.append(i)
+                x = v.to_numpy(zero_copy_only=False)
+                if np.isfinite(x).all():
+                    with np.errstate(over="ignore"):
+                        x = np.floor(scale * x)
+                    if np.abs(x).max() >= LIMIT:
+                        raise OverflowError(f"a component of {np.abs(x).max()} after scaling: products can't be held in a long")
+                    keep.append(k)
                     dims.append(len(x))
                     out.append(x.astype("<i8").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(dims, pa.int32()), pa.array(out, pa.binary())], names=["vec_id", "dim", "v"])
+            at = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(dims, pa.int32()), pa.array(out, pa.binary())], names=["vec_id", "asks", "dim", "v"])
 
-    source = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("embedding"))
-    return map_arrow(source, run, "vec_id long, dim int, v binary")
+    source = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("embedding")).where("vec_id is not null")
+    asks = F.expr(asks) if isinstance(asks, str) else asks
+    return map_arrow(source.select("vec_id", F.coalesce(asks, F.lit(False)).alias("asks"), "embedding"), run, "vec_id long, asks boolean, dim int, v binary")
 
 
 def matrix(blobs) -> np.ndarray:
     return np.stack([np.frombuffer(b, "<i8") for b in blobs])
 
 
-def top_k(vectors: DataFrame, is_query, k: int = 10, scale: float = 1024.0, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score): each query's k highest inner products of floor(scale * x).
+def in_cells(data: DataFrame, pilot: dict, pivots: dict[int, int], k: int, floors: bool) -> DataFrame:
+    """``data`` (vec_id, dim, v) with its cell, the pivot nearest of the first pivots[dim], its distance and, if asked, a lower bound of the kth score."""
 
-    is_query: condition on vec_id.  Candidates are all rows but the query's own; ties go to the smaller
-    vec_id.  Vectors that are null, empty, hold null or non-finite components or components
-    of 2 ** 40 and more after scaling take no part, nor do rows without an id; vectors meet only those of their own length.  Repeated
-    rows count once.  Queries without candidates give no rows.  Other columns aren't used.
-    """
-    data = written(scaled(vectors, vec_id, embedding, scale), "vectors")
-    pilot_rows = data.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PILOT).collect()
-    pilot = {}
-    for r in pilot_rows:
-        pilot.setdefault(r["dim"], {})[r["vec_id"]] = np.frombuffer(r["v"], "<i8")
-    pilot = {d: (np.array(list(own)), np.stack(list(own.values()))) for d, own in pilot.items()}
-    rows = data.count()
-    pivots = max(1, min(PIVOTS, rows // BLOCK))
-
-    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Nearest pivot, and for queries the kth score in the pilot sample."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, dims = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             blobs = batch.column(2).to_pylist()
-            pivot, floor = np.zeros(len(ids), np.int64), np.full(len(ids), -(2.0**62))
+            cell, dist, floor = np.zeros(len(ids), np.int32), np.full(len(ids), np.inf), np.full(len(ids), -(2.0**126))
             for d in np.unique(dims):
                 if d not in pilot:
                     continue
                 own = np.flatnonzero(dims == d)
-                x = matrix([blobs[i] for i in own]).astype(np.float64)
                 sample_ids, sample = pilot[d]
                 s = sample.astype(np.float64)
-                near = (s[:pivots] ** 2).sum(axis=1) - 2 * x @ s[:pivots].T
-                pivot[own] = near.argmin(axis=1)
+                first = s[: pivots[int(d)]]
                 for begin in range(0, len(own), 512):
                     part = own[begin : begin + 512]
-                    scores = x[begin : begin + 512] @ s.T
-                    scores[ids[part][:, None] == sample_ids] = -np.inf
-                    if len(sample_ids) > k:
-                        floor[part] = np.partition(scores, len(sample_ids) - k, axis=1)[:, len(sample_ids) - k] * 1.0 - 0.5
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pivot), pa.array(floor)], names=["vec_id", "dim", "v", "pivot", "floor"])
-
-    schema = "vec_id long, dim int, v binary, pivot long, floor double"
-    candidates = written(map_arrow(data, grouped, schema), "vectors")
-    dropped(data)
-    queries = candidates.where(is_query)
-    # Blocks: a pivot's rows, cut by hash where they are many; a table of at most PIVOTS rows for each length says into how many.
-    cut = candidates.groupBy("dim", "pivot").agg(F.ceil(F.count("*") / BLOCK).alias("cuts"))
-    many_queries = queries.groupBy("dim").agg(F.ceil(F.count("*") / QUERY_BLOCK).alias("query_blocks"))
-    salt = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n))
-    blocked = written(candidates.join(cut, ["dim", "pivot"]).select("dim", "vec_id", "v", (F.col("pivot") * 1_000_000 + salt("cuts")).alias("rb")), "blocks")
-    asked = written(
-        queries.join(many_queries, "dim").select("dim", "vec_id", "v", "floor", (F.floor(F.col("pivot") * F.col("query_blocks") / pivots) * 1_000_000 + salt("query_blocks")).alias("qb")),
-        "queries",
-    )
+                    x = matrix([blobs[i] for i in part]).astype(np.float64)
+                    cell[part] = ((first**2).sum(axis=1) - 2 * x @ first.T).argmin(axis=1)
+                    dist[part] = np.sqrt(((x - first[cell[part]]) ** 2).sum(axis=1))
+                    if floors and len(sample_ids) > k:
+                        scores = x @ s.T
+                        scores[ids[part][:, None] == sample_ids] = -np.inf
+                        slack = 1e-12 * np.sqrt((x**2).sum(axis=1)) * np.sqrt((s**2).sum(axis=1).max()) + 0.5
+                        floor[part] = np.partition(scores, len(sample_ids) - k, axis=1)[:, len(sample_ids) - k] - slack
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(dist), pa.array(floor)], names=["vec_id", "dim", "v", "cell", "dist", "floor"])
 
-    def summary(frame: pd.DataFrame) -> pd.DataFrame:
-        x = matrix(frame["v"]).astype(np.float64)
-        c = x.mean(axis=0)
-        r = float(np.sqrt(((x - c) ** 2).sum(axis=1)).max())
-        w = float(frame["floor"].min()) if "floor" in frame else 0.0
-        return pd.DataFrame({"dim": [frame["dim"].iloc[0]], "block": [frame["block"].iloc[0]], "c": [c.tobytes()], "r": [r], "w": [w]})
+    return map_arrow(data, run, "vec_id long, dim int, v binary, cell int, dist double, floor double")
 
-    ship(vectors.sparkSession)
-    shape = "dim int, block long, c binary, r double, w double"
-    rsum = blocked.withColumnRenamed("rb", "block").groupBy("dim", "block").applyInPandas(summary, shape)
-    qsum = asked.withColumnRenamed("qb", "block").groupBy("dim", "block").applyInPandas(summary, shape)
 
-    def open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def cut(rows: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """(rows with their part, cells): a cell's rows are cut by hash into parts of about ``size``.
+
+    cells: (dim, cell, cuts, r, w), r the largest distance from the pivot, w the least floor; at most PIVOTS for each length.
+    """
+    cells = written(rows.groupBy("dim", "cell").agg(F.ceil(F.count("*") / size).cast("int").alias("cuts"), F.max("dist").alias("r"), F.min("floor").alias("w")), "cells")
+    return rows.join(F.broadcast(cells.select("dim", "cell", "cuts")), ["dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("v", "vec_id"), F.col("cuts")).cast("int")), cells
+
+
+def open_cells(queries: DataFrame, candidates: DataFrame, pilot: dict) -> DataFrame:
+    """Pairs of cells (dim, qc, qcuts, rc, rcuts) in which a candidate may reach a query's kth score."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for qc, qr, w, rc, rr in zip(*(batch.column(i).to_pylist() for i in (3, 4, 5, 6, 7)), strict=True):
-                a, b = np.frombuffer(qc), np.frombuffer(rc)
-                upper = a @ b + qr * np.sqrt(b @ b) + rr * np.sqrt(a @ a) + qr * rr
-                keep.append(bool(upper + abs(upper) * 1e-9 + 1 >= w))
-            yield batch.select(["dim", "qb", "rb"]).filter(pa.array(keep, pa.bool_()))
-
-    meet = qsum.select("dim", F.col("block").alias("qb"), F.col("c").alias("qc"), F.col("r").alias("qr"), "w").join(
-        rsum.select("dim", F.col("block").alias("rb"), F.col("c").alias("rc"), F.col("r").alias("rr")), "dim"
+            for d, qc, rc, qr, rr, w in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3, 5, 6, 7)), strict=True):
+                if d not in pilot:
+                    keep.append(True)
+                    continue
+                a, b = pilot[d][1][qc].astype(np.float64), pilot[d][1][rc].astype(np.float64)
+                far_a, far_b = np.sqrt(a @ a), np.sqrt(b @ b)
+                upper = a @ b + qr * far_b + rr * far_a + qr * rr
+                keep.append(bool(upper + 1e-9 * (far_a + qr) * (far_b + rr) + 1 >= w))
+            yield batch.select(["dim", "qc", "qcuts", "rc", "rcuts"]).filter(pa.array(keep, pa.bool_()))
+
+    # Cells of one length meet: at most PIVOTS times PIVOTS rows, whatever the input.
+    meet = queries.select("dim", F.col("cell").alias("qc"), F.col("cuts").alias("qcuts"), F.col("r").alias("qr"), "w").join(
+        candidates.select("dim", F.col("cell").alias("rc"), F.col("cuts").alias("rcuts"), F.col("r").alias("rr")), "dim"
     )
-    open_ = written(map_arrow(meet.select("dim", "qb", "rb", "qc", "qr", "w", "rc", "rr"), open_pairs, "dim int, qb long, rb long"), "pairs")
+    return map_arrow(meet.select("dim", "qc", "qcuts", "rc", "rcuts", "qr", "rr", "w"), run, "dim int, qc int, qcuts int, rc int, rcuts int")
+
+
+def trees(rows: DataFrame, k: int | None) -> DataFrame:
+    """(dim, cell, part, block): each block's distinct vectors, ids, floors and cover tree, built once."""
+
+    def build(frame: pd.DataFrame) -> pd.DataFrame:
+        import pickle
+
+        block = block_of(frame["vec_id"].to_numpy(), list(frame["v"]), k)
+        low = frame.groupby("v", sort=False)["floor"].min()
+        floor = np.array([low[v.tobytes()] for v in block.vectors.astype("<i8")])
+        blob = pickle.dumps([block.vectors.shape, block.vectors.tobytes(), packed(block.tree), block.ids, block.upto, block.most, floor], protocol=5)
+        return pd.DataFrame({"dim": frame["dim"].iloc[:1], "cell": frame["cell"].iloc[:1], "part": frame["part"].iloc[:1], "block": [blob]})
+
+    ship(rows.sparkSession)
+    return rows.select("dim", "cell", "part", "vec_id", "v", "floor").groupBy("dim", "cell", "part").applyInPandas(build, "dim int, cell int, part int, block binary")
+
+
+def read_block(blob: bytes) -> tuple[Block, np.ndarray]:
+    import pickle
+
+    shape, raw, tree, ids, upto, most, floor = pickle.loads(blob)
+    vectors = np.frombuffer(raw, np.int64).reshape(shape)
+    return Block(vectors, unpacked(tree, vectors.astype(np.float64)), ids, upto, most), floor
+
+
+def top_k(vectors: DataFrame, is_query, k: int = 10, scale: float = 1024.0, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+    """(query_id, rank, vec_id, score): each query's k highest inner products of floor(scale * x).
+
+    is_query: condition on vec_id.  Candidates are all rows but those of the query's own id;
+    ties go to the smaller vec_id.  Vectors that are null, empty or hold null or non-finite
+    components take no part, nor do rows without an id; vectors meet only those of their own
+    length.  Scores are exact; where one can't be held in a long, or a scaled component is
+    2 ** 62 or more, this raises OverflowError and drops nothing.  An id stands once in a
+    query's list: repeated rows count once, and an id with several vectors, as a query or as a
+    candidate, has the largest of their scores.  Queries without candidates and empty tables
+    give no rows.  Other columns aren't used.
+    """
+    drawn = written(scaled(vectors, is_query, vec_id, embedding, scale), "vectors")
+    pilot_rows = drawn.select("vec_id", "dim", "v").distinct().orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(PILOT).collect()
+    pilot = {}
+    for r in pilot_rows:
+        pilot.setdefault(r["dim"], {})[r["vec_id"]] = np.frombuffer(r["v"], "<i8")
+    pilot = {d: (np.array(list(own)), np.stack(list(own.values()))) for d, own in pilot.items()}
+    rows, asked = drawn.agg(F.count("*"), F.count_if("asks")).first()
+    share = lambda n, each: {d: max(1, min(PIVOTS, n // each, len(own))) for d, (own, _) in pilot.items()}
+    # Of equal vectors a query needs k + 1 ids at most: a hot vector is held so often and no oftener.
+    same = Window.partitionBy("dim", "v").orderBy("vec_id")
+    fewer = drawn.select("vec_id", "dim", "v").distinct().withColumn("turn", F.row_number().over(same)).where(F.col("turn") <= k + 1).select("vec_id", "dim", "v")
+    candidates = written(in_cells(fewer, pilot, share(rows, BLOCK), k, False), "candidates")
+    queries = written(in_cells(drawn.where("asks").select("vec_id", "dim", "v").distinct(), pilot, share(asked, QUERY_BLOCK), k, True), "queries")
+    dropped(drawn)
+    r_parts, r_cells = cut(candidates, BLOCK)
+    q_parts, q_cells = cut(queries, QUERY_BLOCK)
+    r_trees, q_trees = written(trees(r_parts, k + 1), "trees"), written(trees(q_parts, None), "trees")
+    open_ = open_cells(q_cells, r_cells, pilot)
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    # A block of candidates meets TOGETHER query blocks of a cell at once.
+    pairs = written(open_.withColumn("rp", upto("rcuts")).select("dim", "qc", "qcuts", "rc", "rp", F.explode(F.expr(f"sequence(0, int((qcuts - 1) / {TOGETHER}))")).alias("g")), "pairs")
 
     def search(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         found: list[tuple[int, int, int]] = []
         if len(q) and len(r):
-            q = q.drop_duplicates("vec_id")
-            r = r.drop_duplicates("vec_id").sort_values("vec_id")
-            same = r.groupby("v", sort=False)["vec_id"]
-            ids = [g.to_numpy()[: k + 1] for _, g in same]
-            refs = matrix([v for v, _ in same])
-            found = dual_search(matrix(q["v"]), q["vec_id"].to_numpy(), q["floor"].to_numpy(), refs, ids, k)
+            refs, _ = read_block(r["block"].iloc[0])
+            for blob in q["block"]:
+                block, floor = read_block(blob)
+                found += dual_search(block, floor, refs, k)
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype("int64")
 
-    left = asked.join(open_, ["dim", "qb"])
-    right = blocked.join(open_, ["dim", "rb"])
-    best = left.groupBy("dim", "qb", "rb").cogroup(right.groupBy("dim", "qb", "rb")).applyInPandas(search, "query_id long, vec_id long, score long")
+    meet = ["dim", "qc", "g", "rc", "rp"]
+    left = pairs.join(q_trees.select("dim", F.col("cell").alias("qc"), F.expr(f"int(part / {TOGETHER})").alias("g"), "block"), ["dim", "qc", "g"]).select(*meet, "block")
+    right = pairs.join(r_trees.select("dim", F.col("cell").alias("rc"), F.col("part").alias("rp"), "block"), ["dim", "rc", "rp"]).select(*meet, "block")
+    ship(vectors.sparkSession)
+    left, right = left.toDF(*left.columns), right.toDF(*right.columns)
+    best = left.groupBy(*meet).cogroup(right.groupBy(*meet)).applyInPandas(search, "query_id long, vec_id long, score long")
     turn = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(turn)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    each = best.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    out = each.withColumn("rank", F.row_number().over(turn)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return finished(out, "top", candidates, queries, r_cells, q_cells, r_trees, q_trees, pairs)
