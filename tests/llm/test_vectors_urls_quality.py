@@ -251,6 +251,15 @@ def test_components(spark, seed):
     assert dict(map(tuple, got.collect())) == {i: find(i) for i in touched}
 
 
+def test_joined_components(spark):
+    frame = lambda rows: spark.createDataFrame(rows, "src long, dst long")
+    label = shared.components(frame([(1, 2), (2, 3), (5, 6), (8, 9)]))
+    got = shared.joined_components(label, frame([(3, 6), (9, 20), (1, 2), (30, 31)]))
+    assert dict(map(tuple, got.collect())) == {1: 1, 2: 1, 3: 1, 5: 1, 6: 1, 8: 8, 9: 8, 20: 8, 30: 30, 31: 30}
+    same = shared.joined_components(got, frame([(1, 6)]))
+    assert same is got
+
+
 def test_components_of_nothing(spark):
     assert shared.components(spark.createDataFrame([], "src long, dst long")).count() == 0
 

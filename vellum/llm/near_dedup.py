@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.shared import components, dropped, finished, map_arrow, partitions_for, parts, written
+from vellum.llm.shared import components, dropped, finished, joined_components, map_arrow, partitions_for, parts, written
 
 WORDS = 5
 SIMILARITY, LEAST = 85, 80  # per cent
@@ -257,42 +257,38 @@ def crossing(ids, component, sig, long, side, within: bool, place: int, far: Rea
     return np.stack([ids[i[first]], ids[j[first]]], axis=1)
 
 
-def blocks(left: DataFrame) -> DataFrame:
-    """(key, low, high, place, id, c, side) of ``left`` (key, place, id, c): the blocks in which rows meet.
+def blocks(told: DataFrame) -> DataFrame:
+    """(key, low, high, place, id, c, side) of ``told`` (key, place, id, c): the blocks in which rows of different components meet.
 
     A key's documents are its largest component's and the others, each dealt to slots of
     about BLOCK.  Others meet in pairs of slots (low <= high), and each of their slots meets
     those of the largest component (low < 0); rows of the largest component don't meet one
     another.  With m rows there and o others, that is about m * o / BLOCK rows, never m * m.
+    Keys with one component give none.
     """
-    sizes = left.groupBy("key", "c").agg(F.count("*").alias("n"))
     slots = lambda n: F.ceil(n / BLOCK).cast("int")
-    key = sizes.groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.max("n").alias("m"), F.sum("n").alias("n"))
-    key = key.select("key", "main", slots(F.col("m")).alias("main_slots"), slots(F.col("n") - F.col("m")).alias("slots"))
-    told = left.join(key, "key").withColumn("inside", F.col("c") == F.col("main"))
-    told = told.withColumn("slot", F.pmod(F.xxhash64("id"), F.when(F.col("inside"), F.col("main_slots")).otherwise(F.col("slots"))).cast("int"))
-    own = ["key", "place", "id", "c"]
-    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias("other")
-    inside = told.where("inside").select(*own, "slot", upto("slots")).select(*own, (-1 - F.col("slot")).alias("low"), F.col("other").alias("high"), F.lit(0).alias("side"))
-    outside = told.where("not inside")
-    facing = outside.select(*own, "slot", upto("main_slots")).select(*own, (-1 - F.col("other")).alias("low"), F.col("slot").alias("high"), F.lit(1).alias("side"))
+    sizes = told.groupBy("key", "c").agg(F.count("*").alias("n"))
+    key = sizes.groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.max("n").alias("m"), F.sum("n").alias("n"), F.count("*").alias("kinds")).where("kinds > 1")
+    key = key.select("key", "main", "kinds", slots(F.col("m")).alias("inner"), slots(F.col("n") - F.col("m")).alias("outer"))
+    inside = F.col("c") == F.col("main")
+    dealt = told.join(key, "key").withColumn("slot", F.pmod(F.xxhash64("id"), F.when(inside, F.col("inner")).otherwise(F.col("outer"))).cast("int"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    at = lambda low, high, side: F.struct(low.cast("int").alias("low"), high.cast("int").alias("high"), side.cast("int").alias("side"))
+    slot = F.col("slot")
+    facing = F.transform(upto("inner"), lambda o: at(-1 - o, slot, F.lit(1)))
+    paired = F.transform(upto("outer"), lambda o: at(F.least(slot, o), F.greatest(slot, o), slot > o))
     # Others that are all of one component have no pairs among themselves.
-    kinds = sizes.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 2").select("key")
-    paired = (
-        outside.join(kinds, "key", "left_semi")
-        .select(*own, "slot", upto("slots"))
-        .select(*own, F.least("slot", "other").alias("low"), F.greatest("slot", "other").alias("high"), (F.col("slot") > F.col("other")).cast("int").alias("side"))
-    )
-    return inside.union(facing).union(paired).select("key", "low", "high", "place", "id", "c", "side")
+    meets = F.when(inside, F.transform(upto("outer"), lambda o: at(-1 - slot, o, F.lit(0)))).when(F.col("kinds") > 2, F.concat(facing, paired)).otherwise(facing)
+    return dealt.select("key", "place", "id", "c", F.explode(meets).alias("block")).select("key", "block.low", "block.high", "place", "id", "c", "block.side")
 
 
-def across(left: DataFrame, classes: DataFrame, sets: DataFrame, far: Reach) -> DataFrame:
-    """(a, b): pairs of ``left`` (key, place, id, c) that share a key and stand in different components, near by both signatures.
+def across(told: DataFrame, classes: DataFrame, sets: DataFrame, far: Reach) -> DataFrame:
+    """(a, b): pairs of ``told`` (key, place, id, c) that share a key and stand in different components, near by both signatures.
 
     Blocks are sorted together and worked through one after another, so a task holds one
     block at a time however many documents share a key.
     """
-    dealt = written(blocks(left), "blocks")
+    dealt = written(blocks(told), "blocks")
     both = (
         dealt.join(classes.select(F.col("cid").alias("id"), "sig"), "id").join(sets.select(F.col("cid").alias("id"), "long"), "id")
         .select("key", "low", "high", "place", "id", "c", "side", "sig", "long")
@@ -327,7 +323,7 @@ def across(left: DataFrame, classes: DataFrame, sets: DataFrame, far: Reach) ->
             if out is not None:
                 yield out
 
-    partitions = partitions_for(left.sparkSession, dealt.count(), ROWS_A_PARTITION)
+    partitions = partitions_for(told.sparkSession, dealt.count(), ROWS_A_PARTITION)
     ordered = both.repartition(partitions, "key", "low", "high").sortWithinPartitions("key", "low", "high")
     found = written(map_arrow(ordered, run, "a long, b long"), "pairs")
     dropped(dealt)
@@ -380,19 +376,16 @@ def row_components(docs: DataFrame, similarity: int, words: int, doc_id: str, te
     label = components(links)
     # Keys whose documents are still in several components: their pairs across components, all of them.
     told = shared.join(label, "id", "left").select("key", "place", "id", F.coalesce("component", "id").alias("c"))
-    mixed_keys = told.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
-    left = written(told.join(mixed_keys, "key", "left_semi"), "left")
-    dropped(shared, first, label)
-    pairs = across(left, classes, sets, far)
+    pairs = across(told, classes, sets, far)
     more = written(confirmed(pairs, sets, similarity), "links")
-    dropped(left, sets, pairs)
-    label = components(links.union(more))
+    dropped(shared, first, links, sets, pairs)
+    label = joined_components(label, more)
     named = classes.select("set_a", "set_b", F.col("cid").alias("id")).join(label, "id", "left").select("set_a", "set_b", F.coalesce("component", "id").alias("component"))
     # Rows that take no part are dealt by their texts: null keys would all meet in one task.
     real = F.expr("n_shingles > 0 and id is not null")
     dealt = drawn.select("id", "text_a", "text_b", "n_shingles", F.when(real, F.col("set_a")).otherwise(F.xxhash64("id", "text_a")).alias("set_a"), "set_b")
     found = dealt.join(named, ["set_a", "set_b"], "left").withColumn("component", F.when(real, F.col("component")))
-    return finished(found.select("id", "text_a", "text_b", "n_shingles", "component"), "components", drawn, classes, links, more, label)
+    return finished(found.select("id", "text_a", "text_b", "n_shingles", "component"), "components", drawn, classes, more, label)
 
 
 def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, words: int = WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -408,10 +401,11 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, words: int =
     aren't used.
     """
     rows = row_components(docs, similarity, words, doc_id, text)
-    least = rows.where("component is not null").groupBy("component").agg(F.min("id").alias("least"))
+    # Written first: a large component's rows then join it under skew handling.
+    least = written(rows.where("component is not null").groupBy("component").agg(F.min("id").alias("least")), "least")
     apart = F.coalesce("component", -1 - F.pmod(F.xxhash64("id", "text_a"), F.lit(1 << 20)))  # components are numbers from 0
     out = rows.withColumn("component", apart).join(least, "component", "left").select(F.col("id").alias("doc_id"), "n_shingles", F.coalesce("least", "id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    return finished(out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))), "duplicates", rows, least)
 
 
 def without_near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, words: int = WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -424,9 +418,9 @@ def without_near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, words
     rows = row_components(docs, similarity, words, doc_id, text)
     key = ["id", "text_a", "text_b"]
     each = rows.where("component is not null").groupBy("component", *key).agg(F.count("*").alias("n"))
-    first = each.groupBy("component").agg(F.min(F.struct(*key)).alias("first"))
+    first = written(each.groupBy("component").agg(F.min(F.struct(*key)).alias("first")), "least")
     judged = each.join(first, "component").withColumn("stays", F.struct(*key) == F.col("first")).where("not stays or n > 1")
-    verdicts = finished(judged.select(*[F.col(k).alias(f"__{k}") for k in key], "stays"), "verdicts", rows)
+    verdicts = finished(judged.select(*[F.col(k).alias(f"__{k}") for k in key], "stays"), "verdicts", rows, first)
     made = {"__id": F.col(doc_id).cast("long"), "__text_a": F.xxhash64(F.col(text)), "__text_b": F.xxhash64(F.col(text), F.lit(1))}
     told, names = docs.withColumns(made), [f"__{k}" for k in key]
     kept = told.join(verdicts, names, "left_anti")

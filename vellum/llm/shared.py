@@ -144,12 +144,7 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = edge.select("u", "v").union(edge.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m"))
-        large = (
-            both.join(low, "u")
-            .where(F.col("v") > F.col("u"))
-            .select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
-            .distinct()
-        )
+        large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
         low2 = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low2, "u")
         step = written(
@@ -173,3 +168,21 @@ def components(edges: DataFrame) -> DataFrame:
             found._vellum_path = edge._vellum_path
             return found
         state = now
+
+
+def joined_components(label: DataFrame, more: DataFrame) -> DataFrame:
+    """``label`` (id, component), which is written, with its components joined by the links ``more`` (src, dst).
+
+    Only links between components go through the steps: each component is one node there.  Returns
+    a written table with every node of ``label`` and every end of a link; component is the smallest id.
+    """
+    known = lambda side: label.select(F.col("id").alias(side), F.col("component").alias(f"{side}_c"))
+    ends = more.join(known("src"), "src", "left").join(known("dst"), "dst", "left")
+    lifted = written(ends.select(F.coalesce("src_c", "src").alias("src"), F.coalesce("dst_c", "dst").alias("dst")).where("src <> dst"), "links")
+    if lifted.isEmpty():
+        dropped(lifted)
+        return label
+    upper = components(lifted)
+    old = label.select("id", "component").union(upper.select("id", F.col("id").alias("component"))).distinct()
+    new = old.join(upper.select(F.col("id").alias("component"), F.col("component").alias("root")), "component", "left")
+    return finished(new.groupBy("id").agg(F.min(F.coalesce("root", "component")).alias("component")), "components", lifted, upper, label)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.shared import components, dropped, finished, map_arrow, partitions_for, written
+from vellum.llm.shared import components, dropped, finished, joined_components, map_arrow, partitions_for, written
 from vellum.shipping import ship
 
 COSINE, WINDOW, BITS = 0.95, 64, 48
@@ -373,12 +373,12 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, window: int = WINDO
     if not dense.isEmpty():
         told = classes.join(dense, "id", "left_semi").join(label, "id", "left").select("id", "v", F.coalesce("component", "id").alias("c"))
         more = dense_links(told, cosine)
-        dropped(label)
-        label = components(links.union(more))
+        label = joined_components(label, more)
         dropped(more)
     members = written(classes.join(label, "id").select("id", "v", "size", "component", "least"), "members")
     direct = direct_links(members, cosine)
-    least = members.groupBy("component").agg(F.min("least").alias("first"))
+    # Written first: a large component's rows then join it under skew handling.
+    least = written(members.groupBy("component").agg(F.min("least").alias("first")), "least")
     linked = members.select("id", "component").join(least, "component").join(direct, "id").select("id", "first", "n")
     named = classes.select("a", "b", "id", "least", "size").join(linked, "id", "left").select(
         F.col("a"), F.col("b"), F.coalesce("first", "least").alias("first"), (F.coalesce("n", "size") - 1).alias("n")
@@ -392,4 +392,4 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, window: int = WINDO
         F.when(F.col("real"), F.col("first")).otherwise(F.col("vec_id")).alias("component_id"),
     )
     out = out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
-    return finished(out, "links", data, classes, links, dense, label, members, direct)
+    return finished(out, "links", data, classes, links, dense, label, members, direct, least)
