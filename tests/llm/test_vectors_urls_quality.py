@@ -251,6 +251,14 @@ def test_components(spark, seed):
     assert dict(map(tuple, got.collect())) == {i: find(i) for i in touched}
 
 
+def test_components_with_hot_nodes(spark, monkeypatch):
+    """Stars, whose centres are the smallest, the largest or middling nodes, and a chain between them."""
+    monkeypatch.setattr(shared, "HOT_LEAST", 5)
+    edges = [(0, i) for i in range(10, 200)] + [(999, i) for i in range(300, 400)] + [(450, i) for i in (*range(401, 450), *range(451, 500))] + [(150, 350), (410, 390)]
+    got = dict(map(tuple, shared.components(spark.createDataFrame(edges, "src long, dst long")).collect()))
+    assert set(got.values()) == {0} and len(got) == len({x for e in edges for x in e})
+
+
 def test_joined_components(spark):
     frame = lambda rows: spark.createDataFrame(rows, "src long, dst long")
     label = shared.components(frame([(1, 2), (2, 3), (5, 6), (8, 9)]))
@@ -293,6 +301,11 @@ def test_urls_against_plain(spark, monkeypatch, most):
     assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in got.collect()} == {i: plain_verdict(u) for i, u in enumerate(URLS * 2)}
 
 
+def test_no_pages(spark):
+    rules = spark.createDataFrame(RULES, "action string, host string, path string")
+    assert url_filter.judge_urls(spark.createDataFrame([], "page_id long, url string"), rules).count() == 0
+
+
 def test_no_rules(spark):
     pages = spark.createDataFrame([(1, "http://a.com/")], "page_id long, url string")
     assert url_filter.judge_urls(pages, spark.createDataFrame([], "action string, host string, path string"), "block").first().verdict == "block"
@@ -322,6 +335,117 @@ def test_field_marginals_by_enumeration():
     assert np.allclose(pairs, total)
 
 
+def plain_features(text):
+    """The features of each line, one after another, and its weight."""
+    lines = text.split("\n")
+    out, weights = [], []
+    for line in lines:
+        raw = line.encode()
+        size = len(raw)
+        share = lambda chars, raw=raw, size=size: sum(raw.count(c) for c in chars.encode()) / max(size, 1)
+        upper, lower = sum(65 <= b <= 90 for b in raw), sum(97 <= b <= 122 for b in raw)
+        digit, wide = sum(48 <= b <= 57 for b in raw), sum(b >= 128 for b in raw)
+        space, pipe, bang, symbol, stop = (share(c) * size for c in (" \t\r", "|", "!?", "#$%&*@~^=_<>{}[]\\", ".,;:"))
+        other = size - upper - lower - digit - wide - space - pipe - bang - symbol - stop
+        up = upper / max(upper + lower, 1)
+        words = line.split()
+        n = len(words)
+        different = len(set(words)) / n if n else 0
+        top = max(words.count(w) for w in words) / n if n else 0
+        runs = sum(a == b for a, b in zip(words, words[1:])) / n if n else 0
+        first, last = (line[0].isupper(), words[-1][-1] in ".!?\"'") if n else (0, 0)
+        again = (lines.count(line) - 1) / len(lines) if n else 0
+        sentences = len(set(line.split(". "))) / len(line.split(". ")) if n else 0
+        per = max(size, 1)
+        out.append([
+            math.log1p(size) / 5, math.log1p(n) / 3, up, up > 0.5, digit / per, space / per, pipe / per * 10, pipe / per > 0.03, bang / per * 10, bang / per > 0.05,
+            symbol / per * 5, symbol / per > 0.08, stop / per * 10, wide / per, other / per * 5, different, different < 0.5, top, runs * 3, runs > 0.3, first, last, again * 3, sentences,
+        ])
+        weights.append(per)
+    return np.array(out, float), np.array(weights, float)
+
+
+def plain_score(field, text):
+    """The score by enumeration of all labels of all lines."""
+    own, weights = plain_features(text)
+    n, zero = len(own), np.zeros(quality.OWN)
+    x = [np.concatenate([own[i], own[i - 1] if i else zero, own[i + 1] if i + 1 < n else zero, [i == 0, i + 1 == n, 1]]) for i in range(n)]
+    e = [float(np.clip(r @ field.w, -30, 30)) for r in x]
+    total, good = 0.0, np.zeros(n)
+    for state in np.ndindex(*(2,) * n):
+        w = math.exp(sum(a * y for a, y in zip(e, state, strict=True)) + sum(field.t[a, b] for a, b in zip(state, state[1:])))
+        total += w
+        good += w * np.array(state)
+    q = (good / total * weights).sum() / weights.sum()
+    return 1 / (1 + math.exp(-(field.slope * q + field.bias)))
+
+
+TEXTS = ["One line of plain words here.", "", "A | B | C\nhead. Head. head.\n\n!!! WOW ### 123 456\nthe the the the end", "É\tü \r\nword " * 3, "x" * 300 + "\nY y. Z z. Y y"]
+
+
+def test_features_and_scores_against_plain():
+    rng = np.random.default_rng(6)
+    field = quality.Field(rng.standard_normal(3 * quality.OWN + 3) * 0.5, rng.standard_normal((2, 2)), 3.0, -1.0)
+    for text in TEXTS:
+        f, w = quality.line_features(text)
+        g, v = plain_features(text)
+        assert np.allclose(f, g, atol=1e-5) and np.allclose(w, v), text
+    assert np.allclose(quality.score_texts(field, TEXTS), [plain_score(field, t) for t in TEXTS], atol=1e-4)
+
+
+def test_slopes_by_differences():
+    """The fit's gradients are those of the log-likelihood over all labels of all lines."""
+    rng = np.random.default_rng(7)
+    lengths = np.array([3, 1, 2])
+    starts = np.array([0, 3, 4])
+    x, y = rng.standard_normal((6, 4)), np.array([1, 0, 0, 1, 0, 1.0])
+    field = quality.Field(rng.standard_normal(4), rng.standard_normal((2, 2)))
+    seen = np.zeros((2, 2))
+
+    def loss(w, t):
+        value = 1e-4 * (w @ w) / 2 + 1e-3 * (t * t).sum() / 2
+        for s, n in zip(starts, lengths, strict=True):
+            e = x[s : s + n] @ w
+            weight = lambda state: sum(e[i] * k for i, k in enumerate(state)) + sum(t[a, b] for a, b in zip(state, state[1:]))  # noqa: E731, B023
+            z = math.log(sum(math.exp(weight(state)) for state in np.ndindex(*(2,) * n)))
+            value -= (weight(tuple(y[s : s + n].astype(int))) - z) / len(x)
+        return value
+
+    for s, n in zip(starts, lengths, strict=True):
+        for a, b in zip(y[s : s + n].astype(int), y[s + 1 : s + n].astype(int)):
+            seen[a, b] += 1
+    gw, gt = quality.slopes(field, x, y, starts, lengths, seen)
+    step = 1e-5
+    for k in range(4):
+        d = np.eye(4)[k] * step
+        assert abs((loss(field.w + d, field.t) - loss(field.w - d, field.t)) / (2 * step) - gw[k]) < 1e-6
+    for a, b in np.ndindex(2, 2):
+        d = np.zeros((2, 2))
+        d[a, b] = step
+        assert abs((loss(field.w, field.t + d) - loss(field.w, field.t - d)) / (2 * step) - gt[a, b]) < 1e-6
+
+
+def test_training_takes_whole_documents_within_its_bounds(spark, monkeypatch):
+    """Rows of one id count once and never reach the driver; documents are fitted whole, with their true neighbours, or not at all."""
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda documents: seen.append(documents) or quality.Field(np.zeros(3 * quality.OWN + 3), np.zeros((2, 2))))
+    ids = [i for i in range(100) if not __import__("zlib").crc32(str(i).encode()) % 5 == 0]
+    long, many, others = ids[0], ids[1], ids[2:12]
+    rows = [(long, "line\n" * 5000), *[(many, "a\nb\nc")] * 300, (many, "a\nb\nc\nd"), *[(i, "\n".join(f"l{k}" for k in range(600))) for i in others], (None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in [long, many, *others]], "doc_id long, quality int")
+    quality.train(docs, labels)
+    assert sorted(len(f) for f, _, _ in seen[0]) == [3] + [600] * 10
+    monkeypatch.setattr(quality, "TRAIN_LINES", 2000)
+    quality.train(docs, labels)
+    assert sum(len(f) for f, _, _ in seen[1]) <= 2000 and all(len(f) in (3, 600) for f, _, _ in seen[1])
+    want = quality.line_features("\n".join(f"l{k}" for k in range(600)))[0]
+    assert all((f == want).all() for f, _, _ in seen[0] if len(f) == 600)
+    text_ids = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    quality.train(text_ids, labels.select(F.col("doc_id").cast("string").alias("doc_id"), "quality"))
+    assert len(seen[2]) and all(len(f) in (3, 600) for f, _, _ in seen[2])
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")

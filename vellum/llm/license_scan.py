@@ -21,29 +21,120 @@ from vellum.llm.shared import map_arrow
 #: The base phrases and their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-#: Label and template of each notice that the method knows.
+
+
+def optional(words: str) -> str:
+    return f"<<beginOptional>>{words}<<endOptional>>"
+
+
+#: What may follow the name of a Creative Commons licence.
+CC_END = " ".join([*(optional(v) for v in ("4 0", "3 0", "2 5", "2 0", "1 0")), *map(optional, ("international", "unported", "generic", "public"))])
+CC_NAMES = {
+    "cc-by": ("", "by"),
+    "cc-by-sa": ("share alike", "by sa"),
+    "cc-by-nd": ("no derivatives", "by nd"),
+    "cc-by-nc": ("non commercial", "by nc"),
+    "cc-by-nc-sa": ("non commercial share alike", "by nc sa"),
+    "cc-by-nc-nd": ("non commercial no derivatives", "by nc nd"),
+}
+
+
+def creative_commons() -> list[tuple[str, str]]:
+    """The six licences by their names, words written together or apart, and by their short forms with a version or a verb."""
+    found = []
+    for label, (name, short) in CC_NAMES.items():
+        together = name.replace("share alike", "sharealike").replace("non commercial", "noncommercial").replace("no derivatives", "noderivatives")
+        for words in sorted({name, together}):
+            found.append((label, f"creative commons attribution {words} {CC_END} license"))
+        found.append((label, f"cc {short} {CC_END} license"))
+        found += [(label, f"cc {short} {version}") for version in ("4 0", "3 0")]
+        # A short form that others begin with says too little without a version.
+        if not any(other.startswith(f"{short} ") for _, other in CC_NAMES.values()):
+            found.append((label, f"licensed under {optional('a')} {optional('the')} cc {short}"))
+    return found
+
+
+DISCLAIMER = (
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability "
+    "fitness for a particular purpose and noninfringement in no event shall <<var;max=12>> be liable for any claim damages or other liability whether in an "
+    "action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"
+)
+BSD_START = (
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+    "<<var;max=1>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+    "<<var;max=1>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the "
+    "documentation and or other materials provided with the distribution "
+)
+BSD_NAME = (
+    "<<var;max=1>> neither the name of <<var;max=12>> nor the names of <<var;max=3>> contributors may be used to endorse or promote products derived from "
+    "this software without specific prior written permission "
+)
+BSD_END = (
+    "this software is provided by <<var;max=12>> as is and any express or implied warranties including but not limited to the implied warranties of "
+    "merchantability and fitness for a particular purpose are disclaimed in no event shall <<var;max=12>> be liable for any direct indirect incidental special "
+    "exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business "
+    "interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any "
+    "way out of the use of this software even if advised of the possibility of such damage"
+)
+
+
+def gnu(label: str, name: str, version: str) -> list[tuple[str, str]]:
+    """A GNU licence by its name and version, and by the notice in a file's head."""
+    published = optional("as published by the free software foundation")
+    return [
+        (label, f"gnu {name} {published} {optional('either')} version {version}"),
+        (
+            label,
+            f"free software you can redistribute it and or modify it under the terms of the gnu {name} {published} {optional('either')} version {version} "
+            f"of the license {optional('or at your option any later version')} <<var;max=5>> is distributed in the hope that it will be useful but without any "
+            f"warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu {name} for more details",
+        ),
+    ]
+
+
+#: Label and template of each notice that the method knows: licences in full, notices in file heads, names.
 TEMPLATES = [
-    ("mit", "the mit license<<beginOptional>> mit<<endOptional>>"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files <<beginOptional>>the software<<endOptional>> to deal in the software without restriction"),
+    ("mit", f"the mit license {optional('mit')}"),
+    (
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files "
+        f"{optional('the software')} to deal in the software without restriction including without limitation the rights to use copy modify merge publish "
+        f"distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so {optional('subject to the following conditions')} "
+        f"the above copyright notice and this permission notice {optional('including the next paragraph')} shall be included in all copies or substantial portions of the software {DISCLAIMER}",
+    ),
     ("mit", "spdx license identifier mit"),
     ("apache-2", "apache license <<beginOptional>>version<<endOptional>> 2 0"),
     ("apache-2", "apache 2 0 license"),
     ("apache-2", "spdx license identifier apache 2 0"),
-    ("cc-by-nc", "creative commons attribution noncommercial <<beginOptional>><<var;max=2>><<endOptional>> license"),
-    ("cc-by-nc", "creative commons attribution non commercial <<beginOptional>><<var;max=2>><<endOptional>> license"),
-    ("cc-by", "cc by 4 0"),
-    ("cc-by", "creative commons attribution <<beginOptional>>4 0<<endOptional>> <<beginOptional>>international<<endOptional>> license"),
-    ("cc-by-sa", "cc by sa"),
-    ("cc-by-sa", "creative commons attribution sharealike <<beginOptional>><<var;max=3>><<endOptional>> license"),
-    ("gpl-2", "gnu general public license <<beginOptional>>as published by the free software foundation<<endOptional>> <<beginOptional>>either<<endOptional>> version 2"),
-    ("gpl-3", "gnu general public license <<beginOptional>>as published by the free software foundation<<endOptional>> <<beginOptional>>either<<endOptional>> version 3"),
+    (
+        "apache-2",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the "
+        "license at <<var;max=10>> unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis "
+        "without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
+    ),
+    *creative_commons(),
+    *gnu("gpl-2", "general public license", "2"),
+    *gnu("gpl-3", "general public license", "3"),
     ("gpl-3", "gnu gpl <<beginOptional>>version<<endOptional>> <<beginOptional>>v<<endOptional>> 3"),
-    ("lgpl-3", "gnu lesser general public license <<beginOptional>>as published by the free software foundation<<endOptional>> <<beginOptional>>either<<endOptional>> version 3"),
-    ("agpl-3", "gnu affero general public license <<beginOptional>>as published by the free software foundation<<endOptional>> <<beginOptional>>either<<endOptional>> version 3"),
+    *gnu("lgpl-3", "lesser general public license", "3"),
+    *gnu("agpl-3", "affero general public license", "3"),
     ("mpl-2", "mozilla public license <<beginOptional>>version<<endOptional>> <<beginOptional>>v<<endOptional>> 2 0"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    (
+        "mpl-2",
+        "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain "
+        "one at <<var;max=6>>",
+    ),
+    ("bsd-2", BSD_START + BSD_END),
+    ("bsd-3", BSD_START + BSD_NAME + BSD_END),
     ("bsd-3", "bsd 3 clause <<beginOptional>><<var;max=3>><<endOptional>> license"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    (
+        "isc",
+        f"permission to use copy modify and {optional('or')} distribute this software for any purpose with or without fee is hereby granted provided that the above "
+        "copyright notice and this permission notice appear in all copies the software is provided as is and <<var;max=12>> disclaims all warranties with regard to "
+        "this software including all implied warranties of merchantability and fitness in no event shall <<var;max=12>> be liable for any special direct indirect or "
+        "consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious "
+        "action arising out of or in connection with the use or performance of this software",
+    ),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
 ]
 
@@ -154,8 +245,10 @@ def scan_licenses(docs: DataFrame, base: dict[str, str] = BASE, templates: list[
     Words are runs of ASCII letters (A-Z lower-cased), digits and all characters from
     U+0080 on.  n_base counts every place of a base phrase; first_word and last_word are null
     without one.  score is 0 without a label, else 1 - 2 ** (-m / 2) for the most mandatory
-    words m of an accepted place.  matches: array of (start, end, label), in words.  Null and
-    empty texts have no words; repeated rows each get their row; other columns aren't used.
+    words m of an accepted place.  matches: array of (start, end, label), in words; where
+    several ends of a place fit, the last one counts.  Null and empty texts have no words, an
+    empty table gives no rows, texts of any length are read whole; repeated rows each get their
+    row; other columns aren't used.
     """
     schema = (
         f"doc_id {docs.schema[doc_id].dataType.simpleString()}, n_words long, n_base long, first_word long, last_word long, "

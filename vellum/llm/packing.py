@@ -161,7 +161,8 @@ def pack(pieces: DataFrame, size: int = SIZE) -> DataFrame:
     """Add sequence_id and offset to ``pieces``, whose column length is 1 to ``size``.
 
     Every row gets a place, repeated rows one each; no rows, no sequences.  ``pieces``
-    should be stored, as it is read twice.
+    should be stored, as it is read twice; a column ``__row`` that tells all rows apart deals
+    and orders repeated rows and those without an id too, and is dropped.
     """
     counts = {int(r["length"]): int(r["n"]) for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     made = plan(counts, size)
@@ -184,18 +185,22 @@ def pack(pieces: DataFrame, size: int = SIZE) -> DataFrame:
 
     # A length that a third of all rows share is ranked in groups of about ROWS_A_RANK_GROUP rows.
     groups = max(64, sum(counts.values()) // ROWS_A_RANK_GROUP)
-    dealt = pieces.withColumn("__group", F.pmod(F.xxhash64("doc_id", "start"), F.lit(groups)))
+    own = ["__row"] if "__row" in pieces.columns else ["doc_id", "start"]
+    kept = [c for c in pieces.columns if c != "__row"]
+    dealt = pieces.withColumn("__group", F.pmod(F.xxhash64(*own), F.lit(groups)))
     sizes = dealt.groupBy("length", "__group").agg(F.count("*").alias("__n"))
     before = sizes.select("length", "__group", (F.sum("__n").over(Window.partitionBy("length").orderBy("__group")) - F.col("__n")).alias("__before"))
-    ranked = dealt.withColumn("__rank", F.row_number().over(Window.partitionBy("length", "__group").orderBy("doc_id", "start")))
-    ranked = ranked.join(before, ["length", "__group"]).select(*pieces.columns, (F.col("__before") + F.col("__rank") - 1).alias("rank"))
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
+    ranked = dealt.withColumn("__rank", F.row_number().over(Window.partitionBy("length", "__group").orderBy(*own)))
+    ranked = ranked.join(before, ["length", "__group"]).select(*kept, (F.col("__before") + F.col("__rank") - 1).alias("rank"))
+    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema if f.name in kept) + ", sequence_id long, offset long"
     return map_pandas(ranked, place, out)
 
 
 def pack_documents(docs: DataFrame, path: str, size: int = SIZE, kept_words: int | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece of ``docs``.
 
-    Null and empty texts are documents of the single id 0.  Other columns are not used.
+    Null and empty texts are documents of the single id 0; texts of any length are encoded
+    whole.  An empty table gives no rows.  Other columns are not used.
     """
-    return pack(written(pieces(docs, path, size, ids=False, kept_words=kept_words), "pieces"), size)
+    made = pieces(docs, path, size, ids=False, kept_words=kept_words).withColumn("__row", F.monotonically_increasing_id())
+    return pack(written(made, "pieces"), size)

@@ -1,9 +1,11 @@
 """Personal data: fixed patterns plus a character-level bidirectional LSTM with CRF transitions.
 
 The network is trained in numpy from labelled spans in generated text, by gradient descent
-on the CRF's likelihood.  Texts are cut into overlapping windows; each window is decoded by
-Viterbi, every character takes its tag from the window in which it stands furthest from an
-edge, and spans are read from the tags of the whole text.
+on the CRF's likelihood.  Texts are cut into overlapping windows; every character takes its
+emissions from the window in which it stands furthest from an edge.  Windows whose best path
+is proven to be "no personal data" throughout are so tagged; the emissions of all others are
+joined and decoded together by Viterbi, so that transitions hold across windows, between the
+ends that their neighbours give.  Spans are read from the tags of the whole text.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from vellum.llm.shared import map_arrow, parts
 #: Kinds in the order in which they are listed; the network's tags are O and these five.
 KINDS = ("email", "ip", "card", "phone", "ssn")
 WINDOW, STRIDE, HIDDEN, BLOCK = 128, 104, 8, 1024
+#: Windows that are decoded together at most; longer stretches are cut, as if one more character without a tag stood there.
+TOGETHER = 64
 STEPS, BATCH, SEED = 500, 48, 7
 #: Mean log-odds per character against "no personal data" that a span of the network must have.
 MARGIN = 0.5
@@ -123,21 +127,26 @@ def generated(rng: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
         sep = pick(("", "", " ", "-"))
         return sep.join(d[i : i + 4] for i in range(0, 16, 4))
 
+    def spelled() -> str:
+        left, right = pick(("[]", "()", "{}"))
+        gap, at, dot = pick(("", " ")), pick(("at", "AT")), pick(("dot", "DOT"))
+        return f"{name()}{gap}{left}{at}{right}{gap}{name()}{gap}{left}{dot}{right}{gap}{pick(('com', 'org', 'net', 'de'))}"
+
     positive = (
         (1, lambda: pick((f"{name()}.{name()}@{name()}.{pick(('com', 'org', 'net', 'de'))}", f"{name()}{digits(2)}@{name()}.example.com", f"{name()}.{digits(2)}@mail{digits(1)}.example.com"))),
-        (1, lambda: pick((f"{name()} [at] {name()} [dot] {pick(('com', 'org'))}", f"{name()}(at){name()}(dot){pick(('com', 'org'))}"))),
+        (1, spelled),
         (2, lambda: ".".join(str(rng.randint(1, 255)) for _ in range(4))),
         (3, card),
         (4, lambda: pick((f"+1 ({digits(3)}) {digits(3)}-{digits(4)}", f"+{digits(2)} {digits(3)} {digits(4)} {digits(3)}", f"+{digits(11)}"))),
-        (4, lambda: pick((f"({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}", f"{digits(3)}.{digits(3)}.{digits(4)}"))),
-        (5, lambda: f"{digits(3)}-{digits(2)}-{digits(4)}"),
+        (4, lambda: pick((f"({digits(3)}) {digits(3)}-{digits(4)}", f"({digits(3)}) {digits(3)} {digits(4)}", f"{digits(3)}{(sep := pick('-. '))}{digits(3)}{sep}{digits(4)}", f"0{digits(2)} {digits(4)} {digits(4)}"))),
+        (5, lambda: f"{digits(3)}{(sep := pick('--- '))}{digits(2)}{sep}{digits(4)}"),
     )
     negative = (
         lambda: f'token = "{"".join(pick("0123456789abcdef") for _ in range(40))}"', lambda: digits(rng.randint(1, 11)),
         lambda: f"{rng.randint(0, 20)}.{rng.randint(0, 20)}", lambda: f"{rng.randint(0, 20)}.{rng.randint(0, 20)}.{rng.randint(0, 20)}",
         lambda: f"{rng.randint(1900, 2030)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}", lambda: f"{rng.randint(10, 23)}:{rng.randint(10, 59)}",
         lambda: f"https://{name()}.{name()}.com/{digits(3)}", lambda: f"{digits(rng.randint(20, 30))}", lambda: f"${digits(2)}.{digits(2)}", lambda: f"at the {name()} dot", lambda: f"@{name()}", lambda: f"{digits(1)}-{digits(1)}-{digits(1)}",
-        lambda: f"{digits(4)}-{digits(4)}", lambda: f"Licensed under CC BY-NC {digits(1)}.0, Version {digits(1)}.0.",
+        lambda: f"{digits(4)}-{digits(4)}", lambda: f"{digits(5)}-{digits(4)}", lambda: f"{digits(2)} {digits(3)} {digits(3)}", lambda: f"Licensed under CC BY-NC {digits(1)}.0, Version {digits(1)}.0.",
     )
     style = pick(("", "", "", "", "###", "$$$", "%%%", "&&&", "!!", " |", ","))
     text, spans, shout = "", [], rng.random() < 0.1
@@ -293,14 +302,17 @@ def emissions(net: Network, x: np.ndarray) -> np.ndarray:
     return e
 
 
-def viterbi(e: np.ndarray, t: np.ndarray) -> np.ndarray:
+def viterbi(e: np.ndarray, t: np.ndarray, lengths: np.ndarray | None = None) -> np.ndarray:
+    """Best tags (T, B) of emissions e (T, B, K); of sequence b only the first lengths[b] steps count."""
     steps, many, k = e.shape
+    lengths = np.full(many, steps) if lengths is None else lengths
     back = np.empty((steps, many, k), np.int8)
     best = e[0]
     for s in range(1, steps):
         ways = best[:, :, None] + t
-        back[s] = ways.argmax(axis=1)
-        best = ways.max(axis=1) + e[s]
+        on = (s < lengths)[:, None]
+        back[s] = np.where(on, ways.argmax(axis=1), np.arange(k))
+        best = np.where(on, ways.max(axis=1) + e[s], best)
     tags = np.empty((steps, many), np.int8)
     tags[-1] = best.argmax(axis=1)
     row = np.arange(many)
@@ -309,6 +321,27 @@ def viterbi(e: np.ndarray, t: np.ndarray) -> np.ndarray:
     return tags
 
 
+def decoded(runs: list[tuple[np.ndarray, bool, bool]], t: np.ndarray) -> list[np.ndarray]:
+    """Best tags of each run of emissions (T, K); the flags say whether text without a tag stands before it and after it."""
+    out: list[np.ndarray] = [np.zeros(0, np.int8)] * len(runs)
+    order = sorted(range(len(runs)), key=lambda i: len(runs[i][0]))
+    for at in range(0, len(order), 256):
+        own = order[at : at + 256]
+        lengths = np.array([len(runs[i][0]) for i in own])
+        e = np.zeros((int(lengths.max()), len(own), t.shape[0]), np.float32)
+        for k, i in enumerate(own):
+            piece, before, after = runs[i]
+            e[: len(piece), k] = piece
+            if before:
+                e[0, k] += t[0]
+            if after:
+                e[len(piece) - 1, k] += t[:, 0]
+        tags = viterbi(e, t, lengths)
+        for k, i in enumerate(own):
+            out[i] = tags[: lengths[k], k]
+    return out
+
+
 def may_leave(e: np.ndarray, t: np.ndarray) -> np.ndarray:
     """Of windows e (T, K, B), those whose best path may have a tag other than O.
 
@@ -343,25 +376,44 @@ def tagged(net: Network, texts: list[str]) -> list[list[tuple[int, int, int, flo
     edge = (WINDOW - STRIDE) // 2
     steps = np.arange(WINDOW)
     hot: set[int] = set()
+    run: list[tuple[int, int, np.ndarray]] = []  # (window, place, emissions) of live windows, one after another
+    runs: list[list[tuple[int, int, np.ndarray]]] = []
+
+    def place_tags() -> None:
+        """Decode the complete runs and let go of their emissions."""
+        if not runs:
+            return
+        joined = []
+        for own in runs:
+            first_window, last_window = own[0][0], own[-1][0]
+            ends = start[last_window] + WINDOW >= stop[last_window]
+            joined.append((np.concatenate([e for _, _, e in own]), bool(local[first_window]), not ends))
+        for own, (e, _, _), best in zip(runs, joined, decoded(joined, net.t), strict=True):
+            if best.any():
+                span = slice(own[0][1], own[0][1] + len(best))
+                tags[span] = best
+                odds[span] = np.take_along_axis(e, best[:, None].astype(np.intp), 1)[:, 0] - e[:, 0]
+                hot.add(int(doc[own[0][0]]))
+        runs.clear()
+
     for at in range(0, len(doc), BLOCK):
         s, e = start[at : at + BLOCK], stop[at : at + BLOCK]
         place = s[None, :] + steps[:, None]
         inside = place < e[None, :]
         em = emissions(net, np.where(inside, flat[np.minimum(place, len(flat) - 1)], 0))
-        live = np.flatnonzero(may_leave(em, net.t))
-        if not len(live):
-            continue
-        em = np.ascontiguousarray(em[:, :, live].transpose(0, 2, 1))
-        best = viterbi(em, net.t)
-        for k in np.flatnonzero(best.any(axis=0)):
-            w = at + live[k]
+        for k in np.flatnonzero(may_leave(em, net.t)):
+            w = int(at + k)
             lo = 0 if local[w] == 0 else edge
             hi = WINDOW if start[w] + WINDOW >= stop[w] else WINDOW - edge
             hi = min(hi, int(stop[w] - start[w]))
-            span = slice(int(start[w]) + lo, int(start[w]) + hi)
-            tags[span] = best[lo:hi, k]
-            odds[span] = np.take_along_axis(em[lo:hi, k], best[lo:hi, k, None].astype(np.intp), 1)[:, 0] - em[lo:hi, k, 0]
-            hot.add(int(doc[w]))
+            if run and (run[-1][0] != w - 1 or doc[run[-1][0]] != doc[w] or len(run) == TOGETHER):
+                runs.append(run)
+                run = []
+            run.append((w, int(start[w]) + lo, em[lo:hi, :, k].copy()))
+        place_tags()
+    if run:
+        runs.append(run)
+    place_tags()
     for d in sorted(hot):
         own = tags[first[d] : first[d + 1]]
         cuts = np.flatnonzero(np.diff(own, prepend=-1, append=-1))
@@ -371,13 +423,17 @@ def tagged(net: Network, texts: list[str]) -> list[list[tuple[int, int, int, flo
     return found
 
 
+#: An address of any spelling: a sign or the word "at", in brackets or in capitals, and a dot or its word.
+SPELLED = re.compile(r"\w *(?:@|[(\[{<] *(?i:at) *[)\]}>]|\bAT\b) *\w+ *(?:\.|[(\[{<] *(?i:dot) *[)\]}>]|\bDOT\b) *\w")
+
+
 def whole(kind: str, text: str, start: int, end: int) -> bool:
     """Whether a span of the network is complete: nothing alike touches it, and its kind's check holds."""
     if (start and text[start - 1].isalnum()) or (end < len(text) and text[end].isalnum()):
         return False
     found = text[start:end]
     if kind == "email":
-        return bool(re.search(r"\w ?(@|[(\[]at[)\]]) ?\w+ ?(\.|[(\[]dot[)\]]) ?\w", found))
+        return bool(SPELLED.search(found))
     return found[0] in "(+0123456789" and found[-1].isdigit() and fits(kind, found)
 
 
@@ -407,7 +463,8 @@ def scan_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", redact
     """One row per row of ``docs``: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans.
 
     Spans are kind:start:end in code points, by start and then kind as in KINDS.  Null and
-    empty texts have none; repeated rows each get their row; other columns aren't used.  With
+    empty texts have none, texts of any length are read whole, an empty table gives no rows;
+    repeated rows each get their row; other columns aren't used.  With
     ``redact``, the result is ``docs`` instead, each span in ``text`` replaced by
     ``redact.format(kind)`` (overlapping ones by one); null texts stay null.
     """

@@ -20,10 +20,10 @@ from pyspark.sql import functions as F
 
 from vellum.llm.shared import map_arrow, parts
 
-#: Bound on the labelled documents that are fitted: those with the smallest hashes of their ids.
-TRAIN_DOCUMENTS = 4000
-#: Lines of one training document that are fitted at most: evenly spaced ones (scoring takes all).
-TRAIN_LINES = 400
+#: Bounds on the labelled documents that are fitted, each of them whole: those with the smallest
+#: hashes of their ids, as long as they have so many lines together; documents with more than
+#: TRAIN_LONGEST lines are fitted only if there are no others.  Scoring takes all documents.
+TRAIN_DOCUMENTS, TRAIN_LINES, TRAIN_LONGEST = 4000, 150_000, 1000
 ROUNDS, STEPS = 3, 120
 THRESHOLD = 0.3
 
@@ -129,6 +129,12 @@ def marginals(e: np.ndarray, starts: np.ndarray, lengths: np.ndarray, t: np.ndar
     return m[:, 1] / m.sum(axis=1), pairs
 
 
+def slopes(field: Field, x: np.ndarray, y: np.ndarray, starts: np.ndarray, lengths: np.ndarray, seen: np.ndarray) -> list[np.ndarray]:
+    """Gradients of the mean negative log-likelihood of the lines' labels y, with its penalties, in w and t; seen: pairs of labels."""
+    p, pairs = marginals(x @ field.w, starts, lengths, field.t)
+    return [x.T @ (p - y) / len(x) + 1e-4 * field.w, (pairs - seen) / len(x) + 1e-3 * field.t]
+
+
 def fit(documents: list[tuple[np.ndarray, np.ndarray, int]], rounds: int = ROUNDS, steps: int = STEPS) -> Field:
     """Field of (own features, weights, label) documents; without both labels, one that finds all good or all bad."""
     width = 3 * OWN + 3
@@ -151,8 +157,7 @@ def fit(documents: list[tuple[np.ndarray, np.ndarray, int]], rounds: int = ROUND
         seen = np.zeros((2, 2))
         np.add.at(seen, (before[inner[1:]], after[inner[1:]]), 1)
         for step in range(1, steps + 1):
-            p, pairs = marginals(x @ field.w, starts, lengths, field.t)
-            grads = [x.T @ (p - y) / len(x) + 1e-4 * field.w, (pairs - seen) / len(x) + 1e-3 * field.t]
+            grads = slopes(field, x, y, starts, lengths, seen)
             for part, g, a, b in zip((field.w, field.t), grads, m1, m2, strict=True):
                 a += 0.1 * (g - a)
                 b += 0.02 * (g * g - b)
@@ -190,10 +195,12 @@ def held_out(doc_id):
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCUMENTS) -> Field:
-    """Fit on at most ``most`` labelled documents that aren't held out.
+    """Fit on at most ``most`` labelled documents that aren't held out, within the bounds on their lines.
 
-    A document labelled twice is good only if no label says bad; null labels don't count.
-    Ids are bounded first; only features of those documents reach the driver.
+    A document labelled twice is good only if no label says bad; null labels don't count.  Of
+    several rows under one id one is fitted: that with the fewest lines, then the smallest
+    hash of its text.  Ids are chosen first, then rows; only features of those rows reach
+    the driver, TRAIN_LINES lines at most or one document.
     """
     chosen = (
         labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id")))
@@ -202,29 +209,35 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCUMENTS) -> Fi
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(most)
     )
-    picked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality")
+    told = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    count = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    sizes = told.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.struct(count.alias("lines"), F.xxhash64("text").alias("hash"))).alias("row"), F.first("quality").alias("quality"))
+    rows = sorted(sizes.select(F.xxhash64("doc_id").alias("turn"), "doc_id", "row.lines", "row.hash", "quality").collect(), key=lambda r: (r["turn"], r["doc_id"]))
+    rows = [r for r in rows if r["lines"] <= TRAIN_LONGEST] or rows[:1]
+    picked, total = [], 0
+    for r in rows:
+        if total + r["lines"] <= TRAIN_LINES or not picked:
+            picked.append((r["doc_id"], r["hash"], len(picked), int(r["quality"] > 0)))
+            total += r["lines"]
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    few = docs.sparkSession.createDataFrame(picked, f"doc_id {kind}, hash long, turn int, label int")
+    texts = told.withColumn("hash", F.xxhash64("text")).join(F.broadcast(few), ["doc_id", "hash"]).dropDuplicates(["turn"]).select("turn", "text", "label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for doc_id, text, label in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                f, v = line_features(text)
-                if len(f) > TRAIN_LINES:
-                    keep = np.linspace(0, len(f) - 1, TRAIN_LINES).astype(int)
-                    f, v = f[keep], v[keep]
-                rows.append((doc_id, f.tobytes(), v.astype(np.float32).tobytes(), int(label > 0)))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.binary(), pa.int64()))], names=["doc_id", "f", "v", "label"])
-
-    rows = map_arrow(picked, run, "doc_id long, f binary, v binary, label long").collect()
-    rows.sort(key=lambda r: (r["doc_id"], bytes(r["f"])))
-    rows = rows[: 2 * most]  # repeated rows of one id count, within the bound
+            made = [line_features(t) for t in batch.column(1).to_pylist()]
+            columns = [pa.array([f.tobytes() for f, _ in made], pa.binary()), pa.array([v.astype(np.float32).tobytes() for _, v in made], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, batch.column(2)], names=["turn", "f", "v", "label"])
+
+    rows = sorted(map_arrow(texts, run, "turn int, f binary, v binary, label int").collect(), key=lambda r: r["turn"])
     return fit([(np.frombuffer(r["f"], np.float32).reshape(-1, OWN), np.frombuffer(r["v"], np.float32), r["label"]) for r in rows])
 
 
 def score_documents(docs: DataFrame, field: Field, name: str = "score", text: str = "text") -> DataFrame:
     """``docs`` with a column ``name`` (double, 0 to 1); it replaces one of that name.
 
-    Every row keeps its columns and gets its score, null and empty texts too.
+    Every row keeps its columns and gets its score, null and empty texts (one empty line) and
+    texts of any length too, which are read whole.  Equal texts get equal scores; an empty table stays empty.
     """
     kept = docs.drop(name)
     at = kept.columns.index(text)

@@ -70,7 +70,13 @@ def op10_pii_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_scan.scan_pii(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_top_k": op1_top_k, "op2_license_scan": op2_license_scan, "op3_best_fit_packing": op3_best_fit_packing, "op4_bpe": op4_bpe, "op5_url_filter": op5_url_filter, "op6_secret_scan": op6_secret_scan, "op7_quality": op7_quality, "op8_vector_dedup": op8_vector_dedup, "op9_minhash": op9_minhash, "op10_pii_scan": op10_pii_scan}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_top_k, op2_license_scan, op3_best_fit_packing, op4_bpe, op5_url_filter,
+        op6_secret_scan, op7_quality, op8_vector_dedup, op9_minhash, op10_pii_scan,
+    )
+}
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 

@@ -4,7 +4,8 @@ Long unbroken tokens are candidates.  Their encoding is inferred (hex, base32, b
 chi-squared uniformity over that alphabet, a runs test about its middle and lag-1 serial
 correlation give three p-values under "random", joined by Fisher's method.  Within each
 stratum of encoding and length band, Benjamini-Hochberg over the whole corpus decides
-which candidates are rejected as not random; the rest are reported.
+which candidates are rejected as not random; the rest are reported.  What is controlled is the
+share of random tokens among those rejected: a report is a token that randomness can't be denied.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vellum.llm.shared import written
+
 #: Patterns, in the order in which kinds are listed.
 PATTERNS = {
     "assign": r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -155,29 +158,36 @@ def rejection_bins(candidates: DataFrame, rate: float = FALSE_DISCOVERY) -> dict
     return {(r["kind"], r["band"]): r["cut"] for r in cut.collect()}
 
 
+def scanned(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, assign, access, hex, random): the base spans and the candidates of every row, from one pass over its text."""
+    out = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    nothing = F.expr("cast(array() as array<struct<start:int,end:int,kind:string,band:int,bin:int>>)")
+    empty = F.expr("cast(array() as array<struct<start:int,end:int,tok:string>>)")
+    found = []
+    for kind, pattern in PATTERNS.items():
+        least, group = LEAST[kind], 2 if kind == "assign" else 0
+        # A gate accepts whatever its pattern keeps.
+        kept = F.when(F.col("text").rlike(GATES[kind]), spans(F.col("text"), pattern, lambda t, least=least: F.length(t) >= least, group)).otherwise(empty)
+        found.append(F.transform(kept, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias(kind))
+    random = F.when(F.col("text").rlike(GATES["random"]), random_spans(F.col("text"))).otherwise(nothing)
+    return out.select("doc_id", *found, random.alias("random"))
+
+
 def scan_secrets(docs: DataFrame, rate: float = FALSE_DISCOVERY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_assign, n_access, n_hex, base_sha256, spans, found.
 
-    Null text counts as empty: no spans, the digest of the empty string.  Repeated rows
-    give repeated results; other columns are not used.  found: array of (start, kind, end).
+    Null text counts as empty: no spans, the digest of the empty string.  Texts of any length
+    are read whole; an empty table gives no rows.  Repeated rows give repeated results, and
+    each of them counts where candidates are judged; other columns are not used.  Candidates
+    that a base span touches are judged but not listed again.  Spans of one start stand by
+    kind.  found: array of (start, kind, end).  What the pass over the texts finds, without
+    texts, is stored and read again once the corpus has been judged.
     """
-    src = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    nothing = F.expr("cast(array() as array<struct<start:int,end:int,kind:string,band:int,bin:int>>)")
-    candidates = (
-        src.where(F.col("text").rlike(GATES["random"]))
-        .select(F.explode(random_spans(F.col("text"))).alias("c"))
-        .select("c.kind", "c.band", "c.bin")
-    )
-    cuts = rejection_bins(candidates, rate)
+    rows = written(scanned(docs, doc_id, text), "spans")
+    cuts = rejection_bins(rows.select(F.explode("random").alias("c")).select("c.kind", "c.band", "c.bin"), rate)
     cut = lambda s: reduce(lambda e, kv: e.when((s["kind"] == kv[0][0]) & (s["band"] == kv[0][1]), F.lit(kv[1])), cuts.items(), F.when(F.lit(False), F.lit(0))).otherwise(F.lit(BINS + 1))
-    out = src
-    empty = F.expr("cast(array() as array<struct<start:int,end:int,tok:string>>)")
-    for kind, pattern in PATTERNS.items():
-        least, group = LEAST[kind], 2 if kind == "assign" else 0
-        out = out.withColumn(kind, F.when(F.col("text").rlike(GATES[kind]), spans(F.col("text"), pattern, lambda t, least=least: F.length(t) >= least, group)).otherwise(empty))
-    survivors = F.filter(random_spans(F.col("text")), lambda s: s["bin"] < cut(s))
-    out = out.withColumn("random", F.when(F.col("text").rlike(GATES["random"]), survivors).otherwise(nothing))
-    # A missing text of "assign" can hold a shorter gate match only; the gate accepts whatever the pattern keeps.
+    touched = lambda s: F.exists(F.concat(*map(F.col, PATTERNS)), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+    out = rows.withColumn("random", F.filter("random", lambda s: (s["bin"] < cut(s)) & ~touched(s)))
     order = list(PATTERNS) + ["random"]
     named = lambda kind: F.transform(F.col(kind), lambda s: F.struct(s["start"].alias("start"), F.lit(order.index(kind)).alias("rank"), F.lit(kind).alias("kind"), s["end"].alias("end")))
     joined = lambda xs: F.array_join(F.transform(F.array_sort(xs), lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")

@@ -125,11 +125,38 @@ def partitions_for(spark: SparkSession, rows: int, each: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // each))
 
 
+#: Nodes with more than this share of all edges (and so fewer than 1 / HOT of them) don't go through a shuffle by their number.
+HOT, HOT_LEAST = 0.01, 100
+
+
+def _told(edge: DataFrame):
+    """What tells one state of the edges from another, and the nodes that may be hot."""
+    return edge.agg(
+        F.count("*").alias("n"),
+        F.sum(F.col("u").cast("decimal(38,0)")).alias("a"),
+        F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40))).alias("h"),
+        F.expr(f"approx_top_k(v, {int(1 / HOT)}, 4096)").alias("top"),
+    ).first()
+
+
+def _lifted(edge: DataFrame, state) -> DataFrame:
+    """Every edge (u, v) with v's smallest neighbour (or v itself) in place of v; hot ends are looked up in a list of 1 / HOT at most."""
+    low = edge.groupBy(F.col("u").alias("at")).agg(F.min("v").alias("m"))
+    hot = [r["item"] for r in state["top"] if r["count"] > max(HOT_LEAST, HOT * state["n"])]
+    if not hot:
+        return edge.join(low, edge["v"] == low["at"], "left").select("u", F.coalesce("m", "v").alias("v"))
+    least = {r["u"]: r["m"] for r in edge.where(F.col("u").isin(hot)).groupBy("u").agg(F.min("v").alias("m")).collect()}
+    known = F.broadcast(edge.sparkSession.createDataFrame([(v, least.get(v, v)) for v in hot], "hot long, hot_m long"))
+    told = edge.join(known, edge["v"] == known["hot"], "left").withColumn("key", F.when(F.col("hot").isNotNull(), F.xxhash64("u")).otherwise(F.col("v")))
+    return told.join(low, told["key"] == low["at"], "left").select("u", F.coalesce("hot_m", "m", "v").alias("v"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected ``edges`` (src long, dst long).
 
     Alternating large-star and small-star steps; each star is a grouped minimum
-    joined back to its edges, so no neighbour list is ever gathered.  Returns
+    joined back to its edges, so no neighbour list is ever gathered, and a component's
+    root, at which all its edges come to end, is looked up without a shuffle.  Returns
     (id, component) for every node that has an edge to another node, component
     being the smallest id reachable.  Nulls and self loops take no part.  The result
     reads a written table, which ``dropped`` deletes.
@@ -140,34 +167,27 @@ def components(edges: DataFrame) -> DataFrame:
         .distinct(),
         "edges",
     )
-    state = None
-    while True:
-        both = edge.select("u", "v").union(edge.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m"))
-        large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
-        low2 = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low2, "u")
+    state = _told(edge)
+    while state["n"]:
+        large = _lifted(edge, state)
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u")
         step = written(
             small.select(F.col("v").alias("u"), F.col("m").alias("v"))
             .where("u <> v")
-            .union(low2.select("u", F.col("m").alias("v")))
+            .union(low.select("u", F.col("m").alias("v")))
             .distinct(),
             "edges",
         )
-        now = step.agg(
-            F.count("*").alias("n"),
-            F.sum(F.col("u").cast("decimal(38,0)")).alias("a"),
-            F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40))).alias("h"),
-        ).first()
+        now = _told(step)
         dropped(edge)
         edge = step
-        if state == now:
-            found = edge.select(F.col("u").alias("id"), F.col("v").alias("component")).union(
-                edge.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
-            )
-            found._vellum_path = edge._vellum_path
-            return found
+        if (state["n"], state["a"], state["h"]) == (now["n"], now["a"], now["h"]):
+            break
         state = now
+    found = edge.select(F.col("u").alias("id"), F.col("v").alias("component")).union(edge.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+    found._vellum_path = edge._vellum_path
+    return found
 
 
 def joined_components(label: DataFrame, more: DataFrame) -> DataFrame:

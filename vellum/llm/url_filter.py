@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Rules up to this count are broadcast (under 10 MB); more are joined by shuffle, over salted keys.
-BROADCAST_RULES = 50_000
+#: Rules up to this count and size are broadcast; more are joined by shuffle, over salted keys.
+BROADCAST_RULES, BROADCAST_BYTES = 50_000, 16 << 20
 SALTS = 32
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -30,14 +30,15 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", url:
     path starts with the rule's path; the longest host plus path wins, then the longer
     host, then block before allow.  Where none fits, rule is null and verdict is
     ``default``.  Null or malformed URLs have empty host and path and so get the default;
-    repeated rows each get their row; no rules: all default.  Existing columns of the four
-    result names are replaced; others stay.
+    repeated rows each get their row; no rules: all default; no pages: no rows.  URLs of any
+    length are read whole.  Existing columns of the four result names are replaced; others stay.
     """
     rules = rules.select("action", F.translate("host", UPPER, LOWER).alias("rule_host"), F.coalesce("path", F.lit("")).alias("rule_path"))
     rules = rules.where("rule_host is not null and rule_host <> ''").distinct()
     # Bounded facts: as many values as URLs have labels or path characters.
     facts = rules.agg(
         F.count("*").alias("n"),
+        F.sum(F.octet_length("rule_host") + F.octet_length("rule_path")).alias("bytes"),
         F.sort_array(F.collect_set(F.size(F.split("rule_host", r"\.")))).alias("labels"),
         F.sort_array(F.collect_set(F.length("rule_path"))).alias("lengths"),
     ).first()
@@ -46,7 +47,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", url:
     parsed = pages.withColumns({"__h": host, "__p": path}).select(*keep, F.col("__h").alias("host"), F.col("__p").alias("path"))
     if not facts["n"]:
         return parsed.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
-    many = facts["n"] > BROADCAST_RULES
+    many = facts["n"] > BROADCAST_RULES or facts["bytes"] > BROADCAST_BYTES
     salts = SALTS if many else 1
     digest = lambda h, p: F.sha2(F.concat(h, p), 256)
     keyed = rules.select("*", digest(F.col("rule_host"), F.col("rule_path")).alias("rule_digest"))
@@ -81,6 +82,10 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", url:
         .groupBy("host", "path")
         .agg(F.max_by(F.struct(F.concat("rule_host", "rule_path").alias("rule"), "action"), rank).alias("won"))
     )
-    return parsed.join(judged, ["host", "path"], "left").select(
+    # Addresses without a host fit no rule: they are dealt by partition, not to one task.
+    at = F.when(F.col("host") == "", F.concat(F.lit("/"), F.spark_partition_id().cast("string"))).otherwise(F.col("host"))
+    judged = judged.select(F.col("host").alias("__at"), F.col("path").alias("__path"), "won")
+    told = parsed.withColumns({"__at": at, "__path": F.col("path")})
+    return told.join(judged, ["__at", "__path"], "left").select(
         *keep, "host", "path", F.col("won.rule").alias("rule"), F.coalesce("won.action", F.lit(default)).alias("verdict")
     )
