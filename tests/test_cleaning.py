@@ -88,3 +88,54 @@ def test_segments():
     assert made[0][2] == 1 and made[-1][3] == 12 and all(a[3] + 1 == b[2] for a, b in zip(made, made[1:], strict=False))
     assert not made[0][1].startswith("x") and "# H1" in made[1][1]
     assert len(segments_of("y" * 300, 80, 2)) == 1  # nothing to cut at
+
+
+def test_fold_is_pairwise_merging():
+    """Pages folded with kept lines give what merging text by text gives, with odd line ends, markers within pages and common lines."""
+    import random
+
+    from vellum.operators.merge import MARKER, Fold
+
+    rng = random.Random(1)
+    for trial in range(1500):
+        ends = ["\n", "\n", "\r\n", "\r", "\x0b"] if rng.random() < 0.3 else ["\n"]
+        words, most = (["a", "b", "c", "", " ", "d"], 8) if trial % 30 else (["a", "", *(f"w{k}" for k in range(40))], 400)
+        pages, before = [], []
+        for k in range(rng.randint(1, 6)):
+            body = [rng.choice(words) for _ in range(rng.randint(0, most))]
+            if before and rng.random() < 0.6:
+                body = before[-rng.randint(1, 1 + most // 2) :] + body
+            if rng.random() < 0.2:
+                body.insert(rng.randint(0, len(body)), "<!-- page: x -->")
+            before = body
+            text = "".join(x + rng.choice(ends) for x in body)
+            pages.append(f"{MARKER} {k} -->\n{text[: -1 if rng.random() < 0.5 else None]}")
+        ratio = rng.choice([0.7, 0.3, 1.0])
+        want, lines = pages[0], 0
+        fold, n = Fold(pages[0], ratio), 0
+        for page in pages[1:]:
+            want, more, _ = merge_pair(want, page, ratio)
+            lines += more
+            n += fold.add(page)
+        assert (fold.text(), n) == (want, lines)
+
+
+def test_pages_keep_their_images_apart(spark):
+    rows = [("g", 0, "a.b.jpg", "![x](images/0.jpg)", None, None), ("g", 1, "c.jpg", "", '<img src="images/0.jpg">', None), ("g", 2, "d.jpg", None, None, "d_cropped_OCR")]
+    pages = spark.createDataFrame(rows, "group_id string, page_seq int, image_name string, text string, raw string, ocr_dir string")
+    got = merge_pages(pages, raw="raw", ocr_dir="ocr_dir").first().markdown
+    assert got == '<!-- page: a.b.jpg -->\n![x](a.b_OCR/images/0.jpg)\n\n<!-- page: c.jpg -->\n<img src="c_OCR/images/0.jpg">\n\n<!-- page: d.jpg -->'
+
+
+def test_noise_sets_past_the_broadcast(spark, monkeypatch):
+    """Salted groups give what broadcast sets give, and no text is sorted or shuffled by its group."""
+    from vellum.config import DedupConfig
+    from vellum.operators import frequency
+
+    rows = [("g" if k % 3 else "h", k, f"top\nown {k}\nmid {k}\n  foot " + ("x" if k % 2 else "")) for k in range(40)] + [("i", 99, "top")]
+    pages = spark.createDataFrame(rows, "group_id string, page_seq int, text string")
+    read = lambda: sorted(map(tuple, frequency.strip_repeated_lines(pages, DedupConfig(repeated_line_min_block=1)).select("group_id", "page_seq", "text", "removed").collect()))
+    want = read()
+    assert sum(r[3] for r in want) >= 40
+    monkeypatch.setattr(frequency, "BROADCAST_BYTES", -1)
+    assert read() == want

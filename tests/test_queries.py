@@ -2,7 +2,7 @@
 
 import pytest
 
-from vellum.plans.queries import EXPECTED, ORACLE, QUERIES
+from vellum.plans.queries import ORACLE, QUERIES
 
 
 def plain(v):
@@ -28,8 +28,14 @@ def test_runs(spark, sf, name):
     assert QUERIES[name](spark, sf).count() > 0
 
 
-def test_merge_pairs_as_expected(spark, sf):
-    assert [tuple(r) for r in QUERIES["mrg_7_merge_pairs"](spark, sf).orderBy("pair_id").collect()] == EXPECTED
+OVERLAPS = [(1, "a\nb\nc\nd", "c\nd\ne"), (2, "a\nb", "x\ny"), (3, "", "x"), (4, "a\nb\nc", "c\nz"), (5, "a\nb\nc\nt", "b\nc\nd\nu"), (6, "p\nq\nr\ns", "n\nq\nr\ns\nv")]
+EXPECTED = [(1, "a\nb\nc\nd\ne", 2, 1.0), (2, "a\nb\n\nx\ny", 0, 0.0), (3, "\nx", 0, 0.0), (4, "a\nb\nc\n\nc\nz", 0, 0.0), (5, "a\nb\nc\nt\n\nb\nc\nd\nu", 0, 0.0), (6, "p\nq\nr\ns\n\nn\nq\nr\ns\nv", 0, 0.0)]
+
+
+def test_merge_pairs_as_expected(spark):
+    from vellum.operators.merge import merge_pairs
+
+    assert [tuple(r) for r in merge_pairs(spark.createDataFrame(OVERLAPS, "pair_id int, text_a string, text_b string")).orderBy("pair_id").collect()] == EXPECTED
 
 
 @pytest.mark.parametrize("partitions", [1, 3, 11])

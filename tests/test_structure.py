@@ -95,9 +95,10 @@ def test_task_machine(spark):
 
 
 def test_staged_names():
-    assert [n for _, n in files.staged_names(["/a/x.jpg", "/b/x.jpg", "/c/x_1.jpg"])] == ["x.jpg", "x_1.jpg", "x_1_1.jpg"]
-    with pytest.raises(ValueError, match="absolute"):
-        files.staged_names(["x.jpg"])
+    assert [n for _, n, _ in files.staged_names(["/a/x.jpg", "/b/x.jpg", "/c/x_1.jpg"])] == ["x.jpg", "x_1.jpg", "x_1_1.jpg"]
+    assert [(n, e and e[:3]) for _, n, e in files.staged_names(["x.jpg", "/a/x.jpg", None, "/a/x.txt"])] == [(None, "not"), ("x.jpg", None), (None, "not"), (None, "not")]
+    many = files.staged_names([f"/a/{k}.jpg" for k in range(files.MAX_STAGED + 2)])
+    assert [e for _, _, e in many].count(None) == files.MAX_STAGED and many[-1][1] is None
 
 
 def test_files_round_trip(spark, tmp_path):
@@ -112,13 +113,27 @@ def test_files_round_trip(spark, tmp_path):
     art.parent.mkdir(parents=True)
     art.write_text("hello\nworld")
     assert files.read_artifacts(spark, str(tmp_path / "art")).first().value == "hello\nworld"
-    files.write_documents(spark.createDataFrame([("d1", "# t")], "doc_dir string, markdown string"), str(tmp_path / "out"))
-    assert spark.read.text(str(tmp_path / "out")).first().value == "# t"
-    base = tmp_path / "zip" / "d1"
-    (base / "images").mkdir(parents=True)
-    (base / "document.md").write_text("x")
-    (base / "images" / "1.jpg").write_bytes(b"1")
-    assert files.zip_documents(str(tmp_path / "zip"), ["d1"], str(tmp_path / "z.zip")) == ["d1/document.md", "d1/images/1.jpg"]
+
+
+@pytest.mark.parametrize("dirs", [["d1", "d2"], [""]])
+def test_documents_written_and_packed(spark, tmp_path, dirs):
+    """document.md without markers, its images beside it, all of it in the archive; written twice, it is the same."""
+    import zipfile
+
+    for stem, n in (("p1", 0), ("p1_cropped", 3)):
+        (tmp_path / "out" / f"{stem}_OCR" / "images").mkdir(parents=True)
+        (tmp_path / "out" / f"{stem}_OCR" / "images" / f"{n}.jpg").write_bytes(stem.encode())
+    text = "<!-- page: p1.jpg -->\n# t\n![a](p1_OCR/images/0.jpg)\n<!-- page: p1_cropped.jpg -->\n<img src=\"p1_cropped_OCR/images/3.jpg\">\n![](gone_OCR/images/9.jpg)\n"
+    want = "# t\n![a](images/p1_0.jpg)\n<img src=\"images/p1_cropped_3.jpg\">\n![](images/gone_9.jpg)"
+    docs = spark.createDataFrame([(d, text) for d in dirs], "doc_dir string, markdown string")
+    for _ in range(2):
+        files.write_documents(docs, f"file:{tmp_path}/out")
+    for d in dirs:
+        assert (tmp_path / "out" / d / "document.md").read_text() == want
+        assert (tmp_path / "out" / d / "images" / "p1_cropped_3.jpg").read_bytes() == b"p1_cropped"
+    names = files.zip_documents(str(tmp_path / "out"), dirs, str(tmp_path / "z.zip"))
+    assert names == [f"{d}/{n}".lstrip("/") for d in dirs for n in ("document.md", "images/p1_0.jpg", "images/p1_cropped_3.jpg")]
+    assert zipfile.ZipFile(tmp_path / "z.zip").read(names[0]).decode() == want
 
 
 def test_missing_text_is_an_error(spark):

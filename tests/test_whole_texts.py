@@ -29,17 +29,17 @@ def filename(text):
 
 
 def test_banned_tokens_of_whole_texts(spark, sf, texts):
-    got = {r.doc_id: r.banned for r in QUERIES["lay_17_banned_tokens_whole"](spark, sf).collect()}
+    got = {r.doc_id: r.banned for r in QUERIES["lay_17_banned_tokens"](spark, sf).collect()}
     assert {i: ",".join(map(str, sorted(map(int, filter(None, b.split(",")))))) for i, b in got.items() if texts[i] is not None} == {i: banned(t) for i, t in texts.items() if t is not None}
 
 
 def test_word_list_of_whole_texts(spark, sf, texts):
-    got = {r.doc_id: r.words for r in QUERIES["pii_13_word_list_whole"](spark, sf).collect()}
+    got = {r.doc_id: r.words for r in QUERIES["pii_13_word_list"](spark, sf).collect()}
     assert {i: w for i, w in got.items() if texts[i] is not None} == {i: ",".join(w + "=" for w in t.split(" ") if w) for i, t in texts.items() if t is not None}
 
 
 def test_filename_of_whole_texts(spark, sf, texts):
-    got = {r.doc_id: r.name for r in QUERIES["str_2_filename_whole"](spark, sf).collect()}
+    got = {r.doc_id: r.name for r in QUERIES["str_2_filename"](spark, sf).collect()}
     assert {i: n for i, n in got.items() if texts[i] is not None} == {i: filename(t) for i, t in texts.items() if t is not None}
 
 

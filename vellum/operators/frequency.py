@@ -31,7 +31,7 @@ def noise_lines(pages: DataFrame, threshold: float, min_pages: int, text: str =
 
 
 def noise_flags(own_lines: Column, noise: Column) -> Column:
-    """A string of 0 and 1, one for each line."""
+    """A string of 0 and 1, one for each line; ``noise`` holds those of the page's own lines that are noise."""
     return F.array_join(F.transform(own_lines, lambda x: F.when(F.array_contains(noise, normalize_line(x)), "1").otherwise("0")), "")
 
 
@@ -41,16 +41,35 @@ def in_long_runs(flags: Column, least: int) -> Column:
     return F.regexp_replace(flags, places, "x")
 
 
+#: Noise sets of up to this size go to all executors; larger ones meet their pages by shuffle, over salted groups.
+BROADCAST_BYTES, SALTS = 16 << 20, 64
+
+
+def with_noise(pages: DataFrame, noise: DataFrame, key: str) -> DataFrame:
+    """``pages`` with a column ``__noise``, null where their group has none; noise: (group_id, norm)."""
+    size = noise.agg(F.coalesce(F.sum(F.length("norm") * 4 + 64), F.lit(0))).first()[0]
+    sets = noise.groupBy("group_id").agg(F.collect_list("norm").alias("__noise"))
+    if size <= BROADCAST_BYTES:
+        return pages.join(F.broadcast(sets), "group_id", "left")
+    spread = sets.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return pages.withColumn("__salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")).join(spread, ["group_id", "__salt"], "left").drop("__salt")
+
+
 def strip_repeated_lines(pages: DataFrame, config: DedupConfig = DedupConfig(), text: str = "text") -> DataFrame:
     """``pages`` with noise blocks of ``repeated_line_min_block`` and more lines taken out of ``text``, and ``removed``.
 
     A group's noise set is small whatever its number of pages: each of its lines is on a
-    fixed share of them.  Pages that lose nothing keep their text as it is.
+    fixed share of them.  The sets' size is measured before they are broadcast.  A page is
+    compared with its group's set once, by hash; its lines then with what they share.
+    Pages that lose nothing keep their text as it is.
     """
-    noise = noise_lines(pages, config.repeated_line_threshold, config.repeated_line_min_pages, text).groupBy("group_id").agg(F.collect_list("norm").alias("__noise"))
+    noise = noise_lines(pages, config.repeated_line_threshold, config.repeated_line_min_pages, text).select("group_id", "norm")
     own = lines(F.col(text))
-    joined = pages.join(noise, "group_id", "left").withColumn("__noise", F.coalesce("__noise", F.expr("cast(array() as array<string>)")))
-    flags = F.when(F.size("__noise") == 0, F.lit("")).otherwise(in_long_runs(noise_flags(own, F.col("__noise")), config.repeated_line_min_block))
-    marked = joined.withColumn("__flags", flags).withColumn("removed", F.length("__flags") - F.length(F.replace("__flags", F.lit("x"), F.lit(""))))
+    joined = with_noise(pages, noise, "page_seq")
+    none = F.expr("cast(array() as array<string>)")
+    mine = F.when(F.col("__noise").isNull(), none).otherwise(F.array_intersect(F.transform(own, normalize_line), F.col("__noise")))
+    told = joined.withColumn("__mine", F.coalesce(mine, none)).drop("__noise")
+    flags = F.when(F.size("__mine") == 0, F.lit("")).otherwise(in_long_runs(noise_flags(own, F.col("__mine")), config.repeated_line_min_block))
+    marked = told.withColumn("__flags", flags).withColumn("removed", F.length("__flags") - F.length(F.replace("__flags", F.lit("x"), F.lit(""))))
     kept = F.filter(F.zip_with(own, F.split("__flags", r"(?!^)(?!\z)"), lambda x, f: F.when(f != "x", x)), lambda x: x.isNotNull())
-    return marked.withColumn(text, F.when(F.col("removed") > 0, F.array_join(kept, "\n")).otherwise(F.col(text))).drop("__noise", "__flags")
+    return marked.withColumn(text, F.when(F.col("removed") > 0, F.array_join(kept, "\n")).otherwise(F.col(text))).drop("__mine", "__flags")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import Counter
 from difflib import SequenceMatcher
 
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vellum.config import DedupConfig
-from vellum.functions.text import lines
+from vellum.functions.text import lines, rewrite_page_images
 from vellum.shipping import ship
 
 MARKER = "<!-- page:"
@@ -23,6 +24,19 @@ def page_lines_without_markers(pages: DataFrame, text: str = "text") -> DataFram
     return rows.withColumn("position", F.sum((~F.col("is_marker")).cast("long")).over(before) - (~F.col("is_marker")).cast("long"))
 
 
+def neighbours(pages: DataFrame, text: str = "text") -> DataFrame:
+    """(group_id, page_seq, a, b): each page's text with the next page's; page_seq is a page's own within its group.
+
+    Only keys are put in order; texts then meet on (group, page), so that a large group's
+    texts are spread like all others.
+    """
+    after = Window.partitionBy("group_id").orderBy("page_seq")
+    keys = pages.select("group_id", "page_seq").withColumn("__next", F.lead("page_seq").over(after)).where("__next is not null")
+    first = keys.join(pages.select("group_id", "page_seq", F.col(text).alias("a")), ["group_id", "page_seq"])
+    second = pages.select("group_id", F.col("page_seq").alias("__next"), F.col(text).alias("b"))
+    return first.join(second, ["group_id", "__next"]).select("group_id", "page_seq", "a", "b")
+
+
 def adjacent_overlap(pages: DataFrame, search_ratio: float = DedupConfig.search_ratio, text: str = "text") -> DataFrame:
     """Longest block of equal lines between each page's tail and the next page's head.
 
@@ -30,8 +44,12 @@ def adjacent_overlap(pages: DataFrame, search_ratio: float = DedupConfig.search_
     diagonal.  Ties go to the smallest tail line, then head line.  Heads of 200 and more lines
     follow ``merge_pages``' matcher, which passes over lines too common; this form doesn't.
     """
-    pair = Window.partitionBy("group_id").orderBy("page_seq")
-    pairs = pages.select("group_id", "page_seq", lines(F.col(text)).alias("a"), F.lead(lines(F.col(text))).over(pair).alias("b")).where("b is not null")
+    pairs = neighbours(pages, text).where("a is not null and b is not null").select("group_id", "page_seq", lines(F.col("a")).alias("a"), lines(F.col("b")).alias("b"))
+    return overlap_of(pairs, search_ratio)
+
+
+def overlap_of(pairs: DataFrame, search_ratio: float) -> DataFrame:
+    """``adjacent_overlap`` of (group_id, page_seq, a, b), a and b being arrays of lines."""
     cut = lambda n: F.greatest(F.lit(1), F.floor(n * F.lit(search_ratio)).cast("int"))
     sized = pairs.withColumns({"na": F.size("a"), "nb": F.size("b")}).where("na > 0 and nb > 0").withColumns({"ta": cut(F.col("na")), "tb": cut(F.col("nb"))})
     tail = sized.select("group_id", "page_seq", "na", "nb", F.posexplode(F.slice("a", F.col("na") - F.col("ta") + 1, F.col("ta"))).alias("i", "line"))
@@ -52,9 +70,9 @@ def merge_adjacent(pages: DataFrame, search_ratio: float = DedupConfig.search_ra
 
     Relational form of ``merge_pair``: up to the block's end in the first page, then what follows it in the second.
     """
-    pair = Window.partitionBy("group_id").orderBy("page_seq")
-    pairs = pages.select("group_id", "page_seq", F.col(text).alias("a"), F.lead(text).over(pair).alias("b")).where("b is not null")
-    told = pairs.join(adjacent_overlap(pages, search_ratio, text), ["group_id", "page_seq"], "left")
+    pairs = neighbours(pages, text).where("b is not null")
+    found = overlap_of(pairs.where("a is not null").select("group_id", "page_seq", lines(F.col("a")).alias("a"), lines(F.col("b")).alias("b")), search_ratio)
+    told = pairs.join(found, ["group_id", "page_seq"], "left")
     na, nb = F.size(lines(F.col("a"))), F.size(lines(F.col("b")))
     tail = F.greatest(F.lit(1), F.floor(na * F.lit(search_ratio)).cast("int"))
     taken = F.slice(lines(F.col("a")), F.lit(1), (na - tail + F.col("tail_start") + F.col("size")).cast("int"))
@@ -101,27 +119,147 @@ def merge_pair(a: str, b: str, search_ratio: float = DedupConfig.search_ratio) -
     return "\n".join(out + content[used:]), found.size, 1.0
 
 
-def merge_pages(pages: DataFrame, search_ratio: float = DedupConfig.search_ratio, text: str = "text", name: str = "image_name") -> DataFrame:
+class Fold:
+    """Pages merged one after another, as ``merge_pair`` does, with the lines, markers and places of lines kept between pages.
+
+    A page costs its own lines and the places where they stand in the text so far, not that
+    text's length.  The text before the last overlap is its lines; what came after is kept as it was.
+    """
+
+    def __init__(self, first: str, search_ratio: float):
+        self.ratio = search_ratio
+        self.marks, self.content = separated(first)
+        self.where: dict[str, list[int]] = {}
+        for i, line in enumerate(self.content):
+            self.where.setdefault(line, []).append(i)
+        self.prefix: tuple[int, int, bool] | None = None  # lines, markers and a last line end: the text up to the last overlap
+        self.raw = [first]
+        self.ends = ends_line(first)
+
+    def text(self) -> str:
+        rest = "".join(self.raw)
+        if self.prefix is None:
+            return rest
+        size, marks, ends = self.prefix
+        out, used = [], 0
+        for position, marker in self.marks[:marks]:
+            out += self.content[used:position]
+            out.append(marker)
+            used = position
+        return "\n".join(out + self.content[used:size]) + "\n" * ends + rest
+
+    def longest(self, head: list[str], at: int) -> tuple[int, int, int]:
+        """(place in the content, place in ``head``, lines) of the longest block of equal lines from ``at`` on.
+
+        Ties go to the smallest place in the content, then in the head.  As in difflib, lines that
+        make up more than a hundredth of a head of 200 lines and more begin no block but may
+        extend one.
+        """
+        places: dict[str, list[int]] = {}
+        for j, line in enumerate(head):
+            places.setdefault(line, []).append(j)
+        if len(head) >= 200:
+            most = len(head) // 100 + 1
+            places = {line: js for line, js in places.items() if len(js) <= most}
+        hits = sorted(i for line in places if line in self.where for i in self.where[line][bisect_left(self.where[line], at) :])
+        best, before, last = (at, 0, 0), {}, -2
+        for i in hits:
+            now = {}
+            earlier = before if i == last + 1 else {}
+            for j in places[self.content[i]]:
+                n = now[j] = earlier.get(j - 1, 0) + 1
+                if n > best[2]:
+                    best = (i - n + 1, j - n + 1, n)
+            before, last = now, i
+        a, b, n = best
+        while a > at and b > 0 and self.content[a - 1] == head[b - 1]:
+            a, b, n = a - 1, b - 1, n + 1
+        while a + n < len(self.content) and b + n < len(head) and self.content[a + n] == head[b + n]:
+            n += 1
+        return a, b, n
+
+    def grow(self, lines_: list[str]) -> None:
+        for line in lines_:
+            self.where.setdefault(line, []).append(len(self.content))
+            self.content.append(line)
+
+    def add(self, page: str) -> int:
+        """Merge the next page; returns the lines that overlap."""
+        marks, own = separated(page)
+        size = len(self.content)
+        tail, head = max(1, int(size * self.ratio)), max(1, int(len(own) * self.ratio))
+        at = max(0, size - tail)
+        a, b, n = self.longest(own[:head], at)
+        if sum(bool(x.strip()) for x in self.content[a : a + n]) < 2:
+            gap = [""] * (2 if self.ends else 1)
+            self.marks += [(size + len(gap) + p, m) for p, m in marks]
+            self.grow(gap + own)
+            self.raw += ["\n\n", page]
+            self.ends = ends_line(page)
+            return 0
+        while len(self.content) > a + n:
+            self.where[self.content.pop()].pop()
+        end = b + n
+        self.grow(own[end:])
+        for k in range(len(self.marks) - 1, -1, -1):
+            if self.marks[k][0] <= len(self.content):
+                break
+            self.marks[k] = (len(self.content), self.marks[k][1])
+        for p, marker in marks:
+            used = self.marks[-1][0] if self.marks else 0
+            self.marks.append((max(used, min(size + p - end, len(self.content))), marker))
+        # A last empty line is the end of the one before.
+        self.ends = bool(self.content) and self.content[-1] == "" and not (self.marks and self.marks[-1][0] == len(self.content))
+        if self.ends:
+            self.where[self.content.pop()].pop()
+        self.prefix, self.raw = (len(self.content), len(self.marks), self.ends), []
+        return n
+
+
+#: What ``str.splitlines`` takes for the end of a line.
+LINE_ENDS = ("\n", "\r", "\v", "\f", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029")
+
+
+def ends_line(text: str) -> bool:
+    """Whether a line end put after ``text`` opens an empty line; a return and a line feed are one end."""
+    return text.endswith(LINE_ENDS) and not text.endswith("\r")
+
+
+def merge_pages(
+    pages: DataFrame, search_ratio: float = DedupConfig.search_ratio, text: str = "text", name: str = "image_name", raw: str | None = None, ocr_dir: str | None = None
+) -> DataFrame:
     """(group_id, markdown, n_pages, overlap_lines): each group's pages folded in order.
 
-    The fold is not associative, so a group is one task; groups run side by side.
+    Before its page stands its marker; references to ``images/`` get the page's folder before
+    them: ``ocr_dir``, or where that is null or not asked for the name's stem and _OCR.  Where the text is
+    null or empty ``raw`` stands in, if given.  The fold is not associative, so a group is one
+    task, which holds the group's texts; groups run side by side.
     """
     schema = "group_id string, markdown string, n_pages long, overlap_lines long"
 
     def fold(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("page_seq", kind="stable")
         merged, overlap = None, 0
-        for page, own in zip(frame[name], frame[text], strict=True):
+        for page, own in zip(frame["__name"], frame["__text"], strict=True):
             marked = f"{MARKER} {page} -->\n{own or ''}"
             if merged is None:
-                merged = marked
+                merged = Fold(marked, search_ratio)
             else:
-                merged, n, _ = merge_pair(merged, marked, search_ratio)
-                overlap += n
-        return pd.DataFrame({"group_id": [frame["group_id"].iloc[0]], "markdown": [(merged or "").rstrip("\n")], "n_pages": [len(frame)], "overlap_lines": [overlap]})
+                overlap += merged.add(marked)
+        return pd.DataFrame({"group_id": [frame["group_id"].iloc[0]], "markdown": [merged.text().rstrip("\n")], "n_pages": [len(frame)], "overlap_lines": [overlap]})
 
     ship(pages.sparkSession)
-    return pages.select(F.col("group_id").cast("string").alias("group_id"), "page_seq", name, text).groupBy("group_id").applyInPandas(fold, schema)
+    own = F.coalesce(F.nullif(F.col(text), F.lit("")), F.col(raw) if raw else F.lit(""), F.lit(""))
+    stem = F.concat(F.regexp_replace(F.col(name), r"(?<=.)\.[^.]*$", ""), F.lit("_OCR"))
+    folder = F.coalesce(F.col(ocr_dir), stem) if ocr_dir else stem
+    source = pages.select(F.col("group_id").cast("string").alias("group_id"), "page_seq", F.col(name).alias("__name"), rewrite_page_images(own, folder).alias("__text"))
+    return source.groupBy("group_id").applyInPandas(fold, schema)
+
+
+def merged_images(pages: DataFrame, regions: str = "regions") -> DataFrame:
+    """(group_id, images): the regions of a group's pages, an array in page order, then in each page's own."""
+    held = F.array_sort(F.collect_list(F.struct("page_seq", F.col(regions).alias("r"))))
+    return pages.groupBy(F.col("group_id").cast("string").alias("group_id")).agg(F.flatten(F.transform(F.filter(held, lambda p: p["r"].isNotNull()), lambda p: p["r"])).alias("images"))
 
 
 def merge_pairs(pairs: DataFrame) -> DataFrame:

@@ -119,6 +119,32 @@ def latest_status(events: DataFrame) -> DataFrame:
     return events.groupBy("task_id").agg(F.aggregate(ordered, F.lit("pending"), step).alias("status"))
 
 
+def judged_uploads(files: DataFrame, sessions: DataFrame) -> DataFrame:
+    """``files`` (session_id, name, size) with ``verdict``: accepted, or why not.
+
+    A session must be known and open, a name must end in a known suffix, and a file may have MAX_UPLOAD bytes.
+    """
+    from vellum.sources.files import LISTED_SUFFIXES, MAX_UPLOAD, has_suffix
+
+    told = files.join(sessions.select("session_id", F.col("completed").alias("__done")), "session_id", "left")
+    verdict = (
+        F.when(F.col("__done").isNull(), "no such session").when(F.col("__done"), "session is complete")
+        .when(~has_suffix(F.col("name"), LISTED_SUFFIXES), "unknown kind").when(F.col("size") > MAX_UPLOAD, "too large").otherwise("accepted")
+    )
+    return told.withColumn("verdict", verdict).drop("__done")
+
+
+def judged_completions(requests: DataFrame, uploads: DataFrame) -> DataFrame:
+    """``requests`` (session_id, seq) to complete a session with ``verdict``: once, and only with files."""
+    from pyspark.sql import Window
+
+    counts = uploads.where("verdict = 'accepted'").groupBy("session_id").agg(F.count("*").alias("__files"))
+    turn = F.row_number().over(Window.partitionBy("session_id").orderBy("seq"))
+    told = requests.join(counts, "session_id", "left").withColumn("__turn", turn)
+    verdict = F.when(F.col("__files").isNull(), "no files").when(F.col("__turn") > 1, "already complete").otherwise("complete")
+    return told.withColumn("verdict", verdict).drop("__files", "__turn")
+
+
 def uploads(files: DataFrame) -> DataFrame:
     """(session_id, n_files, n_bytes)."""
     return files.groupBy("session_id").agg(F.count("*").alias("n_files"), F.sum("size").alias("n_bytes"))

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.config import DedupConfig, PIIConfig
+from vellum.config import DedupConfig, LLMConfig, PIIConfig
 from vellum.functions import pii
 from vellum.functions import text as tx
 from vellum.operators import assembly, frequency, layout, merge, protocol, segment, tasks
@@ -91,8 +91,28 @@ def cln_4_normalized_lines(spark, sf):
     return frequency.page_lines(pages_of(spark, sf)).select(F.col("page_seq").alias("doc_id"), "line_no", "norm")
 
 
-@query()
+#: Paragraphs of one letter each, so that their likeness is that of their lengths; a run of symbols stands inside the last but one.
+LIKE_PARTS = "SELECT p_partkey, (p_size + 20)::INT AS a, (p_size + 20 + p_partkey % 9)::INT AS b, (p_size + 22 + p_partkey % 13)::INT AS c FROM part"
+LIKE_KEPT = f"""l AS ({LIKE_PARTS}),
+k AS (SELECT *, 2 * least(a, b) / (a + b) <= 0.9 AS second FROM l),
+t AS (SELECT *, 2 * least(CASE WHEN second THEN b ELSE a END, c) / (CASE WHEN second THEN b ELSE a END + c) <= 0.9 AS third FROM k)"""
+
+
+def alike_parts(spark, sf):
+    x = lambda n: F.expr(f"repeat('x', int({n}))")
+    own = F.concat_ws("\n \n", x("p_size + 20"), x("p_size + 20 + p_partkey % 9"), x("p_size + 22 + p_partkey % 13"), F.concat(F.lit("z"), F.expr("repeat('\u2603', 20 + p_size % 5)"), F.lit("w")), F.expr("repeat('\u2603', 40)"), F.lit("end"))
+    return table(spark, sf, "part").select("p_partkey", own.alias("text"))
+
+
+@query(f"""WITH {LIKE_KEPT} SELECT p_partkey, repeat('x', a) || chr(10) || chr(10) || CASE WHEN second THEN repeat('x', b) || chr(10) || chr(10) ELSE '' END || CASE WHEN third THEN repeat('x', c) || chr(10) || chr(10) ELSE '' END
+  || 'z' || repeat('\u2603', (20 + p_size % 5)::INT) || 'w' || chr(10) || chr(10) || repeat('\u2603', 40) || chr(10) || chr(10) || 'end' AS cleaned FROM t JOIN part USING (p_partkey)""")
 def cln_1_repetitions(spark, sf):
+    """Paragraphs more than nine tenths like the last one kept go."""
+    return alike_parts(spark, sf).select("p_partkey", merge.remove_repetitions(F.col("text")).alias("cleaned"))
+
+
+@query()
+def cln_1_repetitions_of_documents(spark, sf):
     return table(spark, sf, "documents").select("doc_id", merge.remove_repetitions(F.replace("text", F.lit("\n"), F.lit("\n\n"))).alias("cleaned"))
 
 
@@ -104,8 +124,15 @@ def cln_1_exact_repeats(spark, sf):
     return table(spark, sf, "documents").select("doc_id", tx.drop_exact_repeats(F.replace("text", F.lit("\n"), F.lit("\n\n"))).alias("cleaned"))
 
 
-@query()
+@query(f"""WITH {LIKE_KEPT} SELECT p_partkey, repeat('x', a) || chr(10) || chr(10) || CASE WHEN second THEN repeat('x', b) || chr(10) || chr(10) ELSE '' END || CASE WHEN third THEN repeat('x', c) || chr(10) || chr(10) ELSE '' END
+  || 'zw' || chr(10) || chr(10) || 'end' AS cleaned FROM t""")
 def cln_0_clean(spark, sf):
+    """Repetitions, then runs of symbols, then blank lines, of which the symbols' paragraph leaves four."""
+    return alike_parts(spark, sf).select("p_partkey", tx.normalize_whitespace(tx.remove_garbage(merge.remove_repetitions(F.col("text")))).alias("cleaned"))
+
+
+@query()
+def cln_0_clean_documents(spark, sf):
     return table(spark, sf, "documents").select("doc_id", tx.normalize_whitespace(tx.remove_garbage(merge.remove_repetitions(F.col("text")))).alias("cleaned"))
 
 
@@ -200,13 +227,61 @@ def mrg_5_merge_adjacent(spark, sf):
     return merge.merge_adjacent(pages_of(spark, sf))
 
 
-OVERLAPS = [(1, "a\nb\nc\nd", "c\nd\ne"), (2, "a\nb", "x\ny"), (3, "", "x"), (4, "a\nb\nc", "c\nz"), (5, "a\nb\nc\nt", "b\nc\nd\nu"), (6, "p\nq\nr\ns", "n\nq\nr\ns\nv")]
-EXPECTED = [(1, "a\nb\nc\nd\ne", 2, 1.0), (2, "a\nb\n\nx\ny", 0, 0.0), (3, "\nx", 0, 0.0), (4, "a\nb\nc\n\nc\nz", 0, 0.0), (5, "a\nb\nc\nt\n\nb\nc\nd\nu", 0, 0.0), (6, "p\nq\nr\ns\n\nn\nq\nr\ns\nv", 0, 0.0)]
+#: The longest block of lines that pages x(id, a, b) of lines share, as mrg_2 has it; o holds the accepted ones.
+SHARED = """s AS (SELECT id, len(a) AS na, len(b) AS nb, greatest(1, floor(len(a) * 0.7))::BIGINT AS ta, greatest(1, floor(len(b) * 0.7))::BIGINT AS tb, a, b FROM x),
+ua AS (SELECT id, na, ta, unnest(a) AS line, generate_subscripts(a, 1) - 1 AS i FROM s), ub AS (SELECT id, tb, unnest(b) AS line, generate_subscripts(b, 1) - 1 AS j FROM s),
+m AS (SELECT ua.id, ua.line, i, j, i - j AS d FROM ua JOIN ub ON ua.id = ub.id AND ua.line = ub.line WHERE i >= na - ta AND j < tb),
+r AS (SELECT *, i - row_number() OVER (PARTITION BY id, d ORDER BY i) AS island FROM m),
+g AS (SELECT id, min(i) AS i, min(j) AS j, count(*) AS size, count_if(trim(line) <> '') AS solid FROM r GROUP BY id, d, island),
+w AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY size DESC, i, j) AS turn FROM g),
+o AS (SELECT s.*, w.size, w.i + w.size AS ea, w.j + w.size AS eb, list_concat(a[:w.i + w.size], b[w.j + w.size + 1:]) AS c FROM s JOIN w USING (id) WHERE turn = 1 AND solid >= 2)"""
 
 
-@query()
+def marked_pairs(spark, sf):
+    pages = marked(spark, sf).withColumn("group_id", F.lit("all"))
+    return merge.neighbours(pages).select(F.col("page_seq").alias("pair_id"), F.col("a").alias("text_a"), F.col("b").alias("text_b"))
+
+
+#: Markers at the ends of both pages: A's keep their places among the merged lines, B's come after what B adds.
+@query(f"""WITH p AS (SELECT doc_id, text, lead(doc_id) OVER (ORDER BY doc_id) AS nid, lead(text) OVER (ORDER BY doc_id) AS ntext FROM documents),
+x AS (SELECT doc_id AS id, string_split(text, chr(10)) AS a, string_split(ntext, chr(10)) AS b, text, ntext, nid FROM p WHERE nid IS NOT NULL), {SHARED},
+q AS (SELECT *, len(c) AS n, least(na, len(c)) AS p2 FROM o),
+q3 AS (SELECT *, greatest(p2, least(na - eb, n)) AS p3 FROM q), q4 AS (SELECT *, greatest(p3, least(na + nb - eb, n)) AS p4 FROM q3)
+SELECT x.id AS pair_id, CASE WHEN q4.size IS NULL THEN '<!-- page: p' || x.id || ' -->' || chr(10) || text || chr(10) || '<!-- page: end -->' || chr(10) || chr(10) || '<!-- page: p' || nid || ' -->' || chr(10) || ntext || chr(10) || '<!-- page: end -->'
+  ELSE array_to_string(list_concat(['<!-- page: p' || x.id || ' -->'], list_concat(c[:p2], list_concat(['<!-- page: end -->'], list_concat(c[p2 + 1:p3], list_concat(['<!-- page: p' || nid || ' -->'], list_concat(c[p3 + 1:p4], list_concat(['<!-- page: end -->'], c[p4 + 1:]))))))), chr(10)) END AS text,
+  coalesce(q4.size, 0)::BIGINT AS overlap_lines, CASE WHEN q4.size IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE AS similarity FROM x LEFT JOIN q4 ON q4.id = x.id""")
 def mrg_7_merge_pairs(spark, sf):
-    return merge.merge_pairs(spark.createDataFrame(OVERLAPS, "pair_id int, text_a string, text_b string"))
+    """Neighbouring pages with markers at both ends."""
+    return merge.merge_pairs(marked_pairs(spark, sf))
+
+
+def pages_of_two(spark, sf):
+    """Documents two by two, each with an image of the same name."""
+    group = F.floor(F.col("doc_id") / 2).cast("string")
+    own = F.when(F.col("doc_id") % 5 == 0, F.lit("")).otherwise(F.concat(F.lit("![](images/0.jpg)\n"), "text"))
+    raw = F.concat(F.lit("![](images/0.jpg)\n"), "text")
+    return table(spark, sf, "documents").select(
+        group.alias("group_id"), F.col("doc_id").alias("page_seq"), F.format_string("p%d.jpg", "doc_id").alias("image_name"), own.alias("cleaned"), raw.alias("raw"),
+        F.when(F.col("doc_id") % 3 == 0, F.format_string("p%d_cropped_OCR", "doc_id")).alias("ocr_dir"), F.array(F.struct(F.col("doc_id").alias("page"), F.lit(0).alias("k"))).alias("regions"),
+    )
+
+
+@query(f"""WITH d AS (SELECT doc_id, doc_id // 2 AS g, '![](p' || doc_id || CASE WHEN doc_id % 3 = 0 THEN '_cropped' ELSE '' END || '_OCR/images/0.jpg)' || chr(10) || text AS t FROM documents),
+l AS (SELECT *, string_split(CASE WHEN t LIKE '%' || chr(10) THEN t[:-2] ELSE t END, chr(10)) AS ls FROM d),
+y AS (SELECT f.doc_id, f.g, f.t AS first_text, f.ls AS a, n.doc_id AS nid, n.t AS next_text, n.ls AS b FROM l f LEFT JOIN l n ON n.g = f.g AND n.doc_id = f.doc_id + 1 WHERE f.doc_id % 2 = 0),
+x AS (SELECT g AS id, a, b FROM y WHERE nid IS NOT NULL), {SHARED}, q AS (SELECT *, greatest(0, least(na - eb, len(c))) AS p FROM o)
+SELECT g::VARCHAR AS group_id, rtrim(CASE WHEN nid IS NULL THEN '<!-- page: p' || doc_id || '.jpg -->' || chr(10) || first_text
+  WHEN q.size IS NULL THEN '<!-- page: p' || doc_id || '.jpg -->' || chr(10) || first_text || chr(10) || chr(10) || '<!-- page: p' || nid || '.jpg -->' || chr(10) || next_text
+  ELSE array_to_string(list_concat(['<!-- page: p' || doc_id || '.jpg -->'], list_concat(c[:p], list_concat(['<!-- page: p' || nid || '.jpg -->'], c[p + 1:]))), chr(10)) END, chr(10)) AS markdown,
+  CASE WHEN nid IS NULL THEN 1 ELSE 2 END::BIGINT AS n_pages, coalesce(q.size, 0)::BIGINT AS overlap_lines FROM y LEFT JOIN q ON q.id = y.g""")
+def mrg_8_merge_pages(spark, sf):
+    """Cleaned texts, or raw ones where they are empty; images of one name keep apart by their pages' folders."""
+    return merge.merge_pages(pages_of_two(spark, sf), text="cleaned", raw="raw", ocr_dir="ocr_dir")
+
+
+@query("SELECT (doc_id // 2)::VARCHAR AS group_id, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS images FROM documents GROUP BY ALL")
+def mrg_8_merged_images(spark, sf):
+    return merge.merged_images(pages_of_two(spark, sf)).select("group_id", joined(F.transform("images", lambda r: r["page"])).alias("images"))
 
 
 @query()
@@ -238,24 +313,50 @@ def seg_1_heading_chunks(spark, sf):
     return segment.heading_chunks(headed(spark, sf))
 
 
-@query("SELECT doc_id, 0 AS seg_idx, text, 1 AS start_line, (CASE WHEN text LIKE '%' || chr(10) THEN 0 ELSE 1 END + length(text) - length(replace(text, chr(10), '')))::INT AS end_line FROM documents WHERE length(text) <= 8000 AND trim(text) <> ''")
-def seg_0_short_documents(spark, sf):
-    short = table(spark, sf, "documents").where(F.length("text") <= 8000).select("doc_id", F.col("text").alias("markdown"))
-    return segment.segment(short)
-
-
-@query()
+def segment_sql(markdown: str, most: int, context: int = 5) -> str:
+    """Headings, cuts at blank lines, joined neighbours, context: the folds over a document's lines and pieces are reductions of lists."""
+    return f"""WITH d AS (SELECT doc_id, {markdown} AS m FROM documents),
+k AS (SELECT doc_id, m, string_split(CASE WHEN m LIKE '%' || chr(10) THEN m[:-2] ELSE m END, chr(10)) AS ls FROM d WHERE trim(m, ' ' || chr(9) || chr(10) || chr(13)) <> ''),
+l AS (SELECT doc_id, length(m) > {most} AS long, len(ls) AS n, unnest(ls) AS line, generate_subscripts(ls, 1) AS i, m LIKE '%' || chr(10) AS ended FROM k),
+z AS (SELECT *, length(line) + (i < n OR ended)::INT AS size, trim(line) = '' AS blank, i = 1 OR regexp_matches(line, '^#{{1,6}}\\s+') AS head FROM l),
+c AS (SELECT *, sum(head::INT) OVER (PARTITION BY doc_id ORDER BY i) AS chunk FROM z),
+b AS (SELECT *, sum(size) OVER (PARTITION BY doc_id, chunk) > {most} AS big FROM c),
+-- Blank lines after which a chunk is cut: where what was held since the last cut reaches the bound.
+r AS (SELECT doc_id, list_reduce(list_prepend({{'i': 0::BIGINT, 'size': 0::HUGEINT, 'blank': false, 'head': false, 'big': false, 'cuts': []::BIGINT[], 'now': false}},
+    list({{'i': i::BIGINT, 'size': size::HUGEINT, 'blank': blank, 'head': head, 'big': big, 'cuts': []::BIGINT[], 'now': false}} ORDER BY i)),
+  lambda a, x: {{'i': x.i, 'size': CASE WHEN x.head OR a.now THEN x.size ELSE a.size + x.size END, 'blank': x.blank, 'head': x.head, 'big': x.big,
+    'cuts': CASE WHEN x.big AND x.blank AND CASE WHEN x.head OR a.now THEN x.size ELSE a.size + x.size END >= {most} THEN list_append(a.cuts, x.i) ELSE a.cuts END,
+    'now': x.big AND x.blank AND CASE WHEN x.head OR a.now THEN x.size ELSE a.size + x.size END >= {most}}}).cuts AS cuts FROM b WHERE long GROUP BY doc_id),
+p AS (SELECT b.*, sum((head OR list_contains(cuts, i - 1))::INT) OVER (PARTITION BY b.doc_id ORDER BY i) AS piece FROM b JOIN r USING (doc_id)),
+g AS (SELECT doc_id, piece, min(i) AS first, sum(size) AS n FROM p GROUP BY ALL),
+-- Neighbours are joined while one of them is small and both fit.
+j AS (SELECT doc_id, list_reduce(list_prepend({{'first': 0::BIGINT, 'n': -1::HUGEINT, 'starts': []::BIGINT[]}}, list({{'first': first::BIGINT, 'n': n::HUGEINT, 'starts': []::BIGINT[]}} ORDER BY piece)),
+  lambda a, x: CASE WHEN a.n >= 0 AND least(a.n, x.n) < {most // 4} AND a.n + x.n <= {most} THEN {{'first': a.first, 'n': a.n + x.n, 'starts': a.starts}}
+    ELSE {{'first': x.first, 'n': x.n, 'starts': list_append(a.starts, x.first)}} END).starts AS starts FROM g GROUP BY doc_id),
+s AS (SELECT doc_id, unnest(starts) AS start_line, generate_subscripts(starts, 1) - 1 AS seg_idx, unnest(list_append(starts[2:], len(ls) + 1)) - 1 AS end_line, len(starts) AS total, ls, m LIKE '%' || chr(10) AS ended FROM j JOIN k USING (doc_id)),
+t AS (SELECT *, rtrim(array_to_string(ls[start_line:end_line], chr(10)), chr(10)) AS body, CASE WHEN seg_idx > 0 AND {context} > 0 THEN rtrim(array_to_string(ls[greatest(1, start_line - {context}):start_line - 1], chr(10)), chr(10)) || chr(10) ELSE '' END AS before,
+  CASE WHEN seg_idx < total - 1 AND {context} > 0 THEN chr(10) || rtrim(array_to_string(ls[end_line + 1:end_line + {context}], chr(10)), chr(10)) ELSE '' END AS after FROM s)
+SELECT doc_id, seg_idx::INT AS seg_idx, before || body || after AS text, start_line::INT AS start_line, end_line::INT AS end_line FROM t
+UNION ALL SELECT doc_id, 0, m, 1, len(ls)::INT FROM k WHERE length(m) <= {most}"""
+
+
+@query(segment_sql("text", 8000))
 def seg_0_all_documents(spark, sf):
     """Long documents too, with the defaults of production."""
     return segment.segment(table(spark, sf, "documents").select("doc_id", F.col("text").alias("markdown")))
 
 
-@query()
+@query(segment_sql("replace(text, '. ', '.' || chr(10) || chr(10))", 600))
 def seg_2_blank_line_cuts(spark, sf):
     return segment.segment(table(spark, sf, "documents").select("doc_id", F.replace("text", F.lit(". "), F.lit(".\n\n")).alias("markdown")), max_chars=600)
 
 
-@query()
+@query(segment_sql("'# T' || chr(10) || replace(text, '. ', chr(10) || '## H' || chr(10))", 1200, 0))
+def seg_3_joined_neighbours(spark, sf):
+    return segment.segment(headed(spark, sf), max_chars=1200, context=0)
+
+
+@query(segment_sql("'# T' || chr(10) || replace(text, '. ', chr(10) || '## H' || chr(10))", 1200))
 def seg_4_segments(spark, sf):
     return segment.segment(headed(spark, sf), max_chars=1200)
 
@@ -268,7 +369,7 @@ LUHN_SQL = "list_sum(list_transform(range(length({d})), lambda i: CASE WHEN i %
 
 @query(f"SELECT doc_id, regexp_replace(text, '{EMAIL_SQL}', '[邮箱]', 'g') AS text, len(regexp_extract_all(text, '{EMAIL_SQL}'))::INT AS n FROM documents")
 def pii_2_email(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", pii.replaced(F.col("text"), pii.EMAIL, PIIConfig.email_placeholder).alias("r")).select("doc_id", "r.*")
+    return table(spark, sf, "documents").select("doc_id", pii.replaced(F.col("text"), pii.EMAIL_ONCE, PIIConfig.email_placeholder).alias("r")).select("doc_id", "r.*")
 
 
 @query(f"WITH d AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[0-9]+'))) AS digits FROM documents) SELECT doc_id, digits, {LUHN_SQL.format(d='digits')} AS valid FROM d")
@@ -283,26 +384,46 @@ def pii_4_bank_card(spark, sf):
     return table(spark, sf, "documents").select("doc_id", done["n"].alias("n"))
 
 
-PII_TEXTS = [
-    (1, "call 13812345678 or +8613912345678"), (2, "139 1234 5678"), (3, "编号2013912345678号"), (4, "user@example.com, test.user@mail.example.co.jp"),
-    (5, "110101199003071234 and 11010119900307123X"), (6, "4539148803436467 4539 1488 0343 6467"), (7, "1234567890123456"), (8, "id 110101199003071234 card 4539148803436467"), (9, None), (10, ""),
-]
+def with_numbers(spark, sf):
+    """Documents with an identity card and a phone of their own after the text."""
+    own = F.concat("text", F.format_string(" 11010519491231%03dX 138%08d", F.col("doc_id") % 1000, "doc_id"))
+    return table(spark, sf, "documents").select("doc_id", own.alias("text"))
 
 
-@query()
+#: E-mails, then runs of 16 to 19 digits that pass the check, in d(doc_id, text); the documents' own phones and identity cards have none of their forms.
+REDACTED = f"""m AS (SELECT doc_id, regexp_replace(text, '{EMAIL_SQL}', '[邮箱]', 'g') AS t, len(regexp_extract_all(text, '{EMAIL_SQL}')) AS emails FROM documents),
+n AS (SELECT doc_id, t, emails, string_split_regex(t, '[0-9]+') AS gaps, list_append(regexp_extract_all(t, '[0-9]+'), '') AS runs FROM m),
+h AS (SELECT doc_id, emails, gaps, list_transform(runs, lambda x: CASE WHEN length(x) BETWEEN 16 AND 19 AND {LUHN_SQL.format(d="x")} THEN '[银行卡号]' ELSE x END) AS runs FROM n),
+v AS (SELECT doc_id, emails, len(list_filter(runs, lambda x: x = '[银行卡号]')) AS cards, array_to_string(list_transform(list_zip(gaps, runs), lambda z: z[1] || z[2]), '') AS text FROM h)"""
+
+
+@query(f"""WITH {REDACTED} SELECT doc_id, text || ' [身份证号] [手机号]' AS text,
+  array_to_string(list_filter(['id_card=1', CASE WHEN emails > 0 THEN 'email=' || emails END, 'phone=1', CASE WHEN cards > 0 THEN 'bank_card=' || cards END], lambda x: x IS NOT NULL), ',') AS records FROM v""")
 def pii_0_structured(spark, sf):
-    texts = spark.createDataFrame(PII_TEXTS, "id int, text string").unionByName(table(spark, sf, "documents").select(F.col("doc_id").cast("int").alias("id"), "text"))
-    return texts.select("id", pii.redact_structured(F.col("text")).alias("r")).select("id", "r.text", joined(F.transform("r.records", lambda x: F.concat_ws("=", x["kind"], x["count"]))).alias("records"))
+    return with_numbers(spark, sf).select("doc_id", pii.redact_structured(F.col("text")).alias("r")).select("doc_id", "r.text", joined(F.transform("r.records", lambda x: F.concat_ws("=", x["kind"], x["count"]))).alias("records"))
 
 
-@query()
+@query("""WITH t AS (SELECT c_custkey, c_custkey % 2 AS lead, 1880 + c_custkey % 260 AS y, c_custkey % 15 AS m, c_custkey % 36 AS d, CASE c_custkey % 4 WHEN 0 THEN 'x' WHEN 1 THEN 'X' WHEN 2 THEN '7' ELSE '77' END AS tail FROM customer),
+k AS (SELECT c_custkey, c_name, lead::VARCHAR || '10105' || y || lpad(m::VARCHAR, 2, '0') || lpad(d::VARCHAR, 2, '0') || lpad((c_custkey % 1000)::VARCHAR, 3, '0') || tail AS id, lead = 1 AND y BETWEEN 1900 AND 2099 AND m BETWEEN 1 AND 12 AND d BETWEEN 1 AND 31 AND length(tail) = 1 AS ok FROM t JOIN customer USING (c_custkey))
+SELECT c_custkey, 'a' || CASE WHEN ok THEN '[身份证号]' ELSE id END || 'b ' || c_name AS text, ok::INT AS n FROM k""")
 def pii_1_id_card(spark, sf):
-    return spark.createDataFrame(PII_TEXTS, "id int, text string").select("id", pii.replaced(F.col("text"), pii.ID_CARD, PIIConfig.id_card_placeholder).alias("r")).select("id", "r.*")
+    """Leading digit, century, month, day, last sign and digits around it, right and wrong."""
+    key = F.col("c_custkey")
+    tail = F.element_at(F.array(*map(F.lit, ("x", "X", "7", "77"))), (key % 4 + 1).cast("int"))
+    own = F.concat(F.format_string("a%d10105%d%02d%02d%03d", key % 2, 1880 + key % 260, key % 15, key % 36, key % 1000), tail, F.lit("b "), "c_name")
+    return table(spark, sf, "customer").select("c_custkey", pii.replaced(own, pii.ID_CARD, PIIConfig.id_card_placeholder).alias("r")).select("c_custkey", "r.*")
 
 
-@query()
+@query("""WITH t AS (SELECT c_custkey, ['', '+86 ', '86-', '+86', '0'][c_custkey % 5 + 1] AS before, ['', ' ', '-', '_'][c_custkey % 4 + 1] AS sep, c_custkey % 10 AS third, ['', '9', ' 9'][c_custkey % 3 + 1] AS after FROM customer),
+k AS (SELECT *, before || '1' || third || '7' || sep || '1234' || sep || lpad((c_custkey % 10000)::VARCHAR, 4, '0') || after AS phone, before <> '0' AND sep <> '_' AND third >= 3 AND after <> '9' AS ok FROM t)
+SELECT c_custkey, 'tel ' || CASE WHEN ok THEN '[手机号]' || after ELSE phone END || '.' AS text, ok::INT AS n FROM k""")
 def pii_3_phone(spark, sf):
-    return spark.createDataFrame(PII_TEXTS, "id int, text string").select("id", pii.replaced(F.col("text"), pii.PHONE, PIIConfig.phone_placeholder, pii.phone_holds).alias("r")).select("id", "r.*")
+    """Country codes, separators, third digits and digits around it, right and wrong."""
+    key = F.col("c_custkey")
+    one = lambda options, n: F.element_at(F.array(*map(F.lit, options)), (key % n + 1).cast("int"))
+    before, sep, after = one(("", "+86 ", "86-", "+86", "0"), 5), one(("", " ", "-", "_"), 4), one(("", "9", " 9"), 3)
+    own = F.concat(F.lit("tel "), before, F.lit("1"), (key % 10).cast("string"), F.lit("7"), sep, F.lit("1234"), sep, F.format_string("%04d", key % 10000), after, F.lit("."))
+    return table(spark, sf, "customer").select("c_custkey", pii.replaced(own, pii.PHONE, PIIConfig.phone_placeholder, pii.phone_holds).alias("r")).select("c_custkey", "r.*")
 
 
 COUNT_SQL = "((length({t}) - length(replace({t}, '{w}', ''))) / {n})::INT"
@@ -335,7 +456,10 @@ def pii_8_custom_words(spark, sf):
     return done.select("doc_id", "r.text", count("[A]").alias("coded"), count("[敏感词]").alias("plain"))
 
 
-@query()
+@query(f"""WITH {REDACTED},
+a AS (SELECT *, doc_id % 2 = 1 AS failed, CASE WHEN doc_id % 2 = 0 THEN {COUNT_SQL.format(t="text", w="and", n=3)} ELSE 0 END AS persons, CASE WHEN doc_id % 2 = 0 THEN replace(text, 'and', '[人名]') ELSE text END AS t1 FROM v)
+SELECT doc_id, failed, array_to_string(list_filter([CASE WHEN emails > 0 THEN 'email=' || emails END, CASE WHEN cards > 0 THEN 'bank_card=' || cards END, CASE WHEN persons > 0 THEN 'person_name=' || persons END], lambda x: x IS NOT NULL), ',') AS records,
+  replace(replace(replace(t1, 'there', '[A]'), 'the', '[A]'), 'and', '[敏感词]') AS text FROM a""")
 def pii_9_full_redaction(spark, sf):
     """Patterns, then detected entities of a stand-in for the model, then custom words."""
     words = F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("and")))
@@ -361,14 +485,8 @@ def pii_12_phase(spark, sf):
     return table(spark, sf, "labels").select("doc_id", pii.phase_on(F.col("quality") == 1, F.col("toxic")).alias("phase"))
 
 
-@query("SELECT doc_id, array_to_string(list_transform(list_filter(string_split(text, ' ')[:5], lambda w: w <> ''), lambda w: w || '='), ',') AS words FROM documents")
+@query("SELECT doc_id, array_to_string(list_transform(list_filter(string_split(text, ' '), lambda w: w <> ''), lambda w: w || '='), ',') AS words FROM documents")
 def pii_13_word_list(spark, sf):
-    words = F.filter(F.slice(F.split("text", " "), 1, 5), lambda w: w != "")
-    return table(spark, sf, "documents").select("doc_id", joined(F.transform(F.transform(words, lambda w: F.struct(w.alias("word"), F.lit("").alias("code"))), lambda w: F.concat(w["word"], F.lit("="), w["code"]))).alias("words"))
-
-
-@query()
-def pii_13_word_list_whole(spark, sf):
     words = F.filter(F.split("text", " "), lambda w: w != "")
     return table(spark, sf, "documents").select("doc_id", joined(F.transform(F.transform(words, lambda w: F.struct(w.alias("word"), F.lit("").alias("code"))), lambda w: F.concat(w["word"], F.lit("="), w["code"]))).alias("words"))
 
@@ -506,17 +624,11 @@ def lay_16_image_tokens(spark, sf):
     return table(spark, sf, "part").select("p_partkey", layout.image_tokens(F.col("p_size") % 3, F.col("p_size") % 2).cast("int").alias("tokens"))
 
 
-@query("""WITH d AS (SELECT doc_id, list_transform(string_split(text, ' ')[:60], lambda w: length(w)::INT) AS ids FROM documents),
+@query("""WITH d AS (SELECT doc_id, list_transform(string_split(text, ' '), lambda w: length(w)::INT) AS ids FROM documents),
 i AS (SELECT doc_id, ids, unnest(range(greatest(0, len(ids) - 40), len(ids) - 2)) AS i FROM d WHERE len(ids) >= 3),
 h AS (SELECT doc_id, list_sort(list_distinct(list_filter(list(ids[i + 3]) FILTER (ids[i + 1] = ids[-2] AND ids[i + 2] = ids[-1]), lambda t: t <> 5))) AS banned FROM i GROUP BY doc_id)
 SELECT doc_id, array_to_string(coalesce(banned, []), ',') AS banned FROM d LEFT JOIN h USING (doc_id)""")
 def lay_17_banned_tokens(spark, sf):
-    ids = F.transform(F.slice(F.split("text", " "), 1, 60), F.length)
-    return table(spark, sf, "documents").select("doc_id", joined(layout.banned_tokens(ids, F.lit(3), F.lit(40), F.array(F.lit(5)))).alias("banned"))
-
-
-@query()
-def lay_17_banned_tokens_whole(spark, sf):
     ids = F.transform(F.split("text", " "), F.length)
     return table(spark, sf, "documents").select("doc_id", joined(layout.banned_tokens(ids, F.lit(3), F.lit(40), F.array(F.lit(5)))).alias("banned"))
 
@@ -742,13 +854,8 @@ def str_1_dirname(spark, sf):
     return table(spark, sf, "part").select("p_partkey", tx.sanitize_dirname(title).alias("name"))
 
 
-@query(r"SELECT doc_id, coalesce(nullif(trim(regexp_replace(replace(replace(substr(text, 1, 40), '/', '_'), '\', '_'), '[^\p{L}\p{N}._\- ]', '', 'g')), ''), 'unnamed') AS name FROM documents")
+@query(r"SELECT doc_id, coalesce(nullif(trim(regexp_replace(replace(replace(text, '/', '_'), '\', '_'), '[^\p{L}\p{N}._\- ]', '', 'g')), ''), 'unnamed') AS name FROM documents")
 def str_2_filename(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", tx.secure_filename(F.substring("text", 1, 40)).alias("name"))
-
-
-@query()
-def str_2_filename_whole(spark, sf):
     return table(spark, sf, "documents").select("doc_id", tx.secure_filename(F.col("text")).alias("name"))
 
 
@@ -791,9 +898,11 @@ def str_8_error_summary(spark, sf):
     return table(spark, sf, "documents").select("doc_id", tx.error_summary(F.col("source"), F.col("text")).alias("summary"))
 
 
-@query()
+#: Totals that no share of a thousand divides into halves, where decimal and binary rounding would differ; 0 too.
+@query("WITH e AS (SELECT event_id, event_id % 301 AS done, [0, 3, 7, 9, 11, 13, 300][event_id % 7 + 1] AS total FROM events) SELECT event_id, CASE WHEN total = 0 THEN 0.0 ELSE round(done / total * 100, 1) END::DOUBLE AS percent FROM e")
 def str_9_percent(spark, sf):
-    return table(spark, sf, "events").select("event_id", tx.percent(F.col("event_id") % 301, F.col("event_id") % 7 * 100).alias("percent"))
+    total = F.element_at(F.array(*map(F.lit, (0, 3, 7, 9, 11, 13, 300))), (F.col("event_id") % 7 + 1).cast("int"))
+    return table(spark, sf, "events").select("event_id", tx.percent(F.col("event_id") % 301, total).alias("percent"))
 
 
 # Tasks: orders, with lineitem as results
@@ -858,9 +967,9 @@ def rel_8_clamped_page(spark, sf):
     return tasks.list_tasks(tasks_of(spark, sf), page=-3, page_size=5000)
 
 
-@query(f"WITH {TASKS} SELECT task_id, status FROM t ORDER BY status IN ('pending', 'processing') DESC, created_at DESC, task_id LIMIT 50")
-def rel_9_sidebar_top(spark, sf):
-    return tasks.sort_for_sidebar(tasks_of(spark, sf)).limit(50).select("task_id", "status")
+@query(f"WITH {TASKS} SELECT task_id, status FROM t ORDER BY status IN ('pending', 'processing') DESC, created_at DESC, task_id")
+def rel_9_sidebar(spark, sf):
+    return tasks.sort_for_sidebar(tasks_of(spark, sf)).select("task_id", "status")
 
 
 def stage_events(spark, sf):
@@ -949,16 +1058,39 @@ def src_6_browse(spark, sf):
     return files.browse(made_files(spark, sf), "/r")
 
 
-@query("SELECT p_brand AS session_id, '/x' || p_partkey || '/f' || p_size || '.jpg' AS path, 'f' || p_size || CASE WHEN k = 0 THEN '' ELSE '_' || k END || '.jpg' AS name FROM (SELECT *, row_number() OVER (PARTITION BY p_brand, p_size ORDER BY p_partkey) - 1 AS k FROM part)")
+#: Names of both cases, files and folders, hidden ones and such as aren't images, with their places in the order.
+@query("""WITH f AS (SELECT CASE p_partkey % 4 WHEN 0 THEN 'B' WHEN 1 THEN 'a' WHEN 2 THEN '.c' ELSE 'D' END || p_partkey AS n, p_partkey % 3 AS kind, p_size::BIGINT AS size FROM part WHERE p_size % 2 = 0),
+e AS (SELECT CASE kind WHEN 0 THEN n || '.jpg' WHEN 1 THEN n ELSE n || '.txt' END AS name, kind = 1 AS is_dir, CASE WHEN kind = 1 THEN 1 ELSE 0 END::BIGINT AS n_images, CASE WHEN kind = 0 THEN size END AS size FROM f WHERE n[1] <> '.' AND kind < 2)
+SELECT (row_number() OVER (ORDER BY lower(name), name) - 1)::BIGINT AS place, * FROM e""")
+def src_6_browse_order(spark, sf):
+    lead = F.element_at(F.array(*map(F.lit, ("B", "a", ".c", "D"))), (F.col("p_partkey") % 4 + 1).cast("int"))
+    ends = F.element_at(F.array(*map(F.lit, (".jpg", "/x.png", ".txt"))), (F.col("p_partkey") % 3 + 1).cast("int"))
+    made = table(spark, sf, "part").where("p_size % 2 = 0").select(F.concat(F.lit("/r/"), lead, F.col("p_partkey").cast("string"), ends).alias("path"), F.col("p_size").cast("long").alias("length"))
+    found = files.browse(made, "/r").coalesce(1)
+    return found.withColumn("place", F.monotonically_increasing_id())
+
+
+@query("SELECT p_brand AS session_id, '/x' || p_partkey || '/f' || p_size || '.jpg' AS path, 'f' || p_size || CASE WHEN k = 0 THEN '' ELSE '_' || k END || '.jpg' AS name, NULL::VARCHAR AS error FROM (SELECT *, row_number() OVER (PARTITION BY p_brand, p_size ORDER BY p_partkey) - 1 AS k FROM part)")
 def src_7_staged_names(spark, sf):
     return files.stage_names(table(spark, sf, "part").select(F.col("p_brand").alias("session_id"), F.col("p_partkey").alias("position"), F.format_string("/x%d/f%d.jpg", "p_partkey", "p_size").alias("path")))
 
 
+@query("""SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN NULL ELSE p_partkey || '.PNG' END AS name, CASE p_partkey % 3 WHEN 0 THEN 'not an absolute path of a known kind' END AS error FROM part""")
+def src_7_bad_paths(spark, sf):
+    """A bad path has its error and leaves the others alone."""
+    path = F.when(F.col("p_partkey") % 6 == 0, "rel.jpg").when(F.col("p_partkey") % 6 == 3, "/x/a.txt").otherwise(F.format_string("/x/%d.PNG", "p_partkey"))
+    rows = table(spark, sf, "part").select(F.col("p_partkey").alias("session_id"), F.lit(0).alias("position"), path.alias("path"))
+    return files.stage_names(rows).select(F.col("session_id").cast("long").alias("p_partkey"), "name", "error")
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared one that the session names."""
+    """A new folder in the shared one that the session names; a local one only where there is one machine."""
     import uuid
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/vellum-checkpoints"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    root = root or "/tmp/vellum-checkpoints"
     return f"{root.rstrip('/')}/vellum/{name}-{uuid.uuid4().hex}"
 
 
@@ -976,6 +1108,75 @@ def out_4_profile_events(spark, sf):
     return spark.read.schema("name string, seq long, duration_s double").json(root)
 
 
+@query("SELECT user_id AS run_idx, 'p' || event_id || '.jpg' AS image_path, printf('%.4f', round(value, 2)) AS elapsed_s FROM events")
+def out_4_per_page(spark, sf):
+    root = bench_files(spark, sf)
+    return spark.read.option("header", "true").schema("run_idx long, image_path string, elapsed_s string").csv(f"{root}/per_page.csv")
+
+
+@query("""WITH v AS (SELECT user_id AS run_idx, round(value, 2) AS v FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY run_idx ORDER BY v) AS k, count(*) OVER (PARTITION BY run_idx) AS n FROM v)
+SELECT run_idx, round(avg(v), 6) AS mean, max(v) AS max, max(CASE WHEN k = greatest(1, floor(n * 0.95)) THEN v END) AS p95 FROM r GROUP BY run_idx""")
+def out_4_summary(spark, sf):
+    root = bench_files(spark, sf)
+    return spark.read.schema("run_idx long, mean double, max double, p95 double").json(f"{root}/summary.json").withColumn("mean", F.round("mean", 6))
+
+
+@query("SELECT event_id % 100 AS gpu, count(*) AS n, max(event_id) AS last FROM events GROUP BY ALL")
+def out_4_gpu_trace(spark, sf):
+    root = bench_files(spark, sf)
+    read = spark.read.option("header", "true").schema("seq long, `utilization.gpu` long").csv(f"{root}/gpu_trace.csv")
+    column = tasks.find_prefix(read.columns, "utilization.gpu")
+    return read.groupBy(F.col(f"`{column}`").alias("gpu")).agg(F.count("*").alias("n"), F.max("seq").alias("last"))
+
+
+def bench_files(spark, sf) -> str:
+    root, events = scratch(spark, "bench"), table(spark, sf, "events")
+    pages = events.select(F.col("user_id").alias("run_idx"), F.format_string("p%d.jpg", "event_id").alias("image_path"), F.round("value", 2).alias("elapsed_s"))
+    files.write_bench(pages, events.select(F.col("event_id").alias("seq"), (F.col("event_id") % 100).alias("utilization.gpu")), root)
+    return root
+
+
+def stored_documents(spark, sf) -> tuple[str, DataFrame]:
+    """Documents of suppliers written below a new folder, whose pages have an image each but for every third."""
+    root = scratch(spark, "documents")
+    fs, base = files.file_system(root)
+    rows = table(spark, sf, "supplier").where("s_suppkey <= 40")
+    for r in rows.select("s_suppkey").collect():
+        if r[0] % 3:
+            fs.create_dir(f"{base}/p{r[0]}_OCR/images")
+            with fs.open_output_stream(f"{base}/p{r[0]}_OCR/images/0.jpg") as out:
+                out.write(b"image %d" % r[0])
+    own = F.format_string("<!-- page: p%1$d.jpg -->\n# %2$s\n![](p%1$d_OCR/images/0.jpg)\n", "s_suppkey", "s_name")
+    docs = rows.select("s_suppkey", F.format_string("d%d", "s_suppkey").alias("doc_dir"), own.alias("markdown"))
+    files.write_documents(docs, root)
+    return root, docs
+
+
+@query("SELECT 'd' || s_suppkey AS doc_dir, '# ' || s_name || chr(10) || '![](images/p' || s_suppkey || '_0.jpg)' AS markdown FROM supplier WHERE s_suppkey <= 40")
+def out_1_written_documents(spark, sf):
+    """What the sink has written, read back from document.md."""
+    root, _ = stored_documents(spark, sf)
+    back = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "document.md").text(root, wholetext=True)
+    return back.select(F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)/document.md$", 1).alias("doc_dir"), F.col("value").alias("markdown"))
+
+
+@query("""SELECT 'd' || s_suppkey || '/document.md' AS name, '# ' || s_name || chr(10) || '![](images/p' || s_suppkey || '_0.jpg)' AS held FROM supplier WHERE s_suppkey <= 40
+UNION ALL SELECT 'd' || s_suppkey || '/images/p' || s_suppkey || '_0.jpg', 'image ' || s_suppkey FROM supplier WHERE s_suppkey <= 40 AND s_suppkey % 3 <> 0""")
+def out_3_zip(spark, sf):
+    """The names and contents of a task's archive, packed from what the sink has written."""
+    import tempfile
+    import zipfile
+    from pathlib import Path
+
+    root, docs = stored_documents(spark, sf)
+    with tempfile.TemporaryDirectory() as folder:
+        target = str(Path(folder) / "result.zip")
+        names = files.zip_documents(root, [r[0] for r in docs.select("doc_dir").collect()], target)
+        with zipfile.ZipFile(target) as archive:
+            rows = [(n, archive.read(n).decode()) for n in names]
+    return spark.createDataFrame(rows, "name string, held string")
+
+
 @query("SELECT doc_id, text FROM documents")
 def out_2_debug_artifacts(spark, sf):
     root = scratch(spark, "debug")
@@ -994,6 +1195,32 @@ def src_8_uploads(spark, sf):
     return tasks.uploads(table(spark, sf, "orders").select(F.col("o_custkey").alias("session_id"), F.col("o_orderkey").alias("size")))
 
 
+UPLOADS = """s AS (SELECT c_custkey AS session_id, c_custkey % 4 = 0 AS completed FROM customer WHERE c_custkey % 7 <> 0),
+u AS (SELECT o_orderkey AS file_id, o_custkey AS session_id, o_orderkey || CASE o_orderkey % 5 WHEN 0 THEN '.gif' WHEN 1 THEN '.JPEG' ELSE '.tif' END AS name, (o_orderkey % 64 * 1048576 + o_orderkey % 2)::BIGINT AS size FROM orders),
+v AS (SELECT u.*, CASE WHEN completed IS NULL THEN 'no such session' WHEN completed THEN 'session is complete' WHEN name LIKE '%.gif' THEN 'unknown kind' WHEN size > 52428800 THEN 'too large' ELSE 'accepted' END AS verdict FROM u LEFT JOIN s USING (session_id))"""
+
+
+def judged(spark, sf):
+    key = F.col("o_orderkey")
+    name = F.concat(key.cast("string"), F.when(key % 5 == 0, ".gif").when(key % 5 == 1, ".JPEG").otherwise(".tif"))
+    rows = table(spark, sf, "orders").select(key.alias("file_id"), F.col("o_custkey").alias("session_id"), name.alias("name"), (key % 64 * 1048576 + key % 2).cast("long").alias("size"))
+    sessions = table(spark, sf, "customer").where("c_custkey % 7 <> 0").select(F.col("c_custkey").alias("session_id"), (F.col("c_custkey") % 4 == 0).alias("completed"))
+    return tasks.judged_uploads(rows, sessions)
+
+
+@query(f"WITH {UPLOADS} SELECT * FROM v")
+def src_8_judged_uploads(spark, sf):
+    return judged(spark, sf)
+
+
+@query(f"""WITH {UPLOADS}, n AS (SELECT session_id, count(*) AS n FROM v WHERE verdict = 'accepted' GROUP BY ALL),
+q AS (SELECT c_custkey AS session_id, unnest([1, 2])::INT AS seq FROM customer)
+SELECT session_id, seq, CASE WHEN n IS NULL THEN 'no files' WHEN seq > 1 THEN 'already complete' ELSE 'complete' END AS verdict FROM q LEFT JOIN n USING (session_id)""")
+def src_8_completions(spark, sf):
+    asked = table(spark, sf, "customer").select(F.col("c_custkey").alias("session_id"), F.explode(F.array(F.lit(1), F.lit(2))).alias("seq"))
+    return tasks.judged_completions(asked, judged(spark, sf))
+
+
 @query(f"WITH {FILES} SELECT path, 'text of ' || length(path) AS raw_text FROM f")
 def src_10_recognised(spark, sf):
     """A stand-in for an engine gives each path's length; it is out of memory for more than two at a time."""
@@ -1058,6 +1285,14 @@ def stm_3_task_states(spark, sf):
     return tasks.latest_status(events)
 
 
+@query("""WITH e AS (SELECT user_id AS task_id, event_id AS seq, ['pending', 'processing', 'completed', 'processing', 'failed'][event_id % 97 % 5 + 1] AS status FROM events),
+x AS (SELECT task_id, min(seq) AS last FROM e WHERE status IN ('completed', 'failed') GROUP BY ALL) SELECT e.* FROM e LEFT JOIN x USING (task_id) WHERE last IS NULL OR seq <= last""")
+def stm_2_delivered(spark, sf):
+    kinds = F.array(*map(F.lit, ("pending", "processing", "completed", "processing", "failed")))
+    events = table(spark, sf, "events").select(F.col("user_id").alias("task_id"), F.col("event_id").alias("seq"), F.element_at(kinds, (F.col("event_id") % 97 % 5 + 1).cast("int")).alias("status"))
+    return progress.delivered(events)
+
+
 @query("SELECT event_id, ts AS created_at FROM events WHERE epoch(TIMESTAMP '2024-01-15 00:00:00') - epoch(ts) < 3600")
 def stm_4_live_sessions(spark, sf):
     return tasks.live_sessions(table(spark, sf, "events").select("event_id", F.col("ts").alias("created_at")), "2024-01-15 00:00:00")
@@ -1066,3 +1301,54 @@ def stm_4_live_sessions(spark, sf):
 @query("SELECT doc_id, '[' || doc_id % 9 || '/9 ' || source || '] ' || lang AS message FROM documents")
 def stm_6_progress_label(spark, sf):
     return table(spark, sf, "documents").select("doc_id", tasks.progress_label(F.col("source"), (F.col("doc_id") % 9).cast("int"), F.lit(9), F.col("lang")).alias("message"))
+
+
+# Settings
+
+
+@query("""SELECT p_partkey, 'cloud' AS provider, CASE WHEN p_size % 2 = 0 THEN p_brand ELSE '' END AS model, coalesce(CASE WHEN p_size % 3 = 0 THEN p_size END, 8000)::INT AS max_chars_per_segment, p_size % 5 <> 0 AS enable_gap_fill FROM part""")
+def asm_15_merged_requests(spark, sf):
+    """Fields of a request that aren't null stand over the defaults."""
+    asked = table(spark, sf, "part").select(
+        "p_partkey", F.when(F.col("p_size") % 2 == 0, F.col("p_brand")).alias("model"), F.when(F.col("p_size") % 3 == 0, F.col("p_size").cast("int")).alias("max_chars_per_segment"),
+        F.when(F.col("p_size") % 5 == 0, False).alias("enable_gap_fill"),
+    )
+    return files.merged_requests(asked, LLMConfig()).select("p_partkey", "provider", "model", "max_chars_per_segment", "enable_gap_fill")
+
+
+@query("SELECT count(*) AS calls, 3::BIGINT AS tasks, 2::BIGINT AS most_tries, count_if(doc_id % 10 = 0) AS failed FROM documents")
+def llm_13_in_flight(spark, sf):
+    """Calls run in as many tasks as may be in flight at a time; a stand-in fails every tenth call each time it is tried."""
+
+    def call(messages):
+        from pyspark import TaskContext
+
+        key = int(messages[0]["content"])
+        if key % 10 == 0:
+            raise ConnectionError
+        return str(TaskContext.get().partitionId()), "stop"
+
+    asked = table(spark, sf, "documents").select(F.col("doc_id").alias("request_id"), F.array(F.struct(F.lit("user").alias("role"), F.col("doc_id").cast("string").alias("content"))).alias("messages"))
+    config = LLMConfig(max_concurrent_requests=3, max_retries=1)
+    done = protocol.complete(asked, call, config)
+    return done.agg(F.count("*").alias("calls"), F.count_distinct("reply").alias("tasks"), F.lit(config.max_retries + 1).cast("long").alias("most_tries"), F.count_if("failed").alias("failed"))
+
+
+@query(f"WITH {FILES} SELECT path, 'batch of 2' AS raw_text FROM f")
+def stm_5_back_off(spark, sf):
+    """An engine that has memory for two pages: the batch goes from 8 to 4 to 2 and stays there."""
+
+    def engine():
+        sizes = []
+
+        def read(paths):
+            sizes.append(len(paths))
+            if len(paths) > 2:
+                raise MemoryError
+            # Once a batch has fitted, no larger one is tried again.
+            fitted = [k for k, n in enumerate(sizes) if n <= 2]
+            return ["batch of 2" if max(sizes[fitted[0] :]) <= 2 else "grown"] * len(paths)
+
+        return read
+
+    return files.recognise(made_files(spark, sf), engine, batch=8)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -58,44 +60,53 @@ def source_listing(files: DataFrame, root: str) -> DataFrame:
 
 
 def browse(files: DataFrame, root: str) -> DataFrame:
-    """(name, is_dir, n_images, size) of what stands directly in ``root``, hidden names left out."""
+    """(name, is_dir, n_images, size) of what stands directly in ``root``, by name without regard to case.
+
+    Hidden names and files that aren't images are left out; n_images counts a folder's own images, up to MAX_COUNT.
+    """
     inside = files.where(F.startswith("path", F.lit(root.rstrip("/") + "/"))).withColumn("rest", F.substring("path", len(root.rstrip("/")) + 2, 1 << 20))
     parts = F.split("rest", "/")
     named = inside.select(parts[0].alias("name"), F.size(parts).alias("depth"), "length", has_suffix(F.col("path"), LISTED_SUFFIXES).alias("image")).where(~F.startswith("name", F.lit(".")))
-    return named.groupBy("name").agg(
+    entries = named.where("depth > 1 or image").groupBy("name").agg(
         (F.max("depth") > 1).alias("is_dir"), F.least(F.count_if((F.col("depth") == 2) & F.col("image")), F.lit(MAX_COUNT)).alias("n_images"),
         F.sum(F.when(F.col("depth") == 1, F.col("length"))).alias("size"),
     )
+    return entries.orderBy(F.lower("name"), "name")
 
 
-def staged_names(paths: list[str]) -> list[tuple[str, str]]:
-    """(path, name) of explicit files: a name that is taken gets _1, _2 and so on; at most MAX_STAGED."""
-    if len(paths) > MAX_STAGED:
-        raise ValueError(f"at most {MAX_STAGED} files")
+def staged_names(paths: list[str]) -> list[tuple[str, str | None, str | None]]:
+    """(path, name, error) of explicit files: a name that is taken gets _1, _2 and so on.
+
+    What isn't an absolute path of a known kind, and every file past the first MAX_STAGED, has an error and no name.
+    """
     used: set[str] = set()
-    out = []
-    for path in paths:
-        p = Path(path)
+    out: list[tuple[str, str | None, str | None]] = []
+    for position, path in enumerate(paths):
+        p = Path(path or "")
+        if position >= MAX_STAGED:
+            out.append((path, None, f"more than {MAX_STAGED} files"))
+            continue
         if not p.is_absolute() or p.suffix.lower().lstrip(".") not in LISTED_SUFFIXES:
-            raise ValueError(f"not an absolute path of a known kind: {path}")
+            out.append((path, None, "not an absolute path of a known kind"))
+            continue
         name, n = p.name, 0
         while name in used:
             n += 1
             name = f"{p.stem}_{n}{p.suffix}"
         used.add(name)
-        out.append((path, name))
+        out.append((path, name, None))
     return out
 
 
 def stage_names(files: DataFrame) -> DataFrame:
-    """(session_id, path, name) of (session_id, position, path): ``staged_names`` within each session, of MAX_STAGED files at most."""
+    """(session_id, path, name, error) of (session_id, position, path): ``staged_names`` within each session; a bad path fails alone."""
 
     def named(frame: pd.DataFrame) -> pd.DataFrame:
         rows = staged_names(list(frame.sort_values("position", kind="stable")["path"]))
-        return pd.DataFrame([(frame["session_id"].iloc[0], *r) for r in rows], columns=["session_id", "path", "name"])
+        return pd.DataFrame([(frame["session_id"].iloc[0], *r) for r in rows], columns=["session_id", "path", "name", "error"])
 
     ship(files.sparkSession)
-    return files.select(F.col("session_id").cast("string").alias("session_id"), "position", "path").groupBy("session_id").applyInPandas(named, "session_id string, path string, name string")
+    return files.select(F.col("session_id").cast("string").alias("session_id"), "position", "path").groupBy("session_id").applyInPandas(named, "session_id string, path string, name string, error string")
 
 
 def page_text(pages: DataFrame, artifacts: DataFrame) -> DataFrame:
@@ -185,9 +196,57 @@ def asset_allowed(path: Column) -> Column:
     return F.coalesce(relative & (document | F.array_contains(F.slice(parts, 1, 2), "images")), F.lit(False))
 
 
-def write_documents(docs: DataFrame, root: str) -> None:
-    """document.md texts as text files, partitioned by doc_dir."""
-    docs.select("doc_dir", F.col("markdown").alias("value")).write.mode("overwrite").partitionBy("doc_dir").option("lineSep", "\n").text(root)
+def file_system(uri: str):
+    """(file system, path below it) of a folder given as a path or a URI that driver and executors both reach."""
+    from pyarrow import fs
+
+    at = uri.rstrip("/")
+    if at.startswith("file:") and not at.startswith("file://"):
+        at = "file://" + at[len("file:") :]
+    return fs.FileSystem.from_uri(at)
+
+
+#: A reference to a page's artifact, as ``assembly.render`` rewrites it: page stem and number.
+ARTIFACT_REF = re.compile(r"""(?<=[("'])([^/()"'\n]+)_OCR/images/(\d+)\.jpg""")
+
+
+def write_documents(docs: DataFrame, root: str, ocr_root: str | None = None) -> None:
+    """Every (doc_dir, markdown) as ROOT/DOC_DIR/document.md, with the images that it refers to.
+
+    References STEM_OCR/images/N.jpg become images/STEM_N.jpg and page markers go, as ``assembly.render`` has it;
+    the images themselves are copied from ``ocr_root`` (ROOT, if not given) to the document's folder, where they
+    exist.  ``doc_dir`` '' is the root itself.  A file is written beside its place and then moved there, so a task that runs again does no harm.
+    """
+    from vellum.operators.assembly import render
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs as arrow_fs
+
+        fs, base = file_system(root)
+        source_fs, source = file_system(ocr_root or root)
+
+        def put(path: str, data: bytes) -> None:
+            part = f"{path}.{uuid.uuid4().hex}.part"
+            with fs.open_output_stream(part) as out:
+                out.write(data)
+            fs.move(part, path)
+
+        for frame in frames:
+            for folder_, raw, text in zip(frame["doc_dir"], frame["markdown"], frame["text"], strict=True):
+                at = "/".join(x for x in (base, (folder_ or "").strip("/")) if x)
+                fs.create_dir(at)
+                put(f"{at}/document.md", (text or "").encode("utf-8", "surrogatepass"))
+                for stem, n in sorted(set(ARTIFACT_REF.findall(raw or ""))):
+                    origin = f"{source}/{stem}_OCR/images/{n}.jpg"
+                    if source_fs.get_file_info(origin).type == arrow_fs.FileType.File:
+                        fs.create_dir(f"{at}/images")
+                        with source_fs.open_input_stream(origin) as held:
+                            put(f"{at}/images/{stem}_{n}.jpg", held.read())
+            yield pd.DataFrame({"done": [len(frame)]})
+
+    ship(docs.sparkSession)
+    made = docs.select("doc_dir", "markdown", render(F.col("markdown")).alias("text"))
+    made.mapInPandas(run, "done long").write.format("noop").mode("overwrite").save()
 
 
 def write_events(events: DataFrame, root: str, form: str = "json") -> None:
@@ -211,17 +270,37 @@ def load_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root.rstrip('/')}/{name}")
 
 
+def write_bench(pages: DataFrame, trace: DataFrame, root: str) -> None:
+    """A benchmark run's per_page.csv, gpu_trace.csv and summary.json (mean, max and p95 of seconds for each run).
+
+    pages: (run_idx, image_path, elapsed_s), told with four digits; trace: what a sampler read, column by column.
+    """
+    from vellum.operators.tasks import trace_stats
+
+    at = root.rstrip("/")
+    write_events(pages.select("run_idx", "image_path", F.format_string("%.4f", "elapsed_s").alias("elapsed_s")), f"{at}/per_page.csv", "csv")
+    write_events(trace, f"{at}/gpu_trace.csv", "csv")
+    write_events(trace_stats(pages, "elapsed_s", ("run_idx",)), f"{at}/summary.json")
+
+
 def zip_documents(root: str, doc_dirs: list[str], target: str) -> list[str]:
-    """Packs document.md and images of each folder; only empty folder names mean the root. Returns the names packed."""
+    """Packs document.md and images of each folder of one task; only empty folder names mean the root. Returns the names packed."""
+    from pyarrow import fs as arrow_fs
+
+    fs, base = file_system(root)
     packed = []
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as archive:
-        for doc_dir in sorted(set(doc_dirs)) or [""]:
-            base = Path(root) / doc_dir
-            for path in [base / "document.md", *sorted((base / "images").rglob("*"))]:
-                if path.is_file():
-                    name = path.relative_to(root).as_posix()
-                    archive.write(path, name)
-                    packed.append(name)
+        for doc_dir in sorted({d for d in doc_dirs if d}) or [""]:
+            at = f"{base}/{doc_dir}".rstrip("/")
+            images = fs.get_file_info(arrow_fs.FileSelector(f"{at}/images", recursive=True, allow_not_found=True))
+            found = sorted(i.path for i in images if i.type == arrow_fs.FileType.File)
+            if fs.get_file_info(f"{at}/document.md").type == arrow_fs.FileType.File:
+                found.insert(0, f"{at}/document.md")
+            for path in found:
+                name = path[len(base) :].lstrip("/")
+                with fs.open_input_stream(path) as held:
+                    archive.writestr(name, held.read())
+                packed.append(name)
     return packed
 
 
@@ -230,3 +309,11 @@ def merged_config(default: LLMConfig, request: dict) -> LLMConfig:
     from dataclasses import replace
 
     return replace(default, **{k: v for k, v in request.items() if v is not None})
+
+
+def merged_requests(requests: DataFrame, default: LLMConfig) -> DataFrame:
+    """``requests`` with every field of the settings: its own where it has one that isn't null, else the default's."""
+    from dataclasses import asdict
+
+    fields = {k: F.lit(v) if k not in requests.columns else F.coalesce(F.col(k), F.lit(v)) for k, v in asdict(default).items()}
+    return requests.withColumns(fields)

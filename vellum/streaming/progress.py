@@ -20,6 +20,29 @@ def latest_progress(events: DataFrame, key: str = "task_id", order: str = "seq")
     return events.groupBy(key).agg(F.max_by(F.struct(*rest), F.col(order)).alias("latest"))
 
 
+def delivered(events: DataFrame, status: str = "status", key: str = "task_id", order: str = "seq") -> DataFrame:
+    """Events that a subscription delivers: up to the first that ends its task, which closes it."""
+    ends = events.where(F.col(status).isin(*TERMINAL)).groupBy(key).agg(F.min(order).alias("__end"))
+    return events.join(ends, key, "left").where(F.col("__end").isNull() | (F.col(order) <= F.col("__end"))).drop("__end")
+
+
+def delivered_stream(events: DataFrame) -> DataFrame:
+    """``delivered`` as events (task_id, seq, status) stream in: what comes after a task's end is not told; of a task only its end is held."""
+
+    def update(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(frames)).sort_values("seq", kind="stable")
+        if state.exists:
+            return
+        over = rows["status"].isin(TERMINAL).to_numpy()
+        if over.any():
+            rows = rows[: int(over.argmax()) + 1]
+            state.update((int(rows["seq"].iloc[-1]),))
+        yield rows[["task_id", "seq", "status"]]
+
+    ship(events.sparkSession)
+    return events.select("task_id", "seq", "status").groupBy("task_id").applyInPandasWithState(update, "task_id string, seq long, status string", "seq long", "append", "NoTimeout")
+
+
 def task_states(events: DataFrame):
     """State of each task as events (task_id, seq, event) arrive: one row for every batch that changes it.
 
