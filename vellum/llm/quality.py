@@ -49,7 +49,7 @@ def line_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     code = np.frombuffer(raw, np.uint8)
     line = np.cumsum(code == 10)
     counts = np.bincount(line * 10 + BYTE_CLASS[code], minlength=10 * len(lines)).reshape(-1, 10).astype(np.float32)
-    counts[:-1, OTHER] -= 1  # the line feeds
+    counts[1:, OTHER] -= 1  # a line feed is counted with the line after it
     size = counts.sum(axis=1)
     share = counts / np.maximum(size, 1)[:, None]
     same = Counter(lines)

@@ -104,6 +104,36 @@ def parts(batch, column: int, rows: int, size: int = 4_000_000):
         yield batch.slice(begin)
 
 
+def finite(vector):
+    """Whether an array column of doubles is a vector: not empty, and all of its components finite."""
+    return F.coalesce((F.size(vector) > 0) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
+
+
+def matrices(column):
+    """(rows, matrix) for every length of vector in an Arrow list column of doubles, nulls and empty lists left out."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    starts = np.asarray(column.offsets)[:-1]
+    values = column.values.to_numpy(zero_copy_only=False)
+    for n in np.unique(lengths):
+        rows = np.flatnonzero(lengths == n)
+        if n:
+            yield rows, values[starts[rows][:, None] + np.arange(n)]
+
+
+def blobs(matrix):
+    """An Arrow binary column with the bytes of each row."""
+    import numpy as np
+    import pyarrow as pa
+
+    raw = np.ascontiguousarray(matrix)
+    each = raw.shape[1] * raw.itemsize
+    ends = np.arange(len(raw) + 1, dtype=np.int64) * each
+    return pa.Array.from_buffers(pa.large_binary(), len(raw), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(raw.tobytes())]).cast(pa.binary())
+
+
 def dropped(*tables: DataFrame) -> None:
     """Delete tables made by ``written`` that nothing reads any more."""
     for df in tables:

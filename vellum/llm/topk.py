@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.llm.shared import dropped, finished, map_arrow, written
+from vellum.llm.shared import blobs, dropped, finished, finite, map_arrow, matrices, written
 from vellum.shipping import ship
 
 BLOCK, QUERY_BLOCK, LEAF = 4096, 1024, 24
@@ -125,9 +125,9 @@ class Block:
         return self.ids[self.upto[k - 1] if k else 0 : self.upto[k]]
 
 
-def block_of(vec_ids: np.ndarray, blobs: list[bytes], least: int | None = None) -> Block:
+def block_of(vec_ids: np.ndarray, rows: list[bytes], least: int | None = None) -> Block:
     """least: so many of the smallest ids stay on a vector (None: all)."""
-    frame = pd.DataFrame({"id": vec_ids, "v": blobs}).drop_duplicates().sort_values("id", kind="stable")
+    frame = pd.DataFrame({"id": vec_ids, "v": rows}).drop_duplicates().sort_values("id", kind="stable")
     most = int(frame["id"].value_counts().max())
     groups = list(frame.groupby("v", sort=False)["id"])
     kept = [g.to_numpy()[:least] for _, g in groups]
@@ -234,30 +234,22 @@ def scaled(vectors: DataFrame, asks, vec_id: str, embedding: str, scale: float)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep, dims, out = [], [], []
-            for k, v in enumerate(batch.column(2)):
-                v = v.values
-                if v is None or v.null_count or not len(v):
-                    continue
-                x = v.to_numpy(zero_copy_only=False)
-                if np.isfinite(x).all():
-                    with np.errstate(over="ignore"):
-                        x = np.floor(scale * x)
-                    if np.abs(x).max() >= LIMIT:
-                        raise OverflowError(f"a component of {np.abs(x).max()} after scaling: products can't be held in a long")
-                    keep.append(k)
-                    dims.append(len(x))
-                    out.append(x.astype("<i8").tobytes())
-            at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(dims, pa.int32()), pa.array(out, pa.binary())], names=["vec_id", "asks", "dim", "v"])
-
-    source = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("embedding")).where("vec_id is not null")
+            for rows, x in matrices(batch.column(2)):
+                with np.errstate(over="ignore"):
+                    x = np.floor(scale * x)
+                if np.abs(x).max() >= LIMIT:
+                    raise OverflowError(f"a component of {np.abs(x).max()} after scaling: products can't be held in a long")
+                at = pa.array(rows)
+                dims = pa.array(np.full(len(rows), x.shape[1], np.int32))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), dims, blobs(x.astype("<i8"))], names=["vec_id", "asks", "dim", "v"])
+
+    source = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & finite(F.col("embedding")))
     asks = F.expr(asks) if isinstance(asks, str) else asks
     return map_arrow(source.select("vec_id", F.coalesce(asks, F.lit(False)).alias("asks"), "embedding"), run, "vec_id long, asks boolean, dim int, v binary")
 
 
-def matrix(blobs) -> np.ndarray:
-    return np.stack([np.frombuffer(b, "<i8") for b in blobs])
+def matrix(rows) -> np.ndarray:
+    return np.stack([np.frombuffer(b, "<i8") for b in rows])
 
 
 def in_cells(data: DataFrame, pilot: dict, pivots: dict[int, int], k: int, floors: bool) -> DataFrame:
@@ -266,7 +258,7 @@ def in_cells(data: DataFrame, pilot: dict, pivots: dict[int, int], k: int, floor
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, dims = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            blobs = batch.column(2).to_pylist()
+            held = batch.column(2).to_pylist()
             cell, dist, floor = np.zeros(len(ids), np.int32), np.full(len(ids), np.inf), np.full(len(ids), -(2.0**126))
             for d in np.unique(dims):
                 if d not in pilot:
@@ -277,7 +269,7 @@ def in_cells(data: DataFrame, pilot: dict, pivots: dict[int, int], k: int, floor
                 first = s[: pivots[int(d)]]
                 for begin in range(0, len(own), 512):
                     part = own[begin : begin + 512]
-                    x = matrix([blobs[i] for i in part]).astype(np.float64)
+                    x = matrix([held[i] for i in part]).astype(np.float64)
                     cell[part] = ((first**2).sum(axis=1) - 2 * x @ first.T).argmin(axis=1)
                     dist[part] = np.sqrt(((x - first[cell[part]]) ** 2).sum(axis=1))
                     if floors and len(sample_ids) > k:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.shared import components, dropped, finished, joined_components, map_arrow, partitions_for, written
+from vellum.llm.shared import blobs, components, dropped, finished, finite, joined_components, map_arrow, matrices, partitions_for, written
 from vellum.shipping import ship
 
 COSINE, WINDOW, BITS = 0.95, 64, 48
@@ -128,17 +128,16 @@ def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for v in batch.column(1):
-                v = v.values
-                x = None if v is None or v.null_count or not len(v) else v.to_numpy(zero_copy_only=False)
-                if x is not None and np.isfinite(x).all() and x.any():
-                    out.append((x + 0.0).astype("<f8").tobytes())
-                else:
-                    out.append(None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["vec_id", "v"])
+            told = np.zeros(batch.num_rows, bool)
+            for rows, x in matrices(batch.column(1)):
+                told[rows] = True
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), blobs(x + 0.0)], names=["vec_id", "v"])  # + 0.0: no negative zeros
+            rest = np.flatnonzero(~told)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rest)), pa.nulls(len(rest), pa.binary())], names=["vec_id", "v"])
 
-    return map_arrow(vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("embedding")), run, "vec_id long, v binary")
+    source = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("embedding"))
+    links = finite(F.col("embedding")) & F.exists("embedding", lambda x: x != 0)
+    return map_arrow(source.select("vec_id", F.when(links, F.col("embedding")).alias("embedding")), run, "vec_id long, v binary")
 
 
 def record(turn: int, bits: np.ndarray, ids: np.ndarray, error: np.ndarray, q: np.ndarray) -> list[bytes]:
@@ -176,10 +175,10 @@ def windowed_links(classes: DataFrame, rows: int, cosine: float, window: int) ->
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, blobs = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-            for size in {len(b) for b in blobs}:
-                at = np.flatnonzero([len(b) == size for b in blobs])
-                x = unit(np.stack([np.frombuffer(blobs[i]) for i in at]))
+            ids, held = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            for size in {len(b) for b in held}:
+                at = np.flatnonzero([len(b) == size for b in held])
+                x = unit(np.stack([np.frombuffer(held[i]) for i in at]))
                 q, error = coarse(x)
                 for turn in range(turns):
                     bits = np.packbits(x @ directions(x.shape[1], turn) > 0, axis=1)
