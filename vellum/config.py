@@ -7,7 +7,6 @@ from dataclasses import dataclass
 
 @dataclass(frozen=True)
 class DedupConfig:
-    similarity_threshold: float = 0.8
     search_ratio: float = 0.7
     repeated_line_threshold: float = 0.5
     repeated_line_min_pages: int = 4

@@ -19,6 +19,7 @@ READABLE = (
     r"\[\]{}#*+=/\\|@&\^~`'\"$%<>"
 )
 GARBAGE_RUN = 20
+#: Characters that names of folders can't have, and the tags that stay as they are.
 UNSAFE = r"""[/\\:*?"<>|\x00-\x1f]"""
 MAX_NAME = 64
 TAGS = "div|img|table|thead|tbody|tr|td|th|br|hr|span|p|b|i|u|strong|em|sub|sup|ul|ol|li|a|code|pre|h[1-6]|blockquote"

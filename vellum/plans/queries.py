@@ -865,9 +865,9 @@ def str_3_relpath(spark, sf):
     return table(spark, sf, "part").select("p_partkey", tx.secure_relpath(raw).alias("path"))
 
 
-@query(rf"""WITH p AS (SELECT page_id, string_split_regex(html, '<[^>]*>') AS gaps, list_append(regexp_extract_all(html, '<[^>]*>'), '') AS tags FROM pages),
+@query(r"""WITH p AS (SELECT page_id, string_split_regex(html, '<[^>]*>') AS gaps, list_append(regexp_extract_all(html, '<[^>]*>'), '') AS tags FROM pages),
 u AS (SELECT page_id, unnest(gaps) AS g, unnest(tags) AS t, generate_subscripts(gaps, 1) AS i FROM p)
-SELECT page_id, string_agg(g || CASE WHEN t = '' OR regexp_matches(t, '(?i)^</?\s*(?:{tx.TAGS})\b') THEN t ELSE '&lt;' || t[2:-2] || '&gt;' END, '' ORDER BY i) AS html FROM u GROUP BY page_id""")
+SELECT page_id, string_agg(g || CASE WHEN t = '' OR regexp_matches(t, '(?i)^</?\s*(?:div|img|table|thead|tbody|tr|td|th|br|hr|span|p|b|i|u|strong|em|sub|sup|ul|ol|li|a|code|pre|h[1-6]|blockquote)\b') THEN t ELSE '&lt;' || t[2:-2] || '&gt;' END, '' ORDER BY i) AS html FROM u GROUP BY page_id""")
 def str_4_escaped_tags(spark, sf):
     return table(spark, sf, "pages").select("page_id", tx.escape_unknown_tags(F.col("html")).alias("html"))
 
