@@ -31,6 +31,8 @@ GATES = {
     "random": r"[A-Za-z0-9+/_-]{20}",
 }
 LEAST = {"assign": 8, "access": 16, "hex": 32}
+#: As PATTERNS, but matches too short are passed over at once: what they would use up holds no longer match.
+FIND = PATTERNS | {"access": r"AKIA[A-Z0-9]{12,}", "hex": r"[0-9a-f]{32,}"}
 TOKEN = r"[A-Za-z0-9+/_-]{20,}"
 ALPHABETS = {
     "hex": "0123456789abcdef",
@@ -93,12 +95,24 @@ def band(n: Column) -> Column:
     return sum(((n >= x).cast("int") for x in BANDS), F.lit(0))
 
 
+def let(value: Column, f) -> Column:
+    """f(value), value worked out once however often f names it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def upper_tail(z: Column) -> Column:
     """P(Z > z), by a five-term polynomial for erfc."""
-    x = F.abs(z) / F.lit(2.0**0.5)
-    t = 1 / (1 + 0.3275911 * x)
-    q = 0.5 * t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * F.exp(-x * x)
-    return F.greatest(F.lit(1e-7), F.when(z >= 0, q).otherwise(1 - q))
+
+    def tail(z: Column) -> Column:
+        x = F.abs(z) / F.lit(2.0**0.5)
+
+        def beyond(t: Column) -> Column:
+            q = 0.5 * t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * F.exp(-x * x)
+            return let(q, lambda q: F.greatest(F.lit(1e-7), F.when(z >= 0, q).otherwise(1 - q)))
+
+        return let(1 / (1 + 0.3275911 * x), beyond)
+
+    return let(z, tail)
 
 
 def randomness_bin(tok: Column, kind: Column) -> Column:
@@ -106,36 +120,49 @@ def randomness_bin(tok: Column, kind: Column) -> Column:
     alphabet = F.when(kind == "hex", ALPHABETS["hex"]).when(kind == "base32", ALPHABETS["base32"]).otherwise(ALPHABETS["base64"])
     plain = F.when(kind == "hex", F.lower(tok)).when(kind == "base32", tok).otherwise(F.translate(tok, "-_", "+/"))
     codes = F.transform(F.split(plain, r"(?!^)(?!\z)"), lambda c: F.instr(alphabet, c) - 1)
+    add = lambda xs, f: F.aggregate(xs, F.lit(0.0), lambda s, x: s + f(x))
 
-    def tested(z: Column) -> Column:
-        n, k, c = F.size(z["codes"]).cast("double"), z["k"], z["codes"]
+    def counted(z: Column) -> Column:
+        """Sums over the token's symbols, and over neighbours."""
+        c, k = z["codes"], z["k"]
         pairs = F.zip_with(F.slice(c, 1, F.size(c) - 1), F.slice(c, 2, F.size(c)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-        add = lambda xs, f: F.aggregate(xs, F.lit(0.0), lambda s, x: s + f(x))
         squares = add(F.array_distinct(c), lambda x: F.pow(F.size(F.filter(c, lambda y: y == x)).cast("double"), F.lit(2.0)))
-        chi, df = k / n * squares - n, k - 1
+        return F.struct(
+            c.alias("c"), k.alias("k"), F.size(c).cast("double").alias("n"), pairs.alias("pairs"), squares.alias("squares"),
+            add(c, lambda x: (x >= k / 2).cast("double")).alias("high"), (add(c, lambda x: x.cast("double")) / F.size(c)).alias("mu"),
+        )
+
+    def measured(z: Column) -> Column:
+        """The three statistics, as normal deviates or null where a test can't be made."""
+        n, k, high, low = z["n"], z["k"], z["high"], z["n"] - z["high"]
+        chi, df = k / n * z["squares"] - n, k - 1
         wilson = (F.pow(F.greatest(chi, F.lit(0.0)) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
-        high = add(c, lambda x: (x >= k / 2).cast("double"))
-        runs = 1 + add(pairs, lambda p: ((p["a"] >= k / 2) != (p["b"] >= k / 2)).cast("double"))
-        low, mean = n - high, 1 + 2 * high * (n - high) / n
+        runs = 1 + add(z["pairs"], lambda p: ((p["a"] >= k / 2) != (p["b"] >= k / 2)).cast("double"))
+        mean = 1 + 2 * high * low / n
         spread = F.sqrt(F.greatest(F.lit(1e-9), (mean - 1) * (mean - 2) / (n - 1)))
-        runs_p = F.when((high == 0) | (low == 0), F.lit(1e-7)).otherwise(2 * upper_tail(F.abs(runs - mean) / spread))
-        mu = add(c, lambda x: x.cast("double")) / n
-        var = add(c, lambda x: (x - mu) * (x - mu))
-        cov = add(pairs, lambda p: (p["a"] - mu) * (p["b"] - mu))
-        serial_p = F.when(var == 0, F.lit(1e-7)).otherwise(2 * upper_tail(F.abs(cov / var + 1 / n) * F.sqrt(n)))
-        x = -(F.log(upper_tail(wilson)) + F.log(F.least(F.lit(1.0), runs_p)) + F.log(F.least(F.lit(1.0), serial_p)))
-        joint = F.exp(-x) * (1 + x + x * x / 2)
-        return F.least(F.lit(BINS), F.floor(-F.log10(F.greatest(F.lit(1e-7), joint)) / STEP)).cast("int")
+        var = add(z["c"], lambda x: (x - z["mu"]) * (x - z["mu"]))
+        cov = add(z["pairs"], lambda p: (p["a"] - z["mu"]) * (p["b"] - z["mu"]))
+        return F.struct(
+            wilson.alias("chi"), F.when((high > 0) & (low > 0), F.abs(runs - mean) / spread).alias("runs"),
+            let(var, lambda v: F.when(v > 0, F.abs(cov / v + 1 / n) * F.sqrt(n))).alias("serial"),
+        )
+
+    def joined(z: Column) -> Column:
+        both = lambda d: F.coalesce(F.least(F.lit(1.0), 2 * upper_tail(d)), F.lit(1e-7))
+        x = -(F.log(upper_tail(z["chi"])) + F.log(F.when(z["runs"].isNull(), F.lit(1e-7)).otherwise(both(z["runs"]))) + F.log(F.when(z["serial"].isNull(), F.lit(1e-7)).otherwise(both(z["serial"]))))
+        joint = lambda x: F.exp(-x) * (1 + x + x * x / 2)
+        return let(x, lambda x: F.least(F.lit(BINS), F.floor(-F.log10(F.greatest(F.lit(1e-7), joint(x))) / STEP)).cast("int"))
 
     k = F.when(kind == "hex", 16.0).when(kind == "base32", 32.0).otherwise(64.0)
-    return F.transform(F.array(F.struct(codes.alias("codes"), k.alias("k"))), tested)[0]
+    return let(let(let(F.struct(codes.alias("codes"), k.alias("k")), counted), measured), joined)
 
 
 def random_spans(text: Column) -> Column:
     """Candidates: array<struct<start,end,kind,band,bin>>."""
-    found = spans(text, TOKEN, lambda tok: encoding(tok).isNotNull())
+    found = spans(text, TOKEN, lambda tok: F.lit(True))
     full = F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), encoding(s["tok"]).alias("kind"), band(F.length(s["tok"])).alias("band"), s["tok"].alias("tok")))
-    return F.transform(full, lambda s: F.struct(*[s[c].alias(c) for c in ("start", "end", "kind", "band")], randomness_bin(s["tok"], s["kind"]).alias("bin")))
+    kept = F.filter(full, lambda s: s["kind"].isNotNull())
+    return F.transform(kept, lambda s: F.struct(*[s[c].alias(c) for c in ("start", "end", "kind", "band")], randomness_bin(s["tok"], s["kind"]).alias("bin")))
 
 
 def rejection_bins(candidates: DataFrame, rate: float = FALSE_DISCOVERY) -> dict[tuple[str, int], int]:
@@ -164,7 +191,7 @@ def scanned(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     nothing = F.expr("cast(array() as array<struct<start:int,end:int,kind:string,band:int,bin:int>>)")
     empty = F.expr("cast(array() as array<struct<start:int,end:int,tok:string>>)")
     found = []
-    for kind, pattern in PATTERNS.items():
+    for kind, pattern in FIND.items():
         least, group = LEAST[kind], 2 if kind == "assign" else 0
         # A gate accepts whatever its pattern keeps.
         kept = F.when(F.col("text").rlike(GATES[kind]), spans(F.col("text"), pattern, lambda t, least=least: F.length(t) >= least, group)).otherwise(empty)
