@@ -399,6 +399,11 @@ def test_bpe_as_the_library(spark, real, library):
         assert r.decoded == tokenizer.decode(want, skip_special_tokens=False)
 
 
+def test_nothing_to_encode(spark, library):
+    empty = documents(spark, [(1, "x")]).limit(0)
+    assert bpe.encode_documents(empty.select("doc_id", "text"), library[0]).count() == 0 and packing.pack_documents(empty, library[0]).count() == 0
+
+
 def test_bpe_memory_is_renewed(library, monkeypatch):
     path, tokenizer = library
     monkeypatch.setattr(bpe, "KEPT_WORDS", 5)
@@ -436,6 +441,13 @@ def test_packing(spark, real, library):
     assert placed_well(got, 2048) <= -(-total // 2048) + 1
 
 
+def test_repeated_rows_are_dealt_apart(spark, library):
+    """Rows of one id and of none each get a place, in many groups."""
+    got = packing.pack_documents(documents(spark, [(7, "some words here")] * 300 + [(None, "other words")] * 200), library[0]).collect()
+    assert len(got) == 500 and len({(r.sequence_id, r.offset) for r in got}) == 500
+    placed_well(got, 2048)
+
+
 @pytest.mark.parametrize("lengths", [[5, 5], [10], [1] * 23, [6, 4, 3, 3, 4, 7, 2, 1, 9], [10, 9, 1, 5, 5, 3, 3, 4], []])
 def test_packing_plans(spark, lengths):
     rows = spark.createDataFrame([(i, 0, 0, n) for i, n in enumerate(lengths)], "doc_id long, piece int, start long, length long")

@@ -269,7 +269,8 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", decoded: bo
     Whole texts are encoded as the tokenizers library does with the file at ``path``
     without added special tokens, truncation or padding; decoding joins the tokens'
     strings by blanks, as that library does for a file without a decoder.  Null and empty
-    texts give no ids and an empty decoded text; repeated rows each get their row.  Only
+    texts give no ids and an empty decoded text; texts of any length are encoded whole, an
+    empty table gives no rows, repeated rows each get their row.  Only
     the text column is replaced by the results; the others pass through, and columns that
     already bear a result's name are replaced.
     """

@@ -160,33 +160,37 @@ HOT, HOT_LEAST = 0.01, 100
 
 
 def _told(edge: DataFrame):
-    """What tells one state of the edges from another, and the nodes that may be hot."""
+    """What tells one state of the edges from another, and the nodes that may be hot at either end."""
+    top = lambda c: F.expr(f"approx_top_k({c}, {int(1 / HOT)}, 4096)").alias(f"top_{c}")
     return edge.agg(
         F.count("*").alias("n"),
         F.sum(F.col("u").cast("decimal(38,0)")).alias("a"),
         F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40))).alias("h"),
-        F.expr(f"approx_top_k(v, {int(1 / HOT)}, 4096)").alias("top"),
-    ).first()
+        top("u"), top("v"),
+    ).first()
 
 
-def _lifted(edge: DataFrame, state) -> DataFrame:
-    """Every edge (u, v) with v's smallest neighbour (or v itself) in place of v; hot ends are looked up in a list of 1 / HOT at most."""
-    low = edge.groupBy(F.col("u").alias("at")).agg(F.min("v").alias("m"))
-    hot = [r["item"] for r in state["top"] if r["count"] > max(HOT_LEAST, HOT * state["n"])]
+def _looked_up(rows: DataFrame, end: str, low: DataFrame, state, hot_rows: DataFrame) -> DataFrame:
+    """``rows`` (u, v) with m, the least of ``low`` (at, m) at their ``end`` or null.
+
+    Hot nodes, 1 / HOT of them at most, are looked up in a list, made from ``hot_rows`` (at, m); their rows stay where they are.
+    """
+    hot = [r["item"] for r in state[f"top_{end}"] if r["count"] > max(HOT_LEAST, HOT * state["n"])]
     if not hot:
-        return edge.join(low, edge["v"] == low["at"], "left").select("u", F.coalesce("m", "v").alias("v"))
-    least = {r["u"]: r["m"] for r in edge.where(F.col("u").isin(hot)).groupBy("u").agg(F.min("v").alias("m")).collect()}
-    known = F.broadcast(edge.sparkSession.createDataFrame([(v, least.get(v, v)) for v in hot], "hot long, hot_m long"))
-    told = edge.join(known, edge["v"] == known["hot"], "left").withColumn("key", F.when(F.col("hot").isNotNull(), F.xxhash64("u")).otherwise(F.col("v")))
-    return told.join(low, told["key"] == low["at"], "left").select("u", F.coalesce("hot_m", "m", "v").alias("v"))
+        return rows.join(low, rows[end] == low["at"], "left").select("u", "v", "m")
+    least = dict(map(tuple, hot_rows.where(F.col("at").isin(hot)).groupBy("at").agg(F.min("m")).collect()))
+    known = F.broadcast(rows.sparkSession.createDataFrame([(x, least.get(x)) for x in hot], "hot long, hot_m long"))
+    other = "v" if end == "u" else "u"
+    told = rows.join(known, rows[end] == known["hot"], "left").withColumn("key", F.when(F.col("hot").isNotNull(), F.xxhash64(other)).otherwise(F.col(end)))
+    return told.join(low, told["key"] == low["at"], "left").select("u", "v", F.when(F.col("hot").isNotNull(), F.col("hot_m")).otherwise(F.col("m")).alias("m"))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected ``edges`` (src long, dst long).
 
     Alternating large-star and small-star steps; each star is a grouped minimum
-    joined back to its edges, so no neighbour list is ever gathered, and a component's
-    root, at which all its edges come to end, is looked up without a shuffle.  Returns
+    joined back to its edges, so no neighbour list is ever gathered, and hot nodes, as a
+    root at which all of its component's edges come to end, are looked up without a shuffle.  Returns
     (id, component) for every node that has an edge to another node, component
     being the smallest id reachable.  Nulls and self loops take no part.  The result
     reads a written table, which ``dropped`` deletes.
@@ -199,13 +203,15 @@ def components(edges: DataFrame) -> DataFrame:
     )
     state = _told(edge)
     while state["n"]:
-        large = _lifted(edge, state)
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
+        ends = edge.select(F.col("u").alias("at"), F.col("v").alias("m"))
+        large = _looked_up(edge, "v", ends.groupBy("at").agg(F.min("m").alias("m")), state, ends).select("u", F.coalesce("m", "v").alias("v"))
+        ends = large.select(F.col("u").alias("at"), F.col("v").alias("m"))
+        low = ends.groupBy("at").agg(F.min("m").alias("m"))
+        small = _looked_up(large, "u", low, state, ends)
         step = written(
             small.select(F.col("v").alias("u"), F.col("m").alias("v"))
             .where("u <> v")
-            .union(low.select("u", F.col("m").alias("v")))
+            .union(low.select(F.col("at").alias("u"), F.col("m").alias("v")))
             .distinct(),
             "edges",
         )

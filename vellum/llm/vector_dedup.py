@@ -195,8 +195,10 @@ def windowed_links(classes: DataFrame, rows: int, cosine: float, window: int) ->
         for own in by_length(rows):
             turn, _, ids, error, x = read_records(own)
             low, may = window_pairs(x, error, turn, cosine, window)
-            joined = np.flatnonzero(low != np.arange(len(ids)))
-            yield out(len(joined), src=ids[joined], dst=ids[low[joined]], sure=[True] * len(joined))
+            least = ids.copy()  # links go to the smallest id of all that are joined here
+            np.minimum.at(least, low, ids)
+            joined = np.flatnonzero(least[low] != ids)
+            yield out(len(joined), src=ids[joined], dst=least[low[joined]], sure=[True] * len(joined))
             yield out(len(may), src=ids[may].min(axis=1), dst=ids[may].max(axis=1), sure=[False] * len(may))
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
