@@ -104,8 +104,10 @@ def alike_parts(spark, sf):
     return table(spark, sf, "part").select("p_partkey", own.alias("text"))
 
 
-@query(f"""WITH {LIKE_KEPT} SELECT p_partkey, repeat('x', a) || chr(10) || chr(10) || CASE WHEN second THEN repeat('x', b) || chr(10) || chr(10) ELSE '' END || CASE WHEN third THEN repeat('x', c) || chr(10) || chr(10) ELSE '' END
-  || 'z' || repeat('\u2603', (20 + p_size % 5)::INT) || 'w' || chr(10) || chr(10) || repeat('\u2603', 40) || chr(10) || chr(10) || 'end' AS cleaned FROM t JOIN part USING (p_partkey)""")
+@query(f"""WITH {LIKE_KEPT} SELECT p_partkey, repeat('x', a) || chr(10) || chr(10) || CASE WHEN second THEN repeat('x', b) || chr(10) || chr(10) ELSE '' END || CASE
+  WHEN third THEN repeat('x', c) || chr(10) || chr(10) ELSE '' END
+  || 'z' || repeat('\u2603', (20 + p_size % 5)::INT) || 'w' || chr(10) || chr(10) || repeat('\u2603', 40) || chr(10) || chr(10) || 'end' AS cleaned FROM t
+  JOIN part USING (p_partkey)""")
 def cln_1_repetitions(spark, sf):
     """Paragraphs more than nine tenths like the last one kept go."""
     return alike_parts(spark, sf).select("p_partkey", merge.remove_repetitions(F.col("text")).alias("cleaned"))
@@ -124,7 +126,8 @@ def cln_1_exact_repeats(spark, sf):
     return table(spark, sf, "documents").select("doc_id", tx.drop_exact_repeats(F.replace("text", F.lit("\n"), F.lit("\n\n"))).alias("cleaned"))
 
 
-@query(f"""WITH {LIKE_KEPT} SELECT p_partkey, repeat('x', a) || chr(10) || chr(10) || CASE WHEN second THEN repeat('x', b) || chr(10) || chr(10) ELSE '' END || CASE WHEN third THEN repeat('x', c) || chr(10) || chr(10) ELSE '' END
+@query(f"""WITH {LIKE_KEPT} SELECT p_partkey, repeat('x', a) || chr(10) || chr(10) || CASE WHEN second THEN repeat('x', b) || chr(10) || chr(10) ELSE '' END || CASE
+  WHEN third THEN repeat('x', c) || chr(10) || chr(10) ELSE '' END
   || 'zw' || chr(10) || chr(10) || 'end' AS cleaned FROM t""")
 def cln_0_clean(spark, sf):
     """Repetitions, then runs of symbols, then blank lines, of which the symbols' paragraph leaves four."""
@@ -140,7 +143,8 @@ def cln_0_clean_documents(spark, sf):
 
 DEMO = DedupConfig(repeated_line_threshold=0.05, repeated_line_min_block=1)
 COUNTED = LINES + ", f AS (SELECT group_id, norm, count(DISTINCT page_seq) AS n_pages FROM n WHERE length(norm) > 1 GROUP BY ALL)"
-NOISE = COUNTED + ", g AS (SELECT group_id, count(*) AS total FROM p GROUP BY ALL), z AS (SELECT group_id, norm, n_pages FROM f JOIN g USING (group_id) WHERE total >= 4 AND n_pages >= greatest(1, floor(total * 0.05)))"
+NOISE = COUNTED + """, g AS (SELECT group_id, count(*) AS total FROM p GROUP BY ALL), z AS (SELECT group_id, norm, n_pages FROM f JOIN g USING (group_id) WHERE total >= 4
+  AND n_pages >= greatest(1, floor(total * 0.05)))"""
 
 
 def removal(block: int) -> str:
@@ -150,7 +154,8 @@ i AS (SELECT *, line_no - row_number() OVER (PARTITION BY group_id, page_seq, no
 c AS (SELECT *, count(*) OVER (PARTITION BY group_id, page_seq, noise, island) AS run FROM i),
 k AS (SELECT group_id, page_seq, count_if(noise AND run >= {block}) AS removed,
   coalesce(string_agg(CASE WHEN NOT (noise AND run >= {block}) THEN line END, chr(10) ORDER BY line_no), '') AS rest FROM c GROUP BY ALL)
-SELECT group_id, page_seq, CASE WHEN coalesce(removed, 0) > 0 THEN rest ELSE text END AS text, coalesce(removed, 0)::INT AS removed FROM p LEFT JOIN k USING (group_id, page_seq)"""
+SELECT group_id, page_seq, CASE WHEN coalesce(removed, 0) > 0 THEN rest ELSE text END AS text, coalesce(removed, 0)::INT AS removed FROM p LEFT
+  JOIN k USING (group_id, page_seq)"""
 
 
 @query("SELECT source AS group_id, count(*) AS n_pages, count(*) >= 4 AS counted FROM documents GROUP BY source")
@@ -191,11 +196,14 @@ def marked(spark, sf):
     return table(spark, sf, "documents").select(F.col("source").alias("group_id"), F.col("doc_id").alias("page_seq"), own.alias("text"))
 
 
-MARKED = r"""WITH p AS (SELECT source AS group_id, doc_id AS page_seq, '<!-- page: p' || doc_id || ' -->' || chr(10) || text || chr(10) || '<!-- page: end -->' AS text FROM documents),
+MARKED = r"""WITH p AS (SELECT source AS group_id, doc_id AS page_seq, '<!-- page: p' || doc_id || ' -->' || chr(10) || text || chr(10) || '<!-- page: end -->' AS text
+  FROM documents),
 l AS (SELECT group_id, page_seq, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM p)"""
 
 
-@query(MARKED + " SELECT group_id, page_seq, line_no::INT AS line_no, line, starts_with(line, '<!-- page:') AS is_marker, (sum((NOT starts_with(line, '<!-- page:'))::INT) OVER (PARTITION BY group_id, page_seq ORDER BY line_no) - (NOT starts_with(line, '<!-- page:'))::INT)::BIGINT AS position FROM l")
+@query(MARKED + """ SELECT group_id, page_seq, line_no::INT AS line_no, line, starts_with(line, '<!-- page:')
+  AS is_marker, (sum((NOT starts_with(line, '<!-- page:'))::INT) OVER (PARTITION BY group_id, page_seq
+  ORDER BY line_no) - (NOT starts_with(line, '<!-- page:'))::INT)::BIGINT AS position FROM l""")
 def mrg_1_markers(spark, sf):
     return merge.page_lines_without_markers(marked(spark, sf))
 
@@ -219,8 +227,10 @@ ADJACENT = ORACLE["mrg_2_adjacent_overlap"].rpartition("SELECT group_id")[0]
 
 @query(ADJACENT + """, o AS (SELECT * FROM w WHERE turn = 1 AND non_blank >= 2),
 q AS (SELECT group_id, page_seq, text AS a, lead(text) OVER (PARTITION BY group_id ORDER BY page_seq) AS b FROM p),
-s2 AS (SELECT q.*, string_split(CASE WHEN a LIKE '%' || chr(10) THEN a[:-2] ELSE a END, chr(10)) AS la, string_split(CASE WHEN b LIKE '%' || chr(10) THEN b[:-2] ELSE b END, chr(10)) AS lb FROM q WHERE b IS NOT NULL)
-SELECT group_id, page_seq, CASE WHEN o.size IS NULL THEN a || chr(10) || chr(10) || b ELSE array_to_string(list_concat(la[:(len(la) - greatest(1, floor(len(la) * 0.7)) + o.i + o.size)::BIGINT], lb[(o.j + o.size + 1)::BIGINT:]), chr(10)) END AS text,
+s2 AS (SELECT q.*, string_split(CASE WHEN a LIKE '%' || chr(10) THEN a[:-2] ELSE a END, chr(10)) AS la, string_split(CASE WHEN b LIKE '%' || chr(10) THEN b[:-2]
+  ELSE b END, chr(10)) AS lb FROM q WHERE b IS NOT NULL)
+SELECT group_id, page_seq, CASE WHEN o.size IS NULL THEN a || chr(10) || chr(10) || b
+  ELSE array_to_string(list_concat(la[:(len(la) - greatest(1, floor(len(la) * 0.7)) + o.i + o.size)::BIGINT], lb[(o.j + o.size + 1)::BIGINT:]), chr(10)) END AS text,
   coalesce(o.size, 0) AS overlap_lines, CASE WHEN o.size IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE AS similarity FROM s2 LEFT JOIN o USING (group_id, page_seq)""")
 def mrg_5_merge_adjacent(spark, sf):
     """Rules for accepting a block, for joining pages without one, and for what is kept around one."""
@@ -229,12 +239,14 @@ def mrg_5_merge_adjacent(spark, sf):
 
 #: The longest block of lines that pages x(id, a, b) of lines share, as mrg_2 has it; o holds the accepted ones.
 SHARED = """s AS (SELECT id, len(a) AS na, len(b) AS nb, greatest(1, floor(len(a) * 0.7))::BIGINT AS ta, greatest(1, floor(len(b) * 0.7))::BIGINT AS tb, a, b FROM x),
-ua AS (SELECT id, na, ta, unnest(a) AS line, generate_subscripts(a, 1) - 1 AS i FROM s), ub AS (SELECT id, tb, unnest(b) AS line, generate_subscripts(b, 1) - 1 AS j FROM s),
+ua AS (SELECT id, na, ta, unnest(a) AS line, generate_subscripts(a, 1) - 1 AS i FROM s), ub AS (SELECT id, tb, unnest(b) AS line, generate_subscripts(b, 1) - 1 AS j
+  FROM s),
 m AS (SELECT ua.id, ua.line, i, j, i - j AS d FROM ua JOIN ub ON ua.id = ub.id AND ua.line = ub.line WHERE i >= na - ta AND j < tb),
 r AS (SELECT *, i - row_number() OVER (PARTITION BY id, d ORDER BY i) AS island FROM m),
 g AS (SELECT id, min(i) AS i, min(j) AS j, count(*) AS size, count_if(trim(line) <> '') AS solid FROM r GROUP BY id, d, island),
 w AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY size DESC, i, j) AS turn FROM g),
-o AS (SELECT s.*, w.size, w.i + w.size AS ea, w.j + w.size AS eb, list_concat(a[:w.i + w.size], b[w.j + w.size + 1:]) AS c FROM s JOIN w USING (id) WHERE turn = 1 AND solid >= 2)"""
+o AS (SELECT s.*, w.size, w.i + w.size AS ea, w.j + w.size AS eb, list_concat(a[:w.i + w.size], b[w.j + w.size + 1:]) AS c FROM s JOIN w USING (id) WHERE turn = 1
+  AND solid >= 2)"""
 
 
 def marked_pairs(spark, sf):
@@ -247,8 +259,10 @@ def marked_pairs(spark, sf):
 x AS (SELECT doc_id AS id, string_split(text, chr(10)) AS a, string_split(ntext, chr(10)) AS b, text, ntext, nid FROM p WHERE nid IS NOT NULL), {SHARED},
 q AS (SELECT *, len(c) AS n, least(na, len(c)) AS p2 FROM o),
 q3 AS (SELECT *, greatest(p2, least(na - eb, n)) AS p3 FROM q), q4 AS (SELECT *, greatest(p3, least(na + nb - eb, n)) AS p4 FROM q3)
-SELECT x.id AS pair_id, CASE WHEN q4.size IS NULL THEN '<!-- page: p' || x.id || ' -->' || chr(10) || text || chr(10) || '<!-- page: end -->' || chr(10) || chr(10) || '<!-- page: p' || nid || ' -->' || chr(10) || ntext || chr(10) || '<!-- page: end -->'
-  ELSE array_to_string(list_concat(['<!-- page: p' || x.id || ' -->'], list_concat(c[:p2], list_concat(['<!-- page: end -->'], list_concat(c[p2 + 1:p3], list_concat(['<!-- page: p' || nid || ' -->'], list_concat(c[p3 + 1:p4], list_concat(['<!-- page: end -->'], c[p4 + 1:]))))))), chr(10)) END AS text,
+SELECT x.id AS pair_id, CASE WHEN q4.size IS NULL THEN '<!-- page: p' || x.id || ' -->' || chr(10) || text || chr(10) || '<!-- page: end -->' || chr(10) || chr(10) ||
+  '<!-- page: p' || nid || ' -->' || chr(10) || ntext || chr(10) || '<!-- page: end -->'
+  ELSE array_to_string(list_concat(['<!-- page: p' || x.id || ' -->'], list_concat(c[:p2], list_concat(['<!-- page: end -->'], list_concat(c[p2 + 1:p3],
+  list_concat(['<!-- page: p' || nid || ' -->'], list_concat(c[p3 + 1:p4], list_concat(['<!-- page: end -->'], c[p4 + 1:]))))))), chr(10)) END AS text,
   coalesce(q4.size, 0)::BIGINT AS overlap_lines, CASE WHEN q4.size IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE AS similarity FROM x LEFT JOIN q4 ON q4.id = x.id""")
 def mrg_7_merge_pairs(spark, sf):
     """Neighbouring pages with markers at both ends."""
@@ -266,13 +280,17 @@ def pages_of_two(spark, sf):
     )
 
 
-@query(f"""WITH d AS (SELECT doc_id, doc_id // 2 AS g, '![](p' || doc_id || CASE WHEN doc_id % 3 = 0 THEN '_cropped' ELSE '' END || '_OCR/images/0.jpg)' || chr(10) || text AS t FROM documents),
+@query(f"""WITH d AS (SELECT doc_id, doc_id // 2 AS g, '![](p' || doc_id || CASE WHEN doc_id % 3 = 0 THEN '_cropped' ELSE '' END || '_OCR/images/0.jpg)' || chr(10) || text
+  AS t FROM documents),
 l AS (SELECT *, string_split(CASE WHEN t LIKE '%' || chr(10) THEN t[:-2] ELSE t END, chr(10)) AS ls FROM d),
-y AS (SELECT f.doc_id, f.g, f.t AS first_text, f.ls AS a, n.doc_id AS nid, n.t AS next_text, n.ls AS b FROM l f LEFT JOIN l n ON n.g = f.g AND n.doc_id = f.doc_id + 1 WHERE f.doc_id % 2 = 0),
+y AS (SELECT f.doc_id, f.g, f.t AS first_text, f.ls AS a, n.doc_id AS nid, n.t AS next_text, n.ls AS b FROM l f LEFT JOIN l n ON n.g = f.g AND n.doc_id = f.doc_id + 1
+  WHERE f.doc_id % 2 = 0),
 x AS (SELECT g AS id, a, b FROM y WHERE nid IS NOT NULL), {SHARED}, q AS (SELECT *, greatest(0, least(na - eb, len(c))) AS p FROM o)
 SELECT g::VARCHAR AS group_id, rtrim(CASE WHEN nid IS NULL THEN '<!-- page: p' || doc_id || '.jpg -->' || chr(10) || first_text
-  WHEN q.size IS NULL THEN '<!-- page: p' || doc_id || '.jpg -->' || chr(10) || first_text || chr(10) || chr(10) || '<!-- page: p' || nid || '.jpg -->' || chr(10) || next_text
-  ELSE array_to_string(list_concat(['<!-- page: p' || doc_id || '.jpg -->'], list_concat(c[:p], list_concat(['<!-- page: p' || nid || '.jpg -->'], c[p + 1:]))), chr(10)) END, chr(10)) AS markdown,
+  WHEN q.size IS NULL THEN '<!-- page: p' || doc_id || '.jpg -->' || chr(10) || first_text || chr(10) || chr(10) || '<!-- page: p' || nid || '.jpg -->' || chr(10) ||
+  next_text
+  ELSE array_to_string(list_concat(['<!-- page: p' || doc_id || '.jpg -->'], list_concat(c[:p], list_concat(['<!-- page: p' || nid || '.jpg -->'], c[p + 1:]))), chr(10))
+  END, chr(10)) AS markdown,
   CASE WHEN nid IS NULL THEN 1 ELSE 2 END::BIGINT AS n_pages, coalesce(q.size, 0)::BIGINT AS overlap_lines FROM y LEFT JOIN q ON q.id = y.g""")
 def mrg_8_merge_pages(spark, sf):
     """Cleaned texts, or raw ones where they are empty; images of one name keep apart by their pages' folders."""
@@ -290,7 +308,8 @@ def mrg_8_merge_conversations(spark, sf):
     return merge.merge_pages(turns)
 
 
-@query("SELECT doc_id, replace(replace('![x](images/0.jpg) <img src=\"images/1.jpg\">' || text, '](images/', '](p' || doc_id || '_OCR/images/'), 'src=\"images/', 'src=\"p' || doc_id || '_OCR/images/') AS text FROM documents")
+@query("""SELECT doc_id, replace(replace('![x](images/0.jpg) <img src=\"images/1.jpg\">' || text, '](images/', '](p' || doc_id || '_OCR/images/'), 'src=\"images/',
+  'src=\"p' || doc_id || '_OCR/images/') AS text FROM documents""")
 def mrg_9_image_refs(spark, sf):
     docs = table(spark, sf, "documents")
     own = F.concat(F.lit('![x](images/0.jpg) <img src="images/1.jpg">'), F.col("text"))
@@ -316,7 +335,8 @@ def seg_1_heading_chunks(spark, sf):
 def segment_sql(markdown: str, most: int, context: int = 5) -> str:
     """Headings, cuts at blank lines, joined neighbours, context: the folds over a document's lines and pieces are reductions of lists."""
     return f"""WITH d AS (SELECT doc_id, {markdown} AS m FROM documents),
-k AS (SELECT doc_id, m, string_split(CASE WHEN m LIKE '%' || chr(10) THEN m[:-2] ELSE m END, chr(10)) AS ls FROM d WHERE trim(m, ' ' || chr(9) || chr(10) || chr(13)) <> ''),
+k AS (SELECT doc_id, m, string_split(CASE WHEN m LIKE '%' || chr(10) THEN m[:-2] ELSE m END, chr(10)) AS ls FROM d
+  WHERE trim(m, ' ' || chr(9) || chr(10) || chr(13)) <> ''),
 l AS (SELECT doc_id, length(m) > {most} AS long, len(ls) AS n, unnest(ls) AS line, generate_subscripts(ls, 1) AS i, m LIKE '%' || chr(10) AS ended FROM k),
 z AS (SELECT *, length(line) + (i < n OR ended)::INT AS size, trim(line) = '' AS blank, i = 1 OR regexp_matches(line, '^#{{1,6}}\\s+') AS head FROM l),
 c AS (SELECT *, sum(head::INT) OVER (PARTITION BY doc_id ORDER BY i) AS chunk FROM z),
@@ -330,12 +350,16 @@ r AS (SELECT doc_id, list_reduce(list_prepend({{'i': 0::BIGINT, 'size': 0::HUGEI
 p AS (SELECT b.*, sum((head OR list_contains(cuts, i - 1))::INT) OVER (PARTITION BY b.doc_id ORDER BY i) AS piece FROM b JOIN r USING (doc_id)),
 g AS (SELECT doc_id, piece, min(i) AS first, sum(size) AS n FROM p GROUP BY ALL),
 -- Neighbours are joined while one of them is small and both fit.
-j AS (SELECT doc_id, list_reduce(list_prepend({{'first': 0::BIGINT, 'n': -1::HUGEINT, 'starts': []::BIGINT[]}}, list({{'first': first::BIGINT, 'n': n::HUGEINT, 'starts': []::BIGINT[]}} ORDER BY piece)),
+j AS (SELECT doc_id, list_reduce(list_prepend({{'first': 0::BIGINT, 'n': -1::HUGEINT, 'starts': []::BIGINT[]}}, list({{'first': first::BIGINT, 'n': n::HUGEINT, 'starts':
+  []::BIGINT[]}} ORDER BY piece)),
   lambda a, x: CASE WHEN a.n >= 0 AND least(a.n, x.n) < {most // 4} AND a.n + x.n <= {most} THEN {{'first': a.first, 'n': a.n + x.n, 'starts': a.starts}}
     ELSE {{'first': x.first, 'n': x.n, 'starts': list_append(a.starts, x.first)}} END).starts AS starts FROM g GROUP BY doc_id),
-s AS (SELECT doc_id, unnest(starts) AS start_line, generate_subscripts(starts, 1) - 1 AS seg_idx, unnest(list_append(starts[2:], len(ls) + 1)) - 1 AS end_line, len(starts) AS total, ls, m LIKE '%' || chr(10) AS ended FROM j JOIN k USING (doc_id)),
-t AS (SELECT *, rtrim(array_to_string(ls[start_line:end_line], chr(10)), chr(10)) AS body, CASE WHEN seg_idx > 0 AND {context} > 0 THEN rtrim(array_to_string(ls[greatest(1, start_line - {context}):start_line - 1], chr(10)), chr(10)) || chr(10) ELSE '' END AS before,
-  CASE WHEN seg_idx < total - 1 AND {context} > 0 THEN chr(10) || rtrim(array_to_string(ls[end_line + 1:end_line + {context}], chr(10)), chr(10)) ELSE '' END AS after FROM s)
+s AS (SELECT doc_id, unnest(starts) AS start_line, generate_subscripts(starts, 1) - 1 AS seg_idx, unnest(list_append(starts[2:], len(ls) + 1)) - 1 AS end_line, len(starts)
+  AS total, ls, m LIKE '%' || chr(10) AS ended FROM j JOIN k USING (doc_id)),
+t AS (SELECT *, rtrim(array_to_string(ls[start_line:end_line], chr(10)), chr(10)) AS body, CASE WHEN seg_idx > 0 AND {context} > 0
+  THEN rtrim(array_to_string(ls[greatest(1, start_line - {context}):start_line - 1], chr(10)), chr(10)) || chr(10) ELSE '' END AS before,
+  CASE WHEN seg_idx < total - 1 AND {context} > 0 THEN chr(10) || rtrim(array_to_string(ls[end_line + 1:end_line + {context}], chr(10)), chr(10)) ELSE '' END AS after
+  FROM s)
 SELECT doc_id, seg_idx::INT AS seg_idx, before || body || after AS text, start_line::INT AS start_line, end_line::INT AS end_line FROM t
 UNION ALL SELECT doc_id, 0, m, 1, len(ls)::INT FROM k WHERE length(m) <= {most}"""
 
@@ -372,13 +396,15 @@ def pii_2_email(spark, sf):
     return table(spark, sf, "documents").select("doc_id", pii.replaced(F.col("text"), pii.EMAIL_ONCE, PIIConfig.email_placeholder).alias("r")).select("doc_id", "r.*")
 
 
-@query(f"WITH d AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[0-9]+'))) AS digits FROM documents) SELECT doc_id, digits, {LUHN_SQL.format(d='digits')} AS valid FROM d")
+@query(f"""WITH d AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[0-9]+'))) AS digits FROM documents)
+  SELECT doc_id, digits, {LUHN_SQL.format(d='digits')} AS valid FROM d""")
 def pii_5_luhn(spark, sf):
     runs = table(spark, sf, "documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[0-9]+"), F.lit(0)))).alias("digits"))
     return runs.withColumn("valid", pii.luhn(F.col("digits")))
 
 
-@query(f"WITH d AS (SELECT doc_id, list_filter(regexp_extract_all(text, '[0-9]+'), lambda x: length(x) BETWEEN 16 AND 19) AS runs FROM documents) SELECT doc_id, len(list_filter(runs, lambda x: {LUHN_SQL.format(d='x').replace('lambda i', 'lambda i')}))::INT AS n FROM d")
+@query(f"""WITH d AS (SELECT doc_id, list_filter(regexp_extract_all(text, '[0-9]+'), lambda x: length(x) BETWEEN 16 AND 19) AS runs FROM documents)
+  SELECT doc_id, len(list_filter(runs, lambda x: {LUHN_SQL.format(d='x').replace('lambda i', 'lambda i')}))::INT AS n FROM d""")
 def pii_4_bank_card(spark, sf):
     done = pii.replaced(F.col("text"), pii.BANK_CARD, PIIConfig.bank_card_placeholder, lambda m: pii.luhn(pii.digits_of(m)))
     return table(spark, sf, "documents").select("doc_id", done["n"].alias("n"))
@@ -393,18 +419,23 @@ def with_numbers(spark, sf):
 #: E-mails, then runs of 16 to 19 digits that pass the check, in d(doc_id, text); the documents' own phones and identity cards have none of their forms.
 REDACTED = f"""m AS (SELECT doc_id, regexp_replace(text, '{EMAIL_SQL}', '[邮箱]', 'g') AS t, len(regexp_extract_all(text, '{EMAIL_SQL}')) AS emails FROM documents),
 n AS (SELECT doc_id, t, emails, string_split_regex(t, '[0-9]+') AS gaps, list_append(regexp_extract_all(t, '[0-9]+'), '') AS runs FROM m),
-h AS (SELECT doc_id, emails, gaps, list_transform(runs, lambda x: CASE WHEN length(x) BETWEEN 16 AND 19 AND {LUHN_SQL.format(d="x")} THEN '[银行卡号]' ELSE x END) AS runs FROM n),
-v AS (SELECT doc_id, emails, len(list_filter(runs, lambda x: x = '[银行卡号]')) AS cards, array_to_string(list_transform(list_zip(gaps, runs), lambda z: z[1] || z[2]), '') AS text FROM h)"""
+h AS (SELECT doc_id, emails, gaps, list_transform(runs, lambda x: CASE WHEN length(x) BETWEEN 16 AND 19 AND {LUHN_SQL.format(d="x")} THEN '[银行卡号]' ELSE x END) AS runs
+  FROM n),
+v AS (SELECT doc_id, emails, len(list_filter(runs, lambda x: x = '[银行卡号]')) AS cards, array_to_string(list_transform(list_zip(gaps, runs), lambda z: z[1] || z[2]), '')
+  AS text FROM h)"""
 
 
 @query(f"""WITH {REDACTED} SELECT doc_id, text || ' [身份证号] [手机号]' AS text,
-  array_to_string(list_filter(['id_card=1', CASE WHEN emails > 0 THEN 'email=' || emails END, 'phone=1', CASE WHEN cards > 0 THEN 'bank_card=' || cards END], lambda x: x IS NOT NULL), ',') AS records FROM v""")
+  array_to_string(list_filter(['id_card=1', CASE WHEN emails > 0 THEN 'email=' || emails END, 'phone=1', CASE WHEN cards > 0
+  THEN 'bank_card=' || cards END], lambda x: x IS NOT NULL), ',') AS records FROM v""")
 def pii_0_structured(spark, sf):
     return with_numbers(spark, sf).select("doc_id", pii.redact_structured(F.col("text")).alias("r")).select("doc_id", "r.text", joined(F.transform("r.records", lambda x: F.concat_ws("=", x["kind"], x["count"]))).alias("records"))
 
 
-@query("""WITH t AS (SELECT c_custkey, c_custkey % 2 AS lead, 1880 + c_custkey % 260 AS y, c_custkey % 15 AS m, c_custkey % 36 AS d, CASE c_custkey % 4 WHEN 0 THEN 'x' WHEN 1 THEN 'X' WHEN 2 THEN '7' ELSE '77' END AS tail FROM customer),
-k AS (SELECT c_custkey, c_name, lead::VARCHAR || '10105' || y || lpad(m::VARCHAR, 2, '0') || lpad(d::VARCHAR, 2, '0') || lpad((c_custkey % 1000)::VARCHAR, 3, '0') || tail AS id, lead = 1 AND y BETWEEN 1900 AND 2099 AND m BETWEEN 1 AND 12 AND d BETWEEN 1 AND 31 AND length(tail) = 1 AS ok FROM t JOIN customer USING (c_custkey))
+@query("""WITH t AS (SELECT c_custkey, c_custkey % 2 AS lead, 1880 + c_custkey % 260 AS y, c_custkey % 15 AS m, c_custkey % 36 AS d, CASE c_custkey % 4 WHEN 0 THEN 'x'
+  WHEN 1 THEN 'X' WHEN 2 THEN '7' ELSE '77' END AS tail FROM customer),
+k AS (SELECT c_custkey, c_name, lead::VARCHAR || '10105' || y || lpad(m::VARCHAR, 2, '0') || lpad(d::VARCHAR, 2, '0') || lpad((c_custkey % 1000)::VARCHAR, 3, '0') || tail
+  AS id, lead = 1 AND y BETWEEN 1900 AND 2099 AND m BETWEEN 1 AND 12 AND d BETWEEN 1 AND 31 AND length(tail) = 1 AS ok FROM t JOIN customer USING (c_custkey))
 SELECT c_custkey, 'a' || CASE WHEN ok THEN '[身份证号]' ELSE id END || 'b ' || c_name AS text, ok::INT AS n FROM k""")
 def pii_1_id_card(spark, sf):
     """Leading digit, century, month, day, last sign and digits around it, right and wrong."""
@@ -414,8 +445,10 @@ def pii_1_id_card(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", pii.replaced(own, pii.ID_CARD, PIIConfig.id_card_placeholder).alias("r")).select("c_custkey", "r.*")
 
 
-@query("""WITH t AS (SELECT c_custkey, ['', '+86 ', '86-', '+86', '0'][c_custkey % 5 + 1] AS before, ['', ' ', '-', '_'][c_custkey % 4 + 1] AS sep, c_custkey % 10 AS third, ['', '9', ' 9'][c_custkey % 3 + 1] AS after FROM customer),
-k AS (SELECT *, before || '1' || third || '7' || sep || '1234' || sep || lpad((c_custkey % 10000)::VARCHAR, 4, '0') || after AS phone, before <> '0' AND sep <> '_' AND third >= 3 AND after <> '9' AS ok FROM t)
+@query("""WITH t AS (SELECT c_custkey, ['', '+86 ', '86-', '+86', '0'][c_custkey % 5 + 1] AS before, ['', ' ', '-', '_'][c_custkey % 4 + 1] AS sep, c_custkey % 10
+  AS third, ['', '9', ' 9'][c_custkey % 3 + 1] AS after FROM customer),
+k AS (SELECT *, before || '1' || third || '7' || sep || '1234' || sep || lpad((c_custkey % 10000)::VARCHAR, 4, '0') || after AS phone, before <> '0' AND sep <> '_'
+  AND third >= 3 AND after <> '9' AS ok FROM t)
 SELECT c_custkey, 'tel ' || CASE WHEN ok THEN '[手机号]' || after ELSE phone END || '.' AS text, ok::INT AS n FROM k""")
 def pii_3_phone(spark, sf):
     """Country codes, separators, third digits and digits around it, right and wrong."""
@@ -457,8 +490,10 @@ def pii_8_custom_words(spark, sf):
 
 
 @query(f"""WITH {REDACTED},
-a AS (SELECT *, doc_id % 2 = 1 AS failed, CASE WHEN doc_id % 2 = 0 THEN {COUNT_SQL.format(t="text", w="and", n=3)} ELSE 0 END AS persons, CASE WHEN doc_id % 2 = 0 THEN replace(text, 'and', '[人名]') ELSE text END AS t1 FROM v)
-SELECT doc_id, failed, array_to_string(list_filter([CASE WHEN emails > 0 THEN 'email=' || emails END, CASE WHEN cards > 0 THEN 'bank_card=' || cards END, CASE WHEN persons > 0 THEN 'person_name=' || persons END], lambda x: x IS NOT NULL), ',') AS records,
+a AS (SELECT *, doc_id % 2 = 1 AS failed, CASE WHEN doc_id % 2 = 0 THEN {COUNT_SQL.format(t="text", w="and", n=3)} ELSE 0 END AS persons, CASE WHEN doc_id % 2 = 0
+  THEN replace(text, 'and', '[人名]') ELSE text END AS t1 FROM v)
+SELECT doc_id, failed, array_to_string(list_filter([CASE WHEN emails > 0 THEN 'email=' || emails END, CASE WHEN cards > 0 THEN 'bank_card=' || cards END, CASE
+  WHEN persons > 0 THEN 'person_name=' || persons END], lambda x: x IS NOT NULL), ',') AS records,
   replace(replace(replace(t1, 'there', '[A]'), 'the', '[A]'), 'and', '[敏感词]') AS text FROM a""")
 def pii_9_full_redaction(spark, sf):
     """Patterns, then detected entities of a stand-in for the model, then custom words."""
@@ -504,19 +539,26 @@ def regions_of(spark, sf):
     )
 
 
-REGIONS = """r0 AS (SELECT user_id % 500 AS page_id, event_id AS ord, CASE event_id % 3 WHEN 0 THEN event_id % 60 WHEN 1 THEN 820 + event_id % 40 ELSE 230 + event_id % 200 END AS x1,
+REGIONS = """r0 AS (SELECT user_id % 500 AS page_id, event_id AS ord, CASE event_id % 3 WHEN 0 THEN event_id % 60 WHEN 1 THEN 820 + event_id % 40
+  ELSE 230 + event_id % 200 END AS x1,
   event_id * 7 % 900 AS y1, CASE event_id % 3 WHEN 2 THEN 300 + event_id % 500 ELSE 90 + event_id % 50 END AS w FROM events),
 r AS (SELECT page_id, ord, 'text' AS label, x1::INT AS x1, y1::INT AS y1, (x1 + w)::INT AS x2, (y1 + 20)::INT AS y2, 'b' || ord AS raw_block FROM r0)"""
 SIDES = (
     REGIONS
     + """, c AS (SELECT *, x1 < 100 AND x2 <= 220 AS lc, x1 >= 800 AND x2 - x1 < 200 AS rc, x2 - x1 < 700 AS narrow FROM r WHERE y1 >= 80),
-f AS (SELECT page_id, CASE WHEN count_if(lc) >= 5 AND max(CASE WHEN lc THEN y2 END) - min(CASE WHEN lc THEN y1 END) >= 300 THEN max(CASE WHEN lc THEN x2 END) + 20 END AS lb,
-  CASE WHEN count_if(rc) >= 5 AND max(CASE WHEN rc THEN y2 END) - min(CASE WHEN rc THEN y1 END) >= 300 THEN min(CASE WHEN rc THEN x1 END) - 20 END AS rb FROM c GROUP BY page_id),
-x AS (SELECT page_id, any_value(lb) AS lb, any_value(rb) AS rb, count_if(NOT lc AND narrow AND x1 < lb) AS cl, count_if(NOT lc AND narrow) AS nl, count_if(NOT rc AND narrow AND x2 > rb) AS cr, count_if(NOT rc AND narrow) AS nr
+f AS (SELECT page_id, CASE WHEN count_if(lc) >= 5 AND max(CASE WHEN lc THEN y2 END) - min(CASE WHEN lc THEN y1 END) >= 300 THEN max(CASE WHEN lc THEN x2 END) + 20 END
+  AS lb,
+  CASE WHEN count_if(rc) >= 5 AND max(CASE WHEN rc THEN y2 END) - min(CASE WHEN rc THEN y1 END) >= 300 THEN min(CASE WHEN rc THEN x1 END) - 20 END AS rb FROM c
+  GROUP BY page_id),
+x AS (SELECT page_id, any_value(lb) AS lb, any_value(rb) AS rb, count_if(NOT lc AND narrow AND x1 < lb) AS cl, count_if(NOT lc AND narrow) AS nl, count_if(NOT rc
+  AND narrow AND x2 > rb) AS cr, count_if(NOT rc AND narrow) AS nr
   FROM c JOIN f USING (page_id) GROUP BY page_id),
-b AS (SELECT page_id, coalesce(CASE WHEN lb IS NOT NULL AND cl < greatest(3, nl * 0.3) THEN lb END, 0)::INT AS left_boundary, coalesce(CASE WHEN rb IS NOT NULL AND cr < greatest(3, nr * 0.3) THEN rb END, 999)::INT AS right_boundary,
-  coalesce((lb IS NOT NULL AND cl < greatest(3, nl * 0.3)) OR (rb IS NOT NULL AND cr < greatest(3, nr * 0.3)), FALSE) AS has_sidebar FROM (SELECT DISTINCT page_id FROM r) LEFT JOIN x USING (page_id)),
-k AS (SELECT r.* FROM r JOIN b USING (page_id) WHERE NOT ((left_boundary > 0 AND x1 < 100 AND x2 <= left_boundary + 40) OR (right_boundary < 999 AND x1 >= right_boundary)))"""
+b AS (SELECT page_id, coalesce(CASE WHEN lb IS NOT NULL AND cl < greatest(3, nl * 0.3) THEN lb END, 0)::INT AS left_boundary, coalesce(CASE WHEN rb IS NOT NULL
+  AND cr < greatest(3, nr * 0.3) THEN rb END, 999)::INT AS right_boundary,
+  coalesce((lb IS NOT NULL AND cl < greatest(3, nl * 0.3)) OR (rb IS NOT NULL AND cr < greatest(3, nr * 0.3)), FALSE) AS has_sidebar FROM (SELECT DISTINCT page_id FROM r)
+  LEFT JOIN x USING (page_id)),
+k AS (SELECT r.* FROM r JOIN b USING (page_id) WHERE NOT ((left_boundary > 0 AND x1 < 100 AND x2 <= left_boundary + 40) OR (right_boundary < 999
+  AND x1 >= right_boundary)))"""
 )
 
 
@@ -557,19 +599,22 @@ def lay_8_crop_box(spark, sf):
     return table(spark, sf, "part").select("p_partkey", layout.crop_box(F.col("p_size"), 500 + F.col("p_size"), F.lit(1920), F.lit(1080)).alias("b")).select("p_partkey", "b.*")
 
 
-@query("SELECT p_partkey, CASE WHEN p_size % 10 = 0 THEN '' ELSE array_to_string([trunc(p_size * 999 / (p_size % 10 * 100))::INT, trunc(7 * 999 / 500)::INT, trunc((p_size + 50) * 999 / (p_size % 10 * 100))::INT, trunc(90 * 999 / 500)::INT], ',') END AS boxes FROM part")
+@query("""SELECT p_partkey, CASE WHEN p_size % 10 = 0 THEN '' ELSE array_to_string([trunc(p_size * 999 / (p_size % 10 * 100))::INT, trunc(7 * 999 / 500)::INT,
+  trunc((p_size + 50) * 999 / (p_size % 10 * 100))::INT, trunc(90 * 999 / 500)::INT], ',') END AS boxes FROM part""")
 def lay_9_normalized_boxes(spark, sf):
     size = F.col("p_size").cast("double")
     items = F.array(F.array(size, F.lit(7.0), size + 50, F.lit(90.0)), F.array(size, F.lit(1.0)))
     return table(spark, sf, "part").select("p_partkey", joined(F.flatten(layout.normalize_boxes(items, F.col("p_size") % 10 * 100, F.lit(500)))).alias("boxes"))
 
 
-@query(f"WITH {SIDES} SELECT page_id, has_sidebar, CASE WHEN has_sidebar THEN left_boundary END AS x1, CASE WHEN has_sidebar THEN 0 END AS y1, CASE WHEN has_sidebar THEN right_boundary END AS x2, CASE WHEN has_sidebar THEN 999 END AS y2 FROM b")
+@query(f"""WITH {SIDES} SELECT page_id, has_sidebar, CASE WHEN has_sidebar THEN left_boundary END AS x1, CASE WHEN has_sidebar THEN 0 END AS y1, CASE WHEN has_sidebar
+  THEN right_boundary END AS x2, CASE WHEN has_sidebar THEN 999 END AS y2 FROM b""")
 def lay_10_sidebar_decision(spark, sf):
     return layout.sidebar_decision(layout.column_boundaries(regions_of(spark, sf))).select("page_id", "has_sidebar", "crop.*")
 
 
-@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN array_to_string([p_size, 2, p_size + 5, 9], ',') WHEN 1 THEN array_to_string([p_size, 1, p_size + 4, 8], ',') ELSE NULL END AS box FROM part")
+@query("""SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN array_to_string([p_size, 2, p_size + 5, 9], ',') WHEN 1 THEN array_to_string([p_size, 1, p_size + 4, 8], ',')
+  ELSE NULL END AS box FROM part""")
 def lay_11_parsed_bbox(spark, sf):
     raw = F.when(F.col("p_partkey") % 3 == 0, F.format_string("[%d, 2, %d, 9]", F.col("p_size"), F.col("p_size") + 5)).when(
         F.col("p_partkey") % 3 == 1, F.format_string("[[%d, 8], [%d, 1], [%d, 3]]", F.col("p_size") + 2, F.col("p_size"), F.col("p_size") + 4)
@@ -582,14 +627,17 @@ def grounded(spark, sf):
     return table(spark, sf, "supplier").select(F.col("s_suppkey").alias("page_id"), raw.alias("raw_text"), F.lit(1998).alias("width"), F.lit(999).alias("height"))
 
 
-@query("""SELECT s_suppkey AS page_id, 0 AS ord, 'text' AS label, (s_suppkey % 900)::INT AS x1, 2 AS y1, 300 AS x2, 400 AS y2, s_name AS text, '<|ref|>text<|/ref|><|det|>[[' || s_suppkey % 900 || ', 2, 300, 400], [5, 6]]<|/det|>' || chr(10) || s_name AS raw_block FROM supplier
+@query("""SELECT s_suppkey AS page_id, 0 AS ord, 'text' AS label, (s_suppkey % 900)::INT AS x1, 2 AS y1, 300 AS x2, 400 AS y2, s_name
+  AS text, '<|ref|>text<|/ref|><|det|>[[' || s_suppkey % 900 || ', 2, 300, 400], [5, 6]]<|/det|>' || chr(10) || s_name AS raw_block FROM supplier
 UNION ALL SELECT s_suppkey, 1, 'image', 1, 2, (s_suppkey % 900)::INT, 4, '', '<|ref|>image<|/ref|><|det|>[[1, 2, ' || s_suppkey % 900 || ', 4]]<|/det|>' FROM supplier""")
 def lay_1_grounding(spark, sf):
     return layout.grounding_regions(grounded(spark, sf))
 
 
-@query("""SELECT s_suppkey AS page_id, 0 AS ord, 0 AS k, 'text' AS label, array_to_string([trunc((s_suppkey % 900) / 999 * 1998)::INT, trunc(2 / 999 * 999)::INT, trunc(300 / 999 * 1998)::INT, trunc(400 / 999 * 999)::INT], ',') AS box, NULL::INT AS crop_no FROM supplier
-UNION ALL SELECT s_suppkey, 1, 0, 'image', array_to_string([trunc(1 / 999 * 1998)::INT, trunc(2 / 999 * 999)::INT, trunc((s_suppkey % 900) / 999 * 1998)::INT, trunc(4 / 999 * 999)::INT], ','), 0 FROM supplier""")
+@query("""SELECT s_suppkey AS page_id, 0 AS ord, 0 AS k, 'text' AS label, array_to_string([trunc((s_suppkey % 900) / 999 * 1998)::INT, trunc(2 / 999 * 999)::INT, trunc(300
+  / 999 * 1998)::INT, trunc(400 / 999 * 999)::INT], ',') AS box, NULL::INT AS crop_no FROM supplier
+UNION ALL SELECT s_suppkey, 1, 0, 'image', array_to_string([trunc(1 / 999 * 1998)::INT, trunc(2 / 999 * 999)::INT, trunc((s_suppkey % 900) / 999 * 1998)::INT, trunc(4 /
+  999 * 999)::INT], ','), 0 FROM supplier""")
 def lay_12_pixel_regions(spark, sf):
     return layout.pixel_regions(grounded(spark, sf)).withColumn("box", joined("box"))
 
@@ -609,7 +657,8 @@ def lay_14_image_refs(spark, sf):
 s AS (SELECT p_partkey, p_size * 40 + 100 AS w, p_partkey % 30 * 50 + 100 AS h FROM part),
 o AS (SELECT s.*, i, j, abs(w / h - i / j) AS off FROM s, g),
 b AS (SELECT p_partkey, min(off) AS off FROM o GROUP BY p_partkey)
-SELECT p_partkey, abs(arg_min(i, off) / arg_min(j, off) - arg_min(w, off) / arg_min(h, off)) = min(b.off) AS nearest FROM o JOIN b USING (p_partkey, off) GROUP BY p_partkey""")
+SELECT p_partkey, abs(arg_min(i, off) / arg_min(j, off) - arg_min(w, off) / arg_min(h, off)) = min(b.off) AS nearest FROM o JOIN b USING (p_partkey, off)
+  GROUP BY p_partkey""")
 def lay_15_tile_grid(spark, sf):
     """Whether the grid chosen is nearest in aspect; ties by area are tested on fixtures."""
     w, h = F.col("p_size") * 40 + 100, F.col("p_partkey") % 30 * 50 + 100
@@ -626,7 +675,8 @@ def lay_16_image_tokens(spark, sf):
 
 @query("""WITH d AS (SELECT doc_id, list_transform(string_split(text, ' '), lambda w: length(w)::INT) AS ids FROM documents),
 i AS (SELECT doc_id, ids, unnest(range(greatest(0, len(ids) - 40), len(ids) - 2)) AS i FROM d WHERE len(ids) >= 3),
-h AS (SELECT doc_id, list_sort(list_distinct(list_filter(list(ids[i + 3]) FILTER (ids[i + 1] = ids[-2] AND ids[i + 2] = ids[-1]), lambda t: t <> 5))) AS banned FROM i GROUP BY doc_id)
+h AS (SELECT doc_id, list_sort(list_distinct(list_filter(list(ids[i + 3]) FILTER (ids[i + 1] = ids[-2] AND ids[i + 2] = ids[-1]), lambda t: t <> 5))) AS banned FROM i
+  GROUP BY doc_id)
 SELECT doc_id, array_to_string(coalesce(banned, []), ',') AS banned FROM d LEFT JOIN h USING (doc_id)""")
 def lay_17_banned_tokens(spark, sf):
     ids = F.transform(F.split("text", " "), F.length)
@@ -761,7 +811,9 @@ def some_boundaries(spark, sf):
     return rows.select(F.col("conv_id").alias("doc_id"), F.concat(F.lit("t"), F.col("turn").cast("string")).alias("after_page"), F.concat(F.lit("after "), F.col("turn").cast("string")).alias("new_title"), F.col("turn").alias("seq"))
 
 
-@query("""SELECT conv_id AS doc_id, string_agg('<!-- page: t' || turn || ' -->' || CASE WHEN turn % 2 = 1 THEN chr(10) || '<!-- DOC_BOUNDARY: {"after_page": "t' || turn || '", "new_title": "after ' || turn || '"} -->' ELSE '' END || chr(10) || text, chr(10) ORDER BY turn) AS markdown FROM conversations GROUP BY conv_id""")
+@query("""SELECT conv_id AS doc_id, string_agg('<!-- page: t' || turn || ' -->' || CASE WHEN turn % 2 = 1
+  THEN chr(10) || '<!-- DOC_BOUNDARY: {"after_page": "t' || turn || '", "new_title": "after ' || turn || '"} -->' ELSE '' END || chr(10) || text, chr(10) ORDER BY turn)
+  AS markdown FROM conversations GROUP BY conv_id""")
 def asm_4_inserted_boundaries(spark, sf):
     return assembly.with_boundaries(conversations_marked(spark, sf), some_boundaries(spark, sf))
 
@@ -773,7 +825,8 @@ def asm_5_split_points(spark, sf):
     return assembly.split_points(assembly.page_markers(conversations_marked(spark, sf)), some_boundaries(spark, sf).drop("seq"))
 
 
-@query("""WITH t AS (SELECT conv_id AS doc_id, turn, '<!-- page: t' || turn || ' -->' || chr(10) || text AS part, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS before, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations),
+@query("""WITH t AS (SELECT conv_id AS doc_id, turn, '<!-- page: t' || turn || ' -->' || chr(10) || text AS part, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn)
+  AS before, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations),
 s AS (SELECT *, sum(coalesce((before % 2 = 1)::INT, 0)) OVER (PARTITION BY doc_id ORDER BY turn)::INT AS sub_no FROM t)
 SELECT doc_id, sub_no, coalesce(max(CASE WHEN before % 2 = 1 THEN 'after ' || before END), '') AS title, string_agg('t' || turn, ',' ORDER BY turn) AS pages,
   string_agg(part || CASE WHEN nxt IS NULL THEN '' ELSE chr(10) END, '' ORDER BY turn) AS markdown FROM s GROUP BY doc_id, sub_no""")
@@ -787,14 +840,16 @@ def asm_7_images(spark, sf):
     return table(spark, sf, "documents").select("doc_id", joined(assembly.images_of(own, F.array(F.lit("x/images/1.jpg"), F.lit("x/images/2.jpg")))).alias("images"))
 
 
-@query("SELECT l_orderkey AS doc_id, l_linenumber AS page, l_partkey AS item FROM lineitem WHERE EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_orderkey % 7 = l_linenumber)")
+@query("""SELECT l_orderkey AS doc_id, l_linenumber AS page, l_partkey AS item FROM lineitem WHERE EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey
+  AND o_orderkey % 7 = l_linenumber)""")
 def asm_8_owned(spark, sf):
     items = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("page"), F.col("l_partkey").alias("item"))
     pages = table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), (F.col("o_orderkey") % 7).cast("int").alias("page"))
     return assembly.owned(items, pages)
 
 
-@query("""WITH p AS (SELECT conv_id AS doc_id, 't' || turn AS after_image, text AS page_text, lead('t' || turn) OVER w AS next_page, lead(text) OVER w AS next_text, turn FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+@query("""WITH p AS (SELECT conv_id AS doc_id, 't' || turn AS after_image, text AS page_text, lead('t' || turn) OVER w AS next_page, lead(text) OVER w AS next_text, turn
+  FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
 SELECT doc_id, after_image, turn AS gap_no, page_text, next_page, next_text FROM p WHERE turn % 3 = 1""")
 def asm_9_gap_requests(spark, sf):
     turns = table(spark, sf, "conversations")
@@ -803,7 +858,8 @@ def asm_9_gap_requests(spark, sf):
     return assembly.gap_requests(gaps, pages)
 
 
-@query("""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '<!-- page: a -->' || chr(10) || text || chr(10) || 'FILL' || chr(10) || chr(10) || '<!-- page: b -->' || chr(10) || 'z'
+@query("""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '<!-- page: a -->' || chr(10) || text || chr(10) || 'FILL' || chr(10) || chr(10) || '<!-- page: b -->' || chr(10) ||
+  'z'
  ELSE '<!-- page: a -->' || chr(10) || text || chr(10) || '<!-- page: b -->' || chr(10) || 'z' || chr(10) || 'FILL' || chr(10) END AS markdown FROM documents""")
 def asm_10_filled_gap(spark, sf):
     own = F.concat(F.lit("<!-- page: a -->\n"), "text", F.lit("\n<!-- page: b -->\nz"))
@@ -817,8 +873,10 @@ def asm_11_final_refined(spark, sf):
     return table(spark, sf, "documents").select("doc_id", assembly.refined(F.col("text"), F.when(F.col("doc_id") % 4 != 0, F.upper("lang"))).alias("markdown"))
 
 
-@query("""SELECT doc_id, array_to_string(list_filter([CASE WHEN quality = 0 THEN '段 1 精修输出疑似被截断' END, CASE WHEN toxic = 1 THEN '段 2 精修输出疑似被截断' END, CASE WHEN doc_id % 2 = 0 THEN '整篇文档级精修输出疑似被截断' END,
- CASE WHEN quality = 1 THEN '缺口（p' || doc_id || ' 之后）未能自动补充' END, CASE WHEN doc_id % 5 = 0 THEN '隐私实体检测失败，已阻止云端处理' END], lambda w: w IS NOT NULL), ',') AS warnings FROM labels""")
+@query("""SELECT doc_id, array_to_string(list_filter([CASE WHEN quality = 0 THEN '段 1 精修输出疑似被截断' END, CASE WHEN toxic = 1 THEN '段 2 精修输出疑似被截断' END, CASE
+  WHEN doc_id % 2 = 0 THEN '整篇文档级精修输出疑似被截断' END,
+ CASE WHEN quality = 1 THEN '缺口（p' || doc_id || ' 之后）未能自动补充' END, CASE WHEN doc_id % 5 = 0 THEN '隐私实体检测失败，已阻止云端处理' END], lambda w: w IS NOT NULL), ',') AS warnings
+  FROM labels""")
 def asm_12_warnings(spark, sf):
     gaps = F.array(F.struct((F.col("quality") == 0).alias("filled"), F.concat(F.lit("p"), F.col("doc_id").cast("string")).alias("after_image")))
     cut = F.array(F.col("quality") == 0, F.col("toxic") == 1)
@@ -837,7 +895,8 @@ def asm_14_tree_dirs(spark, sf):
     return table(spark, sf, "documents").select("doc_id", assembly.tree_dir(F.when(F.col("doc_id") % 2 == 0, ".").otherwise(F.col("source")), F.col("lang")).alias("dir"))
 
 
-@query(r"SELECT doc_id, trim(regexp_replace('![](images/p' || doc_id || '_0.jpg)' || chr(10) || text || chr(10) || 'end', '\s+$', ''), chr(10)) AS markdown FROM documents")
+@query(r"""SELECT doc_id, trim(regexp_replace('![](images/p' || doc_id || '_0.jpg)' || chr(10) || text || chr(10) || 'end', '\s+$', ''), chr(10)) AS markdown
+  FROM documents""")
 def out_1_rendered(spark, sf):
     own = F.concat(F.format_string("<!-- page: p%1$d.jpg -->\n![](p%1$d_OCR/images/0.jpg)\n", "doc_id"), "text", F.lit("\n<!-- page: q -->\nend\n"))
     return table(spark, sf, "documents").select("doc_id", assembly.render(own).alias("markdown"))
@@ -846,7 +905,8 @@ def out_1_rendered(spark, sf):
 # Scalar functions
 
 
-@query(r"""WITH a AS (SELECT p_partkey, regexp_replace(trim('.._' || p_name || '/' || p_type || ':' || repeat('x', p_size) || '..'), '[/\\:*?"<>|\x00-\x1f]', '_', 'g') AS n FROM part),
+@query(r"""WITH a AS (SELECT p_partkey, regexp_replace(trim('.._' || p_name || '/' || p_type || ':' || repeat('x', p_size) || '..'), '[/\\:*?"<>|\x00-\x1f]', '_', 'g')
+  AS n FROM part),
 b AS (SELECT p_partkey, ltrim(trim(regexp_replace(replace(n, '..', ''), '_+', '_', 'g'), '_'), '.') AS n FROM a)
 SELECT p_partkey, CASE WHEN length(n) > 64 THEN rtrim(substr(n, 1, 64), '_') ELSE n END AS name FROM b""")
 def str_1_dirname(spark, sf):
@@ -854,7 +914,8 @@ def str_1_dirname(spark, sf):
     return table(spark, sf, "part").select("p_partkey", tx.sanitize_dirname(title).alias("name"))
 
 
-@query(r"SELECT doc_id, coalesce(nullif(trim(regexp_replace(replace(replace(text, '/', '_'), '\', '_'), '[^\p{L}\p{N}._\- ]', '', 'g')), ''), 'unnamed') AS name FROM documents")
+@query(r"""SELECT doc_id, coalesce(nullif(trim(regexp_replace(replace(replace(text, '/', '_'), '\', '_'), '[^\p{L}\p{N}._\- ]', '', 'g')), ''), 'unnamed') AS name
+  FROM documents""")
 def str_2_filename(spark, sf):
     return table(spark, sf, "documents").select("doc_id", tx.secure_filename(F.col("text")).alias("name"))
 
@@ -867,7 +928,9 @@ def str_3_relpath(spark, sf):
 
 @query(r"""WITH p AS (SELECT page_id, string_split_regex(html, '<[^>]*>') AS gaps, list_append(regexp_extract_all(html, '<[^>]*>'), '') AS tags FROM pages),
 u AS (SELECT page_id, unnest(gaps) AS g, unnest(tags) AS t, generate_subscripts(gaps, 1) AS i FROM p)
-SELECT page_id, string_agg(g || CASE WHEN t = '' OR regexp_matches(t, '(?i)^</?\s*(?:div|img|table|thead|tbody|tr|td|th|br|hr|span|p|b|i|u|strong|em|sub|sup|ul|ol|li|a|code|pre|h[1-6]|blockquote)\b') THEN t ELSE '&lt;' || t[2:-2] || '&gt;' END, '' ORDER BY i) AS html FROM u GROUP BY page_id""")
+SELECT page_id, string_agg(g || CASE WHEN t = '' OR regexp_matches(t,
+  '(?i)^</?\s*(?:div|img|table|thead|tbody|tr|td|th|br|hr|span|p|b|i|u|strong|em|sub|sup|ul|ol|li|a|code|pre|h[1-6]|blockquote)\b') THEN t
+  ELSE '&lt;' || t[2:-2] || '&gt;' END, '' ORDER BY i) AS html FROM u GROUP BY page_id""")
 def str_4_escaped_tags(spark, sf):
     return table(spark, sf, "pages").select("page_id", tx.escape_unknown_tags(F.col("html")).alias("html"))
 
@@ -878,7 +941,8 @@ def str_5_image_urls(spark, sf):
     return table(spark, sf, "pages").select("page_id", tx.rewrite_image_urls(own, F.lit("t1"), F.lit("d")).alias("html"))
 
 
-@query("SELECT event_id, CASE event_id % 6 WHEN 0 THEN '加载模型权重... ' || event_id % 100 || '%' WHEN 1 THEN '模型文件已缓存，跳过下载' WHEN 2 THEN 'vLLM 推理引擎初始化中...' WHEN 3 THEN '下载模型文件... 7%' WHEN 4 THEN '模型加载完成' END AS message FROM events")
+@query("""SELECT event_id, CASE event_id % 6 WHEN 0 THEN '加载模型权重... ' || event_id % 100 || '%' WHEN 1 THEN '模型文件已缓存，跳过下载' WHEN 2 THEN 'vLLM 推理引擎初始化中...' WHEN 3
+  THEN '下载模型文件... 7%' WHEN 4 THEN '模型加载完成' END AS message FROM events""")
 def str_6_progress_messages(spark, sf):
     lines = ["Loading safetensors shards:  %d%% done", "Using cached %d", "EngineCore pid=%d", "Downloading x %d 7%%", "Model Initialized %d", "nothing %d"]
     raw = F.lit(None).cast("string")
@@ -899,7 +963,8 @@ def str_8_error_summary(spark, sf):
 
 
 #: Totals that no share of a thousand divides into halves, where decimal and binary rounding would differ; 0 too.
-@query("WITH e AS (SELECT event_id, event_id % 301 AS done, [0, 3, 7, 9, 11, 13, 300][event_id % 7 + 1] AS total FROM events) SELECT event_id, CASE WHEN total = 0 THEN 0.0 ELSE round(done / total * 100, 1) END::DOUBLE AS percent FROM e")
+@query("""WITH e AS (SELECT event_id, event_id % 301 AS done, [0, 3, 7, 9, 11, 13, 300][event_id % 7 + 1] AS total FROM events) SELECT event_id, CASE WHEN total = 0
+  THEN 0.0 ELSE round(done / total * 100, 1) END::DOUBLE AS percent FROM e""")
 def str_9_percent(spark, sf):
     total = F.element_at(F.array(*map(F.lit, (0, 3, 7, 9, 11, 13, 300))), (F.col("event_id") % 7 + 1).cast("int"))
     return table(spark, sf, "events").select("event_id", tx.percent(F.col("event_id") % 301, total).alias("percent"))
@@ -917,10 +982,12 @@ def results_of(spark, sf):
     return table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("task_id"), F.col("l_linenumber").alias("id"), F.col("l_returnflag").alias("doc_title"))
 
 
-TASKS = "t AS (SELECT o_orderkey AS task_id, CASE o_orderstatus WHEN 'O' THEN 'pending' WHEN 'F' THEN 'completed' ELSE 'processing' END AS status, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS created_at, NULL::VARCHAR AS error FROM orders)"
+TASKS = """t AS (SELECT o_orderkey AS task_id, CASE o_orderstatus WHEN 'O' THEN 'pending' WHEN 'F' THEN 'completed' ELSE 'processing' END
+  AS status, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS created_at, NULL::VARCHAR AS error FROM orders)"""
 
 
-@query(f"WITH {TASKS}, r AS (SELECT l_orderkey AS task_id, count(*) AS n FROM lineitem GROUP BY ALL) SELECT t.*, coalesce(n, 0) AS result_count FROM t LEFT JOIN r USING (task_id)")
+@query(f"""WITH {TASKS}, r AS (SELECT l_orderkey AS task_id, count(*) AS n FROM lineitem GROUP BY ALL) SELECT t.*, coalesce(n, 0) AS result_count FROM t LEFT
+  JOIN r USING (task_id)""")
 def rel_1_tasks_with_counts(spark, sf):
     return tasks.tasks_with_counts(tasks_of(spark, sf), results_of(spark, sf))
 
@@ -945,7 +1012,8 @@ def rel_5_lookup(spark, sf):
     return tasks.task_results(results_of(spark, sf), 7)
 
 
-@query(f"WITH {TASKS} SELECT task_id, CASE WHEN task_id % 5 = 0 THEN 'failed' ELSE status END AS status, created_at, CASE WHEN task_id % 5 = 0 THEN 'e' END AS error FROM t")
+@query(f"""WITH {TASKS} SELECT task_id, CASE WHEN task_id % 5 = 0 THEN 'failed' ELSE status END AS status, created_at, CASE WHEN task_id % 5 = 0 THEN 'e' END AS error
+  FROM t""")
 def rel_6_upsert(spark, sf):
     t = tasks_of(spark, sf)
     return tasks.upsert(t, t.where("task_id % 5 = 0").withColumns({"status": F.lit("failed"), "error": F.lit("e")}), "task_id")
@@ -957,7 +1025,8 @@ def rel_6_delete_cascade(spark, sf):
     return tasks.delete_cascade(t, results_of(spark, sf), t.where("task_id % 3 = 0"))[1]
 
 
-@query(f"WITH {TASKS} SELECT task_id, CASE WHEN status IN ('pending', 'processing') THEN 'failed' ELSE status END AS status, created_at, CASE WHEN status IN ('pending', 'processing') THEN '服务重启，任务中断' ELSE error END AS error FROM t")
+@query(f"""WITH {TASKS} SELECT task_id, CASE WHEN status IN ('pending', 'processing') THEN 'failed' ELSE status END AS status, created_at, CASE
+  WHEN status IN ('pending', 'processing') THEN '服务重启，任务中断' ELSE error END AS error FROM t""")
 def rel_7_recovered(spark, sf):
     return tasks.recover_interrupted(tasks_of(spark, sf))
 
@@ -981,7 +1050,8 @@ a AS (SELECT d AS anchor FROM e ORDER BY name <> 'pipeline.total', seq LIMIT 1),
 s AS (SELECT name, count(*) AS n, sum(d) AS total_s, min(depth) AS min_depth FROM e GROUP BY name)"""
 
 
-@query(f"WITH {PROFILE} SELECT name, n, total_s::DOUBLE AS total_s, round(total_s::DOUBLE / n, 6) AS mean_s, CASE WHEN anchor > 0 THEN round(total_s::DOUBLE / anchor::DOUBLE * 100, 4) ELSE 0.0 END AS share, min_depth FROM s, a")
+@query(f"""WITH {PROFILE} SELECT name, n, total_s::DOUBLE AS total_s, round(total_s::DOUBLE / n, 6) AS mean_s, CASE WHEN anchor > 0
+  THEN round(total_s::DOUBLE / anchor::DOUBLE * 100, 4) ELSE 0.0 END AS share, min_depth FROM s, a""")
 def rel_10_profile_summary(spark, sf):
     s = tasks.profile_summary(stage_events(spark, sf).withColumn("duration_s", F.col("duration_s").cast("decimal(18,2)")))
     return s.select("name", "n", F.col("total_s").cast("double").alias("total_s"), F.round(F.col("total_s").cast("double") / F.col("n"), 6).alias("mean_s"), F.round(F.col("share").cast("double"), 4).alias("share"), "min_depth")
@@ -1000,7 +1070,8 @@ def rel_12_trace_stats(spark, sf):
     return tasks.trace_stats(rows, "value", ("event_type",)).withColumn("mean", F.round("mean", 6))
 
 
-@query("SELECT event_type AS config, round(36 / avg(round(value, 2) + 1), 6) AS images_per_s, round(100.0 / nullif(count(*), 0), 6) AS speedup FROM events GROUP BY event_type")
+@query("""SELECT event_type AS config, round(36 / avg(round(value, 2) + 1), 6) AS images_per_s, round(100.0 / nullif(count(*), 0), 6) AS speedup FROM events
+  GROUP BY event_type""")
 def rel_13_throughput(spark, sf):
     runs = table(spark, sf, "events").select(F.col("event_type").alias("config"), (F.round("value", 2) + 1).alias("seconds"))
     rate = tasks.throughput(runs, F.lit(36)).withColumn("images_per_s", F.round("images_per_s", 6))
@@ -1020,15 +1091,18 @@ def made_files(spark, sf):
     return table(spark, sf, "part").select(name.alias("path"), F.col("p_size").cast("long").alias("length"))
 
 
-FILES = "f AS (SELECT '/r/d' || p_size % 7 || '/' || CASE WHEN p_size % 5 = 0 THEN 'sub/' ELSE '' END || p_partkey || '.' || ['jpg', 'PNG', 'bmp', 'txt'][p_partkey % 4 + 1] AS path, p_size::BIGINT AS length FROM part)"
+FILES = """f AS (SELECT '/r/d' || p_size % 7 || '/' || CASE WHEN p_size % 5 = 0 THEN 'sub/'
+  ELSE '' END || p_partkey || '.' || ['jpg', 'PNG', 'bmp', 'txt'][p_partkey % 4 + 1] AS path, p_size::BIGINT AS length FROM part)"""
 
 
-@query(rf"WITH {FILES}, i AS (SELECT path, regexp_replace(path, '/[^/]*$', '') AS dir, regexp_extract(path, '([^/]*)$', 1) AS name FROM f WHERE lower(path) SIMILAR TO '.*\.(jpg|jpeg|png)') SELECT *, (row_number() OVER (PARTITION BY dir ORDER BY name) - 1)::INT AS page_seq FROM i")
+@query(rf"""WITH {FILES}, i AS (SELECT path, regexp_replace(path, '/[^/]*$', '') AS dir, regexp_extract(path, '([^/]*)$', 1) AS name FROM f
+  WHERE lower(path) SIMILAR TO '.*\.(jpg|jpeg|png)') SELECT *, (row_number() OVER (PARTITION BY dir ORDER BY name) - 1)::INT AS page_seq FROM i""")
 def src_1_page_images(spark, sf):
     return files.page_images(made_files(spark, sf))
 
 
-@query(rf"WITH {FILES}, d AS (SELECT DISTINCT regexp_replace(path, '/[^/]*$', '') AS dir FROM f WHERE lower(path) SIMILAR TO '.*\.(jpg|jpeg|png)') SELECT dir FROM d WHERE NOT EXISTS (SELECT 1 FROM d a WHERE starts_with(d.dir, a.dir || '/'))")
+@query(rf"""WITH {FILES}, d AS (SELECT DISTINCT regexp_replace(path, '/[^/]*$', '') AS dir FROM f WHERE lower(path) SIMILAR TO '.*\.(jpg|jpeg|png)') SELECT dir FROM d
+  WHERE NOT EXISTS (SELECT 1 FROM d a WHERE starts_with(d.dir, a.dir || '/'))""")
 def src_2_leaf_dirs(spark, sf):
     return files.leaf_dirs(made_files(spark, sf))
 
@@ -1053,29 +1127,34 @@ def src_5_listing(spark, sf):
     return files.source_listing(made_files(spark, sf), "/r")
 
 
-@query(rf"WITH {FILES}, p AS (SELECT string_split(substr(path, 4), '/') AS s, lower(path) SIMILAR TO '.*\.(jpg|jpeg|png|bmp|tiff|tif)' AS image FROM f) SELECT s[1] AS name, max(len(s)) > 1 AS is_dir, least(count_if(len(s) = 2 AND image), 9999)::BIGINT AS n_images, NULL::BIGINT AS size FROM p GROUP BY ALL")
+@query(rf"""WITH {FILES}, p AS (SELECT string_split(substr(path, 4), '/') AS s, lower(path) SIMILAR TO '.*\.(jpg|jpeg|png|bmp|tiff|tif)' AS image FROM f) SELECT s[1]
+  AS name, max(len(s)) > 1 AS is_dir, least(count_if(len(s) = 2 AND image), 9999)::BIGINT AS n_images, NULL::BIGINT AS size FROM p GROUP BY ALL""")
 def src_6_browse(spark, sf):
     return files.browse(made_files(spark, sf), "/r")
 
 
 #: Names of both cases, files and folders, hidden ones and such as aren't images, with their places in the order.
-@query("""WITH f AS (SELECT CASE p_partkey % 4 WHEN 0 THEN 'B' WHEN 1 THEN 'a' WHEN 2 THEN '.c' ELSE 'D' END || p_partkey AS n, p_partkey % 3 AS kind, p_size::BIGINT AS size FROM part WHERE p_size % 2 = 0),
-e AS (SELECT CASE kind WHEN 0 THEN n || '.jpg' WHEN 1 THEN n ELSE n || '.txt' END AS name, kind = 1 AS is_dir, CASE WHEN kind = 1 THEN 1 ELSE 0 END::BIGINT AS n_images, CASE WHEN kind = 0 THEN size END AS size FROM f WHERE n[1] <> '.' AND kind < 2)
+@query("""WITH f AS (SELECT CASE p_partkey % 4 WHEN 0 THEN 'B' WHEN 1 THEN 'a' WHEN 2 THEN '.c' ELSE 'D' END || p_partkey AS n, p_partkey % 3 AS kind, p_size::BIGINT
+  AS size FROM part),
+e AS (SELECT CASE kind WHEN 0 THEN n || '.jpg' WHEN 1 THEN n ELSE n || '.txt' END AS name, kind = 1 AS is_dir, CASE WHEN kind = 1 THEN 1 ELSE 0 END::BIGINT AS n_images,
+  CASE WHEN kind = 0 THEN size END AS size FROM f WHERE n[1] <> '.' AND kind < 2)
 SELECT (row_number() OVER (ORDER BY lower(name), name) - 1)::BIGINT AS place, * FROM e""")
 def src_6_browse_order(spark, sf):
     lead = F.element_at(F.array(*map(F.lit, ("B", "a", ".c", "D"))), (F.col("p_partkey") % 4 + 1).cast("int"))
     ends = F.element_at(F.array(*map(F.lit, (".jpg", "/x.png", ".txt"))), (F.col("p_partkey") % 3 + 1).cast("int"))
-    made = table(spark, sf, "part").where("p_size % 2 = 0").select(F.concat(F.lit("/r/"), lead, F.col("p_partkey").cast("string"), ends).alias("path"), F.col("p_size").cast("long").alias("length"))
+    made = table(spark, sf, "part").select(F.concat(F.lit("/r/"), lead, F.col("p_partkey").cast("string"), ends).alias("path"), F.col("p_size").cast("long").alias("length"))
     found = files.browse(made, "/r").coalesce(1)
     return found.withColumn("place", F.monotonically_increasing_id())
 
 
-@query("SELECT p_brand AS session_id, '/x' || p_partkey || '/f' || p_size || '.jpg' AS path, 'f' || p_size || CASE WHEN k = 0 THEN '' ELSE '_' || k END || '.jpg' AS name, NULL::VARCHAR AS error FROM (SELECT *, row_number() OVER (PARTITION BY p_brand, p_size ORDER BY p_partkey) - 1 AS k FROM part)")
+@query("""SELECT p_brand AS session_id, '/x' || p_partkey || '/f' || p_size || '.jpg' AS path, 'f' || p_size || CASE WHEN k = 0 THEN '' ELSE '_' || k END || '.jpg'
+  AS name, NULL::VARCHAR AS error FROM (SELECT *, row_number() OVER (PARTITION BY p_brand, p_size ORDER BY p_partkey) - 1 AS k FROM part)""")
 def src_7_staged_names(spark, sf):
     return files.stage_names(table(spark, sf, "part").select(F.col("p_brand").alias("session_id"), F.col("p_partkey").alias("position"), F.format_string("/x%d/f%d.jpg", "p_partkey", "p_size").alias("path")))
 
 
-@query("""SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN NULL ELSE p_partkey || '.PNG' END AS name, CASE p_partkey % 3 WHEN 0 THEN 'not an absolute path of a known kind' END AS error FROM part""")
+@query("""SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN NULL ELSE p_partkey || '.PNG' END AS name, CASE p_partkey % 3 WHEN 0
+  THEN 'not an absolute path of a known kind' END AS error FROM part""")
 def src_7_bad_paths(spark, sf):
     """A bad path has its error and leaves the others alone."""
     path = F.when(F.col("p_partkey") % 6 == 0, "rel.jpg").when(F.col("p_partkey") % 6 == 3, "/x/a.txt").otherwise(F.format_string("/x/%d.PNG", "p_partkey"))
@@ -1114,7 +1193,8 @@ def out_4_per_page(spark, sf):
     return spark.read.option("header", "true").schema("run_idx long, image_path string, elapsed_s string").csv(f"{root}/per_page.csv")
 
 
-@query("""WITH v AS (SELECT user_id AS run_idx, round(value, 2) AS v FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY run_idx ORDER BY v) AS k, count(*) OVER (PARTITION BY run_idx) AS n FROM v)
+@query("""WITH v AS (SELECT user_id AS run_idx, round(value, 2) AS v FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY run_idx ORDER BY v) AS k, count(*)
+  OVER (PARTITION BY run_idx) AS n FROM v)
 SELECT run_idx, round(avg(v), 6) AS mean, max(v) AS max, max(CASE WHEN k = greatest(1, floor(n * 0.95)) THEN v END) AS p95 FROM r GROUP BY run_idx""")
 def out_4_summary(spark, sf):
     root = bench_files(spark, sf)
@@ -1137,22 +1217,22 @@ def bench_files(spark, sf) -> str:
 
 
 def stored_documents(spark, sf) -> tuple[str, DataFrame]:
-    """Documents of suppliers written below a new folder, whose pages have an image each but for every third."""
+    """Documents of nations written below a new folder, whose pages have an image each but for every third."""
     root = scratch(spark, "documents")
     fs, base = files.file_system(root)
-    rows = table(spark, sf, "supplier").where("s_suppkey <= 40")
-    for r in rows.select("s_suppkey").collect():
+    rows = table(spark, sf, "nation")
+    for r in rows.select("n_nationkey").collect():
         if r[0] % 3:
             fs.create_dir(f"{base}/p{r[0]}_OCR/images")
             with fs.open_output_stream(f"{base}/p{r[0]}_OCR/images/0.jpg") as out:
                 out.write(b"image %d" % r[0])
-    own = F.format_string("<!-- page: p%1$d.jpg -->\n# %2$s\n![](p%1$d_OCR/images/0.jpg)\n", "s_suppkey", "s_name")
-    docs = rows.select("s_suppkey", F.format_string("d%d", "s_suppkey").alias("doc_dir"), own.alias("markdown"))
+    own = F.format_string("<!-- page: p%1$d.jpg -->\n# %2$s\n![](p%1$d_OCR/images/0.jpg)\n", "n_nationkey", "n_name")
+    docs = rows.select("n_nationkey", F.format_string("d%d", "n_nationkey").alias("doc_dir"), own.alias("markdown"))
     files.write_documents(docs, root)
     return root, docs
 
 
-@query("SELECT 'd' || s_suppkey AS doc_dir, '# ' || s_name || chr(10) || '![](images/p' || s_suppkey || '_0.jpg)' AS markdown FROM supplier WHERE s_suppkey <= 40")
+@query("SELECT 'd' || n_nationkey AS doc_dir, '# ' || n_name || chr(10) || '![](images/p' || n_nationkey || '_0.jpg)' AS markdown FROM nation")
 def out_1_written_documents(spark, sf):
     """What the sink has written, read back from document.md."""
     root, _ = stored_documents(spark, sf)
@@ -1160,8 +1240,8 @@ def out_1_written_documents(spark, sf):
     return back.select(F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)/document.md$", 1).alias("doc_dir"), F.col("value").alias("markdown"))
 
 
-@query("""SELECT 'd' || s_suppkey || '/document.md' AS name, '# ' || s_name || chr(10) || '![](images/p' || s_suppkey || '_0.jpg)' AS held FROM supplier WHERE s_suppkey <= 40
-UNION ALL SELECT 'd' || s_suppkey || '/images/p' || s_suppkey || '_0.jpg', 'image ' || s_suppkey FROM supplier WHERE s_suppkey <= 40 AND s_suppkey % 3 <> 0""")
+@query("""SELECT 'd' || n_nationkey || '/document.md' AS name, '# ' || n_name || chr(10) || '![](images/p' || n_nationkey || '_0.jpg)' AS held FROM nation
+UNION ALL SELECT 'd' || n_nationkey || '/images/p' || n_nationkey || '_0.jpg', 'image ' || n_nationkey FROM nation WHERE n_nationkey % 3 <> 0""")
 def out_3_zip(spark, sf):
     """The names and contents of a task's archive, packed from what the sink has written."""
     import tempfile
@@ -1196,8 +1276,10 @@ def src_8_uploads(spark, sf):
 
 
 UPLOADS = """s AS (SELECT c_custkey AS session_id, c_custkey % 4 = 0 AS completed FROM customer WHERE c_custkey % 7 <> 0),
-u AS (SELECT o_orderkey AS file_id, o_custkey AS session_id, o_orderkey || CASE o_orderkey % 5 WHEN 0 THEN '.gif' WHEN 1 THEN '.JPEG' ELSE '.tif' END AS name, (o_orderkey % 64 * 1048576 + o_orderkey % 2)::BIGINT AS size FROM orders),
-v AS (SELECT u.*, CASE WHEN completed IS NULL THEN 'no such session' WHEN completed THEN 'session is complete' WHEN name LIKE '%.gif' THEN 'unknown kind' WHEN size > 52428800 THEN 'too large' ELSE 'accepted' END AS verdict FROM u LEFT JOIN s USING (session_id))"""
+u AS (SELECT o_orderkey AS file_id, o_custkey AS session_id, o_orderkey || CASE o_orderkey % 5 WHEN 0 THEN '.gif' WHEN 1 THEN '.JPEG' ELSE '.tif' END
+  AS name, (o_orderkey % 64 * 1048576 + o_orderkey % 2)::BIGINT AS size FROM orders),
+v AS (SELECT u.*, CASE WHEN completed IS NULL THEN 'no such session' WHEN completed THEN 'session is complete' WHEN name LIKE '%.gif' THEN 'unknown kind'
+  WHEN size > 52428800 THEN 'too large' ELSE 'accepted' END AS verdict FROM u LEFT JOIN s USING (session_id))"""
 
 
 def judged(spark, sf):
@@ -1236,7 +1318,8 @@ def src_10_recognised(spark, sf):
     return files.recognise(made_files(spark, sf), engine)
 
 
-@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'paddle-ocr' ELSE 'deepseek' END AS provider, CASE p_partkey % 3 WHEN 0 THEN 'ppocr-v4' WHEN 1 THEN 'ocr-2' ELSE 'x/y' END AS model FROM part")
+@query("""SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'paddle-ocr' ELSE 'deepseek' END AS provider, CASE p_partkey % 3 WHEN 0 THEN 'ppocr-v4' WHEN 1 THEN 'ocr-2'
+  ELSE 'x/y' END AS model FROM part""")
 def src_11_engine(spark, sf):
     name = F.when(F.col("p_partkey") % 3 == 0, "paddle-ocr").when(F.col("p_partkey") % 3 == 1, "deepseek").otherwise("deepseek/x/y")
     return table(spark, sf, "part").select("p_partkey", files.engine_of(name).alias("e")).select("p_partkey", "e.*")
@@ -1255,7 +1338,8 @@ def src_12_renamed_refs(spark, sf):
     return table(spark, sf, "part").select("p_partkey", files.rename_refs(own, F.create_map(F.lit("x.jpg"), F.lit("0.jpg"))).alias("text"))
 
 
-@query("SELECT l_orderkey AS task_id, l_linenumber AS result_index, CASE WHEN o_orderstatus = 'F' AND l_linenumber = 1 THEN 'edited' ELSE l_returnflag END AS markdown FROM lineitem JOIN orders ON o_orderkey = l_orderkey")
+@query("""SELECT l_orderkey AS task_id, l_linenumber AS result_index, CASE WHEN o_orderstatus = 'F' AND l_linenumber = 1 THEN 'edited' ELSE l_returnflag END AS markdown
+  FROM lineitem JOIN orders ON o_orderkey = l_orderkey""")
 def out_5_edited(spark, sf):
     rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("task_id"), F.col("l_linenumber").alias("result_index"), F.col("l_returnflag").alias("markdown"))
     edits = table(spark, sf, "orders").select(F.col("o_orderkey").alias("task_id"), F.lit(1).alias("result_index"), F.lit("edited").alias("markdown"))
@@ -1276,8 +1360,10 @@ def stm_1_latest_progress(spark, sf):
     return progress.latest_progress(table(spark, sf, "events").select(F.col("user_id").alias("task_id"), "event_id", "event_type"), order="event_id").select("task_id", "latest.*")
 
 
-@query("""WITH e AS (SELECT user_id::VARCHAR AS task_id, list(['start', 'complete', 'fail', 'retry', 'cancel'][event_id % 5 + 1] ORDER BY event_id) AS es FROM events GROUP BY user_id)
-SELECT task_id, list_reduce(list_prepend('pending', es), lambda s, e: CASE WHEN s = 'pending' AND e = 'start' THEN 'processing' WHEN s = 'processing' AND e = 'complete' THEN 'completed' WHEN s = 'processing' AND e = 'fail' THEN 'failed'
+@query("""WITH e AS (SELECT user_id::VARCHAR AS task_id, list(['start', 'complete', 'fail', 'retry', 'cancel'][event_id % 5 + 1] ORDER BY event_id) AS es FROM events
+  GROUP BY user_id)
+SELECT task_id, list_reduce(list_prepend('pending', es), lambda s, e: CASE WHEN s = 'pending' AND e = 'start' THEN 'processing' WHEN s = 'processing' AND e = 'complete'
+  THEN 'completed' WHEN s = 'processing' AND e = 'fail' THEN 'failed'
   WHEN s IN ('pending', 'processing') AND e = 'cancel' THEN 'failed' WHEN s = 'failed' AND e = 'retry' THEN 'pending' ELSE s END) AS status FROM e""")
 def stm_3_task_states(spark, sf):
     kinds = F.array(*map(F.lit, ("start", "complete", "fail", "retry", "cancel")))
@@ -1285,8 +1371,10 @@ def stm_3_task_states(spark, sf):
     return tasks.latest_status(events)
 
 
-@query("""WITH e AS (SELECT user_id AS task_id, event_id AS seq, ['pending', 'processing', 'completed', 'processing', 'failed'][event_id % 97 % 5 + 1] AS status FROM events),
-x AS (SELECT task_id, min(seq) AS last FROM e WHERE status IN ('completed', 'failed') GROUP BY ALL) SELECT e.* FROM e LEFT JOIN x USING (task_id) WHERE last IS NULL OR seq <= last""")
+@query("""WITH e AS (SELECT user_id AS task_id, event_id AS seq, ['pending', 'processing', 'completed', 'processing', 'failed'][event_id % 97 % 5 + 1] AS status
+  FROM events),
+x AS (SELECT task_id, min(seq) AS last FROM e WHERE status IN ('completed', 'failed') GROUP BY ALL) SELECT e.* FROM e LEFT JOIN x USING (task_id) WHERE last IS NULL
+  OR seq <= last""")
 def stm_2_delivered(spark, sf):
     kinds = F.array(*map(F.lit, ("pending", "processing", "completed", "processing", "failed")))
     events = table(spark, sf, "events").select(F.col("user_id").alias("task_id"), F.col("event_id").alias("seq"), F.element_at(kinds, (F.col("event_id") % 97 % 5 + 1).cast("int")).alias("status"))
@@ -1306,7 +1394,8 @@ def stm_6_progress_label(spark, sf):
 # Settings
 
 
-@query("""SELECT p_partkey, 'cloud' AS provider, CASE WHEN p_size % 2 = 0 THEN p_brand ELSE '' END AS model, coalesce(CASE WHEN p_size % 3 = 0 THEN p_size END, 8000)::INT AS max_chars_per_segment, p_size % 5 <> 0 AS enable_gap_fill FROM part""")
+@query("""SELECT p_partkey, 'cloud' AS provider, CASE WHEN p_size % 2 = 0 THEN p_brand ELSE '' END AS model, coalesce(CASE WHEN p_size % 3 = 0 THEN p_size END, 8000)::INT
+  AS max_chars_per_segment, p_size % 5 <> 0 AS enable_gap_fill FROM part""")
 def asm_15_merged_requests(spark, sf):
     """Fields of a request that aren't null stand over the defaults."""
     asked = table(spark, sf, "part").select(
