@@ -189,20 +189,35 @@ def keyed(classes: DataFrame, far: Reach) -> DataFrame:
     return map_arrow(classes.select("cid", "sig"), run, "id long, key long, place byte")
 
 
-def filter_bit():
-    return F.pmod(F.xxhash64("id", "text_a", "text_b"), F.lit(FILTER_BITS))
+def filter_bit(key: tuple[str, ...] = ("id", "text_a", "text_b")):
+    return F.pmod(F.xxhash64(*key), F.lit(FILTER_BITS))
+
+
+def bit_field(rows: DataFrame) -> DataFrame:
+    """(bucket, bits): the hashes of ``rows`` (id, text_a, text_b) as a field of FILTER_BITS bits, 8 MB at most whatever the input."""
+    told = rows.select((filter_bit() + 1).alias("bit"))
+    return told.groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
 
 
 def row_filter(rows: DataFrame) -> np.ndarray:
-    """Bit field of FILTER_BITS bits (8 MB, whatever the input) with the hashes of ``rows`` (id, text_a, text_b) set."""
-    rows = rows.select((filter_bit() + 1).alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+    """``bit_field`` as an array."""
     field = np.zeros(FILTER_BITS // 8 + 8192, np.uint8)
-    for r in rows.toLocalIterator():
+    for r in bit_field(rows).toLocalIterator():
         at = (r["bucket"] - 1) * 4096
         field[at : at + 4096] = np.frombuffer(r["bits"], np.uint8)
     return field
 
 
+def marked(docs: DataFrame, rows: DataFrame, key: tuple[str, ...], name: str) -> DataFrame:
+    """``docs`` with ``name``: whether a row's ``key`` may be among ``rows`` (id, text_a, text_b); without a shuffle, as a bit field has a bounded size."""
+    field = F.broadcast(bit_field(rows).select(F.col("bucket").alias("__bucket"), F.col("bits").alias("__bits")))
+    at = filter_bit(key) + 1
+    told = docs.withColumns({"__bucket": F.bitmap_bucket_number(at), "__at": F.bitmap_bit_position(at)}).join(field, "__bucket", "left")
+    byte = F.conv(F.hex(F.expr("substring(__bits, cast(__at div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    test = told.withColumn("__byte", byte).withColumn(name, F.expr("coalesce(shiftright(__byte, cast(__at % 8 as int)) & 1, 0) = 1"))
+    return test.drop("__bucket", "__at", "__bits", "__byte")
+
+
 def sets_of(docs: DataFrame, classes: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
     """(cid, shingles, long) of ``classes`` (cid, id, text_a, text_b); a bit field keeps other texts from moving."""
     field = docs.sparkSession.sparkContext.broadcast(row_filter(classes))
@@ -420,10 +435,13 @@ def without_near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, words
     each = rows.where("component is not null").groupBy("component", *key).agg(F.count("*").alias("n"))
     first = written(each.groupBy("component").agg(F.min(F.struct(*key)).alias("first")), "least")
     judged = each.join(first, "component").withColumn("stays", F.struct(*key) == F.col("first")).where("not stays or n > 1")
-    verdicts = finished(judged.select(*[F.col(k).alias(f"__{k}") for k in key], "stays"), "verdicts", rows, first)
+    verdicts = finished(judged.select(*key, "stays"), "verdicts", rows, first)
+    # Most rows aren't among the verdicts, which a bit field tells: their texts don't move.
+    names = ("__id", "__text_a", "__text_b")
     made = {"__id": F.col(doc_id).cast("long"), "__text_a": F.xxhash64(F.col(text)), "__text_b": F.xxhash64(F.col(text), F.lit(1))}
-    told, names = docs.withColumns(made), [f"__{k}" for k in key]
-    kept = told.join(verdicts, names, "left_anti")
+    told = marked(docs.withColumns(made), verdicts, names, "__suspect")
+    suspect, named = told.where("__suspect"), verdicts.select(*[F.col(k).alias(n) for k, n in zip(key, names, strict=True)], "stays")
+    kept = told.where("not __suspect").union(suspect.join(named, list(names), "left_anti").select(*told.columns))
     if not verdicts.where("stays").isEmpty():
-        kept = kept.union(told.join(verdicts.where("stays").select(*names), names, "left_semi").dropDuplicates(names))
+        kept = kept.union(suspect.join(named.where("stays").select(*names), list(names), "left_semi").dropDuplicates(list(names)).select(*told.columns))
     return kept.select(*docs.columns)
