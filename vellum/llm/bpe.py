@@ -22,6 +22,7 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,13 +30,15 @@ from vellum.llm.shared import give_back, hold, map_arrow, parts
 
 END = "</w>"
 #: Words (or chunks between blanks) and token pairs that a worker remembers; twice as many words at most.
-KEPT_WORDS, KEPT_PAIRS = 400_000, 600_000
+KEPT_WORDS, KEPT_PAIRS = 350_000, 600_000
 #: Blanks to ``str.split`` but not to the tokenizer.
 ODD_BLANKS = "\x1c\x1d\x1e\x1f"
+#: Blanks that aren't ASCII, of those that RARE lets pass.
+WIDE_BLANKS = "\x85\xa0\u2028\u2029\u202f\u205f"
 #: Punctuation before a last comma or full stop: together they are one word.
-TOUCHING = re.compile(r"(?:[^\w\s]|_)[,.]\s")
+TOUCHING = r"(?:[^\pL\pN\s]|_)[,.]\s"
 LONG_WORD = 200
-ROWS_AT_ONCE, BYTES_AT_ONCE = 8192, 6_000_000
+ROWS_AT_ONCE, BYTES_AT_ONCE = 8192, 4_000_000
 #: Outside blocks whose letters, digits and case have long been settled.
 RARE = re.compile("[^\x00-\x1b\x20-\u052f\u2010-\u2060\u20a0-\u20bf\u3040-\u3096\u30a0-\u30ff\u4e00-\u9fef]")
 
@@ -172,32 +175,36 @@ class WordBpe:
             out[word] = b"".join(found)
         return out
 
-    def _chunks(self, text: str) -> list[str]:
-        """What stands between blanks; a leading blank marks one word as it is, a trailing one a special token."""
+    def _chunks(self, text: str) -> str | list[str]:
+        """What stands between blanks: a text to be split at ASCII blanks, or a list of chunks.
+
+        In a list, a leading blank marks one word as it is, a trailing one a special token.
+        """
         if "<|" in text:
             split = self.special_pattern.split(text)
             if len(split) > 1:
-                return [c for k, part in enumerate(split) for c in ([part + " "] if k % 2 else self._chunks(part))]
-        if text.isascii() and not any(c in text for c in ODD_BLANKS):
-            return self._parted(text.lower())
-        if RARE.search(text):
-            # Libraries differ in the Unicode version of scripts still growing: these texts are split by the tokenizers library.
-            return [" " + w for w, _ in self.library_split.pre_tokenize_str(self.library_form.normalize_str(text))]
-        # Lower-casing goes by single characters, so a final sigma isn't special.
-        return self._parted(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
-
-    @staticmethod
-    def _parted(text: str) -> list[str]:
-        """Split at blanks, and before a last comma or full stop that follows a letter or digit: that is a word of its own."""
-        if not TOUCHING.search(text):
-            text = text.replace(", ", " , ").replace(". ", " . ").replace(".\n", " .\n")
-        return text.split()
+                out: list[str] = []
+                for k, part in enumerate(split):
+                    own = part + " " if k % 2 else self._chunks(part)
+                    out += [own] if k % 2 else own.split() if isinstance(own, str) else own
+                return out
+        if text.isascii():
+            if not any(c in text for c in ODD_BLANKS):
+                return text.lower()
+        elif not RARE.search(text):
+            # Lower-casing goes by single characters, so a final sigma isn't special.
+            lowered = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+            return lowered.split() if any(c in lowered for c in WIDE_BLANKS) else lowered
+        # Odd blanks, and scripts still growing, in whose Unicode version libraries differ: these texts are split by the tokenizers library.
+        return [" " + w for w, _ in self.library_split.pre_tokenize_str(self.library_form.normalize_str(text))]
 
     def _learn_chunks(self, chunks: set[str]) -> dict[str, bytes]:
         split, plain = {}, set()
         for c in chunks:
             if c.isalpha():
                 plain.add(c)
+            elif not c:
+                split[c] = []
             elif c[-1] in ",." and c[:-1].isalpha():
                 split[c] = [c[:-1], c[-1]]
             elif c[-1] == " ":
@@ -215,28 +222,55 @@ class WordBpe:
         out = self.learn(plain)
         known.update(out)
         for c, words in split.items():
-            out[c] = b"".join([known[w] for w in words]) if words else self.four[self.special[c[:-1]]]
+            out[c] = b"".join([known[w] for w in words]) if words or not c else self.four[self.special[c[:-1]]]
         return out
 
+    @staticmethod
+    def _numbered(every: list[str | list[str]]) -> tuple[list[str], list[np.ndarray]]:
+        """Distinct chunks, and the numbers of each text's chunks; texts are split and numbered in bulk, lists one by one.
+
+        A comma or full stop that ends a chunk is one of its own, unless other punctuation stands before it somewhere in the text.
+        """
+        plain = pa.array([c if isinstance(c, str) else "" for c in every], pa.large_string())
+        parted = plain
+        for found, apart in ((", ", " , "), (". ", " . "), (".\n", " .\n")):
+            parted = pc.replace_substring(parted, found, apart)
+        split = pc.ascii_split_whitespace(pc.if_else(pc.match_substring_regex(plain, TOUCHING), plain, parted))
+        coded = split.flatten().dictionary_encode()
+        at, ends = coded.indices.to_numpy(), split.offsets.to_numpy()
+        codes = [at[begin:end] for begin, end in zip(ends[:-1], ends[1:], strict=True)]
+        whole = pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary)
+        chunks = pc.binary_join(whole, pa.scalar("\n", pa.large_string()))[0].as_py().split("\n") if len(coded.dictionary) else []
+        others = [i for i, c in enumerate(every) if not isinstance(c, str)]
+        if others:
+            number: defaultdict[str, int] = defaultdict(count(len(chunks)).__next__, zip(chunks, range(len(chunks)), strict=True))
+            for i in others:
+                codes[i] = np.fromiter(map(number.__getitem__, every[i]), np.int64)
+            chunks = list(number)
+        return chunks, codes
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids, as little-endian unsigned 32-bit integers, of each text; null is empty."""
         collecting = gc.isenabled()
         gc.disable()  # nothing here makes cycles, and the memory of words is large to go through
         try:
-            # Distinct chunks are numbered as they come; what follows goes by numbers.
-            number: defaultdict[str, int] = defaultdict(count().__next__)
-            codes = [np.fromiter(map(number.__getitem__, self._chunks(text or "")), np.int64) for text in texts]
-            missing = set(number).difference(self.new)
-            if len(self.new) + len(missing) > self.kept_words:
-                self.old, self.new, missing = self.new, {}, set(number)
-            rest = missing.difference(self.old)
+            chunks, codes = self._numbered([self._chunks(text or "") for text in texts])
             old, new = self.old, self.new
-            for c in missing.difference(rest):
-                new[c] = old[c]
+            missing = [c for c in chunks if c not in new]
+            if len(new) + len(missing) > self.kept_words:
+                self.old, self.new = old, new = new, {}
+                missing = chunks
+            rest = set()
+            for c in missing:
+                ids = old.get(c)
+                if ids is None:
+                    rest.add(c)
+                else:
+                    new[c] = ids
             new.update(self._learn_chunks(rest))
-            own = [new[c] for c in number]
+            own = list(map(new.__getitem__, chunks))
             tokens = np.frombuffer(b"".join(own), "<u4")
-            size = np.array([len(x) // 4 for x in own], np.int64)
+            size = np.fromiter(map(len, own), np.int64, len(own)) // 4
             start = np.cumsum(size) - size
             return [_laid_out(tokens, start[code], size[code]) for code in codes]
         finally:
