@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vellum.config import DedupConfig
 from vellum.functions.text import lines, normalize_line
+from vellum.storage import written
 
 
 def page_lines(pages: DataFrame, text: str = "text") -> DataFrame:
@@ -59,11 +60,11 @@ def strip_repeated_lines(pages: DataFrame, config: DedupConfig = DedupConfig(),
     """``pages`` with noise blocks of ``repeated_line_min_block`` and more lines taken out of ``text``, and ``removed``.
 
     A group's noise set is small whatever its number of pages: each of its lines is on a
-    fixed share of them.  The sets' size is measured before they are broadcast.  A page is
+    fixed share of them.  The sets are stored and their size is measured before they are broadcast.  A page is
     compared with its group's set once, by hash; its lines then with what they share.
     Pages that lose nothing keep their text as it is.
     """
-    noise = noise_lines(pages, config.repeated_line_threshold, config.repeated_line_min_pages, text).select("group_id", "norm")
+    noise = written(noise_lines(pages, config.repeated_line_threshold, config.repeated_line_min_pages, text).select("group_id", "norm"), "noise")
     own = lines(F.col(text))
     joined = with_noise(pages, noise, "page_seq")
     none = F.expr("cast(array() as array<string>)")

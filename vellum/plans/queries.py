@@ -16,6 +16,7 @@ from vellum.functions import pii
 from vellum.functions import text as tx
 from vellum.operators import assembly, frequency, layout, merge, protocol, segment, tasks
 from vellum.sources import files
+from vellum.storage import scratch
 from vellum.streaming import progress
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1162,17 +1163,6 @@ def src_7_bad_paths(spark, sf):
     return files.stage_names(rows).select(F.col("session_id").cast("long").alias("p_partkey"), "name", "error")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared one that the session names; a local one only where there is one machine."""
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root and spark.sparkContext.master.split("[")[0] != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    root = root or "/tmp/vellum-checkpoints"
-    return f"{root.rstrip('/')}/vellum/{name}-{uuid.uuid4().hex}"
-
-
 @query(f"WITH {TASKS} SELECT * FROM t")
 def src_9_task_store(spark, sf):
     root = scratch(spark, "store")
