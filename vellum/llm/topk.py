@@ -146,9 +146,9 @@ def dual_search(queries: Block, floor: np.ndarray, refs: Block, k: int) -> list[
     exact = largest * largest * max(1, q_int.shape[1]) < 2.0**52
     fq, fr = q_int.astype(np.float64), r_int.astype(np.float64)
     qnorm, rnorm = (np.sqrt((x[t.centre] ** 2).sum(axis=1)) for x, t in ((fq, qt), (fr, rt)))
-    # A query vector's ids look for others; with several ids it needs one more for each.
+    # Every id that stands on a query vector looks for k others: k + 1 serve them all.
     own_ids = [queries.own(i) for i in range(len(q_int))]
-    wanted = np.array([k + len(own) for own in own_ids])
+    wanted = k + 1
     best: list[dict[int, int]] = [{} for _ in q_int]
     kth = floor.astype(np.float64).copy()
 
@@ -177,7 +177,7 @@ def dual_search(queries: Block, floor: np.ndarray, refs: Block, k: int) -> list[
             scores = products(q, rows)
             for i, one in zip(q, scores, strict=True):
                 good = np.flatnonzero(one >= kth[i])
-                need = int(wanted[i]) * refs.most  # vectors that hold so many different ids
+                need = wanted * refs.most  # vectors that hold so many different ids
                 if exact and len(good) > 4 * need:  # all that tie with the last one stay
                     cut = np.partition(one[good], len(good) - need - 1)[len(good) - need - 1]
                     good = good[one[good] >= cut]
@@ -187,10 +187,10 @@ def dual_search(queries: Block, floor: np.ndarray, refs: Block, k: int) -> list[
                     for v in refs.own(int(rows[g])).tolist():
                         if s > found.get(v, s - 1):
                             found[v] = s
-                if len(found) > wanted[i]:
-                    first = sorted(found.items(), key=lambda x: (-x[1], x[0]))[: wanted[i]]
+                if len(found) > wanted:
+                    first = sorted(found.items(), key=lambda x: (-x[1], x[0]))[:wanted]
                     best[i] = dict(first)
-                if len(best[i]) >= wanted[i]:
+                if len(best[i]) >= wanted:
                     kth[i] = max(kth[i], float(min(best[i].values())))
             at = upto
 

@@ -169,7 +169,7 @@ def by_length(rows: list[bytes]) -> list[list[bytes]]:
 
 
 def windowed_links(classes: DataFrame, rows: int, cosine: float, window: int) -> tuple[DataFrame, DataFrame]:
-    """Two written tables for (id, v): (src, dst) of verified links that join all that windows of all passes link, and (id) of dense rows."""
+    """For (id, v): (src, dst) of verified links that join all that windows of all passes link, and (id) of dense rows; both read written tables."""
     turns = math.ceil(SPARE * passes_for(rows, cosine, window))
     share = 1 - math.acos(cosine) / math.pi
 
@@ -238,9 +238,10 @@ def windowed_links(classes: DataFrame, rows: int, cosine: float, window: int) ->
     # A seam has two windows of rows at most, whatever the input.
     seams = found.where("edge is not null").groupBy("edge").applyInPandas(seam, "src long, dst long, sure boolean")
     told = written(found.where("dst is not null").select("src", "dst", "sure").union(seams).where("src <> dst"), "pairs")
-    links = written(told.where("sure").select("src", "dst").union(verified(told.where("not sure").select("src", "dst").distinct(), classes, cosine)), "links")
+    links = told.where("sure").select("src", "dst").union(verified(told.where("not sure").select("src", "dst").distinct(), classes, cosine))
+    links._vellum_path = told._vellum_path
     dense = written(found.where("miss is not null").groupBy(F.col("src").alias("id")).agg(F.sum("miss").alias("miss")).where(F.col("miss") > math.log(MISSED)).select("id"), "dense")
-    dropped(found, told)
+    dropped(found)
     return links, dense
 
 
