@@ -149,3 +149,18 @@ def test_assets(spark):
 
 def test_config_merge():
     assert files.merged_config(LLMConfig(), {"model": "m", "provider": None}).model == "m"
+
+
+def test_shared_folder_is_named_on_a_cluster(monkeypatch):
+    """A machine's own folder stands in for it in local mode alone."""
+    from types import SimpleNamespace
+
+    from vellum import storage
+
+    def session(master, folder=None):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: folder), sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None))
+
+    assert storage.shared_dir(session("local[4]")) and storage.shared_dir(session("spark://x:7077", "hdfs://a/b/")) == "hdfs://a/b"
+    for master in ("spark://x:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            storage.shared_dir(session(master))
