@@ -40,8 +40,7 @@ def rstrip_newlines(c: Column) -> Column:
 
 def lines(c: Column) -> Column:
     """Lines without their ends; a final line end opens no further line."""
-    every = F.split(c, LINE_END, -1)
-    return F.when(F.element_at(every, -1) == "", F.slice(every, 1, F.size(every) - 1)).otherwise(every)
+    return bound(F.split(c, LINE_END, -1), lambda every: F.when(F.element_at(every, -1) == "", F.slice(every, 1, F.size(every) - 1)).otherwise(every))
 
 
 def normalize_line(c: Column) -> Column:
@@ -49,6 +48,10 @@ def normalize_line(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, rf"(?U){BLANK}+", " "))
 
 
+def normalized_lines(c: Column) -> Column:
+    return F.transform(lines(c), lambda x: normalize_line(x))
+
+
 def remove_garbage(c: Column, run: int = GARBAGE_RUN) -> Column:
     """Without runs of ``run`` or more characters outside READABLE."""
     return F.regexp_replace(c, f"(?U)[^{READABLE}]{{{run},}}", "")

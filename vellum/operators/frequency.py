@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.config import DedupConfig
-from vellum.functions.text import lines, normalize_line
+from vellum.functions.text import lines, normalize_line, normalized_lines
 from vellum.storage import written
 
 
@@ -20,7 +20,7 @@ def line_frequency(pages: DataFrame, text: str = "text") -> DataFrame:
 
     A page's distinct lines are taken before anything moves, so counting needs one shuffle of partial counts.
     """
-    norms = F.array_distinct(F.filter(F.transform(lines(F.col(text)), normalize_line), lambda x: F.length(x) > 1))
+    norms = F.array_distinct(F.filter(normalized_lines(F.col(text)), lambda x: F.length(x) > 1))
     return pages.select("group_id", F.explode(norms).alias("norm")).groupBy("group_id", "norm").agg(F.count("*").alias("n_pages"))
 
 
@@ -31,9 +31,9 @@ def noise_lines(pages: DataFrame, threshold: float, min_pages: int, text: str =
     return line_frequency(pages, text).join(sizes, "group_id").where(F.col("n_pages") >= least).select("group_id", "norm", "n_pages")
 
 
-def noise_flags(own_lines: Column, noise: Column) -> Column:
+def noise_flags(norms: Column, noise: Column) -> Column:
     """A string of 0 and 1, one for each line; ``noise`` holds those of the page's own lines that are noise."""
-    return F.array_join(F.transform(own_lines, lambda x: F.when(F.array_contains(noise, normalize_line(x)), "1").otherwise("0")), "")
+    return F.array_join(F.transform(norms, lambda x: F.when(F.array_contains(noise, x), "1").otherwise("0")), "")
 
 
 def in_long_runs(flags: Column, least: int) -> Column:
@@ -65,12 +65,11 @@ def strip_repeated_lines(pages: DataFrame, config: DedupConfig = DedupConfig(),
     Pages that lose nothing keep their text as it is.
     """
     noise = written(noise_lines(pages, config.repeated_line_threshold, config.repeated_line_min_pages, text).select("group_id", "norm"), "noise")
-    own = lines(F.col(text))
-    joined = with_noise(pages, noise, "page_seq")
     none = F.expr("cast(array() as array<string>)")
-    mine = F.when(F.col("__noise").isNull(), none).otherwise(F.array_intersect(F.transform(own, normalize_line), F.col("__noise")))
-    told = joined.withColumn("__mine", F.coalesce(mine, none)).drop("__noise")
-    flags = F.when(F.size("__mine") == 0, F.lit("")).otherwise(in_long_runs(noise_flags(own, F.col("__mine")), config.repeated_line_min_block))
+    # A page of a group with noise is split and normalised once.
+    joined = with_noise(pages, noise, "page_seq").withColumn("__norms", F.when(F.col("__noise").isNotNull(), normalized_lines(F.col(text))))
+    told = joined.withColumn("__mine", F.coalesce(F.array_intersect("__norms", "__noise"), none)).drop("__noise")
+    flags = F.when(F.size("__mine") == 0, F.lit("")).otherwise(in_long_runs(noise_flags(F.col("__norms"), F.col("__mine")), config.repeated_line_min_block))
     marked = told.withColumn("__flags", flags).withColumn("removed", F.length("__flags") - F.length(F.replace("__flags", F.lit("x"), F.lit(""))))
-    kept = F.filter(F.zip_with(own, F.split("__flags", r"(?!^)(?!\z)"), lambda x, f: F.when(f != "x", x)), lambda x: x.isNotNull())
-    return marked.withColumn(text, F.when(F.col("removed") > 0, F.array_join(kept, "\n")).otherwise(F.col(text))).drop("__mine", "__flags")
+    kept = F.filter(F.zip_with(lines(F.col(text)), F.split("__flags", r"(?!^)(?!\z)"), lambda x, f: F.when(f != "x", x)), lambda x: x.isNotNull())
+    return marked.withColumn(text, F.when(F.col("removed") > 0, F.array_join(kept, "\n")).otherwise(F.col(text))).drop("__mine", "__norms", "__flags")
