@@ -196,6 +196,49 @@ def test_battery_and_cut_against_plain(spark):
         assert cuts.get((kind, band)) == (round(-math.log10(max(passed)) / secret_scan.STEP) if passed else None)
 
 
+def plain_candidates(text):
+    """(start, end, kind, band, cell) of every long token that looks encoded."""
+    for m in re.finditer(r"[A-Za-z0-9+/_-]{20,}", text or ""):
+        tok, n = m[0], len(m[0])
+        digit, upper, lower = (re.search(p, tok) for p in ("[0-9]", "[A-Z]", "[a-z]"))
+        if n >= 24 and re.fullmatch("[0-9a-f]+|[0-9A-F]+", tok) and digit and re.search("[A-Fa-f]", tok):
+            kind = "hex"
+        elif n >= 24 and re.fullmatch("[A-Z2-7]+", tok) and re.search("[2-7]", tok) and upper:
+            kind = "base32"
+        elif digit and upper and lower:
+            kind = "base64"
+        else:
+            continue
+        yield m.start(), m.end(), kind, sum(n >= b for b in secret_scan.BANDS), plain_bin(kind, tok)
+
+
+def test_whole_scan_against_plain(spark, real):
+    """All spans of the query: candidates, cells, cuts over the corpus, and what base spans leave of them."""
+    rng = random.Random(21)
+    texts = [" ".join(rng.choice(("word", "é", "x = 1")) + " " + made_tokens(rng, rng.choice(("hex", "base32", "base64")), rng.randint(20, 90), rng.random() < 0.5) for _ in range(rng.randint(0, 4))) for _ in range(300)]
+    rows = real + EDGE[:4] + [(-1000 - i, t) for i, t in enumerate(texts)]
+    found = [(i, text, list(plain_candidates(text))) for i, text in rows]
+    every = [c for _, _, own in found for c in own]
+    cuts = {}
+    for kind, band in {c[2:4] for c in every}:
+        cells = [c[4] for c in every if c[2:4] == (kind, band)]
+        passed = [b for b in cells if 10 ** (-b * secret_scan.STEP) <= secret_scan.FALSE_DISCOVERY * sum(x >= b for x in cells) / len(cells)]
+        cuts[kind, band] = min(passed, default=secret_scan.BINS + 1)
+    got = {r.doc_id: r.spans.split(",") for r in secret_scan.scan_secrets(documents(spark, rows)).collect()}
+    wrong = random_spans = 0
+    for i, text, own in found:
+        _, base = plain_secrets(text)
+        taken = [tuple(map(int, s.split(":")[1:])) for s in base.split(",") if s]
+        want = {f"random:{s}:{e}" for s, e, kind, band, b in own if b < cuts[kind, band] and not any(x < e and s < y for x, y in taken)}
+        have = {s for s in got[i] if s.startswith("random")}
+        random_spans += len(want)
+        # Only cells beside a cut may fall to its other side, as p-values are by a polynomial.
+        near = {f"random:{s}:{e}" for s, e, kind, band, b in own if abs(b - cuts[kind, band]) <= 1}
+        wrong += bool((want ^ have) - near)
+        assert {s for s in got[i] if s and not s.startswith("random")} == {s for s in base.split(",") if s}
+    assert not wrong and random_spans > 100
+
+
 def test_error_rates_of_the_battery(spark):
     """Random tokens are found, names put together from words mostly aren't; README has the figures."""
     rng = random.Random(13)
@@ -264,6 +307,26 @@ def test_network_on_unseen_text():
     assert hit / real > 0.8 and hit / made > 0.8
 
 
+def test_emissions_step_by_step():
+    """A bidirectional LSTM in plain steps, character by character, on a padded window."""
+    net = pii_scan.network()
+    text = "call (555) 123-4567 or a.b@c.de é"
+    x = np.zeros((pii_scan.WINDOW, 1), np.intp)
+    x[: len(text), 0] = pii_scan.classes(text)
+    got = pii_scan.emissions(net, x)[:, :, 0]
+    want = np.tile(net.b.astype(float), (len(x), 1))
+    half = lambda z: 0.5 * math.tanh(z) + 0.5  # noqa: E731 - weights are of halved sums
+    for d in (0, 1):
+        h = c = np.zeros(pii_scan.HIDDEN)
+        for s in range(len(x)) if d == 0 else range(len(x) - 1, -1, -1):
+            z = net.w[d][x[s, 0]] + h @ net.u[d]
+            i, f, o, g = (z[k * pii_scan.HIDDEN : (k + 1) * pii_scan.HIDDEN] for k in range(4))
+            c = np.array([half(b) * y + half(a) * math.tanh(e) for a, b, e, y in zip(i, f, g, c, strict=True)])
+            h = np.array([half(a) * math.tanh(y) for a, y in zip(o, c, strict=True)])
+            want[s] += h @ net.a[d]
+    assert np.allclose(got, want, atol=1e-3)
+
+
 def test_viterbi_by_enumeration():
     rng = np.random.default_rng(4)
     for steps in (1, 2, 5):

@@ -393,6 +393,19 @@ def test_features_and_scores_against_plain():
     assert np.allclose(quality.score_texts(field, TEXTS), [plain_score(field, t) for t in TEXTS], atol=1e-4)
 
 
+def test_query_scores_against_plain(spark, sf):
+    """Scores of the query, for all documents of up to eleven lines, by enumeration of their lines' labels."""
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    field = quality.train(docs, labels)
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    got = {r.doc_id: (r.score, r.predicted, r.held_out) for r in quality.classify(docs, labels).collect()}
+    short = [i for i, t in texts.items() if t.count("\n") <= 10]
+    assert set(got) == set(texts) and len(short) > 0.6 * len(texts)
+    for i in short:
+        want = plain_score(field, texts[i])
+        assert abs(got[i][0] - want) < 2e-3 and (got[i][1] == int(want >= 0.3) or abs(want - 0.3) < 2e-3)
+
+
 def test_slopes_by_differences():
     """The fit's gradients are those of the log-likelihood over all labels of all lines."""
     rng = np.random.default_rng(7)
