@@ -282,6 +282,25 @@ def in_cells(data: DataFrame, pilot: dict, pivots: dict[int, int], k: int, floor
     return map_arrow(data, run, "vec_id long, dim int, v binary, cell int, dist double, floor double")
 
 
+def needed(rows: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """(rows (vec_id, dim, v) that queries need, a written table that they read): each row once, and of equal vectors those of k + 1 ids.
+
+    Equal ones are told by digests of 128 bits: vectors move only where a row is repeated or a vector has more ids.
+    """
+    key = ["vec_id", "dim", "a", "b"]
+    keyed = rows.withColumns({"a": F.xxhash64("v"), "b": F.xxhash64("v", F.lit(1))})
+    same = Window.partitionBy("dim", "a", "b").orderBy("vec_id")
+    each = keyed.groupBy(*key).agg(F.count("*").alias("n")).withColumn("turn", F.row_number().over(same))
+    extra = written(each.where((F.col("n") > 1) | (F.col("turn") > k + 1)), "extra")
+    if extra.isEmpty():
+        return rows, extra
+    names = {x: f"__{x}" for x in key}
+    other = extra.withColumnsRenamed(names)
+    on = [keyed[x] == other[y] for x, y in names.items()]
+    once = keyed.join(other.where(F.col("turn") <= k + 1), on, "left_semi").dropDuplicates(key)
+    return keyed.join(other, on, "left_anti").union(once).select("vec_id", "dim", "v"), extra
+
+
 def cut(rows: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
     """(rows with their part, cells): a cell's rows are cut by hash into parts of about ``size``.
 
@@ -358,12 +377,10 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, scale: float = 1024.0, vec_
     pilot = {d: (np.array(list(own)), np.stack(list(own.values()))) for d, own in pilot.items()}
     rows, asked = drawn.agg(F.count("*"), F.count_if("asks")).first()
     share = lambda n, each: {d: max(1, min(PIVOTS, n // each, len(own))) for d, (own, _) in pilot.items()}
-    # Of equal vectors a query needs k + 1 ids at most: a hot vector is held so often and no oftener.
-    same = Window.partitionBy("dim", "v").orderBy("vec_id")
-    fewer = drawn.select("vec_id", "dim", "v").distinct().withColumn("turn", F.row_number().over(same)).where(F.col("turn") <= k + 1).select("vec_id", "dim", "v")
-    candidates = written(in_cells(fewer, pilot, share(rows, BLOCK), k, False), "candidates")
+    told, extra = needed(drawn.select("vec_id", "dim", "v"), k)
+    candidates = written(in_cells(told, pilot, share(rows, BLOCK), k, False), "candidates")
     queries = written(in_cells(drawn.where("asks").select("vec_id", "dim", "v").distinct(), pilot, share(asked, QUERY_BLOCK), k, True), "queries")
-    dropped(drawn)
+    dropped(drawn, extra)
     r_parts, r_cells = cut(candidates, BLOCK)
     q_parts, q_cells = cut(queries, QUERY_BLOCK)
     r_trees, q_trees = written(trees(r_parts, k + 1), "trees"), written(trees(q_parts, None), "trees")
