@@ -342,7 +342,9 @@ def trees(rows: DataFrame, k: int | None) -> DataFrame:
         block = block_of(frame["vec_id"].to_numpy(), list(frame["v"]), k)
         low = frame.groupby("v", sort=False)["floor"].min()
         floor = np.array([low[v.tobytes()] for v in block.vectors.astype("<i8")])
-        blob = pickle.dumps([block.vectors.shape, block.vectors.tobytes(), packed(block.tree), block.ids, block.upto, block.most, floor], protocol=5)
+        # In the fewest bytes that hold all components.
+        kind = next(t for t in (np.int16, np.int32, np.int64) if np.abs(block.vectors).max() <= np.iinfo(t).max)
+        blob = pickle.dumps([block.vectors.shape, block.vectors.astype(kind), packed(block.tree), block.ids, block.upto, block.most, floor], protocol=5)
         return pd.DataFrame({"dim": frame["dim"].iloc[:1], "cell": frame["cell"].iloc[:1], "part": frame["part"].iloc[:1], "block": [blob]})
 
     ship(rows.sparkSession)
@@ -353,7 +355,7 @@ def read_block(blob: bytes) -> tuple[Block, np.ndarray]:
     import pickle
 
     shape, raw, tree, ids, upto, most, floor = pickle.loads(blob)
-    vectors = np.frombuffer(raw, np.int64).reshape(shape)
+    vectors = raw.astype(np.int64).reshape(shape)
     return Block(vectors, unpacked(tree, vectors.astype(np.float64)), ids, upto, most), floor
 
 
