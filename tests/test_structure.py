@@ -164,3 +164,17 @@ def test_shared_folder_is_named_on_a_cluster(monkeypatch):
     for master in ("spark://x:7077", "yarn", "local-cluster[2,1,1024]"):
         with pytest.raises(ValueError, match="spark.checkpoint.dir"):
             storage.shared_dir(session(master))
+
+
+def test_back_off_goes_with_the_pages(spark, tmp_path):
+    """120,000 pages in one task: the work goes with their number, not its square."""
+    import time
+
+    from vellum.plans.queries import QUERIES
+
+    parts = spark.range(120_000).select(F.col("id").alias("p_partkey"), (F.col("id") % 50).cast("int").alias("p_size"))
+    parts.coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    began = time.perf_counter()
+    got = QUERIES["stm_5_back_off"](spark, str(tmp_path)).groupBy("raw_text").count().collect()
+    assert [tuple(r) for r in got] == [("batch of 2", 120_000)]
+    assert time.perf_counter() - began < 20

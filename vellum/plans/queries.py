@@ -1418,15 +1418,15 @@ def stm_5_back_off(spark, sf):
     """An engine that has memory for two pages: the batch goes from 8 to 4 to 2 and stays there."""
 
     def engine():
-        sizes = []
+        fitted = grown = False
 
         def read(paths):
-            sizes.append(len(paths))
+            nonlocal fitted, grown
             if len(paths) > 2:
+                grown = grown or fitted  # once a batch has fitted, no larger one is tried again
                 raise MemoryError
-            # Once a batch has fitted, no larger one is tried again.
-            fitted = [k for k, n in enumerate(sizes) if n <= 2]
-            return ["batch of 2" if max(sizes[fitted[0] :]) <= 2 else "grown"] * len(paths)
+            fitted = True
+            return ["grown" if grown else "batch of 2"] * len(paths)
 
         return read
 
