@@ -189,3 +189,16 @@ def test_a_session_is_staged_whole(spark):
     names = {r.path: r.name for r in got if r.session_id == "7"}
     assert len(set(names.values())) == n
     assert [names[f"/x{k}/" + ("a_1.jpg" if k == 3 else "a.jpg")] for k in (0, 1, 2, 3, 4, n - 1)] == ["a.jpg", "a_1.jpg", "a_2.jpg", "a_1_1.jpg", "a_3.jpg", f"a_{n - 2}.jpg"]
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz"])
+def test_live_sessions_to_the_microsecond(spark, zone, kind):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        times = ["2024-01-14 22:59:59.999999", "2024-01-14 23:00:00", "2024-01-14 23:00:00.000001", "2024-01-14 23:00:00.9", "2024-01-16 00:00:00", None]
+        made = spark.createDataFrame(list(enumerate(times)), "id int, t string").select("id", F.col("t").cast(kind).alias("created_at"))
+        assert [r.id for r in tasks.live_sessions(made, "2024-01-15 00:00:00").orderBy("id").collect()] == [2, 3, 4]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)

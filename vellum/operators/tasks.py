@@ -151,8 +151,9 @@ def uploads(files: DataFrame) -> DataFrame:
 
 
 def live_sessions(sessions: DataFrame, now: str, ttl_seconds: int = 3600) -> DataFrame:
-    """Sessions younger than their time to live, counted from creation."""
-    return sessions.where(F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp("created_at") < ttl_seconds)
+    """Sessions younger than their time to live, counted from creation to the microsecond; ``now`` is read as ``created_at`` is, with a time zone or without."""
+    kind = "timestamp_ntz" if sessions.schema["created_at"].dataType.typeName() == "timestamp_ntz" else "timestamp"
+    return sessions.where(F.col("created_at").cast(kind) > F.lit(now).cast(kind) - F.make_dt_interval(secs=F.lit(ttl_seconds)))
 
 
 def progress_label(label: Column, index: Column, total: Column, message: Column) -> Column:
