@@ -95,3 +95,17 @@ def test_replaced_against_plain(spark):
                 return "[$1]" if ok else m[0]
 
             assert (re.sub(python, one, r.t), n) == (r.r.text, r.r.n), (name, r.t)
+
+
+@pytest.mark.parametrize(
+    ("text", "want", "n"),
+    [
+        ("4451718024887799 27.65.93.188", "[C] 27.65.93.188", 1), ("4495589438270767 42.73.240.87", "[C] 42.73.240.87", 1),
+        ("4539 1488 0343 6467 and 4539148803436467-1", "[C] and [C]-1", 2), ("1234567890123456 27", "1234567890123456 27", 0), (None, None, None),
+    ],
+)
+def test_a_number_behind_a_card(spark, text, want, n):
+    row = spark.createDataFrame([(text,)], "t string").select(pii.replaced_cards(F.col("t"), "[C]").alias("r")).first().r
+    assert (row.text, row.n) == (want, n)
+    config = PIIConfig(bank_card_placeholder="[C]", phone=False)
+    assert redact(spark, text, config) == (want, {"bank_card": n} if n else {})

@@ -13,6 +13,8 @@ ID_CARD = r"(?U)(?<!\d)[1-9]\d{5}(?:19|20)\d{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 PHONE = r"(?U)(?<!\d)(?:\+?86[-\s]?)?1[3-9]\d[-\s]?\d{4}[-\s]?\d{4}(?!\d)"
 BANK_CARD = r"(?U)(?<!\d)\d{4}[-\s]?\d{4}[-\s]?\d{4}[-\s]?\d{4}(?:[-\s]?\d{1,3})?(?!\d)"
+#: A card without separators, which is a card whatever short number comes after it.
+CARD_RUN = r"(?U)(?<!\d)\d{16,19}(?!\d)"
 #: EMAIL for one pass over a text: a match begins where its run of characters does, or after the match before.
 #: Elsewhere in a run nothing else could match, and trying would cost a run's length squared.
 EMAIL_ONCE = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
@@ -58,9 +60,17 @@ def replaced(text: Column, pattern: str, placeholder: str, holds=None) -> Column
     return F.when(text.rlike(pattern), told).otherwise(F.struct(text.alias("text"), F.when(text.isNotNull(), 0).alias("n")))
 
 
-def stage(state: Column, kind: str, pattern: str, placeholder: str, holds=None, method: str = "regex") -> Column:
-    """One redaction step over struct<text, records>."""
-    done = F.transform(F.array(state), lambda s: F.struct(replaced(s["text"], pattern, placeholder, holds).alias("r"), s["records"].alias("records")))
+def replaced_cards(text: Column, placeholder: str) -> Column:
+    """As ``replaced``: digits in one run first, as BANK_CARD would take a number of up to three digits behind 16 as the card's own; then the forms with separators."""
+    holds = lambda m: luhn(digits_of(m))
+    second = lambda r: F.struct(replaced(r["text"], BANK_CARD, placeholder, holds).alias("s"), r["n"].alias("n"))
+    return bound(bound(replaced(text, CARD_RUN, placeholder, holds), second), lambda r: F.struct(r["s"]["text"].alias("text"), (r["s"]["n"] + r["n"]).alias("n")))
+
+
+def stage(state: Column, kind: str, pattern: str | None, placeholder: str, holds=None, method: str = "regex") -> Column:
+    """One redaction step over struct<text, records>; without a pattern, that of bank cards."""
+    found = lambda text: replaced_cards(text, placeholder) if pattern is None else replaced(text, pattern, placeholder, holds)
+    done = F.transform(F.array(state), lambda s: F.struct(found(s["text"]).alias("r"), s["records"].alias("records")))
     record = lambda n: F.struct(F.lit(kind).alias("kind"), F.lit(method).alias("method"), F.lit(placeholder).alias("placeholder"), n.alias("count"))
     return F.transform(done, lambda s: F.struct(s["r"]["text"].alias("text"), F.when(s["r"]["n"] > 0, F.concat(s["records"], F.array(record(s["r"]["n"])))).otherwise(s["records"]).alias("records")))[0]
 
@@ -71,7 +81,7 @@ def redact_structured(text: Column, config: PIIConfig = PIIConfig()) -> Column:
     steps = (
         (config.id_card, "id_card", ID_CARD, config.id_card_placeholder, None), (config.email, "email", EMAIL_ONCE, config.email_placeholder, None),
         (config.phone, "phone", PHONE, config.phone_placeholder, phone_holds),
-        (config.bank_card, "bank_card", BANK_CARD, config.bank_card_placeholder, lambda m: luhn(digits_of(m))),
+        (config.bank_card, "bank_card", None, config.bank_card_placeholder, None),
     )
     for on, kind, pattern, placeholder, holds in steps:
         if on:
