@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from vellum.llm import near_dedup, packing, pii_scan, quality
 from vellum.llm.queries import word_bpe
-from vellum.llm.shared import dropped, written
+from vellum.llm.shared import dropped, shrink_heaps, written
 
 #: Words that the tokenizer remembers in a worker: few, as the stages before have filled the executor's heap.
 KEPT_WORDS = 100_000
@@ -61,9 +61,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every stage's table is deleted once the next one is written; that of the last is what the result reads."""
+    """Every stage's table is deleted once the next one is written; that of the last is what the result reads.
+
+    Before a stage executors give back the memory that the one before has left them with.
+    """
     docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES:
+        shrink_heaps(spark)
         made = written(stage(spark, docs, sf_dir), name)
         dropped(*before)
         docs, before = made, [made]

@@ -42,6 +42,16 @@ def give_back() -> None:
         return  # another C library, which has its own ways
 
 
+def shrink_heaps(spark: SparkSession) -> None:
+    """Every executor collects garbage and gives free heap back to the system.
+
+    A heap that one stage has filled otherwise stays its size beside the Python workers of the next.
+    """
+    tasks = spark.sparkContext.defaultParallelism  # one for each core, so that each executor has some
+    calls = spark.range(0, tasks, 1, tasks).select(F.reflect(F.lit("java.lang.System"), F.lit("gc")).alias("done"))
+    calls.write.format("noop").mode("overwrite").save()
+
+
 def map_arrow(df: DataFrame, run, schema: str, holds: str = "") -> DataFrame:
     """``mapInArrow``; a worker that still holds the memory of another operator lets go of it first."""
 
